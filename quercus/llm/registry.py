@@ -4,9 +4,9 @@ from __future__ import annotations
 
 #PIPE import corpus_pipeline
 
-from . import bpe, media, pii, token_counts, warc
+from . import bpe, html_extract, lm, media, pii, quality, token_counts, warc
 
-MODULES = (warc, token_counts, bpe, media, pii)
+MODULES = (warc, html_extract, token_counts, quality, bpe, lm, media, pii)
 
 
 def queries() -> dict:
