@@ -218,8 +218,6 @@ def traverse(block: Block, counts: list[np.ndarray], n: int, v: int, weight: flo
         shorter = counts[k - 1][block.place[k - 1]]
         history = np.append(0, shorter[:-1])
         history[block.first] = ends
-        for j in range(1, k):  # histories that begin with STARTs were seen once a text, too
-            history[np.minimum(block.first + j, block.first + block.lengths - 1)] = shorter[np.maximum(block.first + j - 1, 0)]
         seen = counts[k][block.place[k]]
         fail = np.log10(weight / (history + weight))
         p = np.where(seen > 0, np.log10((seen + weight * 10.0**p) / (history + weight)), fail + p)
@@ -262,8 +260,6 @@ class Automaton:
             for i, w in enumerate(seq):
                 for k in range(order):
                     h = tuple(seq[j] if j >= 0 else START for j in range(i - k, i))
-                    if k and i - k < -1:
-                        continue
                     count[(*h, w)] = count.get((*h, w), 0) + 1
                     history[h] = history.get(h, 0) + 1
         self.order, n, v = order, history.get((), 0), sum(len(g) == 1 for g in count)
@@ -276,7 +272,7 @@ class Automaton:
             self.arcs.setdefault(h, {})[w] = float(np.log10(p))
 
     def score(self, text: bytes) -> float:
-        state: tuple = (START,) if self.order > 1 else ()
+        state: tuple = (START,) * (self.order - 1)
         total = 0.0
         for w in [*text.lower().split(), None]:
             h = state
