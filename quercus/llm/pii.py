@@ -241,6 +241,26 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(id_col, text_col).mapInArrow(by_rows(run), f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, redacted string")
 
 
+def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs, all rows and columns, with personal data in the texts replaced; the length column follows, if there is one."""
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(train()[:2])
+    at = docs.columns.index(text_col)
+    also = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        trees, limits = model.value
+        old = b.column(at).to_pylist()
+        new = [redacted(t, s) if t and (s := select(t, trees, limits)) else t for t in old]
+        columns = list(b.columns)
+        columns[at] = pa.array(new, columns[at].type)
+        if also is not None:
+            columns[also] = pa.array([len(y) if y is not x and y is not None else n for x, y, n in zip(old, new, columns[also].to_pylist())], columns[also].type)
+        return pa.record_batch(columns, schema=b.schema)
+
+    return docs.mapInArrow(by_rows(run), docs.schema)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 

@@ -197,6 +197,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(by_rows(run), f"`{id_col}` {kind}, `{score_col}` double")
 
 
+def filtered(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is at least 0.5."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(sent.value.score_texts(utf8(b.column(at))) >= 0.5))
+
+    return docs.mapInArrow(by_rows(run), docs.schema)
+
+
 def is_held_out(id_col: str):
     return remainder(id_col, 3) == 1
 

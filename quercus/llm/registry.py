@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-#PIPE import corpus_pipeline
+import corpus_pipeline
 
-from . import bpe, html_extract, lm, media, pii, quality, token_counts, warc
+from . import bpe, decontaminate, html_extract, lm, media, minhash, pii, quality, token_counts, warc
 
-MODULES = (warc, html_extract, token_counts, quality, bpe, lm, media, pii)
+MODULES = (warc, html_extract, minhash, token_counts, quality, bpe, lm, media, pii, decontaminate)
 
 
 def queries() -> dict:
     out = {name: f for m in MODULES for name, f in m.QUERIES.items()}
-    return out
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: s for m in MODULES for name, s in m.SQL.items()}
-    return out
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
