@@ -27,6 +27,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Keep the splits of a table's files the same from one pass to the next, also if executors come or go."""
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
+def by_folder(path: str, column: str, value: int, columns: list[str] | None = None) -> list[dict]:
+    """For executors: the rows of one partition folder of a table in the shared folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+
+    fs, base = file_system(path)
+    files = [x.path for x in fs.get_file_info(pafs.FileSelector(f"{base}/{column}={value}", allow_not_found=True)) if x.path.endswith(".parquet")]
+    return [r for f in sorted(files) for r in pq.read_table(fs.open_input_file(f), columns=columns).to_pylist()]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application under spark.checkpoint.dir, which all executors see.
 

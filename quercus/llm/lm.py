@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, file_system, kept, new_folder, remainder, small_batches, table, utf8
+from .common import by_folder, delete, kept, pin_splits, remainder, small_batches, table, utf8
 
 #: Order of the model and K, the weight of the shorter history.
 ORDER, K = 2, 40.0
@@ -193,12 +193,7 @@ def counted(docs: DataFrame, order: int, ranges: int) -> tuple[DataFrame, str, i
 
 def _answers(path: str, number: int, block: Block, ranges: int) -> list[np.ndarray]:
     """The counts of the block's keys, by order."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs as pafs
-
-    fs, base = file_system(path)
-    files = [x.path for x in fs.get_file_info(pafs.FileSelector(f"{base}/block={number}", allow_not_found=True)) if x.path.endswith(".parquet")]
-    rows = sorted((r for f in files for r in pq.read_table(fs.open_input_file(f)).to_pylist()), key=lambda r: r["range"])
+    rows = sorted(by_folder(path, "block", number), key=lambda r: r["range"])
     edges = _edges(ranges)
     cuts = [np.concatenate([[0], np.searchsorted(k, edges), [len(k)]]) for k in block.keys]
     mine = [_sum_of([k[c[r] : c[r + 1]].tobytes() for k, c in zip(block.keys, cuts)]) for r in range(ranges)]
@@ -229,8 +224,7 @@ def score(docs: DataFrame, held_out: Callable[[str], Column], id_col: str = "doc
     """Learn from the rows that aren't held out and score all: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     small_batches(spark)
-    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))  # the same splits if executors come or go
+    pin_splits(spark)
     rows = docs.select(id_col, text_col, held_out(id_col).alias("held_out"))
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     _, path, n, v = counted(rows, order, ranges)
