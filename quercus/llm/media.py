@@ -5,8 +5,7 @@ samples wide. Each distinct image is stored once, in a tar shard in the shared f
 index has digest, shard, offset and length of each; rows carry only that. Metadata columns come from range reads of the
 first bytes of a member (`header_columns`); `features` reads whole members back and computes digests and features.
 
-Equal payloads within a task are sent on once, so a text with a third of all rows costs a few images and many short rows.
-A shard's name has its task and attempt, and the index is written before it is used: a lost executor's shards are only
+Only digests are shuffled, never texts or images. A shard's name has its task and attempt, and the index is written before it is used: a lost executor's shards are only
 garbage, and no row refers to them.
 
 Cases: null is the empty text, whose payload is 64 zero bytes; equal texts share a member and all values; a null id is
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, file_system, kept, new_folder, small_batches, table, utf8
+from .common import by_folder, by_rows, delete, file_system, kept, new_folder, pin_splits, small_batches, table, utf8
 
 WIDTH = 64
 #: Bytes of members after which a shard is closed.
@@ -127,48 +126,51 @@ class _Shards:
             self.out = None
 
 
+def _digest(data: bytes) -> bytes:
+    """The address of a text: its payload and its length, as zero bytes may end a text."""
+    return hashlib.sha256(padded(data) + struct.pack(">Q", len(data))).digest()
+
+
 def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Write the shards; (rows: id, digest) and the index, both kept in the shared folder."""
-    small_batches(docs.sparkSession)
+    """Write the shards; (rows: id, digest, n_bytes) and the index (one row for each distinct text), kept in the shared folder.
+
+    Texts aren't shuffled. A first pass makes the digests; the split with the smallest number owns a digest that several
+    splits have; the second pass writes what its split owns, each digest once.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    pin_splits(spark)
     kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(id_col, text_col)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
-        for b in batches:
-            digests, sizes, images = [], [], []
-            for data in utf8(b.column(1)):
-                d = hashlib.sha256(padded(data) + struct.pack(">Q", len(data))).digest()  # the length: zero bytes may end a text
-                digests.append(d)
-                sizes.append(len(data))
-                images.append(None if d in sent else to_png(data))
-                sent.add(d)
-                if len(sent) > 500_000:
-                    sent.clear()
-            yield pa.record_batch([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], ["id", "digest", "n_bytes", "image"])
+    def digests(b: pa.RecordBatch) -> pa.RecordBatch:
+        data = utf8(b.column(1))
+        split = TaskContext.get().partitionId()
+        return pa.record_batch([b.column(0), pa.array(map(_digest, data), pa.binary()), pa.array([split] * len(data), pa.int32())], ["id", "digest", "split"])
 
-    encoded = docs.select(id_col, text_col).mapInArrow(encode, f"id {kind}, digest binary, n_bytes long, image binary")
+    rows, _ = kept(source.mapInArrow(by_rows(digests), f"id {kind}, digest binary, split int"), "media-rows")
+    had = rows.groupBy("digest", "split").agg(F.lit(1).alias("one"))
+    owners = rows.groupBy("digest").agg(F.min("split").alias("owner"), F.max("split").alias("other")).where("owner < other")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    others = had.join(owners, "digest").where("split > owner").select("digest", "split")
+    _, foreign = kept(others.repartition(n, "split").sortWithinPartitions("split"), "media-foreign", partition_by="split")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, last = _Shards(folder), None
+        done = {r["digest"] for r in by_folder(foreign, "split", TaskContext.get().partitionId())}
+        shards = _Shards(folder)
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                if r["digest"] != last:  # sorted by digest
-                    last = r["digest"]
-                    rows.append((last, r["n_bytes"], *shards.add(f"{last.hex()}.png", r["image"])))
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["digest", "n_bytes", "shard", "offset", "length"])
+            out = []
+            for data in utf8(b.column(1)):
+                if (d := _digest(data)) not in done:
+                    done.add(d)
+                    out.append((d, len(data), *shards.add(f"{d.hex()}.png", to_png(data))))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["digest", "n_bytes", "shard", "offset", "length"])
         shards.close()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index, _ = kept(encoded.where("image IS NOT NULL").select("digest", "n_bytes", "image").repartition(n, "digest").sortWithinPartitions("digest").mapInArrow(write, INDEX), "media-index")
-
-    def digests(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [hashlib.sha256(padded(x) + struct.pack(">Q", len(x))).digest() for x in utf8(b.column(1))]
-        return pa.record_batch([b.column(0), pa.array(found, pa.binary())], ["id", "digest"])
-
-    rows = docs.select(id_col, text_col).mapInArrow(by_rows(digests), f"id {kind}, digest binary")
-    return rows, index
+    index, _ = kept(source.mapInArrow(write, INDEX), "media-index")
+    delete(spark, foreign)
+    return rows.select("id", "digest"), index
 
 
 def _read(index: DataFrame, folder: str, fn, schema: str, names: list[str], whole: bool) -> DataFrame:
@@ -219,7 +221,9 @@ def features(index: DataFrame, folder: str) -> DataFrame:
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "media-shards")
     rows, index = store(table(spark, sf_dir, "documents"), folder)
-    return rows.join(features(index, folder), "digest").select(
+    found = features(index, folder)
+    missing = F.when(F.col("media_bytes").isNull(), F.raise_error(F.lit("a row's image isn't stored: the input changed between the two passes")))
+    return rows.join(found, "digest", "left").withColumn("media_bytes", F.coalesce("media_bytes", missing)).select(
         F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
     )
 
