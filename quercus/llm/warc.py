@@ -67,11 +67,10 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
     rows.select(F.col("digest"), F.encode(F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF)), "UTF-8").alias("header")).write.option(
         "compression", "zstd"
     ).parquet(f"{path}/records")
-    # The join key has the page_id too, so a hot digest's rows spread over all tasks.
-    winners = first.select("digest", F.coalesce(F.col("first.i").cast("string"), F.lit("")).alias("w"), F.col("first.u").alias("u"))
-    blobs = p.select("digest", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("w"), F.col("url").alias("u2"), "payload").join(
-        winners, ["digest", "w"]
-    ).where(F.col("u").eqNullSafe(F.col("u2")))
+    # The join key has page_id and url too, so a hot digest's rows spread over all tasks; equal rows then meet without another exchange.
+    key = lambda i, u: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), F.coalesce(u, F.lit("\0"))).alias("w")
+    winners = first.select("digest", key(F.col("first.i"), F.col("first.u")))
+    blobs = p.select("digest", key(F.col("page_id"), F.col("url")), "payload").join(winners, ["digest", "w"])
     blobs.dropDuplicates(["digest", "w"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/blobs")
 
 
