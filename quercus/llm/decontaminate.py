@@ -1,6 +1,6 @@
 """Operator 10: benchmark decontamination by SimHash windows and multi-index Hamming blocks.
 
-Words are compared in lower case without ASCII punctuation. For each benchmark item, windows of the item's own length
+Words are compared case-folded, without ASCII punctuation. For each benchmark item, windows of the item's own length
 slide over a document (a shorter document is one window). A window's 64-bit SimHash is made from its weighted five-word
 shingles. Fingerprints are looked up in an index of eight 8-bit blocks: two fingerprints within RADIUS bits differ by at
 most RADIUS // 8 in some block, so probing that ball in every block finds all of them. What lies within the radius is
@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, utf8
+from .common import small_batches, table
 
 WORDS, PERCENT, RADIUS, BLOCKS = 5, 80, 24, 8
 PART_ITEMS, CACHE_WORDS = 20_000, 400_000
-_TABLE = bytes(ord(" ") if chr(b) in string.punctuation else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_TABLE = bytes(ord(" ") if chr(b) in string.punctuation else b for b in range(256))
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BITS = np.arange(64, dtype=np.uint64)
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
@@ -52,8 +52,8 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    words = text.translate(_TABLE).split()
+def word_hashes(text: str) -> np.ndarray:
+    words = text.casefold().encode().translate(_TABLE).split()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
@@ -72,8 +72,8 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 class Benchmark:
     """Items by shingle length and window length, their weights, and the Hamming index."""
 
-    def __init__(self, rows: list[tuple[int, bytes]]) -> None:
-        hashed = [(i, h) for i, t in rows if len(h := word_hashes(t or b""))]
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
+        hashed = [(i, h) for i, t in rows if len(h := word_hashes(t or ""))]
         self.items = [i for i, _ in hashed]
         self.length = np.array([len(h) for _, h in hashed], np.int64)
         self.k = np.minimum(self.length, WORDS)
@@ -183,8 +183,8 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
             for b in batches:
                 found = []
                 ids = b.column(0)
-                for at, t in enumerate(utf8(b.column(1))):
-                    found += [(at, bench.items[j], sim, start, n) for j, sim, start, n in bench.matches(word_hashes(t))]
+                for at, t in enumerate(b.column(1).to_pylist()):
+                    found += [(at, bench.items[j], sim, start, n) for j, sim, start, n in bench.matches(word_hashes(t or ""))]
                 if found:
                     c = list(zip(*found))
                     yield pa.record_batch([ids.take(pa.array(c[0])), pa.array(c[1]), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64())], [id_col, item_col, "similarity", "first_word", "n_words"])
@@ -200,7 +200,7 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_items: int)
     parts = max(1, -(-items.count() // part_items))
     for p in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
-        rows = [(r["i"], (r["t"] or "").encode()) for r in part.collect()]
+        rows = [(r["i"], r["t"] or "") for r in part.collect()]
         rows.sort(key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
         yield benchmark.sparkSession.sparkContext.broadcast(Benchmark(rows))
 
@@ -213,7 +213,7 @@ def without(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                clean = [not sent.value.matches(word_hashes(t)) for t in utf8(b.column(at))]
+                clean = [not sent.value.matches(word_hashes(t or "")) for t in b.column(at).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
