@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import keys, text
-from .operators import areas, entities, figures, graph, journals, projects, research, summaries, topics
+from .functions import keys, rules, text
+from .operators import areas, entities, families as fam, figures, graph, journals, projects, research, summaries, topics
 from .plans.bindings import load, with_sql
 from .plans.filters import MAJOR_AREAS, ResearchFilter, apply_filter, fold_text
 from .streaming import events as streaming_events
@@ -740,3 +740,107 @@ def _(t, s, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct works by year, gaps filled."""
     return QUERIES["a31_works_per_year"](spark, sf_dir)
+
+
+# --- families, exports, catalogues --------------------------------------------------------------------------------------
+_CC = lambda x, rs, other: "CASE " + " ".join("WHEN " + " OR ".join(f"contains({x}, '{n}')" for n in ns) + f" THEN '{o}'" for o, ns in rs) + f" ELSE {other} END"
+
+
+_POPULAR, _OTHER = "'Teatro Popular'", "'Privada / Comunitária / Outras'"
+
+
+@query("n5_canonical_course", f"SELECT id, course_name, CASE WHEN coalesce(trim(course_name), '') = '' THEN '' ELSE {_CC(N1('course_name'), rules.COURSES, _POPULAR)} END AS course FROM {E}", E)
+def _(t, s, d):
+    e = t(E).select("id", "course_name", text.normalized(F.col("course_name")).alias("n"))
+    return e.select("id", "course_name", rules.canonical_course(F.col("course_name"), F.col("n")).alias("course"))
+
+
+@query("n9_institution_type", f"SELECT institution_name, {_CC('lower(institution_name)', rules.INSTITUTION_TYPES, _OTHER)} AS kind, count(*) AS n FROM {X} GROUP BY 1, 2", X)
+def _(t, s, d):
+    return t(X).groupBy("institution_name").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", rules.institution_type(F.lower("institution_name")))
+
+
+@query("n27_type_labels", f"SELECT item_type, {'CASE item_type ' + ' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in rules.TYPE_LABELS.items()) + 'END'} AS label, count(*) AS n FROM {I} GROUP BY 1, 2", I)
+def _(t, s, d):
+    return t(I).groupBy("item_type").agg(F.count(F.lit(1)).alias("n")).withColumn("label", rules.type_label(F.col("item_type")))
+
+
+@query("n20_name_score", None)
+def _(t, s, d):
+    a, b = (t(J).select(F.col("id").alias(x), text.resolver_key(F.col("title")).alias(f"t{x}")) for x in "ab")
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(rules.name_score("ta", "tb"), 6).alias("score"))
+
+
+@query("a26_national_partners", f"""SELECT institution_name AS name, CAST(sum(n) AS BIGINT) AS total FROM (SELECT institution_name, count(*) AS n FROM {X} WHERE trim(institution_name) <> '' AND NOT contains({f_('institution_name')}, 'sao carlos') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100)
+ WHERE institution_name <> 'Empresa C' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""", X)
+def _(t, s, d):
+    known = s.createDataFrame([("empresa c", "Company C", "US"), ("universidade a", "Universidade A", "BR")], "name_key string, shown string, iso string")
+    return fam.partners(t(X), known, False, "sao carlos", 100)
+
+
+@query("a27_foreign_partners", f"SELECT 'Company C' AS name, count(*) AS total FROM {X} WHERE institution_name = 'Empresa C'", X)
+def _(t, s, d):
+    known = s.createDataFrame([("empresa c", "Company C", "US"), ("universidade a", "Universidade A", "BR")], "name_key string, shown string, iso string")
+    return fam.partners(t(X), known, True, "sao carlos", 200)
+
+
+@query("b16_learned_names", f""", a AS (SELECT {_KEY('journal_name')} AS name_key, journal_name, coalesce(canonical_journal_id, j.id) AS fid FROM {I} i JOIN {J} j ON j.id = qualis_journal_id WHERE journal_name IS NOT NULL)
+ SELECT name_key, min(journal_name) AS name, count(*) AS articles, CASE WHEN min(fid) = max(fid) THEN min(fid) END AS fid, CASE WHEN min(fid) = max(fid) THEN 'variant' ELSE 'conflict' END AS outcome FROM a GROUP BY 1 HAVING count(*) >= 2 AND name_key <> ''""", I, J)
+def _(t, s, d):
+    j = journals.with_family(t(J)).select(F.col("id").alias("qualis_journal_id"), "fid")
+    return fam.learned_names(t(I).join(j, "qualis_journal_id").select("journal_name", "fid"))
+
+
+@query("z5_catalogue_export", f"SELECT id, title, issn, qualis, databases FROM {J} LEFT JOIN (SELECT journal_id, string_agg(CAST(database_id AS VARCHAR), ';' ORDER BY database_id) AS databases FROM (SELECT DISTINCT * FROM {L}) GROUP BY 1) ON journal_id = id", J, L)
+def _(t, s, d):
+    return fam.catalogue_export(t(J), t(L))
+
+
+@query("z6_thesaurus_export", f""", {_FAM}, h AS (SELECT fid, first(title ORDER BY CAST(j.id <> fid AS INT), j.id) AS header FROM {J} j JOIN fam ON fam.id = j.id GROUP BY 1),
+ n AS (SELECT fid, {_KEY('title')} AS key, min(title) AS name FROM {J} j JOIN fam ON fam.id = j.id GROUP BY 1, 2)
+ SELECT h.fid, header, coalesce(string_agg(name, '|' ORDER BY name) FILTER (WHERE key <> {_KEY('header')}), '') AS variants FROM h JOIN n ON n.fid = h.fid GROUP BY 1, 2""", J)
+def _(t, s, d):
+    return fam.thesaurus_export(t(J))
+
+
+@query("a64_database_counts", f"SELECT id, 'Base ' || CAST(id AS VARCHAR) AS name, coalesce(n, 0) AS journals FROM (SELECT CAST(unnest(range(1, 8)) AS INT) AS id) LEFT JOIN (SELECT database_id, count(DISTINCT journal_id) AS n FROM {L} GROUP BY 1) ON database_id = id", L)
+def _(t, s, d):
+    bases = s.range(1, 8).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("Base "), F.col("id").cast("string")).alias("name"))
+    return fam.database_counts(t(L), bases)
+
+
+@query("a65_catalogue_page", f"SELECT id, title, issn FROM {J} WHERE (contains({f_('title')}, 'brand') OR contains(coalesce(issn, ''), 'brand')) AND qualis = 'A1' ORDER BY title, id LIMIT 50 OFFSET 50", J)
+def _(t, s, d):
+    return fam.catalogue_page(t(J), "brand", "A1", 2).select("id", "title", "issn")
+
+
+@query("a36_topic_catalogue", f", {_IDX} SELECT * FROM ix WHERE occurrences >= 2 AND researchers >= 2 ORDER BY occurrences DESC, key LIMIT 5", I, O)
+def _(t, s, d):
+    return fam.topic_catalogue(topics.index(_declared(t)), 2, 2, 5).select("key", "occurrences", "researchers")
+
+
+@query("a55_topic_researchers", f", {_SRC} SELECT researcher_id, CAST(sum(n) AS BIGINT) AS occurrences FROM src WHERE {TOPIC('term')} = 'genero' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 20", I, O)
+def _(t, s, d):
+    return fam.topic_researchers(_declared(t), "genero", 2, 20)
+
+
+@query("a63_review_page", f""", q AS (SELECT {f_('journal_name')} AS name_key, count(*) AS articles FROM {I} WHERE item_type = 'ARTIGO' AND qualis_journal_id IS NULL AND journal_name IS NOT NULL GROUP BY 1)
+ SELECT name_key, articles FROM q WHERE contains({N1('name_key')}, 'revista') ORDER BY articles DESC, name_key LIMIT 5""", I)
+def _(t, s, d):
+    return entities.review_page(journals.name_queue(t(I)), "revista", "name_key", "articles", "name_key", 1, 5).select("name_key", "articles")
+
+
+@query("b1_family_components", f"SELECT id AS node, min(id) OVER (PARTITION BY title) AS root FROM {J} QUALIFY count(*) OVER (PARTITION BY title) > 1", J)
+def _(t, s, d):
+    first = t(J).groupBy("title").agg(F.min("id").alias("a"))
+    return fam.components(t(J).join(first, "title").where("id <> a").select("a", F.col("id").alias("b")))
+
+
+@query("b24_indexed", f""", {_FAM}, k AS (SELECT {_KEY('title')} AS key, min(j.id) AS id, min(fid) <> max(fid) AS amb FROM {J} j JOIN fam ON fam.id = j.id GROUP BY 1), it AS (SELECT i.id, item_type, j.title AS journal_name FROM {I} i LEFT JOIN {J} j ON j.id = qualis_journal_id),
+ st AS (SELECT j.id, coalesce(nullif(qualis, ''), first(qualis) OVER (PARTITION BY fid ORDER BY CASE WHEN qualis <> '' THEN 0 ELSE 1 END, CAST(j.id <> fid AS INT), j.id)) AS qualis FROM {J} j JOIN fam ON fam.id = j.id)
+ SELECT it.id, it.item_type, CASE WHEN NOT amb THEN k.id END AS journal_id, st.qualis FROM it LEFT JOIN k ON item_type = 'ARTIGO' AND key = {_KEY('journal_name')} LEFT JOIN st ON st.id = CASE WHEN NOT amb THEN k.id END""", I, J, L)
+def _(t, s, d):
+    names = t(J).select(F.col("id").alias("qualis_journal_id"), F.col("title").alias("journal_name"))
+    it = t(I).select("id", "item_type", "qualis_journal_id").join(names, "qualis_journal_id", "left").withColumn("issn", F.lit(None).cast("string")).drop("qualis_journal_id")
+    r = journals.resolve(names.select(F.col("journal_name").alias("name"), F.lit(None).cast("string").alias("issn")), t(J))
+    return fam.indexed(it, r, journals.shown_stratum(t(J)), t(L)).select("id", "item_type", "journal_id", "qualis")

@@ -184,3 +184,36 @@ def test_project_representative(spark):
     p = spark.createDataFrame([(1, 1, "P", "x", 2000, None, "dd", False), (2, 2, "p!", "x", 2000, None, "d", True)], "id long, researcher_id long, name string, status string, start_year int, end_year int, description string, is_coordinator boolean")
     r = projects.catalogue(p).first()
     assert (r.id, r.records, r.declarers) == (2, 2, 2)
+
+
+def test_families(spark):
+    from quercus.operators import families as fam
+
+    j = spark.createDataFrame(
+        [(1, "Alpha Review", "0378-5955"), (2, "Alpha Review", "2434-561X"), (3, "Beta Studies", "1050-124X"), (4, "Alpha review", None), (5, "Odd", "0378-5955 1050-124X"), (6, "Nowhere", None)], "id long, title string, issn string"
+    )
+    r = spark.createDataFrame([("a", "1", "Alpha Review", ["0378-5955", "2434-561X"]), ("b", "2", "Beta Studies", ["1050-124X"])], "src string, rec string, title string, issns array<string>")
+    out = {x.id: (x.family, x.method, x.conflict) for x in fam.families(j, r).collect()}
+    assert out == {1: (1, "issn", False), 2: (1, "issn", False), 3: (3, "issn", False), 4: (1, "title", False), 5: (5, "alone", True), 6: (6, "alone", False)}
+
+
+def test_contradicted_records(spark):
+    from quercus.operators import families as fam
+
+    rows = [("a", "1", ["x", "y", "z"]), ("b", "2", ["x"]), ("c", "3", ["y", "z"]), ("d", "4", ["p", "q", "r"]), ("b", "5", ["p"])]
+    assert [tuple(r) for r in fam.contradicted(spark.createDataFrame(rows, "src string, rec string, issns array<string>")).collect()] == [("a", "1")]
+
+
+def test_evidence_weights(spark):
+    from quercus.operators import families as fam
+
+    j = spark.createDataFrame([(1, "A", "0378-5955"), (2, "B", None), (3, "C", "2434-561X")], "id long, title string, issn string")
+    r = spark.createDataFrame([("s", "1", "A", ["0378-5955"], ["x", "y", "z"]), ("s", "2", "b", [], ["w"])], "src string, rec string, title string, issns array<string>, labels array<string>")
+    out = {(x.id, x.label): float(x.weight) for x in fam.evidence(r, j).collect()}
+    assert out == {(1, "x"): 0.3334, (1, "y"): 0.3333, (1, "z"): 0.3333, (2, "w"): 1.0}
+
+
+def test_shared_text():
+    from quercus.functions.rules import common_text
+
+    assert common_text("World", "Word") == 4 and common_text("", "a") == 0 and common_text("abcabc", "abc") == 3
