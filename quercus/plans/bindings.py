@@ -37,6 +37,7 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
         "qualis": _pick("l_partkey", [*_STRATA, None, ""]), "isbn": "CASE WHEN l_orderkey % 5 = 0 THEN concat('978', CAST(l_orderkey % 300 AS STRING)) ELSE '' END",
         "journal_name": "CASE WHEN l_partkey % 6 <> 0 THEN concat('Revista ', CAST(l_partkey % 60 AS STRING)) END", "event_name": "CASE WHEN l_partkey % 6 = 0 THEN concat('Evento ', CAST(l_partkey % 7 AS STRING)) ELSE '' END", "publisher": "'Editora'",
         "keywords_text": _pick("l_orderkey + l_partkey", ["gênero; educação", "Educação Básica", None, "redes neurais", "física, ensino"]), "qualis_journal_id": "CASE WHEN l_partkey % 4 <> 0 THEN l_partkey END",
+        "indexed_databases": "concat('[{\"acronym\":\"B', CAST(l_partkey % 4 AS STRING), '\"},{\"acronym\":\"B', CAST(l_partkey % 3 AS STRING), '\"}]')",
     }),
     "production_authors": ("lineitem", {
         "production_item_id": "l_orderkey * 8 + 1", "author_name": "concat('AUTOR ', CAST(l_suppkey % 45 AS STRING))", "author_order": "l_linenumber",

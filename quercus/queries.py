@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, rules, text
-from .operators import areas, entities, families as fam, figures, graph, journals, projects, research, summaries, topics
+from .operators import areas, curation, entities, families as fam, figures, graph, journals, projects, research, summaries, topics
 from .plans.bindings import load, with_sql
 from .plans.filters import MAJOR_AREAS, ResearchFilter, apply_filter, fold_text
 from .streaming import events as streaming_events
@@ -844,3 +844,55 @@ def _(t, s, d):
     it = t(I).select("id", "item_type", "qualis_journal_id").join(names, "qualis_journal_id", "left").withColumn("issn", F.lit(None).cast("string")).drop("qualis_journal_id")
     r = journals.resolve(names.select(F.col("journal_name").alias("name"), F.lit(None).cast("string").alias("issn")), t(J))
     return fam.indexed(it, r, journals.shown_stratum(t(J)), t(L)).select("id", "item_type", "journal_id", "qualis")
+
+
+# --- curation -----------------------------------------------------------------------------------------------------------
+@query("a44_database_profile", f""", r AS (SELECT DISTINCT researcher_id, id, json_extract_string(unnest(CAST(indexed_databases AS JSON[])), '$.acronym') AS acronym FROM {I}), n AS (SELECT researcher_id, acronym, count(*) AS items FROM r GROUP BY 1, 2)
+ SELECT n.researcher_id, acronym, items, {_PCT('items', 'every')} AS percent FROM n JOIN (SELECT researcher_id, count(*) AS every FROM {I} GROUP BY 1) t ON t.researcher_id = n.researcher_id""", I)
+def _(t, s, d):
+    return curation.database_profile(t(I))
+
+
+@query("a62_vocabulary_usage", f"SELECT trim(x) AS label, count(DISTINCT id) AS journals FROM (SELECT id, unnest(string_split_regex(replace(area, ' ', '|'), '[|;]')) AS x FROM {J}) WHERE trim(x) <> '' GROUP BY 1", J)
+def _(t, s, d):
+    return curation.vocabulary_usage(t(J).select("id", F.replace("area", F.lit(" "), F.lit("|")).alias("area")))
+
+
+@query("b19_guarded", f""", {_FAM}, o AS (SELECT {_KEY('title')} AS key, min(fid) AS owner, max(fid) AS last FROM {J} j JOIN fam ON fam.id = j.id GROUP BY 1), p AS (SELECT CASE WHEN id % 5 = 0 THEN '<b>' || title WHEN id % 3 = 0 THEN title || ' nova' ELSE title END AS name, id AS fid FROM {J})
+ SELECT name, fid, CASE WHEN starts_with(name, '<b>') THEN 'rejected' WHEN owner IS NULL THEN 'new' WHEN owner = fid AND last = fid THEN 'known' ELSE 'conflict' END AS state FROM p LEFT JOIN o ON o.key = {_KEY('name')}""", J)
+def _(t, s, d):
+    own = journals.with_family(t(J)).select(text.resolver_key(F.col("title")).alias("key"), "fid")
+    return curation.guarded(t(J).selectExpr("CASE WHEN id % 5 = 0 THEN concat('<b>', title) WHEN id % 3 = 0 THEN concat(title, ' nova') ELSE title END AS name", "id AS fid"), own)
+
+
+@query("j8_refreshed", f"SELECT id, department, n AS status, status IS DISTINCT FROM n AS changed FROM {R} LEFT JOIN (SELECT id AS i, 1 AS n FROM {R} WHERE id % 2 = 0) ON i = id", R)
+def _(t, s, d):
+    look = t(R).where("id % 2 = 0").select("id", F.lit(1).alias("status"))
+    return curation.refreshed(t(R).select("id", "department", "status"), look, "id", "status")[0]
+
+
+@query("j11_prefix_match", f"SELECT name, min(i.id) AS institution_id FROM (SELECT DISTINCT lower(title) AS name FROM {J} WHERE id % 7 = 0) n JOIN (SELECT id, {N1('title')} AS key FROM {J} WHERE id % 50 = 0) i ON starts_with({N1('name')}, key) OR starts_with(key, {N1('name')}) GROUP BY 1", J)
+def _(t, s, d):
+    return curation.prefix_match(t(J).where("id % 7 = 0").select(F.lower("title").alias("name")), t(J).where("id % 50 = 0").select("id", F.col("title").alias("name")))
+
+
+@query("x7_keyword_cloud", _MINED + ", g AS (SELECT id % 50 AS researcher_id, term, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY 1, 2 HAVING sum(n) >= 2), p AS (SELECT *, row_number() OVER (PARTITION BY researcher_id ORDER BY n DESC, term) AS place FROM g) SELECT researcher_id, term, n FROM p WHERE place <= 24")
+def _(t, s, d):
+    return curation.keyword_cloud(_titles(s, d).withColumn("researcher_id", F.col("id") % 50))
+
+
+@query("x8_backfilled_keywords", f""", o AS (SELECT {TOPIC('title')} AS k, min(id) AS id FROM {I} GROUP BY 1 HAVING count(*) = 1), l AS (SELECT {TOPIC('title')} AS k, min(keywords) AS found FROM {O} GROUP BY 1 HAVING count(*) = 1)
+ SELECT i.id, coalesce(nullif(keywords_text, ''), found) AS keywords FROM {I} i LEFT JOIN (SELECT id, found FROM o JOIN l USING (k)) f ON f.id = i.id""", I, O)
+def _(t, s, d):
+    return curation.backfilled_keywords(t(I).select("id", "title", F.col("keywords_text").alias("keywords")), t(O).select("title", "keywords")).select("id", "keywords")
+
+
+@query("z11_ai_batches", f"SELECT CAST((row_number() OVER (ORDER BY id) - 1) // 100 + 1 AS BIGINT) AS batch, id AS fid FROM {J} WHERE qualis IS NULL OR qualis IN ('B1', 'C')", J)
+def _(t, s, d):
+    f = t(J).selectExpr("id AS fid", "title", "CASE WHEN qualis IN ('B1', 'C') THEN 'low' WHEN qualis IS NOT NULL THEN 'high' END AS confidence")
+    return curation.ai_batches(f, 100).select("batch", "fid")
+
+
+@query("n22_country_codes", f"SELECT id, CASE WHEN id % 3 = 0 THEN 'BR' WHEN id % 3 = 1 THEN 'FR' END AS code FROM {R}", R)
+def _(t, s, d):
+    return t(R).select("id", curation.country_code(F.expr("CASE id % 3 WHEN 0 THEN ' BRASIL' WHEN 1 THEN 'França' ELSE 'Terra' END")).alias("code"))

@@ -217,3 +217,34 @@ def test_shared_text():
     from quercus.functions.rules import common_text
 
     assert common_text("World", "Word") == 4 and common_text("", "a") == 0 and common_text("abcabc", "abc") == 3
+
+
+def test_curation(spark):
+    from quercus.operators import curation as c
+
+    row = lambda sql, schema: spark.createDataFrame(sql, schema)
+    assert one(spark, c.flag(F.lit("BR"))) == "\U0001f1e7\U0001f1f7" and one(spark, c.country_code(F.lit("EUA"))) == "US"
+    assert one(spark, c.technical_type(F.lit("MARCA"))) == "MARCA" and one(spark, c.technical_type(F.lit("X"))) == "TRABALHO_TECNICO"
+    assert not one(spark, c.is_name(F.lit("<b>x"))) and not one(spark, c.is_name(F.lit("--"))) and one(spark, c.is_name(F.lit("Revista A")))
+    assert one(spark, c.shown_institution(F.lit("Universidade X"), F.lit("UX"))) == "UX - Universidade X"
+    th = row([(1, 1, "Ana Lima Souza", "Uma tese bem comprida", None), (2, 1, "Ana Souza", "Outra coisa diferente", None)], "id long, researcher_id long, student string, title string, handle string")
+    o = row([(7, 1, "ANA LIMA SOUZA", "x", None), (8, 1, "Bia", "y", None)], "id long, researcher_id long, student string, title string, handle string")
+    assert [tuple(r) for r in c.thesis_matches(th, o).collect()] == [(1, 7, 4)]
+    p = row([(1, "0" * 16, "o1", "Ana"), (2, "1" * 16, "o2", "Bia")], "id long, lattes string, orcid string, name string")
+    r = row([(1, ["0" * 16], [], ["Bia"]), (2, [], [], ["bia"])], "id long, ids array<string>, orcids array<string>, names array<string>")
+    assert {tuple(x) for x in c.matched_people(r, p).collect()} == {(1, 1), (2, 2)}
+    a = c.area_fragments(row([(1, "foo; Educação, x"), (2, "nada")], "id long, area string"), row([("educacao", "Educação")], "key string, label string"))
+    assert {tuple(x) for x in a.collect()} == {(1, "Educação", "foo; Educação, x"), (2, "nada", "nada")}
+    w = c.title_rules(row([(1, "Revista de Educação e Saúde")], "id long, title string"), [("educacao", "educacao"), ("saude", "saude"), ("fisica", "fisica")])
+    assert {(x.slug, float(x.weight)) for x in w.collect()} == {("educacao", 0.5), ("saude", 0.5)}
+    e = c.external_names(row([("a", "Rev. Educ.", 1), ("b", "Rev Educ", 1), ("a", "Zzz", 2)], "src string, name string, fid long"), row([("k",)], "key string"), row([(1, "Revista Educação"), (2, "Física")], "fid long, title string"))
+    assert [(x.key, x.sources) for x in e.collect()] == [("rev educ", 2)]
+    assert c.run_steps([("a", lambda: None), ("b", lambda: None)], "b") == ["b"]
+    with pytest.raises(RuntimeError, match="'b' failed"):
+        c.run_steps([("a", lambda: None), ("b", lambda: 1 / 0)])
+    j = row([(1, "A", "T"), (2, "B", None)], "id long, area string, display_title string")
+    ev = row([(1, 1, "area", "X"), (2, 1, "area", "Y")], "n long, id long, field string, value string")
+    assert {tuple(x) for x in c.overridden(j, ev).collect()} == {(1, "Y", "T"), (2, "B", None)}
+    jj = row([(1, None, False), (2, 1, False), (3, None, True)], "id long, canonical_journal_id long, areas_locked boolean")
+    got = c.classified(row([(1, "e", 1.5), (3, "f", 0.5)], "fid long, area string, score double"), jj, row([(2, "m")], "id long, area string"))
+    assert {(x.id, x.area, float(x.score), x.method) for x in got.collect()} == {(1, "e", 1.0, "auto"), (2, "m", 1.0, "manual")}
