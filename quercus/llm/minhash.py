@@ -11,9 +11,10 @@ No pair is expanded within a group, and none is dropped:
 2. In every bucket (band key) the smallest member is paired with each other member: as many pairs as rows.
 3. Verified pairs are joined to components, by alternating large and small stars.
 4. A bucket whose members then lie in several components can hide links between members that are not the smallest.
-   Its members meet in square blocks of bounded size; pairs of different components whose lengths and sketches allow
-   the similarity go to verification, and the components are joined again. Sketch agreement is only required to be
-   within 6 standard deviations.
+   Its members meet in square tiles of bounded size; pairs of different components whose lengths and sketches allow the
+   similarity (agreement within 6 standard deviations of it) are asked about in the first band that both sides share.
+   The texts of a tile's members come to it once, and what is connected already isn't compared. Then the components are
+   joined again.
 
 With 32 bands of 5 a pair at similarity 0.8 shares no band with a probability of 3 in a million.
 
@@ -21,8 +22,9 @@ Texts travel to verification once for each pair, grouped by the pair's smaller s
 dealt over many tasks.
 
 Cases: null and empty texts have no set, stay alone and are kept; with fewer words than a shingle has, the whole word
-sequence is the one shingle; rows of equal id count as one document with the first text in order (the output has one row
-per input row); null ids stay alone with a null component; an empty table gives no rows; other columns are ignored.
+sequence is the one shingle; rows of equal id are one document, linked if any of its texts is (the output has one row
+for each input row, with that row's set size); null ids stay alone with a null component; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from .common import by_rows, delete, kept, small_batches, table, utf8
 #: Coordinates of a sketch, coordinates of a band.
 T, R = 160, 5
 #: Pairs of one left side that a task verifies, and the rows of one side of a square block.
-DEALT, SQUARE = 64, 256
+DEALT, SQUARE = 64, 512
 CACHE_WORDS = 400_000
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -118,9 +120,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             n.append(len(s))
             if len(s):
                 c = sketch(s)
+                c = (c ^ (c >> np.uint64(16)) ^ (c >> np.uint64(48))).astype(np.uint16)
                 whole.append(xxhash.xxh3_128_digest(s.tobytes()))
-                coords.append((c ^ (c >> np.uint64(16)) ^ (c >> np.uint64(48))).astype(np.uint16).tobytes())
-                keys.append(bands(c))
+                coords.append(c.tobytes())
+                keys.append(bands(c.astype(np.uint64)))
             else:
                 whole.append(None)
                 coords.append(None)
@@ -142,14 +145,15 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     rows = need.join(texts.select(F.col("id").alias("b"), "text"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, mine = None, None
+        left, mine = None, []
         for batch in batches:
             out = []
             for a, part, b, t in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "text"))):
                 s = shingles((t or "").encode(), k)
                 if a == b:
-                    left, mine = (a, part), s
-                elif left == (a, part) and similar(mine, s, percent):
+                    mine = [*mine, s] if left == (a, part) else [s]
+                    left = (a, part)
+                elif left == (a, part) and any(similar(x, s, percent) for x in mine):
                     out.append((a, b))
             if out:
                 yield pa.record_batch([pa.array(c, batch.column("a").type) for c in zip(*out)], ["a", "b"])
@@ -178,51 +182,118 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _square_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within each bucket that lengths and sketches allow. rows: key, m (size), id, n, component, coords."""
+def _tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components of each bucket that lengths and sketches allow, by square tiles: one row for each member
+    of a tile that has such a pair, with the members it is to be compared with, most alike first. A pair belongs to the
+    first band that its sides share. rows: band, key, m (size), id, n, component, coords."""
     kind = rows.schema["id"].dataType.simpleString()
     sides = F.greatest(F.lit(1), F.ceil(F.col("m") / SQUARE)).cast("int")
     dealt = rows.withColumn("sides", sides).withColumn("i", F.pmod(F.xxhash64("id"), F.col("sides").cast("long")).cast("int"))
-    # A row goes to the squares (i, j) with its own side as either: as many copies as there are sides.
+    # A row goes to the tiles (i, j) with its own side as either: as many copies as there are sides.
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     j = percent / 100
     least = int(T * j - 6 * np.sqrt(T * j * (1 - j)))
+    names = ["key", "lo", "hi", "id", "component", "others"]
 
-    def compare(group: list[tuple]) -> list[tuple]:
+    def compare(key: int, lo: int, hi: int, group: list[tuple]) -> list[tuple]:
         ids, n, comp, side = ([g[x] for g in group] for x in (0, 1, 2, 3))
         n, side = np.array(n), np.array(side)
-        _, comp = np.unique(np.array(comp), return_inverse=True)
-        if comp.max() == 0:
+        _, c, size = np.unique(np.array(comp), return_inverse=True, return_counts=True)
+        if len(size) == 1:
             return []
-        c = np.stack([np.frombuffer(g[4], np.uint16) for g in group])
-        lo, hi = group[0][5]
-        out = []
-        for x in range(len(group) - 1):
-            ok = (comp[x + 1 :] != comp[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))
+        coords = np.stack([np.frombuffer(g[4], np.uint16) for g in group])
+        band = group[0][5]
+        place = np.lexsort((np.arange(len(group)), size[c]))  # members of small components ask, those of large ones are asked
+        used, asks = np.zeros(len(group), bool), {}
+        for at, x in enumerate(place[:-1].tolist()):
+            y = place[at + 1 :]
+            ok = (c[y] != c[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))
             if lo != hi:
-                ok &= side[x + 1 :] != side[x]
-            y = np.flatnonzero(ok) + x + 1
+                ok &= side[y] != side[x]
+            y = y[ok]
+            if not len(y):
+                continue
+            same = coords[y] == coords[x]
+            agree = same.sum(1)
+            ok = (agree >= least) & (same.reshape(len(y), -1, R).all(2).argmax(1) == band)
+            y, agree = y[ok], agree[ok]
             if len(y):
-                out += [(min(ids[x], ids[z]), max(ids[x], ids[z])) for z in y[(c[y] == c[x]).sum(1) >= least].tolist()]
-        return out
+                used[x] = used[y] = True
+                asks[x] = y[np.argsort(-agree, kind="stable")].tolist()
+        return [(key, lo, hi, ids[x], comp[x], [ids[z] for z in asks.get(x, ())]) for x in np.flatnonzero(used).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, []
+        at, group, types = None, [], None
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
         for b in batches:
             out = []
-            for key, lo, hi, i, n, comp, side, c in zip(*(b.column(x).to_pylist() for x in ("key", "lo", "hi", "id", "n", "component", "i", "coords"))):
+            t = b.column("id").type
+            types = [pa.int64(), pa.int32(), pa.int32(), t, t, pa.list_(t)]
+            for key, lo, hi, i, n, comp, side, c, band in zip(*(b.column(x).to_pylist() for x in ("key", "lo", "hi", "id", "n", "component", "i", "coords", "band"))):
+                if (key, lo, hi) != at:
+                    out += compare(*at, group) if len(group) > 1 else []
+                    at, group = (key, lo, hi), []
+                group.append((i, n, comp, side, c, band))
+            if out:
+                yield batch(out)
+        if len(group) > 1 and (out := compare(*at, group)):
+            yield batch(out)
+
+    tiles = dealt.select("key", "lo", "hi", "id", "n", "component", "i", "coords", "band").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    return tiles.mapInArrow(run, f"key long, lo int, hi int, id {kind}, component {kind}, others array<{kind}>")
+
+
+def _tile_links(tiles: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links (a, b) of the tiles. Each text comes once to a tile; what is connected already isn't compared, so a tile gives fewer links than it has members."""
+    kind = tiles.schema["id"].dataType.simpleString()
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tiles.join(texts, "id").select("key", "lo", "hi", "id", "component", "others", "text").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+
+    def links(group: list[tuple]) -> list[tuple]:
+        sets: dict[object, list[set]] = {}
+        for i, _, _, t in group:
+            sets.setdefault(i, []).append(set(shingles((t or "").encode(), k).tolist()))
+        root: dict = {}
+
+        def find(x):
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        def alike(u: set, v: set) -> bool:
+            both = len(u & v)
+            return 100 * both >= percent * (len(u) + len(v) - both)
+
+        comp = {i: ("c", c) for i, c, _, _ in group}
+        out = []
+        for i, _, others, _ in group:
+            for o in others:
+                x, y = find(comp[i]), find(comp[o])
+                if x != y and any(alike(u, v) for u in sets[i] for v in sets[o]):
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(i, o), max(i, o)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, t = None, [], None
+        for b in batches:
+            out, t = [], b.column("id").type
+            for key, lo, hi, *row in zip(*(b.column(x).to_pylist() for x in ("key", "lo", "hi", "id", "component", "others", "text"))):
                 if (key, lo, hi) != at:
-                    out += compare(group) if len(group) > 1 else []
+                    out += links(group)
                     at, group = (key, lo, hi), []
-                group.append((i, n, comp, side, c, (lo, hi)))
+                group.append(row)
             if out:
-                yield pa.record_batch([pa.array(c, b.column("id").type) for c in zip(*out)], ["a", "b"])
-        if len(group) > 1 and (out := compare(group)):
-            yield pa.record_batch([pa.array(c, b.column("id").type) for c in zip(*out)], ["a", "b"])
+                yield pa.record_batch([pa.array(c, t) for c in zip(*out)], ["a", "b"])
+        if group and (out := links(group)):
+            yield pa.record_batch([pa.array(c, t) for c in zip(*out)], ["a", "b"])
 
-    squares = dealt.select("key", "lo", "hi", "id", "n", "component", "i", "coords").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-    return squares.mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -234,8 +305,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     # Classes of equal sets; the key has the smallest id.
     heads = sig.where("whole IS NOT NULL AND id IS NOT NULL").groupBy("whole").agg(F.min("id").alias("head"))
     classed = sig.select("id", "n", "whole").join(heads, "whole", "left")
-    rep = sig.where("keys IS NOT NULL").join(heads.select(F.col("head").alias("id"), "whole"), ["id", "whole"], "left_semi").dropDuplicates(["id"])
-    buckets, bucket_path = kept(rep.select("id", "n", F.explode("keys").alias("key")), "buckets")
+    rep = sig.where("keys IS NOT NULL").join(heads.select(F.col("head").alias("id"), "whole"), ["id", "whole"], "left_semi").dropDuplicates(["id", "whole"])
+    buckets, bucket_path = kept(rep.select("id", "n", F.posexplode("keys").alias("band", "key")), "buckets")
     sizes = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
     full, full_path = kept(buckets.join(sizes, "key"), "full-buckets")
     delete(spark, bucket_path)
@@ -245,9 +316,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     named = full.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
     rows = named.join(mixed, "key", "left_semi").join(rep.select("id", "coords"), "id")
-    tried = full.where("id <> a").select("a", F.col("id").alias("b"))
-    more = _square_pairs(rows, percent).distinct().join(tried.distinct(), ["a", "b"], "left_anti")
-    two, two_path = kept(verified(more, texts, k, percent), "links")
+    tiles, tile_path = kept(_tiles(rows, percent), "tiles")
+    two, two_path = kept(_tile_links(tiles, texts, k, percent), "links")
+    delete(spark, tile_path)
     if not two.isEmpty():
         comp, _ = kept(components(one.unionByName(two)), "components")
     for p in (full_path, one_path, two_path):
