@@ -78,10 +78,10 @@ def prefix_match(names: DataFrame, institutions: DataFrame, least: int = 5) -> D
 
 
 def matched_people(rows: DataFrame, people: DataFrame) -> DataFrame:
-    """Row, researcher: by 16-digit ids and ORCIDs; by names only where neither gives a hit. rows: id, ids, orcids, names (arrays); people: id, lattes, orcid, name."""
+    """Row, researcher: by 16-digit ids and ORCIDs; by names only where neither gives a hit. rows: id, ids, orcids, names (arrays); people: id, registry, orcid, name."""
     p = people.withColumnRenamed("id", "researcher_id")
     by = lambda c, k: rows.select("id", F.explode(c).alias("v")).join(p.select("researcher_id", F.col(k).alias("v")), "v").select("id", "researcher_id")
-    sure = by("ids", "lattes").unionByName(by("orcids", "orcid")).distinct()
+    sure = by("ids", "registry").unionByName(by("orcids", "orcid")).distinct()
     rest = rows.join(sure.select("id").distinct(), "id", "left_anti")
     named = rest.select("id", F.explode("names").alias("n")).select("id", normalized(F.col("n")).alias("v")).join(p.select("researcher_id", normalized(F.col("name")).alias("v")), "v").select("id", "researcher_id")
     return sure.unionByName(named).distinct()

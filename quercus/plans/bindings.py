@@ -54,11 +54,11 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
     }),
     "educations": ("customer", {
         "id": "c_custkey", "researcher_id": "c_custkey % 100 + 1", "level": _pick("c_custkey", ["GRADUACAO", "MESTRADO", "DOUTORADO", "GRADUACAO"]),
-        "course_name": _pick("c_nationkey", ["Licenciatura em Pedagogia", "Engenharia Mecânica", "Educação Física", "Física", "Direito", "Teatro Popular", None]), "institution_name": _pick("c_nationkey", ["USP", "UFSCar", "UNESP", "UFMG", "Exterior - X", "UEL"]),
+        "course_name": _pick("c_nationkey", ["Licenciatura em Pedagogia", "Engenharia Mecânica", "Educação Física", "Física", "Direito", "Teatro Popular", None]), "institution_name": _pick("c_nationkey", ["USP", "UNICAMP", "UNESP", "UFMG", "Exterior - X", "UEL"]),
         "start_year": "CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(1970 + c_custkey % 45 AS INT) END",
     }),
     "experiences": ("customer", {
-        "id": "c_custkey", "researcher_id": "c_custkey % 100 + 1", "institution_name": _pick("c_custkey", ["Universidade A", "Universidade B", "Empresa C", "Revista D", "Universidade Federal de São Carlos"]), "contract_type": _pick("c_nationkey", ["Servidor Público", "Bolsista", "", None, "Professor visitante"]),
+        "id": "c_custkey", "researcher_id": "c_custkey % 100 + 1", "institution_name": _pick("c_custkey", ["Universidade A", "Universidade B", "Empresa C", "Revista D", "Universidade Sede"]), "contract_type": _pick("c_nationkey", ["Servidor Público", "Bolsista", "", None, "Professor visitante"]),
         "start_year": "CAST(1990 + c_custkey % 35 AS INT)", "end_year": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(2000 + c_custkey % 25 AS INT) END", "is_current": "c_custkey % 3 = 0",
     }),
     "projects": ("orders", {

@@ -229,11 +229,11 @@ def _(t, s, d):
 @query("a29_exit_destinations", f""", x AS (SELECT id AS rid, coalesce(leave_year, 2020) AS leave FROM {R} WHERE status = 0 OR leave_year < {YEAR}),
  e AS (SELECT *, CASE WHEN is_current THEN 50 ELSE 0 END + CASE WHEN start_year >= leave THEN 30 ELSE 0 END + CASE WHEN coalesce(end_year, 0) >= leave THEN 20 ELSE 0 END
  + CASE WHEN contains(lower(coalesce(contract_type, '')), 'servidor') OR contains(lower(coalesce(contract_type, '')), 'professor') THEN 15 ELSE 0 END AS score
- FROM {X} JOIN x ON rid = researcher_id WHERE institution_name <> 'Universidade Federal de São Carlos' AND NOT starts_with(institution_name, 'Revista')),
+ FROM {X} JOIN x ON rid = researcher_id WHERE institution_name <> 'Universidade Sede' AND NOT starts_with(institution_name, 'Revista')),
  b AS (SELECT *, row_number() OVER (PARTITION BY researcher_id ORDER BY score DESC, is_current DESC, end_year DESC NULLS LAST, start_year DESC, id) AS place FROM e WHERE score > 0)
  SELECT institution_name AS destination, count(*) AS researchers, CAST(sum(score) AS BIGINT) AS points FROM b WHERE place = 1 GROUP BY 1""", R, X)
 def _(t, s, d):
-    return figures.exit_destinations(t(R), t(X), YEAR, "Universidade Federal de São Carlos")
+    return figures.exit_destinations(t(R), t(X), YEAR, "Universidade Sede")
 
 
 # --- research ---------------------------------------------------------------------------------------------------------
@@ -771,17 +771,17 @@ def _(t, s, d):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(rules.name_score("ta", "tb"), 6).alias("score"))
 
 
-@query("a26_national_partners", f"""SELECT institution_name AS name, CAST(sum(n) AS BIGINT) AS total FROM (SELECT institution_name, count(*) AS n FROM {X} WHERE trim(institution_name) <> '' AND NOT contains({f_('institution_name')}, 'sao carlos') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100)
+@query("a26_national_partners", f"""SELECT institution_name AS name, CAST(sum(n) AS BIGINT) AS total FROM (SELECT institution_name, count(*) AS n FROM {X} WHERE trim(institution_name) <> '' AND NOT contains({f_('institution_name')}, 'sede') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100)
  WHERE institution_name <> 'Empresa C' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""", X)
 def _(t, s, d):
     known = s.createDataFrame([("empresa c", "Company C", "US"), ("universidade a", "Universidade A", "BR")], "name_key string, shown string, iso string")
-    return fam.partners(t(X), known, False, "sao carlos", 100)
+    return fam.partners(t(X), known, False, "sede", 100)
 
 
 @query("a27_foreign_partners", f"SELECT 'Company C' AS name, count(*) AS total FROM {X} WHERE institution_name = 'Empresa C'", X)
 def _(t, s, d):
     known = s.createDataFrame([("empresa c", "Company C", "US"), ("universidade a", "Universidade A", "BR")], "name_key string, shown string, iso string")
-    return fam.partners(t(X), known, True, "sao carlos", 200)
+    return fam.partners(t(X), known, True, "sede", 200)
 
 
 @query("b16_learned_names", f""", a AS (SELECT {_KEY('journal_name')} AS name_key, journal_name, coalesce(canonical_journal_id, j.id) AS fid FROM {I} i JOIN {J} j ON j.id = qualis_journal_id WHERE journal_name IS NOT NULL)

@@ -34,8 +34,8 @@ def curricula(spark: SparkSession, path: str) -> DataFrame:
     """S3: one row a curriculum; the identifier from the attribute, else from the file's name; 16 digits or the row drops."""
     raw = spark.read.format("xml").option("rowTag", "CURRICULO-VITAE").schema(CURRICULUM).load(path)
     raw = raw.withColumn("__file", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{16})", 1))
-    lattes = F.coalesce(F.nullif(F.trim("`_NUMERO-IDENTIFICADOR`"), F.lit("")), F.col("__file"))
-    return raw.withColumn("curriculum_id", lattes).where(F.col("curriculum_id").rlike(r"^\d{16}$"))
+    number = F.coalesce(F.nullif(F.trim("`_NUMERO-IDENTIFICADOR`"), F.lit("")), F.col("__file"))
+    return raw.withColumn("curriculum_id", number).where(F.col("curriculum_id").rlike(r"^\d{16}$"))
 
 
 def articles(curriculum: DataFrame) -> DataFrame:

@@ -230,7 +230,7 @@ def test_curation(spark):
     th = row([(1, 1, "Ana Lima Souza", "Uma tese bem comprida", None), (2, 1, "Ana Souza", "Outra coisa diferente", None)], "id long, researcher_id long, student string, title string, handle string")
     o = row([(7, 1, "ANA LIMA SOUZA", "x", None), (8, 1, "Bia", "y", None)], "id long, researcher_id long, student string, title string, handle string")
     assert [tuple(r) for r in c.thesis_matches(th, o).collect()] == [(1, 7, 4)]
-    p = row([(1, "0" * 16, "o1", "Ana"), (2, "1" * 16, "o2", "Bia")], "id long, lattes string, orcid string, name string")
+    p = row([(1, "0" * 16, "o1", "Ana"), (2, "1" * 16, "o2", "Bia")], "id long, registry string, orcid string, name string")
     r = row([(1, ["0" * 16], [], ["Bia"]), (2, [], [], ["bia"])], "id long, ids array<string>, orcids array<string>, names array<string>")
     assert {tuple(x) for x in c.matched_people(r, p).collect()} == {(1, 1), (2, 2)}
     a = c.area_fragments(row([(1, "foo; Educação, x"), (2, "nada")], "id long, area string"), row([("educacao", "Educação")], "key string, label string"))
