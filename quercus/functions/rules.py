@@ -123,3 +123,66 @@ def name_score(a: pd.Series, b: pd.Series) -> pd.Series:
         return 0.5 * len(u & v) / len(u | v) + 0.5 * (2 * common_text(x, y) / size if size else 0.0)
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+# Parts of a normalised institution name that all must occur, and the short name; the first rule that fits wins.
+TRAJECTORY = [
+    ("UFSCar", [["sao carlos", "federal"], ["sao carlos", "ufscar"], ["ufscar"], ["departamento de engenharia de materiais"], ["escola de biblioteconomia e documentacao de sao carlos"]]),
+    ("USP", [["universidade de sao paulo"], ["fflch"], ["fearp"], ["escola de engenharia de sao carlos"], ["escola de comunicacao e artes"], ["faculdade de educacao da usp"], ["escola superior de agricultura luiz de queiroz"], ["esalq"], ["fdrp"], ["sanfran"], ["ribeirao preto sp"], ["usp rp"]]),
+    ("UNICAMP", [["unicamp"], ["estadual de campinas"]]),
+    ("UNESP", [["unesp"], ["estadual paulista"], ["ilha solteira"], ["araraquara"], ["marilia"], ["rio claro"], ["bauru"], ["franca"], ["assis"], ["presidente prudente"], ["jaboticabal"], ["botucatu"], ["ibrc"]]),
+    ("PUC-SP", [["puc sp"], ["pucsp"], ["pontificia", "sao paulo"]]),
+    ("PUC-Campinas", [["puc campinas"], ["puccamp"], ["pontificia", "campinas"]]),
+    ("PUC-Rio", [["puc rio"], ["puc rj"], ["pontificia", "rio de janeiro"]]),
+    ("PUC-RS", [["puc rs"], ["pucrs"], ["pontificia", "rio grande do sul"]]),
+    ("PUC-Minas", [["puc minas"], ["puc mg"], ["pontificia", "minas"]]),
+    ("UFMG", [["ufmg"], ["federal de minas"]]),
+    ("UFRJ", [["ufrj"], ["federal do rio de janeiro"], ["universidade do brasil"]]),
+    ("UFSC", [["ufsc"], ["federal de santa catarina"]]),
+    ("UFRGS", [["ufrgs"], ["federal do rio grande do sul"]]),
+    ("UnB", [["unb"], ["universidade de brasilia"]]),
+    ("UFPR", [["ufpr"], ["federal do parana"]]),
+    ("UFU", [["ufu"], ["federal de uberlandia"]]),
+    ("UFF", [["uff"], ["federal fluminense"]]),
+    ("UFPE", [["ufpe"], ["federal de pernambuco"]]),
+    ("UFBA", [["ufba"], ["federal da bahia"]]),
+    ("UFPA", [["ufpa"], ["federal do para"]]),
+    ("UFPB", [["ufpb"], ["federal da paraiba"]]),
+    ("UFC", [["ufc"], ["federal do ceara"]]),
+    ("UFSM", [["ufsm"], ["federal de santa maria"]]),
+    ("UFMS", [["ufms"], ["federal de mato grosso do sul"]]),
+    ("UFMT", [["ufmt"], ["federal de mato grosso"]]),
+    ("UFG", [["ufg"], ["federal de goias"]]),
+    ("UFAL", [["ufal"], ["federal de alagoas"]]),
+    ("UNIFESP", [["unifesp"], ["federal de sao paulo"], ["paulista de medicina"]]),
+    ("UNIMEP", [["unimep"], ["metodista de piracicaba"]]),
+    ("Mackenzie", [["mackenzie"]]),
+    ("UEL", [["uel"], ["estadual de londrina"]]),
+    ("UEM", [["uem"], ["estadual de maringa"]]),
+    ("UERJ", [["uerj"], ["estadual do rio de janeiro"]]),
+    ("UNISO", [["uniso"], ["universidade de sorocaba"]]),
+    ("UNIFRAN", [["unifran"], ["universidade de franca"]]),
+    ("USF", [["usf"], ["universidade sao francisco"]]),
+    ("FADISC", [["fadisc"], ["direito de sao carlos"]]),
+    ("FESPSP", [["fespsp"], ["fundacao escola de sociologia e politica"]]),
+    ("UNIVESP", [["univesp"]]),
+]
+
+
+def trajectory_institution(raw: Column, name: Column, foreign: list[tuple[str, list[str]]] = ()) -> Column:
+    """Raw and its normalised form (a column of its own) to a short name; `foreign` are further rules, after the fixed ones.
+
+    Else title case, cut to 27 characters and three dots beyond 30. An empty name is 'Não informado'.
+    """
+    title = F.initcap(F.lower(F.trim(raw)))
+    out = F.when(F.coalesce(F.trim(raw), F.lit("")) == "", "Não informado")
+    usp = (name == "usp") | F.startswith(name, F.lit("usp ")) | F.endswith(name, F.lit(" usp"))
+    for short, ways in [*TRAJECTORY, *((s, [[n] for n in needles]) for s, needles in foreign)]:
+        hit = usp if short == "USP" else F.lit(False)
+        for way in ways:
+            both = F.lit(True)
+            for n in way:
+                both = both & F.contains(name, F.lit(n))
+            hit = hit | both
+        out = out.when(hit, short)
+    return out.otherwise(F.when(F.length(title) > 30, F.concat(F.substring(title, 1, 27), F.lit("..."))).otherwise(title))

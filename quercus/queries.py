@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, rules, text
-from .operators import areas, curation, entities, families as fam, figures, graph, journals, projects, research, summaries, topics
+from .operators import areas, authority, curation, entities, families as fam, figures, graph, journals, projects, research, summaries, topics
 from .plans.bindings import load, with_sql
 from .plans.filters import MAJOR_AREAS, ResearchFilter, apply_filter, fold_text
 from .streaming import events as streaming_events
@@ -896,3 +896,24 @@ def _(t, s, d):
 @query("n22_country_codes", f"SELECT id, CASE WHEN id % 3 = 0 THEN 'BR' WHEN id % 3 = 1 THEN 'FR' END AS code FROM {R}", R)
 def _(t, s, d):
     return t(R).select("id", curation.country_code(F.expr("CASE id % 3 WHEN 0 THEN ' BRASIL' WHEN 1 THEN 'França' ELSE 'Terra' END")).alias("code"))
+
+
+# --- authority ----------------------------------------------------------------------------------------------------------
+@query("b6_usual_spelling", f""", n AS (SELECT l_partkey % 300 AS fid, CASE l_orderkey % 3 WHEN 0 THEN 'Revista Educação' WHEN 1 THEN 'Revista Educacao' ELSE 'REVISTA DA CIDADE' END AS name FROM lineitem),
+ g AS (SELECT fid, name, count(*) AS n, row_number() OVER (PARTITION BY fid ORDER BY count(*) DESC, length(regexp_replace(name, '[\\x00-\\x7F]', '', 'g')) DESC, name) AS p FROM n GROUP BY 1, 2 HAVING count(*) >= 2)
+ SELECT fid, CASE WHEN name = 'REVISTA DA CIDADE' THEN 'Revista da Cidade' ELSE name END AS shown, n FROM g WHERE p = 1""", R)
+def _(t, s, d):
+    names = s.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_partkey % 300 AS fid", "CASE l_orderkey % 3 WHEN 0 THEN 'Revista Educação' WHEN 1 THEN 'Revista Educacao' ELSE 'REVISTA DA CIDADE' END AS name")
+    return authority.usual_spelling(names)
+
+
+@query("b25_affiliations", f"""SELECT researcher_id, min(start_year) AS admission_year, CASE WHEN NOT bool_or(is_current OR coalesce(end_year >= {YEAR}, false)) THEN max(end_year) END AS leave_year, bool_or(is_current OR coalesce(end_year >= {YEAR}, false)) AS active
+ FROM {X} WHERE institution_name = 'Universidade Sede' GROUP BY 1""", X)
+def _(t, s, d):
+    return authority.affiliations(t(X), "Universidade Sede", YEAR)
+
+
+@query("n7_trajectory_institution", f"SELECT institution_name, CASE institution_name WHEN 'Exterior - X' THEN 'Exterior - X' ELSE institution_name END AS short, count(*) AS n FROM {E} WHERE institution_name IS NOT NULL GROUP BY 1, 2", E)
+def _(t, s, d):
+    e = t(E).where("institution_name IS NOT NULL").groupBy("institution_name").agg(F.count(F.lit(1)).alias("n")).withColumn("k", text.normalized(F.col("institution_name")))
+    return e.select("institution_name", rules.trajectory_institution(F.col("institution_name"), F.col("k")).alias("short"), "n")

@@ -248,3 +248,15 @@ def test_curation(spark):
     jj = row([(1, None, False), (2, 1, False), (3, None, True)], "id long, canonical_journal_id long, areas_locked boolean")
     got = c.classified(row([(1, "e", 1.5), (3, "f", 0.5)], "fid long, area string, score double"), jj, row([(2, "m")], "id long, area string"))
     assert {(x.id, x.area, float(x.score), x.method) for x in got.collect()} == {(1, "e", 1.0, "auto"), (2, "m", 1.0, "manual")}
+
+
+def test_authority(spark):
+    from quercus.functions import rules
+    from quercus.operators import authority
+
+    n = spark.createDataFrame([("Silva, Ana",), ("Ana Silva",), ("ANA SILVA",), ("Bia Lima",), (None,)], "name string")
+    out = {r.name: r.identity for r in authority.identities(n).collect()}
+    assert len(set(out.values())) == 2 and out["Silva, Ana"] == out["Ana Silva"] == out["ANA SILVA"]
+    rows = [("Universidade de Franca", "UNESP"), ("Universidade Federal de Minas Gerais", "UFMG"), ("USP", "USP"), ("", "Não informado"), ("Universidade de Brasília", "UnB"), ("Pontifícia Universidade Católica de São Paulo", "PUC-SP"), ("escola tecnica muito comprida de nome", "Escola Tecnica Muito Compri...")]
+    df = spark.createDataFrame([(a,) for a, _ in rows], "x string").withColumn("k", text.normalized(F.col("x")))
+    assert [r[0] for r in df.select(rules.trajectory_institution(F.col("x"), F.col("k"))).collect()] == [b for _, b in rows]
