@@ -142,7 +142,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("m") / DEALT)).cast("long")).alias("part"))
     lefts = dealt.select("a", "part").distinct()
     need = lefts.select("a", "part", F.col("a").alias("b")).unionByName(dealt)
-    rows = need.join(texts.select(F.col("id").alias("b"), "text"), "b")
+    # The ids grow with the corpus: the same plan at every size, never a broadcast.
+    rows = need.hint("merge").join(texts.select(F.col("id").alias("b"), "text"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, mine = None, []
@@ -251,7 +252,7 @@ def _tile_links(tiles: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     """Verified links (a, b) of the tiles. Each text comes once to a tile; what is connected already isn't compared, so a tile gives fewer links than it has members."""
     kind = tiles.schema["id"].dataType.simpleString()
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tiles.join(texts, "id").select("key", "lo", "hi", "id", "component", "others", "text").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    rows = tiles.hint("merge").join(texts, "id").select("key", "lo", "hi", "id", "component", "others", "text").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
 
     def links(group: list[tuple]) -> list[tuple]:
         sets: dict[object, list[set]] = {}
