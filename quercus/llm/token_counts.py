@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import loaded, tokenizer_spec
-from .common import by_rows, small_batches, table
+from .common import by_rows, kept, small_batches, table
 
 #: Lengths in one block of the suffix sums.
 BLOCK = 4096
@@ -42,6 +42,7 @@ def token_lengths(docs: DataFrame, text_col: str = "text", path: str | None = No
 def length_histogram(lengths: DataFrame) -> DataFrame:
     """The histogram of a column n_tokens with its suffix sums."""
     hist = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    hist, _ = kept(hist, "lengths")  # used twice: texts must not be encoded twice
     inside = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
     mass = F.col("n_tokens") * F.col("n_docs")
     rows = hist.withColumns({"d": F.sum("n_docs").over(inside), "t": F.sum(mass).over(inside)})
