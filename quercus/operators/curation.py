@@ -69,12 +69,18 @@ def refreshed(df: DataFrame, lookup: DataFrame, key: str, column: str) -> tuple[
 def prefix_match(names: DataFrame, institutions: DataFrame, least: int = 5) -> DataFrame:
     """Names to the first institution, by id, one of whose keys begins the name or is begun by it.
 
-    Both directions are equi-joins: on the first `least` letters, then a test of the whole prefix. names: name; institutions: id, name.
+    Both directions are equi-joins of whole prefixes at the lengths that the other side has, each with one row a key, so no
+    pair of a name and an institution is made. names: name; institutions: id, name.
     """
     n = names.select("name", normalized(F.col("name")).alias("k")).distinct().where(F.length("k") >= least)
-    i = institutions.select("id", normalized(F.col("name")).alias("key")).where(F.length("key") >= least)
-    j = n.withColumn("p", F.substring("k", 1, least)).join(i.withColumn("p", F.substring("key", 1, least)), "p").where(F.startswith("k", F.col("key")) | F.startswith("key", F.col("k")))
-    return j.groupBy("name").agg(F.min("id").alias("institution_id"))
+    i = institutions.select("id", normalized(F.col("name")).alias("key")).where(F.length("key") >= least).groupBy("key").agg(F.min("id").alias("id"))
+    k = n.select("k").distinct()
+    lengths = lambda df, c: df.agg(F.collect_set(F.length(c)).alias("lengths"))
+    prefixes = lambda c: F.explode(F.transform(F.filter("lengths", lambda m: m <= F.length(c)), lambda m: F.substring(F.col(c), F.lit(1), m)))
+    begun = k.crossJoin(lengths(i, "key")).select("k", prefixes("k").alias("key")).join(i, "key").select("k", "id")
+    longer = i.crossJoin(lengths(k, "k")).select("id", prefixes("key").alias("k")).groupBy("k").agg(F.min("id").alias("id")).join(k, "k").select("k", "id")
+    first = begun.unionByName(longer).groupBy("k").agg(F.min("id").alias("institution_id"))
+    return n.join(first, "k").select("name", "institution_id")
 
 
 def matched_people(rows: DataFrame, people: DataFrame) -> DataFrame:

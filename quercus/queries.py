@@ -876,6 +876,12 @@ def _(t, s, d):
     return curation.prefix_match(t(J).where("id % 7 = 0").select(F.lower("title").alias("name")), t(J).where("id % 50 = 0").select("id", F.col("title").alias("name")))
 
 
+@query("j11_prefix_match_all", None)  # SQL would compare all pairs
+def _(t, s, d):
+    """J11 over all names and all institutions; j11_prefix_match matches a sample of each, as its SQL does."""
+    return curation.prefix_match(t(J).select(F.lower("title").alias("name")), t(J).select("id", F.col("title").alias("name")))
+
+
 @query("x7_keyword_cloud", _MINED + ", g AS (SELECT id % 50 AS researcher_id, term, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY 1, 2 HAVING sum(n) >= 2), p AS (SELECT *, row_number() OVER (PARTITION BY researcher_id ORDER BY n DESC, term) AS place FROM g) SELECT researcher_id, term, n FROM p WHERE place <= 24")
 def _(t, s, d):
     return curation.keyword_cloud(_titles(s, d).withColumn("researcher_id", F.col("id") % 50))

@@ -260,3 +260,19 @@ def test_authority(spark):
     rows = [("Universidade de Franca", "UNESP"), ("Universidade Federal de Minas Gerais", "UFMG"), ("USP", "USP"), ("", "Não informado"), ("Universidade de Brasília", "UnB"), ("Pontifícia Universidade Católica de São Paulo", "PUC-SP"), ("escola tecnica muito comprida de nome", "Escola Tecnica Muito Compri...")]
     df = spark.createDataFrame([(a,) for a, _ in rows], "x string").withColumn("k", text.normalized(F.col("x")))
     assert [r[0] for r in df.select(rules.trajectory_institution(F.col("x"), F.col("k"))).collect()] == [b for _, b in rows]
+
+
+def test_prefixes_of_all_names(spark):
+    from quercus import queries
+    from quercus.operators import curation as c
+    from quercus.plans.bindings import load
+
+    first = lambda names, inst: {(n, min(i)) for n, k in names for i in [[i for i, x in inst if len(x) >= 5 and len(k) >= 5 and (k.startswith(x) or x.startswith(k))]] if i}
+    names = [("Revista A B",), ("revista a",), ("REVISTA",), ("Rev",), ("outra",), ("Revista\u0301 C",), (None,), ("Revista A B",)]
+    inst = [(4, "Revista A"), (3, "revista a b c"), (9, "Revista"), (1, "Rev"), (2, None), (5, "outra coisa"), (6, "outro")]
+    got = c.prefix_match(spark.createDataFrame(names, "name string"), spark.createDataFrame(inst, "id long, name string")).collect()
+    assert sorted(map(tuple, got)) == [("REVISTA", 3), ("Revista A B", 3), ("Revista\u0301 C", 9), ("outra", 5), ("revista a", 3)]
+    sf = "/root/testdata/sf0.001"
+    rows = load(spark, sf, "journals").select("id", F.lower("title").alias("name"), text.normalized(F.lower("title")).alias("k")).collect()
+    got = queries.QUERIES["j11_prefix_match_all"](spark, sf).collect()
+    assert {tuple(r) for r in got} == first({(r.name, r.k) for r in rows}, [(r.id, r.k) for r in rows]) and len(got) == len({r.name for r in rows})
