@@ -497,6 +497,19 @@ def _(t, s, d):
     return journals.resolve(names, t(J))
 
 
+_ALL_NAMES = "names AS (SELECT DISTINCT upper(title) AS name, CASE WHEN id % 2 = 0 THEN issn END AS issn FROM journals)"
+
+
+@query("r1_resolve_journals_all", f""", {_FAM}, {_ALL_NAMES},
+ k AS (SELECT 1 AS stage, issn AS key, min(j.id) AS id, false AS amb FROM {J} j JOIN fam ON fam.id = j.id WHERE issn IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 2, {_KEY('title')}, min(j.id), min(fid) <> max(fid) FROM {J} j JOIN fam ON fam.id = j.id GROUP BY 2)
+ SELECT name, n.issn, CASE WHEN a.id IS NOT NULL THEN 'matched' WHEN b.id IS NULL THEN 'none' WHEN b.amb THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN a.id IS NOT NULL THEN 1 WHEN b.id IS NOT NULL THEN 2 END AS step,
+ CASE WHEN a.id IS NOT NULL THEN a.id WHEN NOT b.amb THEN b.id END AS journal_id FROM names n LEFT JOIN k a ON a.stage = 1 AND a.key = n.issn LEFT JOIN k b ON b.stage = 2 AND b.key = {_KEY('name')}""", J)
+def _(t, s, d):
+    names = t(J).select(F.upper("title").alias("name"), F.when(F.col("id") % 2 == 0, F.col("issn")).alias("issn"))
+    return journals.resolve(names, t(J))
+
+
 @query("b18_name_queue", f""", a AS (SELECT {f_('journal_name')} AS name_key, journal_name, researcher_id FROM {I} WHERE item_type = 'ARTIGO' AND qualis_journal_id IS NULL AND journal_name IS NOT NULL)
  SELECT name_key, first(journal_name ORDER BY n DESC, journal_name) AS spelling, CAST(sum(n) AS BIGINT) AS articles, any_value(w) AS researchers FROM (SELECT name_key, journal_name, count(*) AS n FROM a GROUP BY 1, 2) JOIN (SELECT name_key, count(DISTINCT researcher_id) AS w FROM a GROUP BY 1) USING (name_key) GROUP BY 1""", I)
 def _(t, s, d):
@@ -696,6 +709,26 @@ def _(t, s, d):
     return entities.snapshot_diff(b, t(I).where("id % 11 <> 0").selectExpr("id", "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE qualis_journal_id END AS journal_id"))
 
 
+# The same operators over whole tables: what differs between the sides are values.
+@query("b29_new_items_all", f"SELECT id FROM (SELECT *, CASE WHEN id % 5 = 0 THEN title || ' nova' ELSE title END AS now FROM {I}) i WHERE NOT EXISTS (SELECT 1 FROM {I} b WHERE b.item_type = i.item_type AND b.title = i.now AND b.year IS NOT DISTINCT FROM i.year)", I)
+def _(t, s, d):
+    after = t(I).withColumn("title", F.when(F.col("id") % 5 == 0, F.concat("title", F.lit(" nova"))).otherwise(F.col("title")))
+    return entities.new_items(t(I), after, ["item_type", "title", "year"]).select("id")
+
+
+@query("s22_fill_empty_all", f"""SELECT coalesce(a.id, b.id) AS id, coalesce(nullif(a.qualis, ''), b.qualis) AS qualis, coalesce(nullif(a.display_title, ''), b.title) AS display_title FROM {J} a FULL OUTER JOIN (SELECT CASE WHEN id % 3 = 0 THEN -id ELSE id END AS id, 'N' AS qualis, title FROM {J}) b ON a.id = b.id""", J)
+def _(t, s, d):
+    new = t(J).select(F.when(F.col("id") % 3 == 0, -F.col("id")).otherwise(F.col("id")).alias("id"), F.lit("N").alias("qualis"), F.col("title").alias("display_title"))
+    return entities.fill_empty(t(J).select("id", "qualis", "display_title"), new, "id", ["qualis", "display_title"])
+
+
+@query("a61_snapshot_diff_all", f""", b AS (SELECT id, qualis_journal_id AS j FROM {I}), a AS (SELECT CASE WHEN id % 11 = 0 THEN -id ELSE id END AS id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE qualis_journal_id END AS j FROM {I})
+ SELECT CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'removed' WHEN a.j IS NOT DISTINCT FROM b.j THEN 'same' WHEN b.j IS NULL THEN 'gained' WHEN a.j IS NULL THEN 'lost' ELSE 'changed' END AS state, count(*) AS rows FROM b FULL OUTER JOIN a ON a.id = b.id GROUP BY 1""", I)
+def _(t, s, d):
+    after = t(I).selectExpr("CASE WHEN id % 11 = 0 THEN -id ELSE id END AS id", "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE qualis_journal_id END AS journal_id")
+    return entities.snapshot_diff(t(I).select("id", F.col("qualis_journal_id").alias("journal_id")), after)
+
+
 @query("r5_match_authors", f"""SELECT name, max(id) AS researcher_id FROM (SELECT DISTINCT '0' || CAST(o_custkey AS VARCHAR) AS n0, 'Supplier ' || lpad(CAST(o_custkey % 300 AS VARCHAR), 9, '0') AS name FROM orders) LEFT JOIN (SELECT id, {N1('full_name')} AS key FROM {R}) ON key = {N1('name')} GROUP BY 1""", R)
 def _(t, s, d):
     names = s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("Supplier "), F.lpad((F.col("o_custkey") % 300).cast("string"), 9, "0")).alias("name"))
@@ -871,6 +904,12 @@ def _(t, s, d):
     return curation.refreshed(t(R).select("id", "department", "status"), look, "id", "status")[0]
 
 
+@query("j8_refreshed_all", f"SELECT id, department, n AS status, status IS DISTINCT FROM n AS changed FROM {R} LEFT JOIN (SELECT id AS i, CASE id % 3 WHEN 0 THEN status WHEN 1 THEN 1 - status END AS n FROM {R}) ON i = id", R)
+def _(t, s, d):
+    look = t(R).select("id", F.expr("CASE id % 3 WHEN 0 THEN status WHEN 1 THEN 1 - status END").alias("status"))
+    return curation.refreshed(t(R).select("id", "department", "status"), look, "id", "status")[0]
+
+
 @query("j11_prefix_match", f"SELECT name, min(i.id) AS institution_id FROM (SELECT DISTINCT lower(title) AS name FROM {J} WHERE id % 7 = 0) n JOIN (SELECT id, {N1('title')} AS key FROM {J} WHERE id % 50 = 0) i ON starts_with({N1('name')}, key) OR starts_with(key, {N1('name')}) GROUP BY 1", J)
 def _(t, s, d):
     return curation.prefix_match(t(J).where("id % 7 = 0").select(F.lower("title").alias("name")), t(J).where("id % 50 = 0").select("id", F.col("title").alias("name")))

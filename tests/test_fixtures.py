@@ -1,5 +1,6 @@
 """Hand-checkable cases of the reference's behaviour."""
 
+import collections
 import hashlib
 import json
 
@@ -276,3 +277,21 @@ def test_prefixes_of_all_names(spark):
     rows = load(spark, sf, "journals").select("id", F.lower("title").alias("name"), text.normalized(F.lower("title")).alias("k")).collect()
     got = queries.QUERIES["j11_prefix_match_all"](spark, sf).collect()
     assert {tuple(r) for r in got} == first({(r.name, r.k) for r in rows}, [(r.id, r.k) for r in rows]) and len(got) == len({r.name for r in rows})
+
+
+def test_all_rows_reach_the_operators(spark):
+    from quercus import queries
+    from quercus.plans.bindings import load
+
+    sf = "/root/testdata/sf0.001"
+    q = lambda name: queries.QUERIES[name](spark, sf)
+    j, i = load(spark, sf, "journals"), load(spark, sf, "production_items")
+    assert {r.name for r in q("r1_resolve_journals_all").select("name").collect()} == {r[0] for r in j.select(F.upper("title")).collect()}
+    assert {r.id for r in q("s22_fill_empty_all").collect()} >= {r.id for r in j.select("id").collect()}
+    n = {r.state: r["rows"] for r in q("a61_snapshot_diff_all").collect()}
+    ids = collections.Counter(r.id for r in i.select("id").collect())  # ids come several times
+    gone = sum(m for k, m in ids.items() if k % 11 == 0)
+    assert n["new"] == n["removed"] == gone > 0 and sum(n.values()) == 2 * gone + sum(m * m for k, m in ids.items() if k % 11)
+    new = {r.id for r in q("b29_new_items_all").collect()}
+    assert new == {r.id for r in i.where("id % 5 = 0").select("id").collect()}
+    assert {r.changed for r in q("j8_refreshed_all").collect()} == {True, False}
