@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 QUERIES = [
     "a1_global_summary", "a2_top_departments", "a19_heat_map", "a24_pairs", "a30_panorama_totals", "a31_works_per_year", "a39_bridges", "a46_journals_by_database", "a47_database_totals", "a51_timeline",
-    "j1_edges", "r1_resolve_journals_all", "t1_experts", "t2_publications", "t6_autocomplete", "w1_project_groups", "x1_mined_terms", "x5_topic_index",
+    "j1_edges", "r1_resolve_journals_all", "t1_experts", "t2_publications", "t6_autocomplete", "w1_project_groups", "x1_mined_terms_all", "x5_topic_index_all",
 ]
 
 

@@ -550,6 +550,24 @@ def topic_index(t, s, d):
     return topics.index(topics.mined(_titles(s, d)).select((F.col("id") % 50).alias("researcher_id"), "term", "n", F.lit("mined").alias("source")))
 
 
+# The same over whole texts.
+_WHOLE = _MINED.replace(_LINE, "SELECT doc_id AS id, text AS title FROM documents")
+
+
+def _texts(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+
+
+@query("x1_mined_terms_all", _WHOLE + " SELECT * FROM m")
+def _(t, s, d):
+    return topics.mined(_texts(s, d))
+
+
+@query("x5_topic_index_all", _WHOLE + f""", i AS (SELECT {TOPIC('term')} AS key, term, n, id % 50 AS r FROM m) SELECT key, min(term) AS term, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT r) AS researchers, 'mined' AS source FROM i WHERE length(key) >= 3 GROUP BY 1 HAVING sum(n) >= 2""")
+def _(t, s, d):
+    return topics.index(topics.mined(_texts(s, d)).select((F.col("id") % 50).alias("researcher_id"), "term", "n", F.lit("mined").alias("source")))
+
+
 _SRC = f"""src AS (SELECT researcher_id, trim(unnest(string_split_regex(keywords_text, '[;,]'))) AS term, 2 AS n FROM {I} WHERE keywords_text IS NOT NULL UNION ALL SELECT researcher_id, trim(unnest(string_split_regex(keywords, '[;,]'))), 2 FROM {O} WHERE keywords IS NOT NULL)"""
 
 
@@ -646,6 +664,7 @@ def _doc_fn(name: str, column, sql: str):
 _doc_fn("n1_normalized", text.normalized, N1("text"))
 _doc_fn("n3_topic_key", text.topic_key, TOPIC("text"))
 _doc_fn("n10_slug", lambda c: text.slug(F.substring(c, 1, 80)), f"trim(regexp_replace({N1('substr(text, 1, 80)')}, '[^a-z0-9]+', '-', 'g'), '-')")
+_doc_fn("n10_slug_all", text.slug, f"CASE WHEN trim(regexp_replace({N1('text')}, '[^a-z0-9]+', '-', 'g'), '-') = '' THEN md5(text) ELSE trim(regexp_replace({N1('text')}, '[^a-z0-9]+', '-', 'g'), '-') END")
 
 
 @query("n13_issns", "SELECT p_partkey AS id, regexp_matches(x, '^[0-9]{7}[0-9X]$') AND CASE WHEN c = 10 THEN 'X' ELSE CAST(c AS VARCHAR) END = x[8] AS valid FROM (SELECT *, (11 - list_sum(list_transform(range(1, 8), lambda i: (9 - i) * CAST(x[i] AS INT))) % 11) % 11 AS c FROM (SELECT p_partkey, CAST(10000000 + (p_partkey * 7919) % 89999999 AS VARCHAR) AS x FROM part))")
@@ -926,6 +945,11 @@ def _(t, s, d):
     return curation.keyword_cloud(_titles(s, d).withColumn("researcher_id", F.col("id") % 50))
 
 
+@query("x7_keyword_cloud_all", _WHOLE + ", g AS (SELECT id % 50 AS researcher_id, term, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY 1, 2 HAVING sum(n) >= 2), p AS (SELECT *, row_number() OVER (PARTITION BY researcher_id ORDER BY n DESC, term) AS place FROM g) SELECT researcher_id, term, n FROM p WHERE place <= 24")
+def _(t, s, d):
+    return curation.keyword_cloud(_texts(s, d).withColumn("researcher_id", F.col("id") % 50))
+
+
 @query("x8_backfilled_keywords", f""", o AS (SELECT {TOPIC('title')} AS k, min(id) AS id FROM {I} GROUP BY 1 HAVING count(*) = 1), l AS (SELECT {TOPIC('title')} AS k, min(keywords) AS found FROM {O} GROUP BY 1 HAVING count(*) = 1)
  SELECT i.id, coalesce(nullif(keywords_text, ''), found) AS keywords FROM {I} i LEFT JOIN (SELECT id, found FROM o JOIN l USING (k)) f ON f.id = i.id""", I, O)
 def _(t, s, d):

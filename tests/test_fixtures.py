@@ -295,3 +295,16 @@ def test_all_rows_reach_the_operators(spark):
     new = {r.id for r in q("b29_new_items_all").collect()}
     assert new == {r.id for r in i.where("id % 5 = 0").select("id").collect()}
     assert {r.changed for r in q("j8_refreshed_all").collect()} == {True, False}
+
+
+def test_terms_of_whole_texts(spark, tmp_path):
+    from quercus import queries
+
+    lines = "Primeira linha curta\nRedes neurais profundas\n" + "palavra " * 30 + "\nfim distante"
+    spark.createDataFrame([(1, lines), (51, "redes neurais\nredes neurais"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    n = {(r.id, r.term): r.n for r in q("x1_mined_terms_all")}
+    assert n[1, "redes neurais"] == 1 and n[1, "fim distante"] == 1 and n[1, "palavra palavra"] == 29 and n[51, "redes neurais"] == 2
+    assert {r.term: (r.occurrences, r.researchers) for r in q("x5_topic_index_all")}["redes neurais"] == (3, 1)
+    assert {(r.researcher_id, r.term): r.n for r in q("x7_keyword_cloud_all")}[1, "redes neurais"] == 3
+    assert {r.doc_id: r.value for r in q("n10_slug_all")}[1].endswith("-palavra-fim-distante")
