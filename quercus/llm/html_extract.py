@@ -1,8 +1,8 @@
 """Operator 2: main text of web pages by consensus host paths.
 
 Each page is parsed into blocks; every block knows the generalised path of its container (structural tags with their
-classes, digits as #). A page scores its containers by the prose in them and votes for the best. Spark adds up the votes
-per host and path; the winning path of a host then says where the text is in all of its pages. A page that has no such
+classes, digits as #). A page scores its containers by the prose in them, takes the best, widened to the article around it,
+and votes for that. Spark adds up the votes per host and path; the winning path of a host then says where the text is in all of its pages. A page that has no such
 container is read at its own best one.
 
 Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and comments are left out wherever they are.
@@ -49,6 +49,8 @@ NOT_ARTICLE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 ARTICLE = frozenset("article content post entry story main body text".split())
+#: The share of linked characters up to which text beside the best container belongs to the article.
+LINKED = 0.2
 WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile("[0-9]+")
 
@@ -160,11 +162,41 @@ def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
     return out
 
 
+def widened(found: list[tuple[str, str, int]], path: str) -> str:
+    """The path, or the widest container around it that adds text of the article.
+
+    An article around it always does; main and, where neither is around it, another element below body do if few of the
+    other characters in them are in links. Nothing outside the outermost article or main is added.
+    """
+    size: dict[str, list[int]] = {}
+    for p, text, links in found:
+        while True:
+            n = size.setdefault(p, [0, 0])
+            n[0] += len(text)
+            n[1] += links
+            if "/" not in p:
+                break
+            p = p.rpartition("/")[0]
+    around = [path]
+    while "/" in around[-1]:
+        around.append(around[-1].rpartition("/")[0])
+    tags = [p.rpartition("/")[2].partition(".")[0] for p in around]
+    last = max((i for i, t in enumerate(tags) if t in ("article", "main")), default=None)
+    best = 0
+    for i, tag in enumerate(tags):
+        if tag == "body" or last is not None and i > last:
+            break
+        more, links = size[around[i]][0] - size[around[best]][0], size[around[i]][1] - size[around[best]][1]
+        if tag == "article" or links <= LINKED * more:
+            best = i
+    return around[best]
+
+
 def best_path(found: list[tuple[str, str, int]]) -> tuple[str | None, float]:
     s = scores(found)
     if not s:
         return None, 0.0
-    p = min(s, key=lambda k: (-s[k], k))
+    p = widened(found, min(s, key=lambda k: (-s[k], k)))
     return p, s[p]
 
 

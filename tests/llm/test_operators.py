@@ -92,6 +92,21 @@ def test_the_host_decides():
     assert html_extract.text_at(found, "body/div.y").startswith("more text") and html_extract.text_at(found, "gone").startswith("word")
 
 
+def whole(page):
+    found = html_extract.blocks(page)
+    return html_extract.text_at(found, html_extract.best_path(found)[0])
+
+
+def test_html_keeps_the_whole_article():
+    long, short = "long prose here " * 20, "short prose " * 5
+    strip = lambda *x: "\n\n".join(y.strip() for y in x)
+    assert whole(f"<body><article><h1>Head</h1><p>Lead</p><div class=content><p>{long}</p></div></article><div class=x><p>{short}</p></div></body>") == strip("Head", "Lead", long)
+    assert whole(f"<body><article><section class=a><p>{long}</p></section><section class=b><p>{short}</p></section></article></body>") == strip(long, short)
+    assert whole(f"<body><main><h1>Head</h1><article><div class=content><p>{long}</p></div></article></main></body>") == strip("Head", long)
+    assert whole(f"<body><main><article><p>{long}</p></article><div class=x><p><a href=1>{short}</a></p></div></main></body>") == strip(long)
+    assert whole(f"<body><div id=w><div class=a><p>{long}</p></div><div class=b><p>{short}</p></div></div></body>") == strip(long, short)
+
+
 # --- 3 ---
 def near_copies(seed, n):
     r = random.Random(seed)
