@@ -6,11 +6,13 @@ and votes for that. Spark adds up the votes per host and path; the winning path
 container is read at its own best one.
 
 Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and comments are left out wherever they are.
+Classes and ids tell many of them; what they tell is not believed of an article or main, nor of what holds most of the prose.
 
 Cases: null or empty html gives the empty text; a null url or one without a host takes no part in the vote, and the page
 is read at its own best container; html without any tag is one block; unclosed and crossing tags are read as browsers
 read them (a block ends an open paragraph; end tags without a start are ignored; an unfinished tag at the end is
-dropped). Ties between paths go to more prose, then to the smaller path. Equal rows give equal results; an empty table
+dropped; of buttons, frames, pictures and the like, which are passed over, one without an end tag ends at the next block).
+Ties between paths go to more prose, then to the smaller path. Equal rows give equal results; an empty table
 none; other columns are ignored.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -28,7 +31,7 @@ from .common import by_rows, small_batches, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|head|textarea|select|button|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -40,6 +43,11 @@ BLOCK = STRUCTURE | frozenset(
     "html p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table thead tbody tfoot tr th caption figure figcaption hr address details summary nav header footer aside form fieldset dialog menu".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that are passed over up to their end tag; without one, up to the next block.
+SKIPPED = frozenset("title noscript template iframe svg object textarea select button canvas audio video annotation annotation-xml".split())
+_STARTS = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in SKIPPED}
+_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIPPED}
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
 LEFT_OUT = frozenset("nav footer aside form dialog menu fieldset label option header".split())
 #: Words of class and id that mark what isn't the article.
 NOT_ARTICLE = frozenset(
@@ -49,6 +57,12 @@ NOT_ARTICLE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 ARTICLE = frozenset("article content post entry story main body text".split())
+#: Words of a class that say what else the page has or how it stands, not what the element is: has-sidebar, comments-open.
+STATE = frozenset("has no not with without open opened closed enabled disabled off".split())
+#: Words that mark readers' texts, which may be longer than the article.
+REPLIES = frozenset("comment comments disqus respond reply replies".split())
+#: Words of class and id, and elements, that may hold the article.
+HOLDS = frozenset("article content post entry story main".split())
 #: The share of linked characters up to which text beside the best container belongs to the article.
 LINKED = 0.2
 WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
@@ -59,35 +73,70 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html_lib.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(raw)}
 
 
-def _kind(tag: str, raw: str, in_article: bool) -> tuple[bool, str]:
-    """Whether the element is left out, and its part of the path."""
+def _kind(tag: str, raw: str, in_article: bool) -> tuple[bool, frozenset[str], str, bool]:
+    """Whether the element is left out, the words that speak against it, its part of the path and whether it may hold the article."""
     out = tag in LEFT_OUT and not (tag == "header" and in_article)
     if not raw.strip(" /\n\t\r"):
-        return out, tag
+        return out, frozenset(), tag, tag in ("article", "main")
     a = _attributes(raw)
-    named = f"{a.get('class', '')} {a.get('id', '')}"
-    words = {w.lower() for w in WORDS.findall(named)}
-    if tag not in ("body", "html"):
-        out = out or bool(words & NOT_ARTICLE) or words == {"header"} or {"site", "header"} <= words or {"page", "header"} <= words
+    tokens = [{w.lower() for w in WORDS.findall(t)} for t in f"{a.get('class', '')} {a.get('id', '')}".split()]
+    words = set().union(*tokens)
+    against: set[str] = set()
+    if tag not in ("body", "html", "head"):
+        if tag != "main" and not (tag == "article" and not in_article):
+            against = set().union(*(t for t in tokens if not t & STATE)) & NOT_ARTICLE
+            if words == {"header"} or {"site", "header"} <= words or {"page", "header"} <= words:
+                against.add("header")
         out = out or a.get("role", "").lower() in ROLES or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower()
     classes = sorted(DIGITS.sub("#", c) for c in a.get("class", "").split())
-    return out, ".".join([tag, *classes])
+    return out, frozenset(against), ".".join([tag, *classes]), tag in ("article", "main") or bool(words & HOLDS) and tag not in ("body", "html")
+
+
+def _without_marked(found: list[tuple[str, str, int, tuple[int, ...], tuple[int, ...]]], against: list[frozenset[str]]) -> list[tuple[str, str, int]]:
+    """The blocks outside the elements that words speak against; such an element stays where it holds most of the prose.
+
+    It doesn't if another element, that may hold the article, has a quarter of its prose or more outside it, or if it holds readers' texts. If nothing
+    would be left of a page, all is.
+    """
+    if not against:
+        return [x[:3] for x in found]
+    every = 0
+    inside, kept_by = [0] * len(against), Counter()
+    together: Counter[tuple[int, int]] = Counter()
+    for _, text, links, marks, holders in found:
+        prose = max(0, len(text) - 2 * links)
+        every += prose
+        for m in marks:
+            inside[m] += prose
+        for h in holders:
+            kept_by[h] += prose
+            for m in marks:
+                together[m, h] += prose
+    spared = set()
+    for m, n in enumerate(inside):
+        if 2 * n > every and not against[m] & REPLIES and not any(4 * p > n and not together[m, h] for h, p in kept_by.items()):
+            spared.add(m)
+    left = [x[:3] for x in found if all(m in spared for m in x[3])]
+    return left or [x[:3] for x in found]
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(container path, text, characters of it in links) of every block that isn't left out, in page order."""
-    found: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, bool, str]] = [("", False, "")]  # tag, left out, path
+    found: list[tuple[str, str, int, tuple[int, ...], tuple[int, ...]]] = []
+    against: list[frozenset[str]] = []
+    n_holders = 0
+    stack: list[tuple[str, bool, str, tuple[int, ...], tuple[int, ...]]] = [("", False, "", (), ())]  # tag, left out, path, marked elements, possible articles
     parts: list[str] = []
     links, in_link = 0, False
     articles = 0
+    seen: dict[tuple[str, bool], re.Match | None] = {}
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                found.append((stack[-1][2], text, min(links, len(text))))
+                found.append((stack[-1][2], text, min(links, len(text)), stack[-1][3], stack[-1][4]))
             parts.clear()
         links = 0
 
@@ -103,15 +152,34 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         while len(stack) > n:
             articles -= stack.pop()[0] in ("article", "main")
 
+    def next_tag(tag: str, end: bool, at: int) -> re.Match | None:
+        m = seen.get((tag, end))
+        if (tag, end) not in seen or m and m.start() < at:
+            m = seen[tag, end] = (BLOCK_TAG if not tag else (_ENDS if end else _STARTS)[tag]).search(page, at)
+        return m
+
+    def skip(tag: str, at: int) -> int:
+        """Where a passed-over element ends: an element is unclosed if another starts before its end tag, with a block between."""
+        end, again = next_tag(tag, True, at), next_tag(tag, False, at)
+        if end and not (again and again.start() < end.start()):
+            return end.end()
+        block = next_tag("", False, at)
+        if end and not (block and block.start() < again.start()):
+            return end.end()
+        return block.start() if block else len(page)
+
     at = 0
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         put(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
-        if tag == "br":
+        if tag in SKIPPED:
+            if not m[2] and not (m[4].rstrip().endswith("/") and tag == "svg"):
+                at = skip(tag, at)
+        elif tag == "br":
             put(" ")
         elif tag == "a":
             in_link = not m[2]
@@ -127,24 +195,36 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             in_link = False
             if tag in BLOCK and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack[-1][0] == tag and tag in ("li", "td", "tr", "dt", "dd"):
                 pop_to(len(stack) - 1)
-            _, left, path = stack[-1]
-            out, part = _kind(tag, m[4], articles > 0)
+            _, left, path, marks, holders = stack[-1]
+            out, words, part, holds = _kind(tag, m[4], articles > 0)
             if tag in STRUCTURE:
                 path = f"{path}/{part}" if path else part
-            stack.append((tag, left or out, path))
+            if words and not left:
+                marks = (*marks, len(against))
+                against.append(words)
+            elif holds and not marks and not left:
+                holders = (*holders, n_holders)
+                n_holders += 1
+            stack.append((tag, left or out, path, marks, holders))
             articles += tag in ("article", "main")
         elif m[4] and not m[2] and tag not in VOID:
-            out, _ = _kind(tag, m[4], False)
-            if out and not stack[-1][1]:  # an inline element that is left out
+            out, words, _, _ = _kind(tag, m[4], False)
+            if (out or words) and not stack[-1][1]:  # an inline element that is left out
                 flush_at = page.find(f"</{tag}", at)
-                if flush_at >= 0:
-                    stack.append((tag, True, stack[-1][2]))
+                if words and not out and flush_at >= 0 and BLOCK_TAG.search(page, at, flush_at):  # it holds blocks
+                    flush()
+                    stack.append((tag, False, stack[-1][2], (*stack[-1][3], len(against)), stack[-1][4]))
+                    against.append(words)
+                elif flush_at >= 0:
+                    stack.append((tag, True, *stack[-1][2:]))
         elif m[2] and stack[-1][0] == tag:
+            if len(stack) > 1 and stack[-1][3] != stack[-2][3]:
+                flush()
             pop_to(len(stack) - 1)
     rest = page[at:]
     put(rest)
     flush()
-    return found
+    return _without_marked(found, against)
 
 
 def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:

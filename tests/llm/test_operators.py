@@ -107,6 +107,24 @@ def test_html_keeps_the_whole_article():
     assert whole(f"<body><div id=w><div class=a><p>{long}</p></div><div class=b><p>{short}</p></div></div></body>") == strip(long, short)
 
 
+def test_html_wrappers_and_unclosed_elements():
+    long, short = "long prose here " * 20, "short prose " * 5
+    p, q = long.strip(), short.strip()
+    for wrapper in ("div class='page has-sidebar'", "main class='no-sidebar'", "article class='post comments-open'", "div class='widget'", "app-root class='login'"):
+        end = wrapper.split()[0]
+        assert whole(f"<body><{wrapper}><p>{long}</p><div class=sidebar><p>{short}</p></div></{end}></body>") == p
+    assert whole(f"<body><div class=content><p>{short}</p></div><div id=comments><p>{long * 3}</p></div></body>") == q
+    assert whole(f"<body><article><p>{short}</p></article><div class=cookie><p>{q} {q}</p></div></body>") == q
+    assert whole(f"<body><article><p>{short}</p><article class=comment><p>{short}</p></article></article></body>") == q
+    assert whole(f"<html><head><title>t</title><meta charset=x><body><p>{long}</p></body>") == p
+    assert whole(f"<html><head><title>t <p>x</title><script>'<p>'</script></head><body><p>{long}</p></body>") == p
+    for tag in ("button", "select", "svg", "object", "noscript"):
+        assert whole(f"<body><div><{tag} a=1>x</div><p>{long}</p></body>") == p
+        assert whole(f"<body><div><{tag}>x</div><p>{long}</p><{tag}>y</{tag}></body>") == p
+        assert whole(f"<body><p>{long}</p><{tag}><div>x</div></{tag}></body>") == p
+    assert whole("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>") == "so x=2 holds"
+
+
 # --- 3 ---
 def near_copies(seed, n):
     r = random.Random(seed)
