@@ -38,6 +38,10 @@ WIDE = {
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ./_\xa0-]{0,2}[0-9]){12,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:00[ ]?)?(?:\([0-9]{1,4}\)|[0-9]{2,5})(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9])"),
 }
+# The parts of WIDE["email"] around a written at, for wide_emails: the word itself, what follows, and what precedes, backwards.
+WRITTEN = re.compile(r"[aA](?<=[ \[({].)[tT](?=[ \])}])")
+AT_DOMAIN = re.compile(rf"{AT}[a-z0-9-]+(?:{DOT}[a-z0-9-]+){{1,4}}", re.I)
+LOCAL_BACK = re.compile(r"[a-z0-9_%+-]+(?:(?: ?[\])}] ?tod ?[\[({] ?| tod |\.)[a-z0-9_%+-]+){0,3}", re.I)
 WORDS = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "dial", "cell"),
     "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "pay"),
@@ -92,15 +96,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def wide_emails(text: str) -> list[tuple[int, int]]:
+    """WIDE["email"]'s matches, found from their written ats: the pattern itself is slow on plain prose. Each at has its own, so they may overlap."""
+    out, back = [], ""
+    for at in WRITTEN.finditer(text):
+        for s in range(max(0, at.start() - 3), at.start()):  # a blank and a bracket may precede
+            m = AT_DOMAIN.match(text, s)
+            if m and text[s : at.start()].strip(" [({") == "":
+                back = back or text[::-1]
+                if local := LOCAL_BACK.match(back, len(text) - s):
+                    out.append((len(text) - local.end(), m.end()))
+                    break
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """Spans of the wider generators; they may overlap each other and base spans."""
     out = []
-    low = text.lower() if "dot" in text or "Dot" in text or "DOT" in text else ""
-    if low and re.search(r"[\[({] ?(?:at|dot) ?[\])}]| at ", low):
-        # Only around a written dot: the generator is slow on plain prose.
-        for m in re.finditer(r"\bdot\b", low):
-            a, b = max(0, m.start() - 120), min(len(text), m.end() + 80)
-            out += [(a + x.start(), 0, a + x.end()) for x in WIDE["email"].finditer(text[a:b])]
+    out += [(s, 0, e) for s, e in wide_emails(text)]
     if m := DIGIT.search(text):
         if text.count(":") >= 2:
             out += [(x.start(), 1, x.end()) for x in WIDE["ip"].finditer(text) if len(x[0]) > 6]
@@ -167,6 +180,22 @@ def training_set(seed: int = 7, n: int = 6000) -> tuple[list[tuple[str, tuple[in
         span = (len(lead), k, len(lead) + len(x))
         out.append((text, span))
         y.append(ok and not (k == 3 and lead.split()[-1:] and any(w in lead for w in WORDS["none"])))
+    for _ in range(n // 4):  # addresses with a written at alone, and what is said to be at a site
+        ok, plain = bool(r.integers(2)), bool(r.integers(2))
+        end = pick("com", "org", "net", "io", "de", "co.uk", "example.org")
+        lead = f"{word()} {word()} "
+        if ok:
+            local = f"{word()}{pick('', '.', '_')}{word()}"
+            x = local + (" at " if plain else pick("[at]", "(at)", "{at}", " [at] ", " (at) ", " {at} ", "[ at ]")) + f"{word()}{pick('', '-' + word())}.{end}"
+            if plain or r.random() < 0.5:
+                lead = f"{word()} {pick(*WORDS['email'])}{pick('', ':', ' is', ' to', ' me')} "
+        else:
+            x = f"{pick('look', 'see', 'available', 'hosted', 'sold', 'met', 'is', word(), word())} at {word()}.{pick(end, word(), word().capitalize())}"
+        if not plain:
+            x = x.replace("at", "AT", 1) if ok and r.random() < 0.2 else x
+        text = f"{lead}{x}{pick(' ', '.', ',', ' ' + word())} {word()}"
+        out.append((text, (len(lead), 0, len(lead) + len(x))))
+        y.append(ok)
     return out, np.array(y, float)
 
 

@@ -375,6 +375,22 @@ def test_pii_candidates():
     assert pii.redacted("x a@b.co y", pii.base_spans("x a@b.co y")) == "x [EMAIL] y"
 
 
+def test_pii_written_at():
+    r = random.Random(9)
+    pool = ["a", "b.c", "x-y", " ", " ", ".", "[at]", "(at)", " [ at ] ", " at ", " AT ", " dot ", "[dot]", " {Dot} ", "at", "that", "\u0130", "\n", "@", "com", "z" * 150]
+    for _ in range(4000):
+        t = "".join(r.choice(pool) for _ in range(r.randint(0, 14)))
+        assert {m.span() for m in pii.WIDE["email"].finditer(t)} <= set(pii.wide_emails(t)), t
+        for s, e in pii.wide_emails(t):
+            assert pii.WIDE["email"].fullmatch(t, s, e)
+    trees, limits, _ = pii.train()
+    found = lambda t: [t[s:e] for s, k, e in pii.select(t, trees, limits) if k == 0]
+    for x in ("john [at] example.com", "john (at) example.co.uk", "john[AT]mail-host.org", "john {at} example.com", "bob [at] corp [dot] com"):
+        assert found(f"the owner {x}, then") == [x] and found("\u0130" * 200 + f" mail {x}, then") == [x]
+    assert found("please write to john.smith at example.com today") == ["john.smith at example.com"]
+    assert found("have a look at google.com for more") == found("they met at noon.Then they left") == []
+
+
 # --- 10 ---
 def test_decontamination(spark, docs, real):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
