@@ -27,12 +27,12 @@ def technical_type(tag: Column) -> Column:
     return F.when(tag == "DEMAIS-TIPOS-DE-PRODUCAO-TECNICA", "OUTRA_TECNICA").otherwise(out)
 
 
-def country_code(c: Column) -> Column:
-    """The ISO code of a code or name; null if unknown."""
+def country_code(c: Column, countries: dict[str, list[str]] | None = None) -> Column:
+    """The ISO code of a code or name; null if unknown. countries: names, folded here, by code; else those of COUNTRIES."""
     x = fold(c)
     out = F.lit(None).cast("string")
-    for code, names in COUNTRIES.items():
-        out = F.when(x.isin([code.lower(), *names]), code).otherwise(out)
+    for code, names in (COUNTRIES if countries is None else countries).items():
+        out = F.when(x.isin(*(fold(F.lit(n)) for n in [code, *names])), code).otherwise(out)
     return out
 
 
@@ -117,11 +117,23 @@ def classified(decided: DataFrame, journals: DataFrame, manual: DataFrame) -> Da
 
 
 def external_names(records: DataFrame, known: DataFrame, titles: DataFrame) -> DataFrame:
-    """Names of external records that no key has yet and that lead to one family: taken with a score of 0.6 or more, or from two sources. records: src, name, fid; known: key; titles: fid, title."""
+    """Names of external records that no key has yet and that lead to one family: taken with a score of 0.6 or more, from two sources,
+    or if name and title lie one in the other by words and one of these is rare: of 5 letters or more, in at most 5 titles.
+
+    records: src, name, fid; known: key; titles: fid, title.
+    """
     r = records.select("src", "name", "fid", resolver_key(F.col("name")).alias("key")).where("key <> ''").join(known.select("key").distinct(), "key", "left_anti")
     one = r.groupBy("key").agg(F.min("fid").alias("fid"), F.max("fid").alias("other"), F.countDistinct("src").alias("sources"), F.min("name").alias("name")).where("fid = other").drop("other")
-    s = one.join(titles.select("fid", resolver_key(F.col("title")).alias("t")), "fid").withColumn("score", name_score("key", "t")).groupBy("key", "fid", "sources", "name").agg(F.max("score").alias("score"))
-    return s.where((F.col("score") >= 0.6) | (F.col("sources") >= 2)).select("name", "key", "fid", "sources", F.round("score", 6).alias("score"))
+    t = titles.select("fid", resolver_key(F.col("title")).alias("t"))
+    pairs = one.join(t, "fid")
+    s = pairs.withColumn("score", name_score("key", "t")).groupBy("key", "fid", "sources", "name").agg(F.max("score").alias("score"))
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    n = t.select(F.explode(words("t")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    small = pairs.where("t <> ''").select("key", words("key").alias("a"), words("t").alias("b")).withColumn("few", F.when(F.size("a") <= F.size("b"), F.col("a")).otherwise(F.col("b")))
+    inside = small.where((F.size(F.array_except("few", "a")) == 0) & (F.size(F.array_except("few", "b")) == 0))
+    rare = inside.select("key", F.explode("few").alias("word")).where(F.length("word") >= 5).distinct().join(n, "word").where("n <= 5").select("key", F.lit(True).alias("rare")).distinct()
+    found = s.join(rare, "key", "left")
+    return found.where((F.col("score") >= 0.6) | (F.col("sources") >= 2) | F.col("rare")).select("name", "key", "fid", "sources", F.round("score", 6).alias("score"))
 
 
 def guarded(proposed: DataFrame, owned: DataFrame) -> DataFrame:
@@ -182,7 +194,7 @@ def ai_batches(families: DataFrame, per_file: int) -> DataFrame:
 
 
 def overridden(journals: DataFrame, events: DataFrame) -> DataFrame:
-    """Manual events applied in order: the last one of each field wins. journals: id, area, display_title; events: n, id, field, value."""
+    """B20 in part: manual events of area and display title applied in order: the last one of each field wins; other events are open. journals: id, area, display_title; events: n, id, field, value."""
     last = events.groupBy("id").pivot("field", ["area", "display_title"]).agg(F.max_by("value", "n"))
     j = journals.join(last.select("id", F.col("area").alias("__a"), F.col("display_title").alias("__t")), "id", "left")
     return j.withColumns({"area": F.coalesce("__a", "area"), "display_title": F.coalesce("__t", "display_title")}).drop("__a", "__t")

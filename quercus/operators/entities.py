@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import inverted_name, normalized
+from .curation import prefix_match
 
 
 def fill_empty(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -68,9 +69,11 @@ def match_authors(names: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def match_institutions(names: DataFrame, institutions: DataFrame) -> DataFrame:
-    """Exact key among all names of an institution, else the key of the part before a hyphen; the lowest id. institutions: id, name."""
+    """Exact key among all names of an institution, else the key of a part between hyphens, else J11's prefixes, both ways; the lowest id. institutions: id, name."""
     keys = institutions.select(normalized(F.col("name")).alias("key"), "id").where("key <> ''").groupBy("key").agg(F.min("id").alias("id"))
     n = names.select("name").distinct()
     forms = n.select("name", F.posexplode(F.concat(F.array("name"), F.split("name", "-"))).alias("step", "form")).select("name", "step", normalized(F.col("form")).alias("key"))
     hits = forms.join(keys, "key").groupBy("name").agg(F.min(F.struct("step", "id")).alias("x"))
-    return n.join(hits, "name", "left").select("name", F.col("x.id").alias("institution_id"))
+    by_prefix = prefix_match(n.join(hits, "name", "left_anti"), institutions)
+    found = hits.select("name", F.col("x.id").alias("institution_id")).unionByName(by_prefix)
+    return n.join(found, "name", "left").select("name", "institution_id")

@@ -308,3 +308,18 @@ def test_terms_of_whole_texts(spark, tmp_path):
     assert {r.term: (r.occurrences, r.researchers) for r in q("x5_topic_index_all")}["redes neurais"] == (3, 1)
     assert {(r.researcher_id, r.term): r.n for r in q("x7_keyword_cloud_all")}[1, "redes neurais"] == 3
     assert {r.doc_id: r.value for r in q("n10_slug_all")}[1].endswith("-palavra-fim-distante")
+
+
+def test_rare_words_countries_and_institution_prefixes(spark):
+    from quercus.operators import curation as c
+
+    titles = [(1, "Changing English: Studies in Culture and Education"), (2, "Journal of Social Sciences"), *((i, f"Social Sciences {i}") for i in range(3, 9))]
+    records = [("a", "Changing English", 1), ("a", "Social Sciences", 2), ("a", "Changing Spanish", 1)]
+    e = c.external_names(spark.createDataFrame(records, "src string, name string, fid long"), spark.createDataFrame([("k",)], "key string"), spark.createDataFrame(titles, "fid long, title string"))
+    got = {x.name: x.score for x in e.collect()}
+    assert set(got) - {"Social Sciences"} == {"Changing English"} and got["Changing English"] < 0.6 <= got.get("Social Sciences", 1)
+    table = {"JP": ["Japão", "Japan"], "DE": ["alemanha"]}
+    assert [one(spark, c.country_code(F.lit(x), table)) for x in ("JAPAO", "jp", "Alemanha", "Brasil")] == ["JP", "JP", "DE", None]
+    inst = spark.createDataFrame([(5, "USP"), (6, "Universidade Federal"), (4, "Universidade de Brasília")], "id long, name string")
+    names = spark.createDataFrame([("USP - Campus",), ("Universidade de Brasília, Darcy Ribeiro",), ("Univ",), ("Universidade",), (None,)], "name string")
+    assert {tuple(r) for r in entities.match_institutions(names, inst).collect()} == {("USP - Campus", 5), ("Universidade de Brasília, Darcy Ribeiro", 4), ("Univ", None), ("Universidade", 4), (None, None)}
