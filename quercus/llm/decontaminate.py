@@ -11,7 +11,8 @@ around shared shingles are fingerprinted. And shingle weights depend on the benc
 the heavier. At a similarity of 0.8 a bit differs with a probability of 0.152, so a distance over 24 has one of about 1
 in 1,000,000.
 
-The benchmark is broadcast in parts of at most PART_ITEMS items, each part searched against all documents.
+The benchmark is broadcast in parts of about PART_ITEMS items, each part searched against all documents. Where there are several,
+the counts of all items are made first, and all parts share those of shingles in two items or more (12 bytes each).
 
 Cases: null and empty texts match nothing; an item of fewer than five words has its whole sequence as its one shingle;
 items without words are ignored; items of equal text each match; of the windows of a document that match an item the
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,15 +74,24 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 class Benchmark:
     """Items by shingle length and window length, their weights, and the Hamming index."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+    def __init__(self, rows: list[tuple[int, str]], total: int | None = None, repeated: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """Of a part, total and repeated are the whole benchmark's: items, and shingles, sorted, of two items or more with their number."""
         hashed = [(i, h) for i, t in rows if len(h := word_hashes(t or ""))]
         self.items = [i for i, _ in hashed]
         self.length = np.array([len(h) for _, h in hashed], np.int64)
         self.k = np.minimum(self.length, WORDS)
         self.shingles = [shingles(h, int(k)) for (_, h), k in zip(hashed, self.k)]
-        df = Counter(x for s in self.shingles for x in set(s.tolist()))
+        self.total = len(self.items) if total is None else total
         self.most = self._weight(1)
-        self.weight = {x: self._weight(n) for x, n in df.items()}
+        self.repeated = None
+        if repeated is None:
+            df = Counter(x for s in self.shingles for x in set(s.tolist()))
+            self.weight = {x: self._weight(n) for x, n in df.items()}
+        else:
+            each, back = np.unique(repeated[1], return_inverse=True)
+            self.repeated = repeated[0], np.array([self._weight(int(n)) for n in each], np.int32)[back] if len(each) else np.zeros(0, np.int32)
+            mine = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.shingles]))
+            self.weight = dict(zip(mine.tolist(), self._shared(mine).tolist()))
         self.counts = [Counter(s.tolist()) for s in self.shingles]
         self.by_k: dict[int, tuple] = {}
         for k in sorted(set(self.k.tolist())):
@@ -102,7 +113,17 @@ class Benchmark:
             self.by_length[k, n] = (mine, blocks, near)
 
     def _weight(self, df: int) -> int:
-        return 1 + round(4 * np.log2(1 + len(self.items) / df))
+        return 1 + round(4 * np.log2(1 + self.total / df))
+
+    def _shared(self, s: np.ndarray) -> np.ndarray:
+        """The weights of shingles by the whole benchmark's counts."""
+        keys, weights = self.repeated
+        out = np.full(len(s), self.most, np.int32)
+        if len(keys):
+            place = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+            hit = keys[place] == s
+            out[hit] = weights[place[hit]]
+        return out
 
     @staticmethod
     def fingerprints(s: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -115,8 +136,9 @@ class Benchmark:
     def similarity(self, window: np.ndarray, item: int) -> tuple[int, int]:
         """The weighted sums of smaller and of larger counts."""
         mine, other = Counter(window.tolist()), self.counts[item]
+        weights = self.weight if self.repeated is None else dict(zip(mine, self._shared(np.array(list(mine), np.uint64)).tolist()))
         both = sum(self.weight[x] * min(n, mine[x]) for x, n in other.items() if x in mine)
-        total = sum(self.weight.get(x, self.most) * n for x, n in mine.items()) + sum(self.weight[x] * n for x, n in other.items())
+        total = sum(weights.get(x, self.most) * n for x, n in mine.items()) + sum(self.weight[x] * n for x, n in other.items())
         return both, total - both
 
     def matches(self, h: np.ndarray) -> list[tuple[int, float, int, int]]:
@@ -136,7 +158,7 @@ class Benchmark:
             for p, o in zip(at.tolist(), place.tolist()):
                 for n in owners[o]:
                     by_n.setdefault(n, []).append(p)
-            weights = np.full(len(s), self.most, np.int32)
+            weights = np.full(len(s), self.most, np.int32) if self.repeated is None else self._shared(s)
             weights[at] = key_weights[place]
             for n, hits in by_n.items():
                 self._slide(s, weights, k, n, hits, best)
@@ -195,14 +217,35 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 
 def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_items: int) -> Iterator:
-    """The query set, broadcast in blocks of a checked size."""
+    """The query set, broadcast in blocks of a checked size that all weigh shingles by the whole set."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
     parts = max(1, -(-items.count() // part_items))
+    total, repeated = _counts(items) if parts > 1 else (None, None)
     for p in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
         rows = [(r["i"], r["t"] or "") for r in part.collect()]
         rows.sort(key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
-        yield benchmark.sparkSession.sparkContext.broadcast(Benchmark(rows))
+        yield benchmark.sparkSession.sparkContext.broadcast(Benchmark(rows, total, repeated))
+
+
+def _counts(items: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """The items that have words, and the shingles of two of them or more, sorted, with their number."""
+    small_batches(items.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[int | None] = []
+            for t in b.column(0).to_pylist():
+                if len(h := word_hashes(t or "")):
+                    found += [None, *np.unique(shingles(h, min(len(h), WORDS))).view(np.int64).tolist()]  # null: the item itself
+            yield pa.record_batch([pa.array(found, pa.int64())], ["s"])
+
+    n = items.select("t").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("s IS NULL OR n > 1").toArrow()
+    of_items = n.filter(pa.compute.is_null(n["s"]))["n"].to_pylist()
+    n = n.filter(pa.compute.is_valid(n["s"]))
+    keys = n["s"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return (of_items[0] if of_items else 0), (keys[order], n["n"].to_numpy()[order].astype(np.int32))
 
 
 def without(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_items: int = PART_ITEMS) -> DataFrame:

@@ -421,3 +421,18 @@ def test_decontamination(spark, docs, real):
             assert hit == (j in found)
     assert decontaminate.search(none(docs), items).count() == 0 and decontaminate.search(docs, none(items)).count() == 0
     assert decontaminate.without(df, items).where("doc_id = 7002").count() == 2
+
+
+def test_decontamination_in_parts(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    common = [[r.choice(words) for _ in range(12)] for _ in range(4)]
+    items = [(i, " ".join(r.choice(common) + [r.choice(words) for _ in range(r.randint(8, 30))] + r.choice(common))) for i in range(60)] + [(60, ""), (61, None), (62, "two words")]
+    texts = []
+    for i, t in items * 6:
+        w = [r.choice(words) if r.random() < 0.04 else x for x in (t or "").split()]
+        texts.append((len(texts), " ".join([r.choice(words) for _ in range(5)] + r.choice(common) + w + r.choice(common))))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(tuple, decontaminate.search(docs, bench, part_items=n).collect())) for n in (1000, 20, 5)]
+    assert got[0] and any(x[2] < 0.85 for x in got[0]) and got[1] == got[0] and got[2] == got[0]
+    assert decontaminate.without(docs, bench, part_items=5).count() == decontaminate.without(docs, bench).count()
