@@ -1,14 +1,16 @@
 """Operator 5: document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of 64 words, all of them. A passage becomes a vector of form features (classes of
+A document is a bag of passages of 64 words, all of them. A passage runs from its first word to the next passage's, the last
+one to the end of the text, so a text's score depends on nothing beside it. A passage becomes a vector of form features (classes of
 characters, lengths, repetition); a small layer encodes it; gated attention, tanh times sigmoid, weighs the passages of a
 document; their weighted sum gives the score. All weights are learned together from document labels. Labels are used only
 of rows whose crc32(doc_id as text) mod 3 is not 1, and of those at most SAMPLE_PER_LABEL of each label (a bounded sample,
-the smallest by a hash of the id); the true share of the labels corrects the score's offset.
+the smallest by a hash of the id, and of each one text of at most SAMPLE_PASSAGES passages, evenly spread over longer ones);
+the true share of the labels corrects the score's offset. Every passage of every text is scored.
 
 Cases: null and empty texts are one passage without words and get a score too; a text of any length is scored as a
-whole; a null id counts as not held out and has no label; several labels of one id count as the smallest; null labels do
-not count; without labels of both kinds every score is their share (0.5 without any). Equal texts get equal scores; an
+whole; a null id counts as not held out and has no label; several labels of one id count as the smallest, of several
+texts of one id the one with the smallest features is learned from; null labels do not count; without labels of both kinds every score is their share (0.5 without any). Equal texts get equal scores; an
 empty table gives none; other columns are ignored.
 """
 
@@ -26,6 +28,8 @@ from .common import by_rows, remainder, small_batches, table, utf8
 PASSAGE_WORDS = 64
 #: The bound of the sample that is learned from, of each label.
 SAMPLE_PER_LABEL = 1500
+#: The bound of passages that are learned from, of each text.
+SAMPLE_PASSAGES = 256
 HIDDEN, ATTENTION, EPOCHS, SEED = 16, 8, 80, 11
 #: Bytes of texts that are turned into features at once.
 SLICE_BYTES = 4 << 20
@@ -65,9 +69,14 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     heads = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
     which, at = passage[heads], starts[heads]
     cls = _CLASS[buf]
-    size = np.diff(np.append(at, len(buf))).astype(np.float32)
+    # A passage ends where the next one of its text begins, or with its text and one line end.
+    owner = of[heads]
+    text_end = np.append(text_at[1:], len(buf))[owner]
+    until = np.where(np.append(owner[1:] == owner[:-1], False), np.append(at[1:], 0), text_end)
+    size = (until - at).astype(np.float32)
+    bounds = np.column_stack([at, until]).ravel()
     for k in range(10):
-        x[which, k] = np.add.reduceat(cls == k, at, dtype=np.int64) / size
+        x[which, k] = np.add.reduceat(np.append(cls == k, False), bounds, dtype=np.int64)[::2] / size
     ends = np.flatnonzero(~space & np.append(space[1:], True)) + 1
     length = ends - starts
     # A word's hash: its bytes by powers of a constant, summed. Very long words repeat the powers.
@@ -94,6 +103,11 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, first
 
 
+def _spread(x: np.ndarray, most: int = SAMPLE_PASSAGES) -> np.ndarray:
+    """At most that many of a text's passages, evenly spread, the first and the last included."""
+    return x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).round().astype(np.int64)]
+
+
 class Model:
     """Encoder, gated attention and output, as numpy arrays."""
 
@@ -150,7 +164,7 @@ class Model:
             while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_BYTES):
                 size += len(texts[end])
                 end += 1
-            out.append(self.score(*features(texts[at:end])))
+            out.append(np.round(self.score(*features(texts[at:end])), 9))  # sums' last bits depend on what is added up together
             at = end
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -171,12 +185,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blobs = [features([t])[0].tobytes() for t in utf8(b.column(1))]
+            blobs = [_spread(features([t])[0]).tobytes() for t in utf8(b.column(1))]
             yield pa.record_batch([b.column(0), pa.array(blobs, pa.binary()), b.column(2)], ["id", "x", "y"])
 
-    # The sample's size is bounded by per_label, so it can be broadcast.
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).mapInArrow(vectors, f"id {kind}, x binary, y int").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["x"]))
+    # The sample's size is bounded by per_label, so it can be broadcast; what comes back by that and by SAMPLE_PASSAGES.
+    seen = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).mapInArrow(vectors, f"id {kind}, x binary, y int")
+    rows = sorted(seen.groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).collect(), key=lambda r: r["id"])
     if len({r["y"] for r in rows}) < 2:
         return model
     xs = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]
