@@ -21,13 +21,12 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import Counter
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, small_batches, table
+from .common import by_rows, kept, small_batches, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -65,6 +64,8 @@ REPLIES = frozenset("comment comments disqus respond reply replies".split())
 HOLDS = frozenset("article content post entry story main".split())
 #: The share of linked characters up to which text beside the best container belongs to the article.
 LINKED = 0.2
+#: Bytes of hosts and their paths up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile("[0-9]+")
 
@@ -289,22 +290,20 @@ def text_at(found: list[tuple[str, str, int]], path: str | None) -> str:
     return "\n\n".join(inside)
 
 
-def host_of(url: str | None) -> str | None:
-    try:
-        return (urlsplit(url).hostname or None) if url else None
-    except ValueError:
-        return None
+def host_of(url: Column) -> Column:
+    """The host of a url column in lower case, without user and port; null if there is none."""
+    host = F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)", 1)
+    return F.when(host != "", F.lower(host))
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host and the path that most of its pages vote for. Votes are summed before the shuffle."""
+    """host, the path that most of its pages vote for, and the number of its pages. Votes are summed before the shuffle."""
     small_batches(pages.sparkSession)
 
     def vote(b: pa.RecordBatch) -> pa.RecordBatch:
         votes: dict[tuple[str, str], list[float]] = {}
-        for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            host = host_of(url)
-            path, score = best_path(blocks(page or "")) if host else (None, 0.0)
+        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            path, score = best_path(blocks(page or ""))
             if path is not None:
                 v = votes.setdefault((host, path), [0, 0.0])
                 v[0] += 1
@@ -312,12 +311,30 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         rows = [(h, p, int(n), int(s)) for (h, p), (n, s) in votes.items()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "path", "n", "s"])
 
-    votes = pages.select(url_col, html_col).mapInArrow(by_rows(vote), "host string, path string, n long, s long")
+    hosted = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host IS NOT NULL")
+    votes = hosted.mapInArrow(by_rows(vote), "host string, path string, n long, s long")
     summed = votes.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    return summed.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("s")).alias("s"), "path")).alias("best")).select("host", F.col("best.path").alias("path"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("s")).alias("s"), "path")).alias("best")
+    return summed.groupBy("host").agg(best, F.sum("n").alias("pages")).select("host", F.col("best.path").alias("path"), "pages")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _with_paths(p: DataFrame, paths: DataFrame, most: int) -> DataFrame:
+    """p (id, url, html, host) with the path of its host. Pages are not shuffled while the hosts' paths fit a broadcast.
+
+    Otherwise the paths of hosts with a thousandth of all pages or more, a thousand of them at most, are broadcast, so that
+    no hot host meets in one task, and only the other hosts' pages are shuffled.
+    """
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64).alias("b"), F.sum("pages").alias("n")).first()
+    one = paths.select("host", "path")
+    if (size["b"] or 0) <= most:
+        return p.join(F.broadcast(one), "host", "left")
+    is_hot = F.col("pages") * 1000 >= size["n"]
+    hot = p.join(F.broadcast(paths.where(is_hot).select("host", F.col("path").alias("hot"))), "host", "left")
+    rest = hot.where("hot IS NULL").drop("hot").hint("merge").join(paths.where(~is_hot).select("host", "path"), "host", "left")
+    return hot.where("hot IS NOT NULL").withColumnRenamed("hot", "path").unionByName(rest)
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """id, url, text, n_chars and the path that was used for the host."""
     small_batches(pages.sparkSession)
     id_kind = pages.schema[id_col].dataType.simpleString()
@@ -326,19 +343,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         texts = [text_at(blocks(page or ""), path) for page, path in zip(b.column("html").to_pylist(), b.column("path").to_pylist())]
         return pa.record_batch([b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), b.column("path")], ["id", "url", "text", "n_chars", "host_path"])
 
-    # The host in SQL only deals the rows; both sides take it from the same expression, as the votes' hosts come from urls too.
-    p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    hosts = p.select("id", "url", "html").mapInArrow(by_rows(_with_host), f"id {id_kind}, url string, html string, host string")
-    # Hot hosts: a left join whose large side Spark splits at run time.
-    joined = hosts.join(host_paths(pages, url_col, html_col), "host", "left")
+    p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    paths, _ = kept(host_paths(pages, url_col, html_col), "host-paths")  # small, and read for its size first
+    joined = _with_paths(p, paths, broadcast_bytes)
     return joined.select("id", "url", "html", "path").mapInArrow(by_rows(read), f"id {id_kind}, url string, text string, n_chars long, host_path string").withColumnRenamed("id", id_col)
 
 
-def _with_host(b: pa.RecordBatch) -> pa.RecordBatch:
-    hosts = [host_of(u) for u in b.column(1).to_pylist()]
-    return pa.record_batch([*b.columns, pa.array(hosts, pa.string())], ["id", "url", "html", "host"])
-
-
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
