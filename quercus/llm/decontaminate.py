@@ -6,13 +6,15 @@ shingles. Fingerprints are looked up in an index of eight 8-bit blocks: two fing
 most RADIUS // 8 in some block, so probing that ball in every block finds all of them. What lies within the radius is
 verified by the exact weighted similarity: sums of weight * smaller count over sums of weight * larger count.
 
-Two things are exact by construction. A window that shares no shingle with any item has similarity 0, so only windows
-around shared shingles are fingerprinted. And shingle weights depend on the benchmark alone: the rarer among its items,
-the heavier. At a similarity of 0.8 a bit differs with a probability of 0.152, so a distance over 24 has one of about 1
+Two things are exact by construction. A window that shares no shingle with an item has similarity 0, so only windows
+around shared shingles are fingerprinted, and looked up among the items that share one of the shingles there. And shingle
+weights depend on the benchmark alone: the rarer among its items, the heavier. At a similarity of 0.8 a bit differs with a probability of 0.152, so a distance over 24 has one of about 1
 in 1,000,000.
 
-The benchmark is broadcast in parts of about PART_ITEMS items, each part searched against all documents. Where there are several,
-the counts of all items are made first, and all parts share those of shingles in two items or more (12 bytes each).
+The benchmark is broadcast in parts of about PART_ITEMS items and PART_BYTES bytes, each part searched against all documents. Where
+there are several, the counts of all items are made first, and all parts share those of shingles in two items or more (12
+bytes each, of at most REPEATED; a benchmark with more is refused). A text of any length is searched as a whole, a bounded
+number of windows and items at a time.
 
 Cases: null and empty texts match nothing; an item of fewer than five words has its whole sequence as its one shingle;
 items without words are ignored; items of equal text each match; of the windows of a document that match an item the
@@ -36,7 +38,11 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 WORDS, PERCENT, RADIUS, BLOCKS = 5, 80, 24, 8
-PART_ITEMS, CACHE_WORDS = 20_000, 400_000
+PART_ITEMS, PART_BYTES, CACHE_WORDS = 20_000, 32 << 20, 400_000
+#: Shingles of several items that all parts share, at most.
+REPEATED = 1 << 25
+#: Windows times items that are looked up at once.
+CELLS = 1 << 20
 _TABLE = bytes(ord(" ") if chr(b) in string.punctuation else b for b in range(256))
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BITS = np.arange(64, dtype=np.uint64)
@@ -97,10 +103,11 @@ class Benchmark:
         for k in sorted(set(self.k.tolist())):
             mine = [j for j in range(len(self.items)) if self.k[j] == k]
             keys = np.unique(np.concatenate([self.shingles[j] for j in mine]))
-            owners: list[set[int]] = [set() for _ in keys]  # window lengths of the items that have the shingle
-            for j in mine:
-                for p in np.searchsorted(keys, np.unique(self.shingles[j])).tolist():
-                    owners[p].add(int(self.length[j]))
+            owners: list[dict[int, list[int]]] = [{} for _ in keys]  # of each shingle: window length -> places of its items among those of that length
+            for n in sorted({int(self.length[j]) for j in mine}):
+                for at, j in enumerate(x for x in mine if self.length[x] == n):
+                    for p in np.searchsorted(keys, np.unique(self.shingles[j])).tolist():
+                        owners[p].setdefault(n, []).append(at)
             bitmap = np.zeros(1 << 20, bool)
             bitmap[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             self.by_k[k] = (keys, owners, np.array([self.weight[x] for x in keys.tolist()], np.int32), bitmap)
@@ -154,42 +161,52 @@ class Benchmark:
             at, place = at[hit], place[hit]
             if not len(at):
                 continue
-            by_n: dict[int, list[int]] = {}
+            by_n: dict[int, list[tuple[int, list[int]]]] = {}
             for p, o in zip(at.tolist(), place.tolist()):
-                for n in owners[o]:
-                    by_n.setdefault(n, []).append(p)
+                for n, sharing in owners[o].items():
+                    by_n.setdefault(n, []).append((p, sharing))
             weights = np.full(len(s), self.most, np.int32) if self.repeated is None else self._shared(s)
             weights[at] = key_weights[place]
             for n, hits in by_n.items():
                 self._slide(s, weights, k, n, hits, best)
         return [(j, *v) for j, v in sorted(best.items())]
 
-    def _slide(self, s: np.ndarray, weights: np.ndarray, k: int, n: int, hits: list[int], best: dict) -> None:
+    def _slide(self, s: np.ndarray, weights: np.ndarray, k: int, n: int, hits: list[tuple[int, list[int]]], best: dict) -> None:
         size = min(n - k + 1, len(s))  # shingles in a window
         last = len(s) - size
         mine, blocks, near = self.by_length[k, n]
         i = 0
         while i < len(hits):  # hits whose windows overlap, a bounded number of shingles at a time
-            a, b = max(0, hits[i] - size + 1), min(hits[i], last)
+            a, b = max(0, hits[i][0] - size + 1), min(hits[i][0], last)
+            sharing = set(hits[i][1])
             i += 1
-            while i < len(hits) and hits[i] - size + 1 <= b + 1 and b - a < 4096:
-                b = min(hits[i], last)
+            while i < len(hits) and hits[i][0] - size + 1 <= b + 1 and b - a < 4096:
+                b = min(hits[i][0], last)
+                sharing.update(hits[i][1])
                 i += 1
             if b < a:
                 continue
             starts = np.arange(a, b + 1)
             prints = self.fingerprints(s[a : b + size], weights[a : b + size], starts - a, starts - a + size).view(np.uint8).reshape(-1, BLOCKS)
-            found = np.zeros((len(starts), len(mine)), bool)
-            for block in range(BLOCKS):
-                found |= near[block][prints[:, block]]
-            w, x = np.nonzero(found)
-            ok = _POPCOUNT[prints[w] ^ blocks[x]].sum(1) <= RADIUS
-            for start, j in zip(starts[w[ok]].tolist(), mine[x[ok]].tolist()):
-                both, either = self.similarity(s[start : start + size], j)
-                if 100 * both >= PERCENT * either:
-                    sim = both / either
-                    if j not in best or (-sim, start) < (-best[j][0], best[j][1]):
-                        best[j] = (sim, start, size + k - 1)
+            asked = np.array(sorted(sharing))
+            step = max(1, CELLS // len(starts))
+            for c in range(0, len(asked), step):
+                self._look_up(s, size, size + k - 1, starts, prints, asked[c : c + step], mine, blocks, near, best)
+
+    def _look_up(self, s: np.ndarray, size: int, words: int, starts: np.ndarray, prints: np.ndarray, asked: np.ndarray, mine: np.ndarray, blocks: np.ndarray, near: np.ndarray, best: dict) -> None:
+        """Windows and items that some block of the index brings together, by distance, then by exact similarity."""
+        found = np.zeros((len(starts), len(asked)), bool)
+        for block in range(BLOCKS):
+            found |= near[block][:, asked][prints[:, block]]
+        w, x = np.nonzero(found)
+        x = asked[x]
+        ok = _POPCOUNT[prints[w] ^ blocks[x]].sum(1) <= RADIUS
+        for start, j in zip(starts[w[ok]].tolist(), mine[x[ok]].tolist()):
+            both, either = self.similarity(s[start : start + size], j)
+            if 100 * both >= PERCENT * either:
+                sim = both / either
+                if j not in best or (-sim, start) < (-best[j][0], best[j][1]):
+                    best[j] = (sim, start, words)
 
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_items: int = PART_ITEMS) -> DataFrame:
@@ -219,7 +236,8 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_items: int) -> Iterator:
     """The query set, broadcast in blocks of a checked size that all weigh shingles by the whole set."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
-    parts = max(1, -(-items.count() // part_items))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
+    parts = max(1, -(-size["n"] // part_items), -(-(size["b"] or 0) // PART_BYTES))
     total, repeated = _counts(items) if parts > 1 else (None, None)
     for p in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
@@ -240,7 +258,9 @@ def _counts(items: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
                     found += [None, *np.unique(shingles(h, min(len(h), WORDS))).view(np.int64).tolist()]  # null: the item itself
             yield pa.record_batch([pa.array(found, pa.int64())], ["s"])
 
-    n = items.select("t").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("s IS NULL OR n > 1").toArrow()
+    n = items.select("t").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("s IS NULL OR n > 1").limit(REPEATED + 1).toArrow()
+    if len(n) > REPEATED:
+        raise ValueError(f"more than {REPEATED} shingles stand in several items of the benchmark")
     of_items = n.filter(pa.compute.is_null(n["s"]))["n"].to_pylist()
     n = n.filter(pa.compute.is_valid(n["s"]))
     keys = n["s"].to_numpy().astype(np.int64).view(np.uint64)
