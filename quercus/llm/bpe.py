@@ -3,8 +3,9 @@
 Text is split into pre-tokens; each is encoded by the merge list. From the merge list alone `lookahead()` computes a
 number of bytes L such that text to the right can never change a token that ends L or more bytes before the end of what
 has been read. The transducer therefore holds a window of a few L bytes, emits every token once it is stable and forgets
-it: memory is constant however long a pre-token is. Decoding feeds token bytes to a UTF-8 state machine that gives out
-characters as they become complete.
+it: memory is constant however long a pre-token or a text is. Decoding feeds token bytes to a UTF-8 state machine that gives
+out characters as they become complete; ids and decoded text go into running digests, never into a whole list. All texts take
+this way (`transduce`).
 
 Why L suffices. Apply the merges in order to a string w and to a longer string wx, and let d be the leftmost place from
 which the two can differ; at first d = |w|. Only a merge (u, v) across d moves it, to d - |u|. The token that starts at
@@ -24,7 +25,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ OTHER_LATIN = "\\x00-\\x08\\x0e-\\x1f!-/:-@\\[-`{-\\x84\\x86-\\x9f\\xa1-\\xa9\\x
 CACHE_WORDS, CACHE_CHARS = 250_000, 64
 #: Characters that the transducer takes at once.
 CHUNK = 1 << 16
-#: Characters of texts whose new pre-tokens are encoded together.
+#: Characters of chunks whose new pre-tokens are encoded together.
 SLICE_CHARS = 2_000_000
 _NO_RANK = 1 << 60
 
@@ -183,50 +184,57 @@ class Bpe:
             ids, of = ids[stay], of[stay]
         return [x or [] for x in out]
 
-    def encode_many(self, texts: list[str]) -> list[list[str]]:
-        """The ids of each text in groups, as emitted: strings to be joined by commas. New pre-tokens are encoded together."""
-        out: list[list[str]] = []
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_CHARS):
-                size += len(texts[end])
-                end += 1
-            part = texts[at:end]
-            if size <= SLICE_CHARS:
-                plain = [len(t) <= CHUNK and not (self.split_special and self.split_special.search(t)) for t in part]
-                words = [pretokens(t) if ok else None for t, ok in zip(part, plain)]
-                self.cache.learn(w for w in words if w)
-                out += [list(map(self.cache.__getitem__, w)) if w is not None else self._streamed(t) for t, w in zip(part, words)]
-            else:
-                out += map(self._streamed, part)
-            at = end
-        return out
-
-    def _streamed(self, text: str) -> list[str]:
-        return [x] if (x := self.encode_text(text)) else []
-
     def encode_text(self, text: str) -> str:
         """Decimal ids of a whole text, joined by commas."""
-        parts, at = [], 0
-        for m in self.split_special.finditer(text) if self.split_special else ():
-            parts += [self._plain(text[at : m.start()]), str(self.special[m[0]])]
-            at = m.end()
-        parts.append(self._plain(text[at:] if at else text))
-        return ",".join(filter(None, parts))
-
-    def _plain(self, text: str) -> str:
-        if len(text) <= CHUNK:
-            return ",".join(map(self.cache.__getitem__, pretokens(text)))
-        t = Transducer(self)
-        out = [t.feed(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        return ",".join(filter(None, [*out, t.finish()]))
+        out: list[str] = []
+        transduce(self, [text], lambda _, groups: out.extend(groups))
+        return ",".join(out)
 
     def decode_bytes(self, groups: list[str]) -> bytes:
         """The bytes of ids that come in groups; short groups are remembered."""
         return b"".join(map(self.group_bytes.__getitem__, groups))
 
 
+def _segments(bpe: Bpe, text: str) -> Iterator[tuple[str | None, str, bool]]:
+    """(special token's id or None, characters, whether the transducer ends with them): the text in chunks."""
+    at = 0
+    for m in bpe.split_special.finditer(text) if bpe.split_special else ():
+        for i in range(at, m.start(), CHUNK):
+            yield None, text[i : min(i + CHUNK, m.start())], i + CHUNK >= m.start()
+        yield str(bpe.special[m[0]]), "", True
+        at = m.end()
+    for i in range(at, len(text), CHUNK):
+        yield None, text[i : i + CHUNK], i + CHUNK >= len(text)
+
+
+def transduce(bpe: Bpe, texts: list[str], emit: Callable[[int, list[str]], None]) -> None:
+    """Encode every text by a transducer of its own; emit(text's place, groups of ids) gets the tokens once they are stable.
+
+    The texts go on side by side, a chunk each in a round, so that the new pre-tokens of a round are encoded together. What
+    is held is a slice of at most SLICE_CHARS characters of chunks, and each transducer's unfinished end.
+    """
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + min(CHUNK, len(texts[end])) <= SLICE_CHARS):
+            size += min(CHUNK, len(texts[end]))
+            end += 1
+        live = [(i, Transducer(bpe), _segments(bpe, texts[i])) for i in range(at, end)]
+        while live:
+            steps, still = [], []
+            for i, machine, chunks in live:
+                if (step := next(chunks, None)) is not None:
+                    special, chunk, last = step
+                    steps.append((i, [special], []) if special else (i, *machine.split(chunk, last)))
+                    still.append((i, machine, chunks))
+            bpe.cache.learn(words for _, _, words in steps)
+            for i, ready, words in steps:
+                if groups := [*ready, *map(bpe.cache.__getitem__, words)]:
+                    emit(i, groups)
+            live = still
+        at = end
+
+
 class _Pairs:
     """The merges as an open hash table in arrays: rank and merged token of many pairs at once."""
 
@@ -353,28 +361,38 @@ class Run:
 
 
 class Transducer:
-    """Text in chunks to ids. Holds the last unfinished pre-token, or the window of one that outgrew CHUNK."""
+    """Text in chunks to pre-tokens that are over. Holds the last unfinished pre-token, or the window of one that outgrew CHUNK.
+
+    A pre-token no longer than the window is one step of the transducer, whose output is the same wherever the pre-token
+    stands and is therefore remembered; a longer one goes through `Run`, which emits its tokens once they are stable.
+    """
 
     def __init__(self, bpe: Bpe) -> None:
         self.bpe, self.held, self.run, self.cls = bpe, "", None, None
 
-    def feed(self, chunk: str) -> str:
-        out: list[str] = []
-        text = self.held + chunk
+    def split(self, chunk: str, last: bool) -> tuple[list[str], list[str]]:
+        """(ids that are ready, pre-tokens that follow them) after one more chunk; after the last one nothing is held."""
+        ready: list[str] = []
+        text = self.held + chunk if self.held else chunk
         self.held = ""
         if self.run is not None:
-            text = self._go_on(text, out)
-            if self.run is not None:
-                return ",".join(filter(None, out))
+            text = self._go_on(text, ready)
+        if self.run is not None:
+            if last:
+                ready += map(str, [*self.run.feed(self.held.encode()), *self.run.finish()])
+                self.held, self.run = "", None
+            return ready, []
         words = pretokens(text)
+        if last:
+            return ready, words
         # The last pre-token may go on; one before it too, as white space gives its last character to what follows.
         back = 2 if len(words) > 1 else 1
-        done, rest = words[:-back], "".join(words[-back:])
-        out += map(self.bpe.cache.__getitem__, done)
-        self.held = rest
-        if len(rest) >= CHUNK:
-            self._open(out)
-        return ",".join(filter(None, out))
+        done, self.held = words[:-back], "".join(words[-back:])
+        if len(self.held) >= CHUNK:
+            ready += map(self.bpe.cache.__getitem__, done)
+            done = []
+            self._open(ready)
+        return ready, done
 
     def _open(self, out: list[str]) -> None:
         """The held text is long: stream its last pre-token."""
@@ -412,24 +430,32 @@ class Transducer:
         self.run = None
         return text[max(0, n - 1) :] if self.cls == 3 else text[n:]
 
-    def finish(self) -> str:
-        out: list[str] = []
-        if self.run is not None:
-            out += map(str, [*self.run.feed(self.held.encode()), *self.run.finish()])
-        else:
-            out += map(self.bpe.cache.__getitem__, pretokens(self.held))
-        self.held, self.run = "", None
-        return ",".join(filter(None, out))
 
+class Sink:
+    """What becomes of a text's tokens as they are emitted: their number, the ids, and the text decoded from them, or the digests of both."""
 
-def decoded(pieces: Iterable[bytes]) -> Iterator[str]:
-    """Token bytes to text, by a state machine that holds an unfinished character only; broken bytes become U+FFFD."""
-    machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
-    for x in pieces:
-        if s := machine.decode(x):
-            yield s
-    if s := machine.decode(b"", final=True):
-        yield s
+    def __init__(self, bpe: Bpe, keep: bool) -> None:
+        self.bpe, self.keep, self.n = bpe, keep, 0
+        self.machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
+        self.ids, self.text = ([], []) if keep else (hashlib.sha256(), hashlib.sha256())
+
+    def add(self, groups: list[str]) -> None:
+        joined = ",".join(groups)
+        decoded = self.machine.decode(self.bpe.decode_bytes(groups))
+        if self.keep:
+            self.ids.append(joined)
+            self.text.append(decoded)
+        else:
+            self.ids.update(("," + joined if self.n else joined).encode())
+            self.text.update(decoded.encode())
+        self.n += joined.count(",") + 1
+
+    def finish(self) -> tuple[int, str, str]:
+        rest = self.machine.decode(b"", final=True)
+        if self.keep:
+            return self.n, ",".join(self.ids), "".join([*self.text, rest])
+        self.text.update(rest.encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
 
 
 _loaded: dict[str, Bpe] = {}
@@ -464,20 +490,11 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe = loaded(spec.value)
-        counts, ids, texts = [], [], []
-        for groups in bpe.encode_many([t or "" for t in b.column(1).to_pylist()]):
-            joined, pieces = ",".join(groups), bpe.decode_bytes(groups)
-            if keep_texts:
-                ids.append(joined)
-                texts.append("".join(decoded((pieces[i : i + CHUNK] for i in range(0, len(pieces), CHUNK)))))
-            else:
-                h = hashlib.sha256()
-                for s in decoded(pieces[i : i + CHUNK] for i in range(0, len(pieces), CHUNK)):
-                    h.update(s.encode())
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                texts.append(h.hexdigest())
-            counts.append(joined.count(",") + 1 if joined else 0)
-        return pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], [id_col, "n_tokens", names[0], names[1]])
+        texts = [t or "" for t in b.column(1).to_pylist()]
+        sinks = [Sink(bpe, keep_texts) for _ in texts]
+        transduce(bpe, texts, lambda i, groups: sinks[i].add(groups))
+        counts, ids, decoded = zip(*(x.finish() for x in sinks))
+        return pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", names[0], names[1]])
 
     names = ("ids", "decoded") if keep_texts else ("ids_sha256", "decoded_sha256")
     return docs.select(id_col, text_col).mapInArrow(by_rows(run), f"`{id_col}` {kind}, n_tokens long, {names[0]} string, {names[1]} string")

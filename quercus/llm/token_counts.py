@@ -7,7 +7,9 @@ documents of at most n tokens. `context_report` answers any context limit from t
 
 The suffix sums run in two levels, within blocks of lengths and over the few blocks, so no task gets all lengths.
 
-Cases: null and empty texts have length 0 and count as documents; an empty table gives no rows; repeated rows count each.
+Cases: null and empty texts have length 0 and count as documents; a text of any length is encoded as a whole, its tokens only
+counted; documents of equal length share a row; repeated rows count each; an empty table gives no rows; columns other than
+the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import loaded, tokenizer_spec
+from .bpe import loaded, tokenizer_spec, transduce
 from .common import by_rows, kept, small_batches, table
 
 #: Lengths in one block of the suffix sums.
-BLOCK = 4096
+BLOCK = 256
 
 
 def token_lengths(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -31,10 +33,14 @@ def token_lengths(docs: DataFrame, text_col: str = "text", path: str | None = No
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_spec(path))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = loaded(spec.value)
-        found = bpe.encode_many([t or "" for t in b.column(0).to_pylist()])
+        counts = [0] * b.num_rows
         commas = operator.methodcaller("count", ",")
-        return pa.record_batch([pa.array([sum(map(commas, g)) + len(g) for g in found], pa.int64())], ["n_tokens"])
+
+        def add(i: int, groups: list[str]) -> None:
+            counts[i] += sum(map(commas, groups)) + len(groups)
+
+        transduce(loaded(spec.value), [t or "" for t in b.column(0).to_pylist()], add)
+        return pa.record_batch([pa.array(counts, pa.int64())], ["n_tokens"])
 
     return docs.select(text_col).mapInArrow(by_rows(run), "n_tokens long")
 
@@ -62,14 +68,20 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def context_report(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents that fit, documents that are cut, and tokens kept. Limits need not occur as lengths."""
-    asked = hist.sparkSession.createDataFrame([(int(x),) for x in limits], "context long")
-    one = hist.crossJoin(F.broadcast(asked))  # as many rows as limits for each length: the limits are the caller's short list
-    n, c = F.col("n_tokens"), F.col("context")
-    return one.groupBy("context").agg(
-        F.sum(F.when(n <= c, F.col("n_docs")).otherwise(0)).alias("docs_that_fit"), F.sum(F.when(n > c, F.col("n_docs")).otherwise(0)).alias("docs_cut"),
-        F.sum(F.least(n, c) * F.col("n_docs")).alias("tokens_kept"),
-    )
+    """For each context limit: documents that fit, documents that are cut, and tokens kept. Limits need not occur as lengths.
+
+    Read from the suffix sums of the next length above a limit: one pass over the histogram, whatever the limits. Without
+    documents every figure is 0; repeated limits have one row.
+    """
+    limits = sorted({int(x) for x in limits})
+    above = [F.min(F.when(F.col("n_tokens") > c, F.struct("n_tokens", "docs_at_least", "tokens_at_least"))).alias(f"c{i}") for i, c in enumerate(limits)]
+    one = hist.agg(F.max("docs_at_least").alias("docs"), F.max("tokens_at_least").alias("tokens"), *above)
+    rows = []
+    for i, c in enumerate(limits):
+        cut, beyond = (F.coalesce(F.col(f"c{i}.{x}"), F.lit(0)) for x in ("docs_at_least", "tokens_at_least"))
+        docs, tokens = F.coalesce("docs", F.lit(0)), F.coalesce("tokens", F.lit(0))
+        rows.append(F.struct(F.lit(c).cast("long").alias("context"), (docs - cut).alias("docs_that_fit"), cut.alias("docs_cut"), (tokens - beyond + cut * c).alias("tokens_kept")))
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
