@@ -23,33 +23,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds."""
+    """Bound what one Arrow batch holds. The setting is the session's and is read when a job starts, so it stays changed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def pin_splits(spark: SparkSession) -> None:
-    """Keep the splits of a table's files the same from one pass to the next, also if executors come or go."""
+    """Keep the splits of a table's files the same from one pass to the next, also if executors come or go. The setting stays changed."""
     if not spark.conf.get("spark.sql.files.minPartitionNum", None):
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
-def by_folder(path: str, column: str, value: int, columns: list[str] | None = None) -> list[dict]:
-    """For executors: the rows of one partition folder of a table in the shared folder."""
+def by_folder(path: str, column: str, value: int, columns: list[str] | None = None, filters: list | None = None) -> list[dict]:
+    """For executors: the rows of one partition folder of a table in the shared folder; filters skip row groups."""
     import pyarrow.parquet as pq
     from pyarrow import fs as pafs
 
     fs, base = file_system(path)
     files = [x.path for x in fs.get_file_info(pafs.FileSelector(f"{base}/{column}={value}", allow_not_found=True)) if x.path.endswith(".parquet")]
-    return [r for f in sorted(files) for r in pq.read_table(fs.open_input_file(f), columns=columns).to_pylist()]
+    return [r for f in sorted(files) for r in pq.read_table(fs.open_input_file(f), columns=columns, filters=filters).to_pylist()]
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application under spark.checkpoint.dir, which all executors see.
 
-    Only where that setting is unset (as in tests on one machine) a local folder serves.
+    Only where that setting is unset and everything runs on one machine, as in tests, a local folder serves; a cluster without it is
+    an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + posixpath.join(tempfile.gettempdir(), "checkpoints")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(top)
