@@ -2,14 +2,16 @@
 
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples of an 8-bit grey PNG image 64
 samples wide. Each distinct image is stored once, in a tar shard in the shared folder, under its payload's SHA-256. An
-index has digest, shard, offset and length of each; rows carry only that. Metadata columns come from range reads of the
-first bytes of a member (`header_columns`); `features` reads whole members back and computes digests and features.
+index has digest, shard, offset and length of each; rows carry only that. The metadata columns (width, height, depth, n_bytes)
+come from range reads of the first bytes of a member alone (`header_columns`); `features` reads whole members back and
+computes digests and features.
 
 Only digests are shuffled, never texts or images. A shard's name has its task and attempt, and the index is written before it is used: a lost executor's shards are only
 garbage, and no row refers to them.
 
-Cases: null is the empty text, whose payload is 64 zero bytes; equal texts share a member and all values; a null id is
-kept; an empty table gives no rows and no shards; other columns are ignored.
+Cases: null is the empty text, whose payload is 64 zero bytes; a text of any length is one member, held whole by the task that
+writes or reads it; equal texts and repeated rows share a member and all values; a null id is kept; an empty table gives no
+rows and no shards; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -174,7 +176,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
 
 def _read(index: DataFrame, folder: str, fn, schema: str, names: list[str], whole: bool) -> DataFrame:
-    """fn(bytes) for each member, or for its header only, in the order of the shards."""
+    """fn(bytes) for each member, or for its header only; a shard is read by one task, from its start to its end."""
     types = pa.schema([(n, {"long": pa.int64(), "string": pa.string()}[t]) for n, t in (x.split() for x in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +196,9 @@ def _read(index: DataFrame, folder: str, fn, schema: str, names: list[str], whol
         if f is not None:
             f.close()
 
-    return index.mapInArrow(run, f"digest binary, n_bytes long, media_bytes long, {schema}")
+    # The index's own files are few and small: its rows are dealt by shard, which are of about equal bytes.
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.repartition(n, "shard").sortWithinPartitions("shard", "offset").mapInArrow(run, f"digest binary, n_bytes long, media_bytes long, {schema}")
 
 
 def header_columns(index: DataFrame, folder: str) -> DataFrame:
@@ -204,27 +208,27 @@ def header_columns(index: DataFrame, folder: str) -> DataFrame:
         h = png_header(head)
         return h["width"], h["height"], h["depth"], h["n_bytes"]
 
-    return _read(index, folder, fn, "width long, height long, depth long, header_n_bytes long", ["width", "height", "depth", "header_n_bytes"], False)
+    return _read(index, folder, fn, "width long, height long, depth long, header_n_bytes long", ["width", "height", "depth", "header_n_bytes"], False).drop("media_bytes")
 
 
 def features(index: DataFrame, folder: str) -> DataFrame:
     """Digests and features of every member, from its stored bytes."""
 
     def fn(png: bytes) -> tuple:
-        h, payload = png_header(png[:HEADER_BYTES]), from_png(png)
-        return h["width"], h["height"], hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(png).hexdigest(), feature_of(payload), len(payload)
+        payload = from_png(png)
+        return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(png).hexdigest(), feature_of(payload), len(payload)
 
-    names = ["width", "height", "payload_sha256", "tail_crc32", "media_sha256", "feature", "payload_bytes"]
-    return _read(index, folder, fn, "width long, height long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string, payload_bytes long", names, True)
+    names = ["payload_sha256", "tail_crc32", "media_sha256", "feature", "payload_bytes"]
+    return _read(index, folder, fn, "payload_sha256 string, tail_crc32 long, media_sha256 string, feature string, payload_bytes long", names, True)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "media-shards")
     rows, index = store(table(spark, sf_dir, "documents"), folder)
-    found = features(index, folder)
+    found = features(index, folder).drop("n_bytes").join(header_columns(index, folder).drop("n_bytes"), "digest")
     missing = F.when(F.col("media_bytes").isNull(), F.raise_error(F.lit("a row's image isn't stored: the input changed between the two passes")))
     return rows.join(found, "digest", "left").withColumn("media_bytes", F.coalesce("media_bytes", missing)).select(
-        F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
+        F.col("id").alias("doc_id"), F.col("header_n_bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth"
     )
 
 
