@@ -2,7 +2,8 @@
 
 Payload bytes are stored once per verified SHA-256 digest (the blob table); the exact header block of every record is
 kept apart (the record table); joining both on the digest gives back the original WARC records, byte for byte. Both
-tables are Parquet. All of it is DataFrame expressions.
+tables are Parquet. All of it is DataFrame expressions. The pages have no HTTP headers, so a record's block is the payload
+itself; a revisit's block is empty, and its header names its profile and the record that it refers to.
 
 Cases: a null html is the empty payload; a null url leaves the target header out; a null page_id sorts last among equal
 payloads and gets an identifier of its own. Rows that are equal in page_id, url and payload are kept as separate records
@@ -19,6 +20,8 @@ from .common import new_folder, table
 
 CRLF = "\r\n"
 WARC_DATE = "2026-01-01T00:00:00Z"
+#: Fixed value: the standard's name for a revisit of an identical payload.
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_of_hex(h: Column) -> Column:
@@ -48,17 +51,24 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
     is_first = (F.col("copy") == 0) & F.col("first").eqNullSafe(rank)
     response = is_first | (F.col("payload_bytes") < min_revisit_bytes)
     refers = F.when(~response, F.col("first.i"))
+    url_key = lambda u, copy: F.concat_ws("|", copy, F.coalesce(u, F.lit("\0")), "digest")
+    original = _record_id(F.col("first.i"), url_key(F.col("first.u"), F.lit("0")), "record")
     sha = F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1")))
     # Control characters cannot stand in a header line.
-    target = F.regexp_replace("url", "[\\x00-\\x20\\x7f]", "%20")
+    as_target = lambda u: F.regexp_replace(u, "[\\x00-\\x20\\x7f]", "%20")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(response, F.lit("response")).otherwise(F.lit("revisit"))),
-        F.concat(F.lit("WARC-Record-ID: <"), _record_id(F.col("page_id"), F.concat_ws("|", "copy", F.coalesce("url", F.lit("\0")), "digest"), "record"), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <"), _record_id(F.col("page_id"), url_key(F.col("url"), F.col("copy").cast("string")), "record"), F.lit(">")),
         F.lit(f"WARC-Date: {WARC_DATE}"),
-        F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), target)),
+        F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), as_target(F.col("url")))),
         F.concat(F.lit("WARC-Payload-Digest: "), sha),
-        F.concat(F.lit("WARC-Block-Digest: sha256:"), F.col("digest")),
+        F.when(response, F.concat(F.lit("WARC-Block-Digest: "), sha)),
+        F.when(~response, F.lit(f"WARC-Profile: {REVISIT_PROFILE}")),
+        F.when(~response, F.concat(F.lit("WARC-Refers-To: <"), original, F.lit(">"))),
+        F.when(~response & F.col("first.u").isNotNull(), F.concat(F.lit("WARC-Refers-To-Target-URI: "), as_target(F.col("first.u")))),
+        F.when(~response, F.lit(f"WARC-Refers-To-Date: {WARC_DATE}")),
+        F.when(response, F.lit("Content-Type: text/html; charset=utf-8")),
         F.when(F.col("page_id").isNotNull(), F.concat(F.lit("X-Page-ID: "), F.col("page_id").cast("string"))),
         F.when(refers.isNotNull(), F.concat(F.lit("X-Refers-To-Page: "), refers.cast("string"))),
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
@@ -74,8 +84,10 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
     blobs.dropDuplicates(["digest", "w"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/blobs")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """digest, header and payload of every record, with what the header says; payloads are checked against their digest."""
+def read_archive(spark: SparkSession, path: str, page_id_type: str = "bigint") -> DataFrame:
+    """digest, header and payload of every record, with what the header says; payloads are checked against their digest.
+
+    Headers hold page_id as text; page_id_type is the type it had."""
     blobs = spark.read.parquet(f"{path}/blobs")
     checked = blobs.select(
         "digest",
@@ -89,9 +101,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         records.join(facts, "digest", "left")
         .withColumn("missing", F.when(F.col("payload_bytes").isNull(), F.raise_error(F.lit("a record's payload is missing"))))
         .select(
-            F.expr("try_cast(nullif(regexp_extract(text, '\\r\\nX-Page-ID: ([^\\r]*)\\r\\n', 1), '') as bigint)").alias("page_id"),
+            F.expr(f"try_cast(nullif(regexp_extract(text, '\\r\\nX-Page-ID: ([^\\r]*)\\r\\n', 1), '') as {page_id_type})").alias("page_id"),
             "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"),
-            F.expr("try_cast(nullif(regexp_extract(text, '\\r\\nX-Refers-To-Page: ([^\\r]*)\\r\\n', 1), '') as bigint)").alias("refers_to"),
+            F.expr(f"try_cast(nullif(regexp_extract(text, '\\r\\nX-Refers-To-Page: ([^\\r]*)\\r\\n', 1), '') as {page_id_type})").alias("refers_to"),
             "digest",
             F.concat(F.lit("sha1:"), F.col("payload_digest")).eqNullSafe(field("WARC-Payload-Digest")).alias("verified"),
         )
