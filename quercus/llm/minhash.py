@@ -11,10 +11,14 @@ No pair is expanded within a group, and none is dropped:
 2. In every bucket (band key) the smallest member is paired with each other member: as many pairs as rows.
 3. Verified pairs are joined to components, by alternating large and small stars.
 4. A bucket whose members then lie in several components can hide links between members that are not the smallest.
-   Its members meet in square tiles of bounded size; pairs of different components whose lengths and sketches allow the
-   similarity (agreement within 6 standard deviations of it) are asked about in the first band that both sides share.
-   The texts of a tile's members come to it once, and what is connected already isn't compared. Then the components are
-   joined again.
+   Up to SQUARE members meet in one tile: pairs of different components whose lengths and sketches allow the similarity
+   (agreement within 6 standard deviations of it) are asked about in the first band that both sides share. The texts of a
+   tile's members come to it once, and what is connected already isn't compared.
+5. The members of larger buckets, which boilerplate fills, are not compared with each other but dealt anew, exactly: two
+   sets at similarity s share one of the rarest n - ceil(s * n) + 1 shingles of either, rarest by any order that is the same
+   for all. The order is by a bounded table of counts (CELLS), so shingles of boilerplate come last. Groups of a common rare
+   shingle with several components are then tiles as in 4; only groups still over SQUARE are cut into several square tiles.
+   Then the components are joined again.
 
 With 32 bands of 5 a pair at similarity 0.8 shares no band with a probability of 3 in a million.
 
@@ -43,6 +47,8 @@ from .common import by_rows, delete, kept, small_batches, table, utf8
 T, R = 160, 5
 #: Pairs of one left side that a task verifies, and the rows of one side of a square block.
 DEALT, SQUARE = 64, 512
+#: Counters of the table that tells rare shingles from frequent ones, a power of two.
+CELLS = 1 << 22
 CACHE_WORDS = 400_000
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -186,7 +192,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _tiles(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components of each bucket that lengths and sketches allow, by square tiles: one row for each member
     of a tile that has such a pair, with the members it is to be compared with, most alike first. A pair belongs to the
-    first band that its sides share. rows: band, key, m (size), id, n, component, coords."""
+    first band that its sides share. rows: band (-1: none), key, m (size), id, n, component, coords."""
     kind = rows.schema["id"].dataType.simpleString()
     sides = F.greatest(F.lit(1), F.ceil(F.col("m") / SQUARE)).cast("int")
     dealt = rows.withColumn("sides", sides).withColumn("i", F.pmod(F.xxhash64("id"), F.col("sides").cast("long")).cast("int"))
@@ -217,7 +223,9 @@ def _tiles(rows: DataFrame, percent: int) -> DataFrame:
                 continue
             same = coords[y] == coords[x]
             agree = same.sum(1)
-            ok = (agree >= least) & (same.reshape(len(y), -1, R).all(2).argmax(1) == band)
+            ok = agree >= least
+            if band >= 0:
+                ok &= same.reshape(len(y), -1, R).all(2).argmax(1) == band
             y, agree = y[ok], agree[ok]
             if len(y):
                 used[x] = used[y] = True
@@ -297,6 +305,45 @@ def _tile_links(tiles: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _rare_groups(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Groups of the members of large buckets by common rare shingles: key, m (size), id, component. members: id, component."""
+    spark = members.sparkSession
+    kind = members.schema["id"].dataType.simpleString()
+    shift = np.uint64(64 - (CELLS.bit_length() - 1))
+    mine, path = kept(members.hint("merge").join(texts, "id"), "large-buckets")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = [shingles(t, k) >> shift for t in utf8(b.column(0))]
+            found, n = np.unique(np.concatenate(cells), return_counts=True)
+            yield pa.record_batch([pa.array(found.astype(np.int64)), pa.array(n)], ["cell", "n"])
+
+    counted = mine.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    table_of = np.zeros(CELLS, np.int64)
+    table_of[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    sent = spark.sparkContext.broadcast(table_of)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        for b in batches:
+            at, keys = [], []
+            for i, t in enumerate(utf8(b.column(2))):
+                s = shingles(t, k)
+                first = len(s) - -(-percent * len(s) // 100) + 1
+                s = s[np.lexsort((s, counts[(s >> shift).astype(np.int64)]))[:first]]
+                at.append(np.full(len(s), i))
+                keys.append(s)
+            at = pa.array(np.concatenate(at))
+            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(at), b.column(1).take(at)], ["key", "id", "component"])
+
+    rows, rows_path = kept(mine.select("id", "component", "text").mapInArrow(rare, f"key long, id {kind}, component {kind}"), "rare-shingles")
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
+    groups, _ = kept(rows.join(mixed.select("key", "m"), "key"), "rare-groups")
+    delete(spark, path)
+    delete(spark, rows_path)
+    return groups
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of docs."""
     spark = docs.sparkSession
@@ -316,8 +363,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     # Buckets with several components.
     named = full.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    rows = named.join(mixed, "key", "left_semi").join(rep.select("id", "coords"), "id")
-    tiles, tile_path = kept(_tiles(rows, percent), "tiles")
+    rows, rows_path = kept(named.join(mixed, "key", "left_semi"), "mixed-buckets")
+    large = rows.where(F.col("m") > SQUARE).select("id", "component").distinct()
+    asked = rows.where(F.col("m") <= SQUARE).select("band", "key", "m", "id", "n", "component")
+    if not large.isEmpty():
+        groups = _rare_groups(large, texts, k, percent).join(rep.select("id", "n"), "id")
+        asked = asked.unionByName(groups.select(F.lit(-1).alias("band"), "key", "m", "id", "n", "component"))
+    tiles, tile_path = kept(_tiles(asked.join(rep.select("id", "n", "coords"), ["id", "n"]), percent), "tiles")
+    delete(spark, rows_path)
     two, two_path = kept(_tile_links(tiles, texts, k, percent), "links")
     delete(spark, tile_path)
     if not two.isEmpty():
