@@ -436,3 +436,176 @@ def test_decontamination_in_parts(spark):
     got = [sorted(map(tuple, decontaminate.search(docs, bench, part_items=n).collect())) for n in (1000, 20, 5)]
     assert got[0] and any(x[2] < 0.85 for x in got[0]) and got[1] == got[0] and got[2] == got[0]
     assert decontaminate.without(docs, bench, part_items=5).count() == decontaminate.without(docs, bench).count()
+
+
+# --- whole contracts beside neighbours, sizes and orders ---
+def test_quality_of_a_text_depends_on_nothing_beside_it(spark, real):
+    model = quality.fit(real, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [b"hello world this is a short text", b"next", b"", b"\n" * 200, b"  a b", b"x" * 5000 + b" y  \n ", "größe ".encode() * 500] + [r.text.encode() for r in real.limit(20).collect()]
+    alone = [model.score_texts([t])[0] for t in texts]
+    r = random.Random(1)
+    for _ in range(10):
+        order = [r.randrange(len(texts)) for _ in range(40)]
+        assert np.array_equal(model.score_texts([texts[i] for i in order]), [alone[i] for i in order])
+
+
+def test_quality_learns_from_a_bounded_part_of_long_texts(spark):
+    rows = [(1, "good words here. " * 40_000), (1, "other text"), (2, "|| $$ 99 " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert model.w is not None and len(quality._spread(np.zeros((10**5, 3)))) == quality.SAMPLE_PASSAGES
+    assert quality.score(docs, model).count() == 3
+
+
+def test_the_host_decides_in_spark(spark):
+    """Pages that by themselves would be read at another place, on a host whose other pages vote; with and without a broadcast."""
+    prose, side = "the story goes on here " * 12, "another block of text " * 20
+    page = lambda a, b: f"<body><div class='story-x'><p>{a}</p></div><div class='y'><a href=1>{b}</a></div></body>"
+    odd = f"<body><div class='story-x'><p>{prose}</p></div><div class='y'><p>{side}</p><p>{side}</p></div><div class='z'><a href=1>{side}</a></div></body>"
+    rows = [(i, f"https://User@Host.example:80/{i}", page(prose, side)) for i in range(6)] + [(6, "http://host.example/6", odd), (7, "http://other.example/", odd)]
+    rows += [(10 + i, f"http://h{i}.example/", page(prose, side)) for i in range(5)] + [(20, None, odd)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = [{r.page_id: r.text for r in html_extract.extract(pages, broadcast_bytes=n).collect()} for n in (1 << 20, 0)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert got[0][6] == prose.strip() and side.strip() in got[0][7] and side.strip() in got[0][20]
+    plan = html_extract.extract(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(host" not in plan
+
+
+def test_host_of(spark):
+    urls = {"http://A.example/x": "a.example", "https://u:p@b.example:8080/": "b.example", "//c.example?x": "c.example", "http://[::1]:80/": "[::1]", "/path": None, "mailto:x@y": None, "": None, None: None}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", html_extract.host_of(F.col("u")).alias("h")).collect()
+    assert {r.u: r.h for r in rows} == urls
+
+
+def test_links_in_large_buckets(spark, monkeypatch):
+    """Boilerplate of two thirds fills buckets with documents that aren't alike; some beside them are."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    boiler = [r.choice(words) for _ in range(60)]
+    rows = []
+    for _ in range(150):
+        own = [r.choice(words) for _ in range(34)]
+        for _ in range(r.choice([1, 1, 2, 3])):
+            t = boiler + own
+            for _ in range(r.randint(0, 4)):
+                t[r.randrange(len(t))] = r.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    r.shuffle(rows)
+    want = plain_components(sets_of(rows, 2))
+    calls = []
+    rare = minhash._rare_groups
+    monkeypatch.setattr(minhash, "_rare_groups", lambda *x: calls.append(1) or rare(*x))
+    monkeypatch.setattr(minhash, "SQUARE", 16)
+    assert {x.doc_id: x.component_id for x in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()} == want
+    assert calls
+
+
+def own_similarity(doc, item, k, weight, total):
+    """The largest weighted similarity of an item to the windows of its length, from words."""
+    import string
+
+    clean = lambda t: t.casefold().translate({ord(c): " " for c in string.punctuation}).split()
+    w, v = clean(doc), clean(item)
+    k = min(k, len(v))
+    grams = lambda x: [tuple(x[i : i + k]) for i in range(len(x) - k + 1)]
+    size, best = len(v), 0.0
+    b = collections.Counter(grams(v))
+    for at in range(max(1, len(w) - size + 1)):
+        a = collections.Counter(grams(w[at : at + size]))
+        of = lambda g: weight.get(g, total)
+        both, either = sum(min(a[g], b[g]) * of(g) for g in a), sum(max(a[g], b[g]) * of(g) for g in a.keys() | b.keys())
+        best = max(best, both / either if either else 0.0)
+    return best
+
+
+def test_decontamination_by_its_own_measure(spark):
+    """400 items with a lead in common; edited copies; the rows are the same for every part size, and those of a measure of its own."""
+    r = random.Random(21)
+    words = [f"v{i}" for i in range(900)]
+    lead = [r.choice(words) for _ in range(8)]
+    items = [(i, " ".join(lead + [r.choice(words) for _ in range(56)])) for i in range(400)]
+    docs = []
+    for i, t in items[:60]:
+        w = t.split()
+        for _ in range(i % 4):
+            w[r.randrange(len(w))] = "neu"
+        docs.append((i, " ".join([r.choice(words) for _ in range(6)] + w + [r.choice(words) for _ in range(6)])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(tuple(x) for x in decontaminate.search(d, b, part_items=n).collect()) for n in (10_000, 100, 37)]
+    assert got[0] == got[1] == got[2]
+    count = collections.Counter(g for _, t in items for g in {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)})
+    of = lambda n: 1 + round(4 * np.log2(1 + len(items) / n))
+    weight, most = {g: of(n) for g, n in count.items()}, of(1)
+    want = {(i, j) for i, t in docs for j, x in items[:60] if own_similarity(t, x, 5, weight, most) >= 0.8}
+    assert {x[:2] for x in got[0]} == want and len(want) > 25
+    assert all(abs(x[2] - own_similarity(dict(docs)[x[0]], dict(items)[x[1]], 5, weight, most)) < 1e-9 for x in got[0])
+
+
+def test_decontamination_in_small_steps(monkeypatch, spark):
+    bench = [(b.item_id, b.text) for b in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    texts = [decontaminate.word_hashes(f"x y {t} z {u}") for (_, t), (_, u) in zip(bench, bench[1:])]
+    B = decontaminate.Benchmark(bench)
+    want = [B.matches(h) for h in texts]
+    monkeypatch.setattr(decontaminate, "CELLS", 7)
+    assert [B.matches(h) for h in texts] == want and all(want)
+
+
+def test_lm_block_ends_with_its_text(monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 10)
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    b = pa.record_batch([pa.array(range(9)), pa.array(["a b c"] * 8 + ["w " * 50]), pa.array([False] * 9)], ["id", "text", "held_out"])
+    found = list(lm._blocks(iter([b, b]), 2))
+    assert [n for n, _, _ in found] == [(3 << 24) + i for i in range(len(found))] and all(len(x.lengths) <= 3 for _, _, x in found)
+    assert [i for _, ids, _ in found for c, _ in ids for i in c.to_pylist()] == [*range(9), *range(9)]
+
+
+def test_lm_machine_walks_alike(monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcde") for _ in range(r.randint(0, 30))).encode() for _ in range(60)] + [b"a b " * 300, b""]
+    train = [r.random() < 0.7 for _ in texts]
+    for order in (1, 2, 3, 4):
+        block = lm.Block([lm.tokens(t) for t in texts], train, order)
+        n, v = int(block.counts[0].sum()), int((block.counts[0] > 0).sum())
+        machine = lm.Automaton([t for t, x in zip(texts, train) if x], order)
+        for few in (0, 12, 1000):
+            monkeypatch.setattr(lm, "FEW", few)
+            assert np.allclose(lm.traverse(block, block.counts, n, v, lm.K)[3], [machine.score(t) for t in texts], atol=1e-9)
+
+
+def test_media_query_fills_columns_from_headers(spark):
+    rows = {r.doc_id: r for r in media.op8_media(spark, SF).collect()}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        raw, r = (d.text or "").encode(), rows[d.doc_id]
+        padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        x = np.frombuffer(padded, np.uint8).astype(float)
+        assert (r.n_bytes, r.width, r.height, r.depth) == (len(raw), 64, len(padded) // 64, 8)
+        import json
+
+        f = json.loads(r.feature)
+        p = np.array([c / len(padded) for c in collections.Counter(padded).values()])
+        assert (f["w"], f["h"]) == (64, len(padded) // 64) and abs(f["mean"] - x.mean()) < 1e-3 and abs(f["spread"] - x.std()) < 1e-3 and abs(f["entropy"] + (p * np.log2(p)).sum()) < 1e-3
+
+
+def test_warc_headers(spark):
+    pages = spark.createDataFrame([(3, "http://a/3", "<p>1"), (1, "http://a/1", "<p>1"), (2, None, None)], "page_id long, url string, html string")
+    path = new_folder(spark, "warc")
+    warc.write_archive(pages, path)
+    heads = [dict(x.split(": ", 1) for x in bytes(r.header).decode().strip().split("\r\n")[1:]) for r in spark.read.parquet(f"{path}/records").collect()]
+    by = {h["X-Page-ID"]: h for h in heads}
+    assert by["3"]["WARC-Refers-To"] == by["1"]["WARC-Record-ID"] and by["3"]["WARC-Refers-To-Target-URI"] == "http://a/1" and by["3"]["WARC-Profile"] == warc.REVISIT_PROFILE
+    assert by["3"]["Content-Length"] == "0" and "WARC-Block-Digest" not in by["3"] and by["1"]["WARC-Block-Digest"] == by["1"]["WARC-Payload-Digest"]
+    assert by["1"]["Content-Type"].startswith("text/html") and "WARC-Profile" not in by["1"] and "WARC-Target-URI" not in by["2"]
+    assert {r.page_id for r in warc.read_archive(spark, path, "string").collect()} == {"1", "2", "3"}
+
+
+def test_context_report_between_lengths(spark):
+    hist = token_counts.length_histogram(spark.createDataFrame([(n,) for n in (0, 3, 3, 500, 4000)], "n_tokens long"))
+    got = {r.context: tuple(r)[1:] for r in token_counts.context_report(hist, [0, 2, 3, 3, 600, 10**7]).collect()}
+    n = (0, 3, 3, 500, 4000)
+    assert got == {c: (sum(x <= c for x in n), sum(x > c for x in n), sum(min(x, c) for x in n)) for c in (0, 2, 3, 600, 10**7)}
+    assert [tuple(r) for r in token_counts.context_report(hist.where("false"), [5]).collect()] == [(5, 0, 0, 0)]
