@@ -11,14 +11,16 @@ No pair is expanded within a group, and none is dropped:
 2. In every bucket (band key) the smallest member is paired with each other member: as many pairs as rows.
 3. Verified pairs are joined to components, by alternating large and small stars.
 4. A bucket whose members then lie in several components can hide links between members that are not the smallest.
-   Up to SQUARE members meet in one tile: pairs of different components whose lengths and sketches allow the similarity
-   (agreement within 6 standard deviations of it) are asked about in the first band that both sides share. The texts of a
-   tile's members come to it once, and what is connected already isn't compared.
-5. The members of larger buckets, which boilerplate fills, are not compared with each other but dealt anew, exactly: two
-   sets at similarity s share one of the rarest n - ceil(s * n) + 1 shingles of either, rarest by any order that is the same
-   for all. The order is by a bounded table of counts (CELLS), so shingles of boilerplate come last. Groups of a common rare
-   shingle with several components are then tiles as in 4; only groups still over SQUARE are cut into several square tiles.
-   Then the components are joined again.
+   Up to SQUARE members meet in one tile; where only up to SQUARE members are outside the bucket's largest component, those
+   meet each part of it, so a bucket's rows are at most doubled. In a tile, pairs of different components whose lengths and
+   sketches allow the similarity (agreement within 6 standard deviations of it) are asked about in the first band that both
+   sides share. The texts of a tile's members come to it once, and what is connected already isn't compared.
+5. In larger buckets with more outside, PIVOTS times the smallest member outside the largest component is paired with all
+   members that it isn't connected to, which joins most of a cluster. What is left, documents that share boilerplate but
+   aren't alike, is not compared with each other but dealt anew, exactly: two sets at similarity s share one of the rarest
+   n - ceil(s * n) + 1 shingles of either, rarest by any order that is the same for all. The order is by a bounded table
+   of counts (CELLS), so shingles of boilerplate come last. Groups of a common rare shingle with several components are
+   then tiles as in 4 (only groups still large with many components are cut into square tiles), and each pair is verified once.
 
 With 32 bands of 5 a pair at similarity 0.8 shares no band with a probability of 3 in a million.
 
@@ -49,6 +51,8 @@ T, R = 160, 5
 DEALT, SQUARE = 64, 512
 #: Counters of the table that tells rare shingles from frequent ones, a power of two.
 CELLS = 1 << 22
+#: Further pivots that large buckets of many components get.
+PIVOTS = 3
 CACHE_WORDS = 400_000
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -189,15 +193,30 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """rows of the groups with several components, with m (members), main (the largest component) and rest (members outside it). rows: key, component, ..."""
+    per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    per = per.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return rows.join(per.select("key", "m", F.col("x.component").alias("main"), (F.col("m") - F.col("x.c")).alias("rest")), "key")
+
+
 def _tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components of each bucket that lengths and sketches allow, by square tiles: one row for each member
+    """Pairs of different components of each group that lengths and sketches allow, by tiles: one row for each member
     of a tile that has such a pair, with the members it is to be compared with, most alike first. A pair belongs to the
-    first band that its sides share. rows: band (-1: none), key, m (size), id, n, component, coords."""
+    first band that its sides share. rows: band (-1: none), key, m, main, rest, id, n, component, coords."""
     kind = rows.schema["id"].dataType.simpleString()
-    sides = F.greatest(F.lit(1), F.ceil(F.col("m") / SQUARE)).cast("int")
-    dealt = rows.withColumn("sides", sides).withColumn("i", F.pmod(F.xxhash64("id"), F.col("sides").cast("long")).cast("int"))
-    # A row goes to the tiles (i, j) with its own side as either: as many copies as there are sides.
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(c / SQUARE)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
+    is_main = F.col("component") == F.col("main")
+    whole, split = F.col("m") <= SQUARE, F.col("rest") <= SQUARE
+    # One tile; or parts of the main component (lo), each with all others (hi = -1); or squares of sides.
+    mains = parts(F.col("m") - F.col("rest"))
+    sides = parts(F.col("m"))
+    of = lambda lo, hi, i: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), i.cast("int").alias("i"))
+    zero, minus = F.lit(0), F.lit(-1)
+    squares = F.transform(F.sequence(F.lit(0), sides - 1), lambda j: of(F.least(place(sides), j), F.greatest(place(sides), j), place(sides)))
+    spread = F.when(is_main, F.array(of(place(mains), minus, zero))).otherwise(F.transform(F.sequence(F.lit(0), mains - 1), lambda j: of(j, minus, F.lit(1))))
+    dealt = rows.withColumn("t", F.explode(F.when(whole, F.array(of(zero, zero, zero))).when(split, spread).otherwise(squares))).select("*", "t.lo", "t.hi", "t.i")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     j = percent / 100
     least = int(T * j - 6 * np.sqrt(T * j * (1 - j)))
@@ -216,7 +235,7 @@ def _tiles(rows: DataFrame, percent: int) -> DataFrame:
         for at, x in enumerate(place[:-1].tolist()):
             y = place[at + 1 :]
             ok = (c[y] != c[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))
-            if lo != hi:
+            if lo != hi and not (hi == -1 and lo == 0):  # pairs of one side belong to another tile
                 ok &= side[y] != side[x]
             y = y[ok]
             if not len(y):
@@ -306,7 +325,7 @@ def _tile_links(tiles: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
 
 
 def _rare_groups(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Groups of the members of large buckets by common rare shingles: key, m (size), id, component. members: id, component."""
+    """Groups of the members of large buckets by common rare shingles: key, id, component, and what `_sized` adds. members: id, component."""
     spark = members.sparkSession
     kind = members.schema["id"].dataType.simpleString()
     shift = np.uint64(64 - (CELLS.bit_length() - 1))
@@ -337,8 +356,7 @@ def _rare_groups(members: DataFrame, texts: DataFrame, k: int, percent: int) ->
             yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(at), b.column(1).take(at)], ["key", "id", "component"])
 
     rows, rows_path = kept(mine.select("id", "component", "text").mapInArrow(rare, f"key long, id {kind}, component {kind}"), "rare-shingles")
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
-    groups, _ = kept(rows.join(mixed.select("key", "m"), "key"), "rare-groups")
+    groups, _ = kept(_sized(rows), "rare-groups")
     delete(spark, path)
     delete(spark, rows_path)
     return groups
@@ -359,23 +377,42 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     full, full_path = kept(buckets.join(sizes, "key"), "full-buckets")
     delete(spark, bucket_path)
     one, one_path = kept(verified(full.where("id <> a").select("a", F.col("id").alias("b")).distinct(), texts, k, percent), "links")
-    comp, comp_path = kept(components(one), "components")
-    # Buckets with several components.
-    named = full.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    rows, rows_path = kept(named.join(mixed, "key", "left_semi"), "mixed-buckets")
-    large = rows.where(F.col("m") > SQUARE).select("id", "component").distinct()
-    asked = rows.where(F.col("m") <= SQUARE).select("band", "key", "m", "id", "n", "component")
-    if not large.isEmpty():
-        groups = _rare_groups(large, texts, k, percent).join(rep.select("id", "n"), "id")
-        asked = asked.unionByName(groups.select(F.lit(-1).alias("band"), "key", "m", "id", "n", "component"))
-    tiles, tile_path = kept(_tiles(asked.join(rep.select("id", "n", "coords"), ["id", "n"]), percent), "tiles")
-    delete(spark, rows_path)
+    links, link_paths = one, [one_path]
+    comp, _ = kept(components(links), "components")
+    name = lambda df: df.drop("component").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows, rows_path = kept(_sized(name(full.select("band", "key", "id", "n"))), "mixed-buckets")
+    many = (F.col("m") > SQUARE) & (F.col("rest") > SQUARE)
+    for _ in range(PIVOTS):
+        large = rows.where(many)
+        if large.isEmpty():
+            break
+        pivots = large.where(F.col("component") != F.col("main")).groupBy("key").agg(F.min(F.struct("id", "component")).alias("p"))
+        asked = large.join(pivots, "key").where(F.col("component") != F.col("p.component")).select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
+        more, more_path = kept(verified(asked, texts, k, percent), "links")
+        links, link_paths = links.unionByName(more), [*link_paths, more_path]
+        comp, _ = kept(components(links), "components")
+        new, new_path = kept(_sized(name(rows.select("band", "key", "id", "n"))), "mixed-buckets")
+        delete(spark, rows_path)
+        rows, rows_path = new, new_path
+    about = rep.select("id", "n", "coords")
+    tiles, tile_path = kept(_tiles(rows.where(~many).join(about, ["id", "n"]), percent), "tiles")
     two, two_path = kept(_tile_links(tiles, texts, k, percent), "links")
+    found, link_paths = [two], [*link_paths, two_path]
+    large = rows.where(many).select("id", "component").distinct()
+    if not large.isEmpty():
+        groups = _rare_groups(large, texts, k, percent)
+        rare = _tiles(groups.join(about, "id").withColumn("band", F.lit(-1)), percent)
+        asked = rare.select("id", F.explode("others").alias("o")).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+        three, three_path = kept(verified(asked, texts, k, percent), "links")
+        found, link_paths = [two, three], [*link_paths, three_path]
     delete(spark, tile_path)
-    if not two.isEmpty():
-        comp, _ = kept(components(one.unionByName(two)), "components")
-    for p in (full_path, one_path, two_path):
+    delete(spark, rows_path)
+    new = [x for x in found if not x.isEmpty()]
+    if new:
+        for x in new:
+            links = links.unionByName(x)
+        comp, _ = kept(components(links), "components")
+    for p in (full_path, *link_paths):
         delete(spark, p)
     out = classed.join(comp.select(F.col("id").alias("head"), "component"), "head", "left")
     final = F.coalesce("component", "head", "id")
