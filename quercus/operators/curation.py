@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.rules import name_score
 from ..functions.text import contains_words, fold, keyword_key, normalized, resolver_key, topic_key
 from .figures import share
-from .topics import mined
 
 # Tags of technical works and their types (S6), countries by code and name (N22, R8; the ones that the tests use).
 TECHNICAL_TAGS = {"SOFTWARE": "SOFTWARE", "PATENTE": "PATENTE", "MARCA": "MARCA"}
@@ -154,13 +153,6 @@ def vocabulary_usage(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(F.split(F.coalesce("area", F.lit("")), r"[|;]")).alias("x")).select("id", F.trim("x").alias("label")).where("label <> ''").groupBy("label").agg(F.countDistinct("id").alias("journals"))
 
 
-def keyword_cloud(titles: DataFrame, limit: int = 24, least: int = 2) -> DataFrame:
-    """Of each researcher the terms of their titles with `least` mentions or more; the first `limit`, ties by term. titles: id, researcher_id, title."""
-    m = mined(titles.select("id", "title")).join(titles.select("id", "researcher_id"), "id").groupBy("researcher_id", "term").agg(F.sum("n").cast("bigint").alias("n")).where(F.col("n") >= least)
-    w = Window.partitionBy("researcher_id").orderBy(F.desc("n"), "term")
-    return m.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("place")
-
-
 def backfilled_keywords(items: DataFrame, legacy: DataFrame) -> DataFrame:
     """Keywords by folded title, if both sides have the title once; what is there stays. items: id, title, keywords; legacy: title, keywords."""
     once = lambda df, c: df.groupBy(topic_key(F.col("title")).alias("k")).agg(F.first(c).alias(c), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")

@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
+import itertools
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import FOREIGN
-from ..functions.text import fold, issn_valid, issns, resolver_key, title_score, weight_units
+from ..functions.text import fold, issn_valid, issns, normalized, plain_title_key, plain_title_score, resolver_key, weight_units
+from ..plans.storage import remove, stored
 
 #: A family holds together from this title score on (fixed value).
 SAME_TITLE = 0.7
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and root (the smallest node it reaches) for edges a, b: least labels of neighbours and of roots, with a checkpoint each round."""
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (the smallest node it reaches) for edges a, b; an edge of a node with itself only names the node.
+
+    Large and small stars in turn, until nothing changes: about log^2 rounds, also on chains. Every round is written out and
+    read back, so neither lineage nor plan grows, and only a count and a checksum come to the driver.
+    """
     spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node").checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "near").alias("root"))
-        jump = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root")).checkpoint()
-        changed = jump.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
-        labels = jump
-        if not changed:
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).where("node IS NOT NULL").distinct()
+    e, path = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    sums = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
+    state = e.agg(*sums).first()
+    while state[0]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        up, across = F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low, "u").select(F.explode(F.array(up, across)).alias("x")).select("x.*").where("u <> v").distinct()
+        new, new_path = stored(small, "edges")
+        was, state = state, new.agg(*sums).first()
+        remove(spark, path)
+        e, path = new, new_path
+        if state == was:
             break
-    return labels
+    return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def contradicted(records: DataFrame) -> DataFrame:
@@ -40,45 +53,116 @@ def contradicted(records: DataFrame) -> DataFrame:
     return sides.where(clash).select("src", "rec")
 
 
-def families(journals: DataFrame, records: DataFrame) -> DataFrame:
-    """B1: id, family (its smallest row) and how a row came to it: issn, title or alone; conflict if its ISSNs lie in groups that don't fit.
-
-    ISSNs of a record (1 to 3, not contradicted) are one group. A row whose ISSNs lie in several groups with external titles
-    unites them if all pairs of titles score 0.7 or more (B3); else it is a conflict and goes to the best group alone (B4).
-    A row without ISSN joins the only group of its title. journals: id, title, issn; records: src, rec, title, issns.
+def _joined_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows that would unite several groups, by id: the groups become one if they fit (B3), else the row is in conflict."""
+    titles: dict[str, dict[str, str]] = {}
+    countries: dict[str, set[str]] = {}
+    for g in pdf[pdf["kind"] == "group"].itertuples():
+        titles[g.root] = {plain_title_key(t): t for t in sorted(g.texts, reverse=True) if plain_title_key(t)}
+        countries[g.root] = set(g.marks)
+    up = {r: r for r in titles}
+
+    def find(r: str) -> str:
+        while up[r] != r:
+            r = up[r]
+        return r
+
+    def alike(a: dict[str, str], b: dict[str, str]) -> float:
+        return max((plain_title_score(x, y) for x in a.values() for y in b.values()), default=0.0)
+
+    conflicts = []
+    for row in pdf[pdf["kind"] == "row"].sort_values("id").itertuples():
+        roots = sorted({find(r) for r in row.texts})
+        titled = [r for r in roots if titles[r]]
+        reason = None
+        for a, b in itertools.combinations(titled, 2):
+            if alike(titles[a], titles[b]) < SAME_TITLE:
+                reason = "title"
+                break
+            if countries[a] and countries[b] and not countries[a] & countries[b]:
+                reason = "country"
+        if reason:
+            own = {plain_title_key(row.title): row.title} if plain_title_key(row.title or "") else {}
+            score = {r: alike(own, titles[r]) for r in titled}
+            best = max(score.values())
+            winners = [r for r in titled if score[r] >= best - 1e-9] if best >= SAME_TITLE else []
+            conflicts.append((row.id, winners[0] if len(winners) == 1 else None, reason, round(best, 6), len(winners) > 1))
+            continue
+        for r in roots[1:]:
+            up[r] = roots[0]
+            titles[roots[0]] = titles[r] | titles[roots[0]]
+            countries[roots[0]] |= countries[r]
+    out = [("group", None, r, find(r), None, None, None) for r in up]
+    out += [("row", i, None, find(d) if d else None, reason, score, tie) for i, d, reason, score, tie in conflicts]
+    return pd.DataFrame(out, columns=["kind", "id", "root", "top", "reason", "score", "tie"])
+
+
+def families(journals: DataFrame, records: DataFrame, articles: DataFrame | None = None) -> DataFrame:
+    """B1: id, family (its canonical row), how a row came to it (issn, title, manual, alone), and of conflicts the reason, score and tie.
+
+    ISSNs of a record (1 to 3, not contradicted) are one group. A row whose ISSNs lie in several groups unites them if all
+    pairs of those with titles score 0.7 or more and their countries meet (B3), rows by id; else it is a conflict and goes to the
+    group of the best title score alone, if that is 0.7 or more and no other has it (B4). A row without ISSN joins the only
+    group of its normalised title, its rows' or its records'. The canonical row (B5) is no conflict if another is there, has most
+    articles, then most ISSNs, then the smallest id; rows set by hand (method 'manual') keep their head, and a group with such takes it.
+
+    Only groups that rows bind together meet in one task, as their order counts; all else is joins. journals: id, title, issn,
+    and, if there are, method and canonical; records: src, rec, title, issns, and country if there is one; articles: id, n.
+    Null titles have no key; empty tables give no rows or lone ones.
     """
+    for c, t in (("method", "string"), ("canonical", "bigint")):
+        journals = journals if c in journals.columns else journals.withColumn(c, F.lit(None).cast(t))
+    records = records if "country" in records.columns else records.withColumn("country", F.lit(None).cast("string"))
+    j = journals.select("id", "title", "canonical", F.coalesce(F.col("method") == "manual", F.lit(False)).alias("manual"), F.filter(issns(F.coalesce("issn", F.lit(""))), issn_valid).alias("own"), normalized(F.coalesce("title", F.lit(""))).alias("name"))
+    there = journals.select(F.col("id").alias("canonical"), F.lit(True).alias("known"))
+    hand = j.where("manual").join(there, "canonical", "left").select("id", F.when(F.col("known") & (F.col("canonical") != F.col("id")), F.col("canonical")).otherwise(F.col("id")).alias("head"))
+    heads = hand.select(F.col("head").alias("id")).distinct()
+    fixed = hand.select("id").unionByName(heads).distinct().withColumn("fixed", F.lit(True))
+
     valid = records.withColumn("issns", F.filter("issns", issn_valid)).where((F.size("issns") > 0) & (F.size("issns") <= 3))
     good = valid.join(contradicted(valid), ["src", "rec"], "left_anti")
+    rows = j.where(F.size("own") > 0).select("id", "title", "name", "manual", F.posexplode("own").alias("pos", "issn"))
+    first = rows.where("pos = 0").select("id", F.col("issn").alias("a"))
+    by_hand = rows.where("manual").join(first, "id").select("a", F.col("issn").alias("b")).unionByName(hand.join(first, "id").join(first.select(F.col("id").alias("head"), F.col("a").alias("b")), "head").select("a", "b"))
     pairs = good.select(F.element_at("issns", 1).alias("a"), F.explode("issns").alias("b"))
-    rows = journals.select("id", "title", F.explode(F.filter(issns(F.col("issn")), issn_valid)).alias("issn"))
-    group = components(pairs.unionByName(rows.select(F.col("issn").alias("a"), F.col("issn").alias("b"))))
-    titled = good.select(F.explode("issns").alias("issn"), "title").join(group.withColumnRenamed("node", "issn"), "issn").where("title IS NOT NULL").select("root", "title").distinct()
-    mine = rows.join(group.withColumnRenamed("node", "issn"), "issn").select("id", "title", "root").distinct()
-    many = mine.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    # Pairs of groups that a row would unite: as many as its ISSNs, at most four.
-    x = mine.join(many, "id").select("id", F.col("root").alias("r1"))
-    p = x.join(x.select("id", F.col("r1").alias("r2")), "id").where("r1 < r2")
-    scored = p.join(titled.select(F.col("root").alias("r1"), F.col("title").alias("t1")), "r1").join(titled.select(F.col("root").alias("r2"), F.col("title").alias("t2")), "r2")
-    clash = scored.groupBy("id").agg(F.min(title_score(F.col("t1"), F.col("t2"))).alias("least")).where(F.col("least") < SAME_TITLE).select("id")
-    joins = mine.join(clash, "id", "left_anti")
-    first = joins.groupBy("id").agg(F.min("root").alias("a"))
-    merged = components(joins.join(first, "id").select("a", F.col("root").alias("b")).unionByName(titled.select(F.col("root").alias("a"), F.col("root").alias("b"))))
-    # Conflict rows: the one group of the best title score, if it is above the limit and alone at that score.
-    choice = mine.join(clash, "id").join(titled.withColumnRenamed("title", "t"), "root").withColumn("s", title_score(F.col("title"), F.col("t"))).groupBy("id", "root").agg(F.max("s").alias("s"))
-    best = choice.where(F.col("s") >= SAME_TITLE).groupBy("id").agg(F.max(F.struct("s", "root")).alias("b"), F.count(F.lit(1)).alias("n"), F.max("s").alias("top"), F.sort_array(F.collect_list("s"), False).alias("all"))
-    lone = best.where((F.col("n") == 1) | (F.get("all", 0) > F.get("all", 1))).select("id", F.col("b.root").alias("root"))
-    root_of = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    by_issn = joins.select("id", "root").unionByName(lone).join(root_of, "root").groupBy("id").agg(F.min("top").alias("top"))
-    conflict = clash.withColumn("conflict", F.lit(True))
-    have = rows.select("id").distinct()
-    without = journals.join(have, "id", "left_anti").select("id", resolver_key(F.col("title")).alias("key")).where("key <> ''")
-    keys = by_issn.join(journals.select("id", resolver_key(F.col("title")).alias("key")), "id").select("key", "top").unionByName(titled.join(root_of, "root").select(resolver_key(F.col("title")).alias("key"), "top")).distinct()
-    only = keys.groupBy("key").agg(F.min("top").alias("top"), F.count(F.lit(1)).alias("n")).where("n = 1").select("key", "top")
-    by_title = without.join(only, "key").select("id", "top")
-    placed = by_issn.withColumn("method", F.lit("issn")).unionByName(by_title.withColumn("method", F.lit("title")))
-    out = journals.select("id").join(placed, "id", "left").join(conflict, "id", "left")
-    head = placed.groupBy("top").agg(F.min("id").alias("family"))
-    return out.join(head, "top", "left").select("id", F.coalesce("family", "id").alias("family"), F.coalesce("method", F.lit("alone")).alias("method"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    group, _ = stored(components(pairs.unionByName(rows.select(F.col("issn").alias("a"), F.col("issn").alias("b"))).unionByName(by_hand)).withColumnRenamed("node", "issn"), "issn-groups")
+
+    mine, _ = stored(rows.join(group, "issn").select("id", "title", "manual", "pos", "root"), "row-groups")
+    catalogued = mine.select("root").distinct()
+    told = good.select(F.element_at("issns", 1).alias("issn"), "title", "country").join(group, "issn").select("root", "title", "country")
+    # Groups that a row's ISSNs bind together.
+    several = mine.where("NOT manual").groupBy("id", "title").agg(F.array_sort(F.collect_set("root")).alias("roots")).where(F.size("roots") > 1)  # at most a row's ISSNs
+    bound = components(several.select(F.element_at("roots", 1).alias("a"), F.explode("roots").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("bundle"))
+    facts = told.join(bound, "root").groupBy("bundle", "root").agg(F.collect_set("title").alias("texts"), F.collect_set("country").alias("marks"))
+    groups = bound.join(facts, ["bundle", "root"], "left").select("bundle", F.lit("group").alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("title"), "root", F.coalesce("texts", F.array()).alias("texts"), F.coalesce("marks", F.array()).alias("marks"))
+    binding = several.withColumn("root", F.element_at("roots", 1)).join(bound, "root").select("bundle", F.lit("row").alias("kind"), F.col("id").cast("long").alias("id"), "title", "root", F.col("roots").alias("texts"), F.array().cast("array<string>").alias("marks"))
+    decided, _ = stored(groups.unionByName(binding).groupBy("bundle").applyInPandas(_joined_in_order, "kind string, id long, root string, top string, reason string, score double, tie boolean"), "joined-groups")
+    tops = decided.where("kind = 'group'").select("root", "top")
+    clash = decided.where("kind = 'row'").select("id", F.col("top").alias("destination"), "reason", "score", "tie")
+
+    final = lambda df: df.join(tops, "root", "left").withColumn("top", F.coalesce("top", "root"))
+    alone = F.concat(F.lit("-"), F.col("id").cast("string"))
+    placed = final(mine.where("pos = 0").select("id", "root")).join(clash, "id", "left").select("id", F.when(F.col("reason").isNull(), F.col("top")).otherwise(F.coalesce("destination", alone)).alias("top"), (F.col("reason").isNotNull() & F.col("destination").isNull()).alias("lone"))
+    # Rows without ISSN, by title: the groups of rows of that title, and those of records whose groups have rows.
+    named = j.select("id", "name").where("name <> ''")
+    by_rows = placed.join(named, "id").select("name", "top")
+    by_records = final(good.where("title IS NOT NULL").select(F.element_at("issns", 1).alias("issn"), normalized(F.col("title")).alias("name")).join(group, "issn").join(catalogued, "root", "left_semi").select("root", "name")).join(placed.select("top").distinct(), "top", "left_semi").select("name", "top")
+    only = by_rows.unionByName(by_records).distinct().groupBy("name").agg(F.min("top").alias("top"), F.count(F.lit(1)).alias("n")).where("n = 1").select("name", "top")
+    bare = j.where(F.size("own") == 0).join(fixed, "id", "left_anti").select("id", "name")
+    attached = bare.join(only, "name").select("id", "top", F.lit(False).alias("lone"))
+
+    n = articles.select("id", "n") if articles is not None else journals.select("id").where("false").withColumn("n", F.lit(0))
+    members = placed.withColumn("how", F.lit("issn")).unionByName(attached.withColumn("how", F.lit("title"))).join(n, "id", "left").join(j.select("id", F.size("own").alias("issns")), "id").join(clash.select("id", "reason", "score", "tie"), "id", "left")
+    members = members.join(hand, "id", "left").join(heads.withColumn("is_head", F.lit(True)), "id", "left")
+    rank = F.struct(F.col("reason").isNotNull().alias("c"), (-F.coalesce("n", F.lit(0))).alias("n"), (-F.col("issns")).alias("i"), "id")
+    at_hand = members.where("head IS NOT NULL OR is_head").select("top", F.coalesce("head", "id").alias("id")).distinct().join(members.select("id", "reason", "n", "issns"), "id").groupBy("top").agg(F.min(rank).alias("h"))
+    canonical = members.groupBy("top").agg(F.min(rank).alias("r")).join(at_hand, "top", "left").select("top", F.coalesce("h.id", "r.id").alias("family"))
+    assigned = members.join(canonical, "top").select("id", "family", "how", "lone", "reason", "score", "tie")
+    kept_as = j.select("id", F.when(F.col("canonical").isNotNull(), F.col("canonical")).alias("canonical")).join(there, "canonical", "left").select("id", F.when(F.col("known"), F.col("canonical")).alias("was"))
+    out = j.select("id").join(fixed, "id", "left").join(hand, "id", "left").join(assigned, "id", "left").join(kept_as, "id", "left")
+    family = F.when(F.col("fixed"), F.coalesce("head", "was", "id")).otherwise(F.coalesce("family", "id"))
+    method = F.when(F.col("head").isNotNull(), "manual").when(F.col("how").isNull() | F.col("lone"), "alone").otherwise(F.col("how"))
+    return out.select("id", family.alias("family"), method.alias("method"), F.col("reason").isNotNull().alias("conflict"), "reason", "score", F.coalesce("tie", F.lit(False)).alias("tie"))
 
 
 def evidence(records: DataFrame, journals: DataFrame) -> DataFrame:
@@ -166,19 +250,6 @@ def catalogue_page(journals: DataFrame, q: str, qualis: str | None, page: int, s
     return out.orderBy("title", "id").offset((page - 1) * size).limit(size)
 
 
-def topic_catalogue(index: DataFrame, least_occurrences: int, least_researchers: int, limit: int) -> DataFrame:
-    """Terms from both thresholds on, most frequent first."""
-    return index.where((F.col("occurrences") >= least_occurrences) & (F.col("researchers") >= least_researchers)).orderBy(F.desc("occurrences"), "key").limit(limit)
-
-
-def topic_researchers(sources: DataFrame, key: str, page: int, size: int) -> DataFrame:
-    """A page of a term's researchers, most occurrences first."""
-    from ..functions.text import topic_key
-
-    s = sources.where(topic_key(F.col("term")) == key).groupBy("researcher_id").agg(F.sum("n").cast("bigint").alias("occurrences"))
-    return s.orderBy(F.desc("occurrences"), "researcher_id").offset((page - 1) * size).limit(size)
-
-
 def forward_filled(df: DataFrame, column: str, order: str, by: str) -> DataFrame:
     """The last value that isn't null, within each group."""
     return df.withColumn(column, F.last(column, ignorenulls=True).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

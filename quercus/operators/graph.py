@@ -6,20 +6,36 @@ pair once. The self-join is an equi-join on the work: AQE splits a work with ver
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold
+
+
+#: Authors of a work that meet in one cell of pairs.
+BLOCK = 1000
+
 
 def authorships(authors: DataFrame) -> DataFrame:
     """Distinct (work, researcher) of matched authors. authors: work, matched_researcher_id."""
     return authors.where("matched_researcher_id IS NOT NULL AND work IS NOT NULL").select("work", F.col("matched_researcher_id").alias("researcher")).distinct()
 
 
-def edges(authors: DataFrame) -> DataFrame:
-    """Unordered pairs a < b with the number of works they share."""
+def edges(authors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Unordered pairs a < b with the number of works they share.
+
+    The authors of a work are dealt into blocks of about `block`; a row meets its own block and, as either side, every other block of
+    its work, so a work with very many authors spreads over many tasks, and each pair is still made once.
+    """
     x = authorships(authors)
-    pairs = x.select("work", F.col("researcher").alias("a")).join(x.select("work", F.col("researcher").alias("b")), "work").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    n = x.groupBy("work").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    y = x.join(n, "work").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    y = y.withColumn("i", F.pmod(F.xxhash64("researcher"), F.col("blocks").cast("long")).cast("int"))
+    # Of blocks i <= j the cell (i, j) has i's rows on the left and j's on the right.
+    left = y.select("work", F.col("researcher").alias("x"), "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
+    right = y.select("work", F.col("researcher").alias("y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
+    pairs = left.join(right, ["work", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def strongest(edge: DataFrame, limit: int = 120) -> DataFrame:
@@ -33,11 +49,20 @@ def shared_works(authors: DataFrame) -> DataFrame:
 
 
 def network_stats(authors: DataFrame) -> DataFrame:
-    """Of each researcher the distinct co-authors and distinct shared works."""
+    """Of each researcher the distinct co-authors and distinct shared works; each is counted on its own, works without any pair."""
     x = authorships(authors)
-    other = x.select("work", F.col("researcher").alias("other"))
-    j = x.join(other, "work").where("researcher <> other")
-    return j.groupBy("researcher").agg(F.countDistinct("other").alias("coauthors"), F.countDistinct("work").alias("shared_works"))
+    several = x.groupBy("work").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("work")
+    shared = x.join(several, "work", "left_semi").groupBy("researcher").agg(F.count(F.lit(1)).alias("shared_works"))
+    e = edges(authors)
+    near = e.select(F.col("a").alias("researcher")).unionByName(e.select(F.col("b").alias("researcher"))).groupBy("researcher").agg(F.count(F.lit(1)).alias("coauthors"))
+    return near.join(shared, "researcher")
+
+
+def neighbours(authors: DataFrame, researcher: int) -> DataFrame:
+    """The co-authors of one researcher and the works shared with each."""
+    x = authorships(authors)
+    mine = x.where(F.col("researcher") == researcher).select("work")
+    return x.join(mine, "work", "left_semi").where(F.col("researcher") != researcher).groupBy("researcher").agg(F.count(F.lit(1)).alias("works"))
 
 
 def nodes(edge: DataFrame) -> DataFrame:
@@ -53,6 +78,13 @@ def ego(edge: DataFrame, focus: int) -> DataFrame:
     return edge.join(inside.select(F.col("id").alias("a")), "a", "left_semi").join(inside.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "weight")
 
 
+def matrix_nodes(edge: DataFrame, people: DataFrame) -> DataFrame:
+    """Those with a partner or more, with their place by folded name, then id. people: id, full_name."""
+    ids = edge.select(F.col("a").alias("id")).unionByName(edge.select(F.col("b").alias("id"))).distinct()
+    w = Window.orderBy("f", "id")  # the labels of a matrix's axis: as few as its rows
+    return people.join(ids, "id", "left_semi").select("id", "full_name", fold(F.col("full_name")).alias("f")).withColumn("place", F.row_number().over(w)).drop("f")
+
+
 def matrix(edge: DataFrame) -> DataFrame:
     """The symmetric sparse matrix."""
     return edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
@@ -67,6 +99,12 @@ def bridges(edge: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def pair_works(authors: DataFrame, a: int, b: int) -> DataFrame:
-    """Works that both wrote."""
+    """Works that both wrote."""
     x = authorships(authors)
     return x.where(F.col("researcher") == a).select("work").join(x.where(F.col("researcher") == b).select("work"), "work", "left_semi")
+
+
+def pair_page(works: DataFrame, limit: int = 200) -> DataFrame:
+    """The latest works of a pair, up to the limit, each with the total that there are. works: work, year. Ties by work."""
+    total = works.agg(F.count(F.lit(1)).alias("total"))
+    return works.orderBy(F.desc_nulls_last("year"), "work").limit(limit).crossJoin(total)  # one row

@@ -6,8 +6,13 @@ Each domain table is one projection of one driver table, written once in express
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .filters import prepared
+from .storage import new_path
+
 _TYPES = ["ARTIGO", "LIVRO", "CAPITULO", "EVENTO", "TEXTO_JORNAL", "TRABALHO_TECNICO", "OUTRA_TECNICA", "SOFTWARE", "PATENTE", "MARCA", "PRODUCAO_ARTISTICA", "OUTRA", "ARTIGO", "ARTIGO"]
 _STRATA = ["A1", "A2", "A3", "A4", "B1", "B2", "B3", "B4", "C"]
 _LEVELS = ["MESTRADO", "DOUTORADO", "POS_DOUTORADO", "INICIACAO_CIENTIFICA", "TCC_GRADUACAO", "ESPECIALIZACAO", "OUTRA"]
@@ -37,17 +42,19 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
         "qualis": _pick("l_partkey", [*_STRATA, None, ""]), "isbn": "CASE WHEN l_orderkey % 5 = 0 THEN concat('978', CAST(l_orderkey % 300 AS STRING)) ELSE '' END",
         "journal_name": "CASE WHEN l_partkey % 6 <> 0 THEN concat('Revista ', CAST(l_partkey % 60 AS STRING)) END", "event_name": "CASE WHEN l_partkey % 6 = 0 THEN concat('Evento ', CAST(l_partkey % 7 AS STRING)) ELSE '' END", "publisher": "'Editora'",
         "keywords_text": _pick("l_orderkey + l_partkey", ["gênero; educação", "Educação Básica", None, "redes neurais", "física, ensino"]), "qualis_journal_id": "CASE WHEN l_partkey % 4 <> 0 THEN l_partkey END",
+        "extra_data": _pick("l_orderkey + l_partkey", ['{"keywords":["gênero","Educação Básica",5,null,"ab"]}', '{"keywords":"texto"}', None, '{"publisher":"x"}', '{"keywords":["redes neurais"," Física. "]}']),
         "indexed_databases": "concat('[{\"acronym\":\"B', CAST(l_partkey % 4 AS STRING), '\"},{\"acronym\":\"B', CAST(l_partkey % 3 AS STRING), '\"}]')",
     }),
     "production_authors": ("lineitem", {
         "production_item_id": "l_orderkey * 8 + 1", "author_name": "concat('AUTOR ', CAST(l_suppkey % 45 AS STRING))", "author_order": "l_linenumber",
-        "matched_researcher_id": "CASE WHEN l_suppkey % 6 <> 0 THEN l_suppkey END", "item_key": "l_orderkey % 4000",
+        "matched_researcher_id": "CASE WHEN l_suppkey % 6 <> 0 THEN l_suppkey END", "item_key": "l_orderkey % 4000", "author_identity_id": "CASE WHEN l_suppkey % 6 = 0 AND l_suppkey % 4 = 0 THEN l_suppkey % 45 END",
     }),
     "orientations": ("orders", {
         "id": "o_orderkey", "researcher_id": "o_custkey % 100 + 1", "orientation_type": _pick("o_orderkey", _LEVELS), "nature": _pick("o_custkey", ["CONCLUIDA", "EM_ANDAMENTO", "CONCLUIDA"]),
         "handle": "CASE WHEN o_orderkey % 7 = 0 THEN concat('h/', CAST(o_orderkey AS STRING)) END", "title": f"concat({_pick('o_orderkey', _TITLES)}, ' ', CAST(o_orderkey % 900 AS STRING))",
         "year": "CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE CAST(1965 + o_orderkey % 62 AS INT) END", "course_name": _pick("o_custkey", [" Educação ", "", "Psicologia", None, "Engenharia Química"]), "program": _pick("o_orderkey", ["PPGE", "PPGPsi"]),
         "student_name": "concat('Aluno ', CAST(o_custkey AS STRING))", "keywords": _pick("o_orderkey", ["educação; gênero", None, "trabalho, política"]),
+        "alternative_title": f"CASE WHEN o_orderkey % 4 = 0 THEN concat({_pick('o_orderkey', ['Gender and Work', 'Redes Neurais', 'Teoria do Estado Novo'])}, ' ', CAST(o_orderkey % 40 AS STRING)) WHEN o_orderkey % 4 = 1 THEN '' END",
     }),
     "knowledge_areas": ("customer", {
         "researcher_id": "c_custkey % 100 + 1", "major_area": _pick("c_custkey", ["CIENCIAS_HUMANAS", "Ciências Humanas", "ENGENHARIAS", "Engenharias", ""]), "area": _pick("c_nationkey", ["Educação", "Sociologia", None, "Engenharia Civil"]),
@@ -81,6 +88,25 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{source}.parquet").selectExpr(*(f"{e} AS `{c}`" for c, e in columns.items()))
 
 
+_made: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], None]) -> str:
+    """The path that `make` filled in the shared folder, made once for each application and input: what the domain keeps as stored tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        path = new_path(spark, name)
+        make(path)
+        _made[key] = path
+    return _made[key]
+
+
+def prepared_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """production_items with the work's key and the folded columns that search reads, stored once."""
+    path = once(spark, sf_dir, "prepared-items", lambda p: prepared(load(spark, sf_dir, "production_items")).write.option("compression", "zstd").parquet(p))
+    return spark.read.parquet(path)
+
+
 def with_sql(*names: str) -> str:
     """WITH clause of domain tables, for DuckDB."""
     return "WITH " + ",\n".join(f"{n} AS (SELECT " + ", ".join(f'{e} AS "{c}"' for c, e in TABLES[n][1].items()) + f" FROM {TABLES[n][0]})" for n in names)

@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions import keys
+from ..functions.text import fold, fold_text
 
 # Words that need not occur in a work.
 STOPWORDS = frozenset(
@@ -19,13 +20,6 @@ STOPWORDS = frozenset(
 FILTER_TYPES = {"artigo": "ARTIGO", "livro": "LIVRO", "capitulo": "CAPITULO", "evento": "EVENTO"}
 AFFILIATIONS = ("vigente", "encerrado")
 MIN_YEAR, MAX_CHARS, MAX_TERMS = 1950, 200, 8
-_ACCENTS = str.maketrans("áàãâäéèêëíìîïóòõôöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
-
-
-def fold_text(s: str) -> str:
-    """The query text's side of text.fold."""
-    return s.strip().lower().translate(_ACCENTS)
-
 
 @dataclass(frozen=True)
 class ResearchFilter:
@@ -81,23 +75,32 @@ def is_doi(q: str) -> bool:
     return bool(re.match(r"^(https?://(dx\.)?doi\.org/)?10\.\d{4,9}/\S+$", q.strip(), re.I))
 
 
+#: Columns whose folded form the text predicates compare.
+SEARCHED = ("title", "keywords_text", "journal_name", "event_name", "doi")
+
+
+def prepared(items: DataFrame) -> DataFrame:
+    """items with `work`, the key of the unique work, and folded columns `f_...`: made once, as a stored table, then only read."""
+    return items.withColumns({"work": keys.work_key(), **{f"f_{c}": fold(F.coalesce(F.col(c), F.lit(""))) for c in SEARCHED}})
+
+
 def _has(column: str, term: str) -> Column:
-    return F.coalesce(F.contains(fold(F.col(column)), F.lit(fold_text(term))), F.lit(False))
+    return F.contains(F.col(f"f_{column}"), F.lit(fold_text(term)))
 
 
 def text_predicate(f: ResearchFilter, with_venue: bool = False) -> Column:
-    """Every term in title or keywords; publications may also match the whole text in journal, event or DOI."""
+    """Every term in title or keywords; publications may also match the whole text in journal, event or DOI, or by the journal's family. Over `prepared` items."""
     hits = [_has("title", t) | _has("keywords_text", t) for t in f.terms()]
     out = reduce(lambda a, b: a & b, hits) if hits else F.lit(True)
     if with_venue and f.q:
-        out = out | _has("journal_name", f.q) | _has("event_name", f.q) | _has("doi", f.q)
+        out = out | _has("journal_name", f.q) | _has("event_name", f.q) | _has("doi", f.q) | F.col("in_family")
     if f.topic:
         out = out & (_has("title", f.topic) | _has("keywords_text", f.topic))
     return out
 
 
 def relevance(f: ResearchFilter, with_venue: bool = False) -> Column:
-    """T5: the score of a work; 1 if no text is asked for."""
+    """T5: the score of a work; 1 if no text is asked for. Over `prepared` items."""
     n = lambda c: c.cast("int")
     parts = []
     terms = f.terms()
@@ -114,9 +117,12 @@ def relevance(f: ResearchFilter, with_venue: bool = False) -> Column:
     return reduce(lambda a, b: a + b, parts) if parts else F.lit(1)
 
 
-def apply_filter(items: DataFrame, f: ResearchFilter, researchers: DataFrame | None = None, areas: DataFrame | None = None, with_venue: bool = False) -> DataFrame:
-    """the works that fit. Facets of researchers and areas are semi-joins; the rest is pushed to the scan."""
-    out = items
+def apply_filter(items: DataFrame, f: ResearchFilter, researchers: DataFrame | None = None, areas: DataFrame | None = None, with_venue: bool = False, family_rows: DataFrame | None = None) -> DataFrame:
+    """the works that fit. Facets of researchers and areas are semi-joins; the rest is pushed to the scan.
+
+    items may be `prepared` already. family_rows (id) are the journal rows whose articles a search of publications takes too.
+    """
+    out = items if "f_title" in items.columns else prepared(items)
     if f.item_type:
         out = out.where(F.col("item_type") == f.item_type)
     if f.first_year:
@@ -125,12 +131,18 @@ def apply_filter(items: DataFrame, f: ResearchFilter, researchers: DataFrame | N
         out = out.where(F.col("year") <= f.last_year)
     if f.researcher_id is not None:
         out = out.where(F.col("researcher_id") == f.researcher_id)
+    if with_venue:
+        if family_rows is not None and len(f.q) >= 3:
+            rows = family_rows.select(F.col("id").alias("qualis_journal_id"), F.lit(True).alias("__row")).distinct()
+            out = out.join(rows, "qualis_journal_id", "left").withColumn("in_family", F.coalesce(F.col("__row") & (F.col("item_type") == "ARTIGO"), F.lit(False))).drop("__row")
+        else:
+            out = out.withColumn("in_family", F.lit(False))
     out = out.where(text_predicate(f, with_venue))
     if researchers is not None and (f.department or f.affiliation):
         r = researchers
         if f.department:  # F7
-            names = [f.department, *f.aliases.get(f.department, [])]
-            r = r.where(F.col("department_code").isin(names) | F.col("department").isin(names))
+            names = f.aliases.get(f.department) or department_values(f.department)
+            r = r.where(F.col("department_code").isin(f.department, *names) | F.col("department").isin(f.department, *names))
         if f.affiliation:
             r = r.where(F.col("status") == (1 if f.affiliation == "vigente" else 0))
         out = out.join(r.select(F.col("id").alias("researcher_id")), "researcher_id", "left_semi")
@@ -144,6 +156,37 @@ def apply_filter(items: DataFrame, f: ResearchFilter, researchers: DataFrame | N
     return out
 
 
+# Names of departments by their codes, and the values that stand for the same department in a filter.
+DEPARTMENTS = {
+    "AC": "Departamento de Artes e Comunicação", "DAC": "Departamento de Artes e Comunicação", "CA": "Departamento de Ciências Ambientais", "DCA": "Departamento de Ciências Ambientais", "DCAm": "Departamento de Ciências Ambientais",
+    "CI": "Departamento de Ciência da Informação", "DCI": "Departamento de Ciência da Informação", "CS": "Departamento de Ciências Sociais", "DCSo": "Departamento de Ciências Sociais", "DCS": "Departamento de Ciências Sociais",
+    "ED": "Departamento de Educação", "DEd": "Departamento de Educação", "DEC": "Departamento de Educação e Comunicação", "FI": "Departamento de Filosofia", "FIL": "Departamento de Filosofia", "DFil": "Departamento de Filosofia",
+    "IFD": "Departamento de Metodologia de Ensino / Formação Docente", "DME": "Departamento de Metodologia de Ensino", "DMTE": "Departamento de Metodologia e Teoria da Educação", "DTE": "Departamento de Teoria e Prática da Educação",
+    "LE": "Departamento de Letras", "DL": "Departamento de Letras", "PS": "Departamento de Psicologia", "DPsi": "Departamento de Psicologia", "SO": "Departamento de Sociologia", "DSo": "Departamento de Sociologia",
+    "TPP": "Departamento de Teoria e Prática Pedagógica", "DTPP": "Departamento de Teoria e Prática Pedagógica", "DEF": "Departamento de Educação Física", "DAD": "Departamento de Administração", "DART": "Departamento de Artes",
+    "DMUS": "Departamento de Música", "GEO": "Departamento de Geografia", "HIS": "Departamento de História",
+}
+DEPARTMENT_ALIASES = {
+    "CS": ["DCSo", "DCS", "Departamento de Ciências Sociais"], "AC": ["DAC", "Departamento de Artes e Comunicação"], "CA": ["DCA", "DCAm", "Departamento de Ciências Ambientais"], "CI": ["DCI", "Departamento de Ciência da Informação"],
+    "ED": ["DEd", "DEC", "Departamento de Educação"], "FI": ["FIL", "DFil", "Departamento de Filosofia"], "IFD": ["DME", "DMTE", "Departamento de Metodologia de Ensino / Formação Docente", "Departamento de Metodologia de Ensino"],
+    "LE": ["DL", "Departamento de Letras"], "PS": ["DPsi", "Departamento de Psicologia"], "SO": ["DSo", "Departamento de Sociologia"], "TPP": ["DTPP", "DTE", "Departamento de Teoria e Prática Pedagógica"],
+}
+#: Other names under which a filter may ask for one of them.
+ALSO_ASKED = {"DCSo": "CS", "Departamento de Ciências Sociais": "CS", "DAC": "AC", "Departamento de Artes e Comunicação": "AC", "FIL": "FI"}
+
+
+def department_values(department: str) -> list[str]:
+    """All values that a filter by this department takes."""
+    code = ALSO_ASKED.get(department, department)
+    return [code, *DEPARTMENT_ALIASES[code]] if code in DEPARTMENT_ALIASES else [department]
+
+
+def department_name(code: Column) -> Column:
+    """The name of a code; another value stays as it is."""
+    names = F.create_map(*(F.lit(x) for kv in DEPARTMENTS.items() for x in kv))
+    return F.coalesce(F.try_element_at(names, code), code)
+
+
 # Codes of major areas and their names.
 MAJOR_AREAS = {
     "CIENCIAS_EXATAS_E_DA_TERRA": "Ciências Exatas e da Terra", "CIENCIAS_BIOLOGICAS": "Ciências Biológicas", "ENGENHARIAS": "Engenharias", "CIENCIAS_DA_SAUDE": "Ciências da Saúde", "CIENCIAS_AGRARIAS": "Ciências Agrárias",

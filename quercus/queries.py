@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import keys, rules, text
 from .operators import areas, authority, curation, entities, families as fam, figures, graph, journals, projects, research, summaries, topics
-from .plans.bindings import load, with_sql
+from .plans.bindings import load, once, prepared_items, with_sql
 from .plans.filters import MAJOR_AREAS, ResearchFilter, apply_filter, fold_text
 from .streaming import events as streaming_events
 
@@ -296,17 +296,27 @@ def _(t, s, d):
     return research.orientation_counters(t(O))
 
 
-@query("a43_profile_timeline", f"""SELECT CAST(y AS INT) AS year, {_c("item_type = 'ARTIGO'", 'articles')}, {_c("item_type IN ('LIVRO', 'CAPITULO')", 'books')}, {_c("item_type = 'EVENTO'", 'events')}, count(id) AS total
- FROM (SELECT unnest(range(greatest(1980, min(year)), greatest({YEAR}, max(year)) + 1)) AS y FROM {I} WHERE researcher_id = 3) LEFT JOIN {I} ON year = y AND researcher_id = 3 GROUP BY 1""", I)
+_GR = {"articles": "item_type = 'ARTIGO'", "books": "item_type IN ('LIVRO', 'CAPITULO')", "newspapers": "item_type = 'TEXTO_JORNAL'", "events": "item_type = 'EVENTO'", "technical": "item_type IN ('TRABALHO_TECNICO', 'OUTRA_TECNICA', 'SOFTWARE', 'PATENTE', 'MARCA')", "others": "item_type IN ('PRODUCAO_ARTISTICA', 'OUTRA')"}
+_GO = {**{k: f"orientation_type = '{v}'" for k, v in research.LEVELS.items()}, "other_levels": "orientation_type = 'OUTRA'"}
+
+
+@query("a43_profile_timeline", f""", p AS (SELECT year, {', '.join(_c(v, k) for k, v in _GR.items())} FROM {I} WHERE researcher_id = 3 AND year IS NOT NULL GROUP BY 1), o AS (SELECT year, {', '.join(_c(v, k) for k, v in _GO.items())} FROM {O} WHERE researcher_id = 3 AND year IS NOT NULL AND {DONE} GROUP BY 1),
+ e AS (SELECT min(year) AS a, max(year) AS b FROM (SELECT year FROM {I} WHERE researcher_id = 3 UNION ALL SELECT year FROM {O} WHERE researcher_id = 3))
+ SELECT CAST(y AS INT) AS year, {', '.join(f'coalesce({c}, 0) AS {c}' for c in [*_GR, *_GO])} FROM (SELECT unnest(range(greatest(1980, coalesce(a, {YEAR})), greatest({YEAR}, coalesce(b, {YEAR})) + 1)) AS y FROM e) LEFT JOIN p ON p.year = y LEFT JOIN o ON o.year = y""", I, O)
 def _(t, s, d):
-    return research.profile_timeline(t(I), 3, YEAR)
+    return research.profile_timeline(t(I), t(O), 3, YEAR)
 
 
-@query("a45_collaborators", f""", w AS (SELECT DISTINCT production_item_id AS work FROM {A} WHERE matched_researcher_id = 5)
- SELECT person, count(*) AS works FROM (SELECT DISTINCT production_item_id, coalesce('r' || CAST(matched_researcher_id AS VARCHAR), 'n' || {f_('author_name')}) AS person FROM {A} WHERE production_item_id IN (SELECT work FROM w)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""", A)
+@query("a45_collaborators", f""", w AS (SELECT l.id, l.item_type, l.year, l.title FROM (SELECT id, any_value(item_type) AS item_type, any_value(year) AS year, any_value(title) AS title FROM {I} GROUP BY 1) l WHERE l.id IN (SELECT production_item_id FROM {A} WHERE matched_researcher_id = 5)),
+ a AS (SELECT DISTINCT production_item_id AS work, coalesce('r' || CAST(matched_researcher_id AS VARCHAR), 'i' || CAST(author_identity_id AS VARCHAR), 'n' || upper({N1('author_name')})) AS person FROM {A} WHERE matched_researcher_id IS NULL OR matched_researcher_id <> 5),
+ j AS (SELECT * FROM a JOIN w ON w.id = work), tp AS (SELECT person, string_agg(item_type || ':' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, item_type) AS types FROM (SELECT person, item_type, count(*) AS n FROM j GROUP BY 1, 2) GROUP BY 1),
+ sm AS (SELECT person, string_agg(title, ' | ' ORDER BY work) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY work) AS p FROM j) WHERE p <= 2 GROUP BY 1)
+ SELECT j.person, count(*) AS works, min(year) AS first_year, max(year) AS last_year, any_value(types) AS types, any_value(samples) AS samples FROM j JOIN tp ON tp.person = j.person JOIN sm ON sm.person = j.person GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""", A, I)
 def _(t, s, d):
     a = t(A).withColumnRenamed("production_item_id", "work")
-    return research.collaborators(a, a.where("matched_researcher_id = 5").select("work").distinct())
+    mine = a.where("matched_researcher_id = 5").select(F.col("work").alias("id")).distinct()
+    works = t(I).groupBy("id").agg(*(F.first(c).alias(c) for c in ("item_type", "year", "title"))).join(mine, "id", "left_semi")
+    return research.collaborators(a.where("NOT matched_researcher_id <=> 5"), works)
 
 
 # --- search -----------------------------------------------------------------------------------------------------------
@@ -318,19 +328,34 @@ _PRED = " AND ".join(f"({_has('title', w)} OR {_has('keywords_text', w)})" for w
 _SCORE = " + ".join(f"{_i(_has('title', w))} * 3 + {_i(_has('keywords_text', w))}" for w in _T) + f" + {_i(_has('title', 'educacao basica'))} * 5"
 
 
-@query("t1_experts", f""", h AS (SELECT researcher_id, {K1} AS work, max({_SCORE}) AS score, max(year) AS year, min(id) AS item FROM {I} WHERE year BETWEEN 1995 AND 2015 AND {_PRED} GROUP BY 1, 2),
- p AS (SELECT *, row_number() OVER (PARTITION BY researcher_id ORDER BY score DESC, year DESC NULLS LAST, item) AS place FROM h)
- SELECT researcher_id, max(score) AS score, count(*) AS works, max(year) AS last_year, string_agg(CAST(item AS VARCHAR), ',' ORDER BY place) FILTER (WHERE place <= 2) AS best_works, full_name FROM p JOIN {R} r ON r.id = researcher_id GROUP BY researcher_id, full_name""", I, R)
-def _(t, s, d):
-    return research.experts(t(I), t(R), _SEARCH)
+@query("t1_experts", f""", h AS (SELECT researcher_id, id, {K1} AS work, {_SCORE} AS score, coalesce(year, 0) AS year FROM {I} WHERE year BETWEEN 1995 AND 2015 AND {_PRED}),
+ p AS (SELECT *, row_number() OVER (PARTITION BY researcher_id ORDER BY score DESC, year DESC, id DESC) AS place FROM h)
+ SELECT researcher_id, max(score) AS score, count(DISTINCT work) AS works, nullif(max(year), 0) AS last_year, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY place) FILTER (WHERE place <= 2) AS best_works, full_name FROM p JOIN {R} r ON r.id = researcher_id GROUP BY researcher_id, full_name""", I, R)
+def experts(t, s, d):
+    return research.experts(prepared_items(s, d), t(R), _SEARCH)
 
 
 _V = " OR ".join(_has(c, "educacao basica") for c in ("journal_name", "event_name", "doi"))
+_PUBS = f""", g AS (SELECT {K1} AS work, max({_SCORE} + {_i(f'({_V})')}) AS score, max(year) AS year, min(id) AS item, min(lower(trim(title))) AS title, count(DISTINCT researcher_id) AS owners FROM {I} WHERE year BETWEEN 1995 AND 2015 AND (({_PRED}) OR {_V}) GROUP BY 1)"""
+
+
+@query("t2_publications", f"{_PUBS} SELECT * FROM g", I)
+def publications(t, s, d):
+    return research.publications(prepared_items(s, d), _SEARCH)
+
 
+for _order, _by in {"relevancia": "score DESC, year DESC NULLS LAST, item DESC", "recentes": "year DESC NULLS LAST, score DESC, item DESC", "antigas": "year ASC NULLS LAST, score DESC, item", "titulo": "title, item"}.items():
+    query(f"t2_page_{_order}", f"{_PUBS} SELECT * FROM g ORDER BY {_by} LIMIT 15 OFFSET 15", I)(lambda t, s, d, _order=_order: research.page(research.publications(prepared_items(s, d), _SEARCH, order=_order), 2, 15))
+for _order, _by in {"relevancia": "score DESC, works DESC", "recentes": "last_year DESC NULLS LAST, score DESC, works DESC", "publicacoes": "works DESC, score DESC", "nome": "1"}.items():
+    _by = "" if _by == "1" else f"{_by}, "
+    query(f"t1_page_{_order}", f"""SELECT researcher_id, max({_SCORE}) AS score, count(DISTINCT {K1}) AS works, max(year) AS last_year, full_name FROM {I} JOIN {R} r ON r.id = researcher_id WHERE year BETWEEN 1995 AND 2015 AND {_PRED} GROUP BY researcher_id, full_name
+ ORDER BY {_by}{f_('full_name')}, researcher_id LIMIT 4 OFFSET 4""", I, R)(lambda t, s, d, _order=_order: research.page(research.experts(prepared_items(s, d), t(R), _SEARCH, order=_order), 2, 4).drop("best_works"))
 
-@query("t2_publications", f"""SELECT {K1} AS work, max({_SCORE} + {_i(f'({_V})')}) AS score, max(year) AS year, min(id) AS item, count(DISTINCT researcher_id) AS owners FROM {I} WHERE year BETWEEN 1995 AND 2015 AND (({_PRED}) OR {_V}) GROUP BY 1""", I)
+
+@query("f5_venue_family", f"""SELECT {K1} AS work, min(id) AS item FROM {I} WHERE contains({f_("coalesce(journal_name, '')")}, 'revista 7') OR contains({f_("coalesce(event_name, '')")}, 'revista 7') OR contains({f_("coalesce(doi, '')")}, 'revista 7')
+ OR contains({f_("coalesce(title, '')")}, 'revista 7') OR contains({f_("coalesce(keywords_text, '')")}, 'revista 7') OR (item_type = 'ARTIGO' AND qualis_journal_id IN (SELECT id FROM {J} WHERE id < 20)) GROUP BY 1""", I, J)
 def _(t, s, d):
-    return research.publications(t(I), _SEARCH)
+    return research.publications(prepared_items(s, d), ResearchFilter.of(YEAR, q="revista 7", exact=True), family_rows=t(J).where("id < 20")).select("work", "item")
 
 
 @query("t3_name_search", f"SELECT r.id, full_name, status, productions FROM {R} r LEFT JOIN (SELECT researcher_id, count(*) AS productions FROM {I} GROUP BY 1) p ON researcher_id = r.id WHERE contains({f_('full_name')}, '1')", R, I)
@@ -340,14 +365,19 @@ def _(t, s, d):
 
 @query("t4_page", f"SELECT id, title FROM {J} ORDER BY id LIMIT 50 OFFSET 50", J)
 def _(t, s, d):
-    return research.page(t(J).select("id", "title").orderBy("id"), 2, 50, 1_000_000)
+    return research.page(t(J).select("id", "title").orderBy("id"), 2, 50)
+
+
+@query("t4_page_clamped", f"SELECT id, title FROM (SELECT id, title, row_number() OVER (ORDER BY id) AS p FROM {J}) WHERE p > ((SELECT count(*) FROM {J}) - 1) // 50 * 50", J)
+def _(t, s, d):
+    return research.page(t(J).select("id", "title").orderBy("id"), 10**6, 50)
 
 
 @query("f1_filter", f"""SELECT id FROM {I} WHERE item_type = 'ARTIGO' AND year >= 2000 AND ({_has('title', 'genero')} OR {_has('keywords_text', 'genero')})
  AND researcher_id IN (SELECT id FROM {R} WHERE status = 1 AND (department_code IN ('CS', 'DCSo') OR department IN ('CS', 'DCSo'))) AND researcher_id IN (SELECT researcher_id FROM {KA} WHERE major_area IN ('ENGENHARIAS', 'Engenharias'))""", I, R, KA)
 def _(t, s, d):
     f = ResearchFilter.of(YEAR, q="o gênero", item_type="artigo", first_year=2000, affiliation="vigente", department="CS", major_area="ENGENHARIAS", aliases={"CS": ["DCSo"]})
-    return apply_filter(t(I), f, t(R), t(KA)).select("id")
+    return apply_filter(prepared_items(s, d), f, t(R), t(KA)).select("id")
 
 
 @query("f11_orientation_filter", f"SELECT id FROM {O} WHERE year BETWEEN 1990 AND 2020 AND contains({f_('''concat_ws(' ', title, student_name, keywords)''')}, 'genero')", O)
@@ -393,6 +423,22 @@ def _(t, s, d):
     return graph.ego(graph.strongest(graph.edges(_authors(t)), 200), 8)
 
 
+@query("j2_neighbours", f", {_AU} SELECT r AS researcher, count(*) AS works FROM a WHERE work IN (SELECT work FROM a WHERE r = 7) AND r <> 7 GROUP BY 1", A)
+def _(t, s, d):
+    return graph.neighbours(_authors(t), 7)
+
+
+@query("a25_matrix_nodes", f", {_AU} SELECT id, full_name, row_number() OVER (ORDER BY {f_('full_name')}, id) AS place FROM {R} WHERE id IN (SELECT a FROM e UNION SELECT b FROM e)", A, R)
+def _(t, s, d):
+    return graph.matrix_nodes(graph.edges(_authors(t)), t(R))
+
+
+@query("t10_pair_page", f", {_AU}, p AS (SELECT work, max(year) AS year FROM a JOIN {I} i ON i.id = work WHERE r = 2 AND work IN (SELECT work FROM a WHERE r = 9) GROUP BY 1) SELECT work, year, (SELECT count(*) FROM p) AS total FROM p ORDER BY year DESC NULLS LAST, work LIMIT 2", A, I)
+def _(t, s, d):
+    years = t(I).groupBy(F.col("id").alias("work")).agg(F.max("year").alias("year"))
+    return graph.pair_page(graph.pair_works(_authors(t), 2, 9).join(years, "work"), 2)
+
+
 @query("a25_matrix", f", {_AU} SELECT a, b, weight FROM e UNION ALL SELECT b, a, weight FROM e", A)
 def _(t, s, d):
     return graph.matrix(graph.edges(_authors(t)))
@@ -484,23 +530,10 @@ def _(t, s, d):
 
 
 _KEY = lambda x: f"trim(regexp_replace({N1(x)}, '[^a-z0-9]+', ' ', 'g'))"
-_NAMES = "names AS (SELECT DISTINCT upper(title) AS name, CASE WHEN id % 2 = 0 THEN issn END AS issn FROM journals WHERE id % 3 <> 1)"
-
-
-@query("r1_resolve_journals", f""", {_FAM}, {_NAMES},
- k AS (SELECT 1 AS stage, issn AS key, min(j.id) AS id, false AS amb FROM {J} j JOIN fam ON fam.id = j.id WHERE issn IS NOT NULL GROUP BY 2
-  UNION ALL SELECT 2, {_KEY('title')}, min(j.id), min(fid) <> max(fid) FROM {J} j JOIN fam ON fam.id = j.id GROUP BY 2)
- SELECT name, n.issn, CASE WHEN a.id IS NOT NULL THEN 'matched' WHEN b.id IS NULL THEN 'none' WHEN b.amb THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN a.id IS NOT NULL THEN 1 WHEN b.id IS NOT NULL THEN 2 END AS step,
- CASE WHEN a.id IS NOT NULL THEN a.id WHEN NOT b.amb THEN b.id END AS journal_id FROM names n LEFT JOIN k a ON a.stage = 1 AND a.key = n.issn LEFT JOIN k b ON b.stage = 2 AND b.key = {_KEY('name')}""", J)
-def _(t, s, d):
-    names = t(J).where("id % 3 <> 1").select(F.upper("title").alias("name"), F.when(F.col("id") % 2 == 0, F.col("issn")).alias("issn"))
-    return journals.resolve(names, t(J))
-
-
 _ALL_NAMES = "names AS (SELECT DISTINCT upper(title) AS name, CASE WHEN id % 2 = 0 THEN issn END AS issn FROM journals)"
 
 
-@query("r1_resolve_journals_all", f""", {_FAM}, {_ALL_NAMES},
+@query("r1_resolve_journals", f""", {_FAM}, {_ALL_NAMES},
  k AS (SELECT 1 AS stage, issn AS key, min(j.id) AS id, false AS amb FROM {J} j JOIN fam ON fam.id = j.id WHERE issn IS NOT NULL GROUP BY 2
   UNION ALL SELECT 2, {_KEY('title')}, min(j.id), min(fid) <> max(fid) FROM {J} j JOIN fam ON fam.id = j.id GROUP BY 2)
  SELECT name, n.issn, CASE WHEN a.id IS NOT NULL THEN 'matched' WHEN b.id IS NULL THEN 'none' WHEN b.amb THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN a.id IS NOT NULL THEN 1 WHEN b.id IS NOT NULL THEN 2 END AS step,
@@ -516,92 +549,152 @@ def _(t, s, d):
     return journals.name_queue(t(I))
 
 
-@query("t8_journal_search", f""", {_FAM} SELECT fid, min(CASE WHEN {f_('title')} = 'revista a' THEN 0 WHEN starts_with({f_('title')}, 'revista a') THEN 1 ELSE 2 END) AS score, count(*) AS rows FROM fam JOIN {J} j ON j.id = fam.id WHERE contains({f_('title')}, 'revista a') GROUP BY 1 ORDER BY 2, 1 LIMIT 20""", J)
+@query("t8_journal_search", f""", {_FAM} SELECT fid, min(CASE WHEN {f_('title')} = 'revista large' THEN 0 WHEN starts_with({f_('title')}, 'revista large') THEN 1 ELSE 2 END) AS score, count(*) AS rows FROM fam JOIN {J} j ON j.id = fam.id WHERE contains({f_('title')}, 'revista large') GROUP BY 1 ORDER BY 2, 1 LIMIT 20""", J)
 def _(t, s, d):
-    return journals.name_search(t(J), "Revista A")
+    return journals.name_search(t(J), "Revista Large")
 
 
 # --- topics -----------------------------------------------------------------------------------------------------------
-_LINE = "SELECT doc_id AS id, split_part(text, chr(10), 1) AS title FROM documents"
 _STOP = ", ".join(f"'{w}'" for w in topics.STOPWORDS)
 _CONN = ", ".join(f"'{w}'" for w in topics.CONNECTORS)
-_ok = lambda w: f"(length({w}) >= 3 AND {w} NOT IN ({_STOP}) AND NOT regexp_full_match({w}, '[0-9]+') AND NOT regexp_full_match({w}, '[ivxlcdm]+'))"
-_MINED = f"""WITH tk AS (SELECT id, regexp_extract_all(lower(trim(title)), '[a-záàâãéèêíïóôõöúçñ0-9]+') AS t FROM ({_LINE})),
- w AS (SELECT id, unnest(list_transform(range(1, len(t) + 1), lambda i: struct_pack(a := t[i], b := t[i + 1], c := t[i + 2]))) AS x FROM tk),
- v AS (SELECT id, x.a AS w1, x.b AS w2, x.c AS w3 FROM w WHERE {_ok('x.a')}),
- c AS (SELECT id, w1 || ' ' || w2 AS term, [w1, w2] AS parts FROM v WHERE coalesce({_ok('w2')}, false) UNION ALL SELECT id, w1 || ' ' || w2 || ' ' || w3, [w1, w3] FROM v WHERE w2 IN ({_CONN}) AND coalesce({_ok('w3')}, false)),
- cc AS (SELECT id, term, count(*) AS n, any_value(parts) AS parts FROM c GROUP BY 1, 2),
- s AS (SELECT id, w1 AS term, count(*) AS n FROM v GROUP BY 1, 2),
- ab AS (SELECT id, word, sum(n) AS n FROM (SELECT id, unnest(list_distinct(parts)) AS word, n FROM cc) GROUP BY 1, 2),
- m AS (SELECT id, term, n FROM cc UNION ALL SELECT s.id, s.term, CAST(s.n - coalesce(ab.n, 0) AS BIGINT) FROM s LEFT JOIN ab ON ab.id = s.id AND ab.word = s.term WHERE s.n - coalesce(ab.n, 0) > 0 AND length(s.term) >= 4)"""
+_ok = lambda w: f"(length({w}) >= 3 AND {w} NOT IN ({_STOP}) AND NOT regexp_full_match({w}, '[0-9]+(e[0-9]+)?|[ivxlcdm]+'))"
+
+
+def _mined(titles: str) -> str:
+    """CTEs that end in m (id, term, n, place)."""
+    return f"""tk AS (SELECT id, regexp_extract_all(lower(title), '[a-záàâãéèêíïóôõöúçñ0-9]+') AS t FROM ({titles})),
+ v AS (SELECT id, i, t[i] AS w1, t[i + 1] AS w2, t[i + 2] AS w3 FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM tk) WHERE {_ok('t[i]')}),
+ c AS (SELECT id, w1 || ' ' || w2 AS term, 2 * (i - 1) AS p FROM v WHERE coalesce({_ok('w2')}, false) UNION ALL SELECT id, w1 || ' ' || w2 || ' ' || w3, 2 * (i - 1) + 1 FROM v WHERE w2 IN ({_CONN}) AND coalesce({_ok('w3')}, false)),
+ cc AS (SELECT id, term, count(*) AS n, min(p) AS place FROM c GROUP BY 1, 2), sg AS (SELECT id, w1 AS term, count(*) AS n, min(i - 1) + 1000000 AS place FROM v GROUP BY 1, 2),
+ ab AS (SELECT id, word, sum(n) AS n FROM (SELECT id, unnest(string_split(term, ' ')) AS word, n FROM cc) GROUP BY 1, 2),
+ m AS (SELECT id, term, n, place FROM cc UNION ALL SELECT sg.id, sg.term, CAST(sg.n - coalesce(ab.n, 0) AS BIGINT), place FROM sg LEFT JOIN ab ON ab.id = sg.id AND ab.word = sg.term WHERE sg.n - coalesce(ab.n, 0) > 0 AND length(sg.term) >= 4)"""
+
+
+_TEXTS = "SELECT doc_id AS id, text AS title FROM documents"
+_CANON = lambda x: f"list_reduce(list_transform(string_split(lower(trim({x})), ' '), lambda w, i: CASE WHEN i > 1 AND w IN ({_CONN}) THEN w ELSE upper(left(w, 1)) || substr(w, 2) END), lambda p, q: p || ' ' || q)"
 
 
-def _titles(s, d):
-    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"))
+def _indexed(mentions: str) -> str:
+    """CTEs from a CTE of mentions (researcher_id, term, n, source, sample, seen) to lk (links) and ix (terms)."""
+    return f"""k AS (SELECT *, {TOPIC('term')} AS key FROM {mentions} WHERE term IS NOT NULL),
+ lk AS (SELECT key, researcher_id, CAST(sum(n) AS BIGINT) AS occurrences, min(struct_pack(s := seen, t := term, o := source)) AS f, max(CAST(source = 'keyword' AS INT)) AS kw, coalesce(struct_extract(min(struct_pack(s := seen, t := sample)) FILTER (WHERE sample <> ''), 't'), '') AS sample
+  FROM k WHERE length(key) >= 3 AND key NOT IN ({_STOP}) AND NOT regexp_full_match(key, '[0-9]+') GROUP BY 1, 2),
+ ix AS (SELECT key, {_CANON('min(f).t')} AS term, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(*) AS researchers, CASE WHEN min(f).o = 'mined' AND max(kw) = 1 THEN 'hybrid' ELSE min(f).o END AS source, min(f).s AS seen FROM lk GROUP BY 1 HAVING sum(occurrences) >= 2)"""
 
 
-@query("x1_mined_terms", _MINED + " SELECT * FROM m")
+def _texts(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+
+
+@query("x1_mined_terms", f"WITH {_mined(_TEXTS)} SELECT * FROM m")
 def mined_terms(t, s, d):
-    return topics.mined(_titles(s, d))
+    return topics.mined(_texts(s, d))
 
 
-@query("x5_topic_index", _MINED + f""", i AS (SELECT {TOPIC('term')} AS key, term, n, id % 50 AS r FROM m) SELECT key, min(term) AS term, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT r) AS researchers, 'mined' AS source FROM i WHERE length(key) >= 3 GROUP BY 1 HAVING sum(n) >= 2""")
+def _text_links(s, d):
+    m = topics.mined(_texts(s, d))
+    seen = F.struct(F.lit(0).alias("stage"), F.col("id").cast("long").alias("row"), "place")
+    return topics.links(m.select((F.col("id") % 50).alias("researcher_id"), "term", "n", F.lit("mined").alias("source"), F.lit("").alias("sample"), seen.alias("seen")))
+
+
+@query("x5_topic_index", f"WITH {_mined(_TEXTS)}, me AS (SELECT id % 50 AS researcher_id, term, n, 'mined' AS source, '' AS sample, id * 10000000 + place AS seen FROM m), {_indexed('me')} SELECT key, term, occurrences, researchers, source FROM ix")
 def topic_index(t, s, d):
-    return topics.index(topics.mined(_titles(s, d)).select((F.col("id") % 50).alias("researcher_id"), "term", "n", F.lit("mined").alias("source")))
+    return topics.index(_text_links(s, d)).drop("seen")
 
 
-# The same over whole texts.
-_WHOLE = _MINED.replace(_LINE, "SELECT doc_id AS id, text AS title FROM documents")
+# Five branches; a title's id tells its table, row and phase.
+_BRANCHES = "SELECT tid AS id, sample AS title FROM own"
+_MARKS = "' ' || chr(9) || chr(10) || chr(13) || '.,;:-/()[]{}' || chr(34) || chr(39)"
+_CLEAN = lambda x: f"CASE WHEN length(trim(trim({x}), {_MARKS})) >= 3 THEN trim(trim({x}), {_MARKS}) END"
+_MENTIONS = f""", own AS MATERIALIZED (SELECT row_number() OVER () AS tid, * FROM (SELECT id AS row, researcher_id, title AS sample, 1 AS weight, 0 AS stage, 1 AS phase FROM {I} WHERE title <> '' UNION ALL SELECT id, researcher_id, title, 2, 1, 1 FROM {O} WHERE title <> ''
+  UNION ALL SELECT id, researcher_id, alternative_title, 1, 1, 2 FROM {O} WHERE alternative_title <> '' AND alternative_title <> coalesce(title, '') UNION ALL SELECT id, researcher_id, name, 2, 2, 1 FROM {P} WHERE name <> '')), {_mined(_BRANCHES)},
+ js AS (SELECT researcher_id, id, title, list_filter(CASE WHEN json_type(extra_data, '$.keywords') = 'ARRAY' THEN CAST(json_extract(extra_data, '$.keywords') AS JSON[]) ELSE [] END, lambda x: json_type(x) = 'VARCHAR') AS kw FROM {I} WHERE extra_data IS NOT NULL),
+ os AS (SELECT researcher_id, id, coalesce(nullif(title, ''), alternative_title, '') AS title, string_split_regex(keywords, '[;,]') AS kw FROM {O} WHERE keywords IS NOT NULL),
+ me AS (SELECT researcher_id, term, n * weight AS n, 'mined' AS source, sample, stage * 1000000000000000000 + row * 1000000000 + phase * 10000000 + place AS seen FROM m JOIN own ON tid = m.id
+  UNION ALL SELECT researcher_id, {_CLEAN("json_extract_string(kw[i], '$')")}, 2, 'keyword', title, id * 1000000000 + i - 1 FROM (SELECT *, unnest(range(1, len(kw) + 1)) AS i FROM js)
+  UNION ALL SELECT researcher_id, {_CLEAN('kw[i]')}, 2, 'keyword', title, 1000000000000000000 + id * 1000000000 + i - 1 FROM (SELECT *, unnest(range(1, len(kw) + 1)) AS i FROM os)), {_indexed('me')}"""
 
 
-def _texts(s, d):
-    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+def _folder(t, s, d):
+    """The stored index of the domain tables, built once."""
+    def make(path):
+        topics.build_index(t(I), t(O), t(P), path, "1")
+
+    return once(s, d, "topic-index", make)
 
 
-@query("x1_mined_terms_all", _WHOLE + " SELECT * FROM m")
+@query("x4_five_branches", f"{_MENTIONS} SELECT key, term, occurrences, researchers, source FROM ix", I, O, P)
 def _(t, s, d):
-    return topics.mined(_texts(s, d))
+    return topics.stored_terms(s, _folder(t, s, d)).select("key", "term", "occurrences", "researchers", "source")
 
 
-@query("x5_topic_index_all", _WHOLE + f""", i AS (SELECT {TOPIC('term')} AS key, term, n, id % 50 AS r FROM m) SELECT key, min(term) AS term, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT r) AS researchers, 'mined' AS source FROM i WHERE length(key) >= 3 GROUP BY 1 HAVING sum(n) >= 2""")
+@query("x6_slugs", f"""{_MENTIONS}, b AS (SELECT *, trim(regexp_replace({f_('term')}, '[^a-z0-9]+', '-', 'g'), '-') AS base FROM ix), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY seen, key) AS place FROM b)
+ SELECT key, term, occurrences, researchers, source, CASE WHEN place = 1 THEN base ELSE base || '-' || CAST(place AS VARCHAR) END AS slug FROM r""", I, O, P)
 def _(t, s, d):
-    return topics.index(topics.mined(_texts(s, d)).select((F.col("id") % 50).alias("researcher_id"), "term", "n", F.lit("mined").alias("source")))
+    return topics.stored_terms(s, _folder(t, s, d))
 
 
-_SRC = f"""src AS (SELECT researcher_id, trim(unnest(string_split_regex(keywords_text, '[;,]'))) AS term, 2 AS n FROM {I} WHERE keywords_text IS NOT NULL UNION ALL SELECT researcher_id, trim(unnest(string_split_regex(keywords, '[;,]'))), 2 FROM {O} WHERE keywords IS NOT NULL)"""
+@query("x5_links", f"{_MENTIONS} SELECT key, researcher_id, lk.occurrences, sample FROM lk JOIN ix USING (key)", I, O, P)
+def _(t, s, d):
+    return topics.stored_links(s, _folder(t, s, d)).select("key", "researcher_id", "occurrences", F.coalesce(F.get("sample_titles", 0), F.lit("")).alias("sample"))
 
 
-def _declared(t):
-    words = lambda df, c: topics.declared(df.select(F.col("researcher_id").alias("id"), F.col(c).alias("keywords"))).select(F.col("id").alias("researcher_id"), "term", F.lit(2).alias("n"))
-    return words(t(I), "keywords_text").unionByName(words(t(O), "keywords")).withColumn("source", F.lit("keyword"))
+@query("a33_researcher_topics", f"{_MENTIONS} SELECT key, term, CAST(sum(lk.occurrences) AS BIGINT) AS total FROM lk JOIN ix USING (key) WHERE source <> 'mined' AND researchers >= 2 AND researcher_id BETWEEN 1 AND 20 AND term <> 'Gênero' GROUP BY 1, 2 ORDER BY 3 DESC, 2, 1 LIMIT 12", I, O, P)
+def _(t, s, d):
+    f = _folder(t, s, d)
+    return topics.researcher_topics(topics.stored_terms(s, f), topics.stored_links(s, f).where("researcher_id BETWEEN 1 AND 20"), exclude="Gênero").drop("slug")
 
 
-@query("x4_declared_index", f", {_SRC} SELECT {TOPIC('term')} AS key, min(term) AS term, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT researcher_id) AS researchers, 'keyword' AS source FROM src GROUP BY 1 HAVING sum(n) >= 2", I, O)
+@query("a36_topic_catalogue", f"{_MENTIONS} SELECT key, term, occurrences, researchers FROM ix WHERE source <> 'mined' AND researchers >= 5 AND occurrences >= 40 ORDER BY occurrences DESC, term, key LIMIT 300", I, O, P)
 def _(t, s, d):
-    return topics.index(_declared(t))
+    return topics.topic_catalogue(topics.stored_terms(s, _folder(t, s, d))).select("key", "term", "occurrences", "researchers")
+
+
+_LATER = "CAST(NOT starts_with(key, 'ed') AS INT), "
+_T6 = "CAST(round(100.0 * occurrences / first_value(occurrences) OVER (ORDER BY {0}occurrences DESC, researchers DESC, key)) AS INT) AS weight"
+
 
+@query("t6_autocomplete", f"{_MENTIONS} SELECT key, term, occurrences, researchers, {_T6.format(_LATER)} FROM ix WHERE contains(key, 'ed') ORDER BY CAST(NOT starts_with(key, 'ed') AS INT), occurrences DESC, researchers DESC, key LIMIT 24", I, O, P)
+def autocomplete(t, s, d):
+    return topics.autocomplete(topics.stored_terms(s, _folder(t, s, d)), "Ed").drop("slug")
 
-@query("x6_slugs", f", {_SRC} SELECT {TOPIC('term')} AS key, min(term) AS term, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT researcher_id) AS researchers, 'keyword' AS source, regexp_replace({TOPIC('term')}, '[^a-z0-9]+', '-', 'g') AS slug FROM src GROUP BY 1, 6", I, O)
+
+@query("t7_featured_terms", f"{_MENTIONS} SELECT key, term, occurrences, researchers, {_T6.format('')} FROM ix ORDER BY occurrences DESC, researchers DESC, key LIMIT 24", I, O, P)
 def _(t, s, d):
-    return topics.with_slugs(topics.index(_declared(t)))
+    return topics.featured(topics.stored_terms(s, _folder(t, s, d))).select("key", "term", "occurrences", "researchers", "weight")
 
 
-@query("a33_researcher_topics", f", {_SRC} SELECT {TOPIC('term')} AS key, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT researcher_id) AS researchers FROM src GROUP BY 1 HAVING count(DISTINCT researcher_id) >= 2 ORDER BY 2 DESC, 1 LIMIT 10", I, O)
+@query("a66_topic_stats", f"{_MENTIONS} SELECT count(*) AS terms, max(occurrences) AS most FROM ix", I, O, P)
 def _(t, s, d):
-    return topics.researcher_topics(_declared(t))
+    return topics.stored_terms(s, _folder(t, s, d)).agg(F.count(F.lit(1)).alias("terms"), F.max("occurrences").alias("most"))
 
 
-_IDX = f"{_SRC}, ix AS (SELECT {TOPIC('term')} AS key, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT researcher_id) AS researchers FROM src GROUP BY 1)"
+@query("a55_topic_researchers", f"{_MENTIONS} SELECT researcher_id, lk.occurrences, full_name FROM lk JOIN ix USING (key) JOIN {R} r ON r.id = researcher_id WHERE key = 'genero' ORDER BY lk.occurrences DESC, {f_('full_name')}, researcher_id LIMIT 20 OFFSET 20", I, O, P, R)
+def _(t, s, d):
+    return topics.topic_researchers(topics.stored_links(s, _folder(t, s, d)), t(R), "genero", 2, 20).select("researcher_id", "occurrences", "full_name")
 
 
-@query("t6_autocomplete", f", {_IDX} SELECT key, occurrences, researchers, CAST(round(100.0 * occurrences / first_value(occurrences) OVER (ORDER BY CAST(NOT starts_with(key, 'ed') AS INT), occurrences DESC, researchers DESC, key)) AS INT) AS weight FROM ix WHERE contains(key, 'ed') LIMIT 10", I, O)
+@query("a55_topic_departments", f"{_MENTIONS} SELECT department, count(DISTINCT r.id) AS total FROM lk JOIN ix USING (key) JOIN {R} r ON r.id = researcher_id WHERE key = 'genero' AND department <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", I, O, P, R)
 def _(t, s, d):
-    return topics.autocomplete(topics.index(_declared(t)), "ed")
+    return topics.topic_departments(topics.stored_links(s, _folder(t, s, d)), t(R), "genero")
+
 
+_PARTS = "SELECT id, trim(unnest(string_split_regex(keywords_text, '[;,]'))) AS term FROM production_items"
 
-@query("a66_topic_stats", f", {_IDX} SELECT count(*) AS terms, max(occurrences) AS most FROM ix", I, O)
+
+@query("m3_split_keywords", f"SELECT id, term FROM ({_PARTS}) WHERE length(term) >= 3", I)
 def _(t, s, d):
-    return topics.index(_declared(t)).agg(F.count(F.lit(1)).alias("terms"), F.max("occurrences").alias("most"))
+    return topics.declared(t(I).select("id", F.col("keywords_text").alias("keywords")))
+
+
+@query("m2_json_keywords", f"SELECT id, json_extract_string(x, '$') AS keyword FROM (SELECT id, unnest(CASE WHEN json_type(extra_data, '$.keywords') = 'ARRAY' THEN CAST(json_extract(extra_data, '$.keywords') AS JSON[]) ELSE [] END) AS x FROM {I} WHERE extra_data IS NOT NULL) WHERE json_type(x) = 'VARCHAR'", I)
+def _(t, s, d):
+    return t(I).select("id", F.explode(topics.json_keywords(F.col("extra_data"))).alias("keyword"))
+
+
+@query("n18_canonical_terms", f"SELECT id, {_CANON('title')} AS value FROM {I}", I)
+def _(t, s, d):
+    return t(I).select("id", topics.canonical_term(F.col("title")).alias("value"))
 
 
 @query("a51_timeline", f""", r AS (SELECT DISTINCT year, kind, lower(trim(title)) AS t FROM (SELECT year, title, 'p' AS kind, concat_ws(' ', title, keywords_text) AS x FROM {I} UNION ALL SELECT year, title, 'o', concat_ws(' ', title, keywords) FROM {O}) WHERE year <= {YEAR} AND contains({f_('x')}, 'genero')),
@@ -663,8 +756,7 @@ def _doc_fn(name: str, column, sql: str):
 
 _doc_fn("n1_normalized", text.normalized, N1("text"))
 _doc_fn("n3_topic_key", text.topic_key, TOPIC("text"))
-_doc_fn("n10_slug", lambda c: text.slug(F.substring(c, 1, 80)), f"trim(regexp_replace({N1('substr(text, 1, 80)')}, '[^a-z0-9]+', '-', 'g'), '-')")
-_doc_fn("n10_slug_all", text.slug, f"CASE WHEN trim(regexp_replace({N1('text')}, '[^a-z0-9]+', '-', 'g'), '-') = '' THEN md5(text) ELSE trim(regexp_replace({N1('text')}, '[^a-z0-9]+', '-', 'g'), '-') END")
+_doc_fn("n10_slug", text.slug, f"CASE WHEN trim(regexp_replace({N1('text')}, '[^a-z0-9]+', '-', 'g'), '-') = '' THEN md5(text) ELSE trim(regexp_replace({N1('text')}, '[^a-z0-9]+', '-', 'g'), '-') END")
 
 
 @query("n13_issns", "SELECT p_partkey AS id, regexp_matches(x, '^[0-9]{7}[0-9X]$') AND CASE WHEN c = 10 THEN 'X' ELSE CAST(c AS VARCHAR) END = x[8] AS valid FROM (SELECT *, (11 - list_sum(list_transform(range(1, 8), lambda i: (9 - i) * CAST(x[i] AS INT))) % 11) % 11 AS c FROM (SELECT p_partkey, CAST(10000000 + (p_partkey * 7919) % 89999999 AS VARCHAR) AS x FROM part))")
@@ -679,10 +771,22 @@ def _(t, s, d):
     return t(R).select("id", text.inverted_name(F.replace("full_name", F.lit("#"), F.lit(" "))).alias("value"))
 
 
-@query("n19_title_score", f""", k AS (SELECT id, string_split({_KEY('title')}, ' ') AS w, {_KEY('title')} AS t FROM {J}) SELECT a.id AS a, b.id AS b, CASE WHEN replace(a.t, ' ', '') = replace(b.t, ' ', '') THEN 1.0 ELSE round(len(list_intersect(list_distinct(a.w), list_distinct(b.w))) * 1.0 / len(list_distinct(list_concat(a.w, b.w))), 9) END AS score FROM k a JOIN k b ON b.id = a.id + 1""", J)
+_CW = ", ".join(f"'{w}'" for w in text.COMPACT_STOPWORDS)
+_PAIRED = f"SELECT id, CASE id % 5 WHEN 0 THEN title || ' (Campinas)' WHEN 1 THEN 'A ' || replace(title, ' ', ' de ') WHEN 2 THEN title || ' especial' WHEN 3 THEN '' ELSE title END AS t FROM {J}"
+
+
+@query("n19_title_score", f""", tt AS (SELECT p.id AS a, q.id AS b, p.title AS x, q.t AS y FROM {J} p JOIN ({_PAIRED}) q ON q.id = p.id OR q.id = p.id + 1),
+ sd AS (SELECT DISTINCT s, {N1('v')} AS k FROM (SELECT s, unnest([s, regexp_replace(s, '[(][^)]*[)]', ' ', 'g')]) AS v FROM (SELECT x AS s FROM tt UNION SELECT y FROM tt)) WHERE {N1('v')} <> ''),
+ kc AS (SELECT s, k, list_filter(string_split(k, ' '), lambda w: w NOT IN ({_CW})) AS c FROM sd), kk AS (SELECT s, CASE WHEN len(c) >= 2 THEN c ELSE string_split(k, ' ') END AS w, len(c) >= 2 AS ok FROM kc),
+ sc AS (SELECT a, b, CASE WHEN m.ok AND n.ok AND m.w = n.w THEN 1.0 WHEN m.ok AND n.ok AND (contains(' ' || array_to_string(m.w, ' ') || ' ', ' ' || array_to_string(n.w, ' ') || ' ') OR contains(' ' || array_to_string(n.w, ' ') || ' ', ' ' || array_to_string(m.w, ' ') || ' '))
+   THEN greatest(0.9, len(list_intersect(list_distinct(m.w), list_distinct(n.w))) * 1.0 / len(list_distinct(list_concat(m.w, n.w)))) ELSE len(list_intersect(list_distinct(m.w), list_distinct(n.w))) * 1.0 / len(list_distinct(list_concat(m.w, n.w))) END AS s
+  FROM tt LEFT JOIN kk m ON m.s = x LEFT JOIN kk n ON n.s = y)
+ SELECT a, b, round(CAST(coalesce(max(s), 0.0) AS DOUBLE), 9) AS score FROM sc GROUP BY 1, 2""", J)
 def _(t, s, d):
-    a, b = (t(J).select(F.col("id").alias(x), F.col("title").alias(f"t{x}")) for x in "ab")
-    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(text.title_score(F.col("ta"), F.col("tb")), 9).alias("score"))
+    p = t(J).select(F.col("id").alias("a"), F.col("title").alias("x"))
+    q = t(J).selectExpr("id AS b", "CASE id % 5 WHEN 0 THEN concat(title, ' (Campinas)') WHEN 1 THEN concat('A ', replace(title, ' ', ' de ')) WHEN 2 THEN concat(title, ' especial') WHEN 3 THEN '' ELSE title END AS y")
+    pairs = p.withColumn("b", F.explode(F.array("a", F.col("a") + 1))).join(q, "b")
+    return pairs.select("a", "b", F.round(text.title_score(F.col("x"), F.col("y")), 9).alias("score"))
 
 
 @query("n24_weight_units", f"SELECT id, CAST((floor(10000.0 / n) + CASE WHEN i < 10000 % n THEN 1 ELSE 0 END) / 10000 AS DOUBLE) AS weight FROM (SELECT id, 1 + id % 7 AS n, (id // 7) % (1 + id % 7) AS i FROM {J})", J)
@@ -703,11 +807,6 @@ def _(t, s, d):
     return entities.remapped(t(I), "researcher_id", merges).groupBy("researcher_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b29_new_items", f"SELECT id FROM {I} i WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM {I} b WHERE b.id % 5 = 0 AND b.item_type = i.item_type AND b.title = i.title AND b.year IS NOT DISTINCT FROM i.year)", I)
-def _(t, s, d):
-    return entities.new_items(t(I).where("id % 5 = 0"), t(I).where("id % 2 = 1"), ["item_type", "title", "year"]).select("id")
-
-
 @query("b30_replaced", f"SELECT researcher_id, count(*) AS n FROM {O} WHERE researcher_id >= 20 OR handle IS NOT NULL OR id % 3 = 0 GROUP BY 1", O)
 def _(t, s, d):
     o = t(O)
@@ -715,33 +814,20 @@ def _(t, s, d):
     return entities.replaced(o, new, "researcher_id", F.col("handle").isNotNull()).groupBy("researcher_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s22_fill_empty", f"""SELECT coalesce(a.id, b.id) AS id, coalesce(nullif(a.qualis, ''), b.qualis) AS qualis, coalesce(nullif(a.display_title, ''), b.title) AS display_title FROM (SELECT * FROM {J} WHERE id % 4 <> 0) a FULL OUTER JOIN (SELECT id, 'N' AS qualis, title FROM {J} WHERE id % 3 = 0) b ON a.id = b.id""", J)
-def _(t, s, d):
-    old = t(J).where("id % 4 <> 0").select("id", "qualis", "display_title")
-    return entities.fill_empty(old, t(J).where("id % 3 = 0").select("id", F.lit("N").alias("qualis"), F.col("title").alias("display_title")), "id", ["qualis", "display_title"])
-
-
-@query("a61_snapshot_diff", f""", b AS (SELECT id, qualis_journal_id AS j FROM {I} WHERE id % 7 <> 0), a AS (SELECT id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE qualis_journal_id END AS j FROM {I} WHERE id % 11 <> 0)
- SELECT CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'removed' WHEN a.j IS NOT DISTINCT FROM b.j THEN 'same' WHEN b.j IS NULL THEN 'gained' WHEN a.j IS NULL THEN 'lost' ELSE 'changed' END AS state, count(*) AS rows FROM b FULL OUTER JOIN a ON a.id = b.id GROUP BY 1""", I)
-def _(t, s, d):
-    b = t(I).where("id % 7 <> 0").select("id", F.col("qualis_journal_id").alias("journal_id"))
-    return entities.snapshot_diff(b, t(I).where("id % 11 <> 0").selectExpr("id", "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE qualis_journal_id END AS journal_id"))
-
-
-# The same operators over whole tables: what differs between the sides are values.
-@query("b29_new_items_all", f"SELECT id FROM (SELECT *, CASE WHEN id % 5 = 0 THEN title || ' nova' ELSE title END AS now FROM {I}) i WHERE NOT EXISTS (SELECT 1 FROM {I} b WHERE b.item_type = i.item_type AND b.title = i.now AND b.year IS NOT DISTINCT FROM i.year)", I)
+# What differs between the sides are values; no row is left out.
+@query("b29_new_items", f"SELECT id FROM (SELECT *, CASE WHEN id % 5 = 0 THEN title || ' nova' ELSE title END AS now FROM {I}) i WHERE NOT EXISTS (SELECT 1 FROM {I} b WHERE b.item_type = i.item_type AND b.title = i.now AND b.year IS NOT DISTINCT FROM i.year)", I)
 def _(t, s, d):
     after = t(I).withColumn("title", F.when(F.col("id") % 5 == 0, F.concat("title", F.lit(" nova"))).otherwise(F.col("title")))
     return entities.new_items(t(I), after, ["item_type", "title", "year"]).select("id")
 
 
-@query("s22_fill_empty_all", f"""SELECT coalesce(a.id, b.id) AS id, coalesce(nullif(a.qualis, ''), b.qualis) AS qualis, coalesce(nullif(a.display_title, ''), b.title) AS display_title FROM {J} a FULL OUTER JOIN (SELECT CASE WHEN id % 3 = 0 THEN -id ELSE id END AS id, 'N' AS qualis, title FROM {J}) b ON a.id = b.id""", J)
+@query("s22_fill_empty", f"""SELECT coalesce(a.id, b.id) AS id, coalesce(nullif(a.qualis, ''), b.qualis) AS qualis, coalesce(nullif(a.display_title, ''), b.title) AS display_title FROM {J} a FULL OUTER JOIN (SELECT CASE WHEN id % 3 = 0 THEN -id ELSE id END AS id, 'N' AS qualis, title FROM {J}) b ON a.id = b.id""", J)
 def _(t, s, d):
     new = t(J).select(F.when(F.col("id") % 3 == 0, -F.col("id")).otherwise(F.col("id")).alias("id"), F.lit("N").alias("qualis"), F.col("title").alias("display_title"))
     return entities.fill_empty(t(J).select("id", "qualis", "display_title"), new, "id", ["qualis", "display_title"])
 
 
-@query("a61_snapshot_diff_all", f""", b AS (SELECT id, qualis_journal_id AS j FROM {I}), a AS (SELECT CASE WHEN id % 11 = 0 THEN -id ELSE id END AS id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE qualis_journal_id END AS j FROM {I})
+@query("a61_snapshot_diff", f""", b AS (SELECT id, qualis_journal_id AS j FROM {I}), a AS (SELECT CASE WHEN id % 11 = 0 THEN -id ELSE id END AS id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE qualis_journal_id END AS j FROM {I})
  SELECT CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'removed' WHEN a.j IS NOT DISTINCT FROM b.j THEN 'same' WHEN b.j IS NULL THEN 'gained' WHEN a.j IS NULL THEN 'lost' ELSE 'changed' END AS state, count(*) AS rows FROM b FULL OUTER JOIN a ON a.id = b.id GROUP BY 1""", I)
 def _(t, s, d):
     after = t(I).selectExpr("CASE WHEN id % 11 = 0 THEN -id ELSE id END AS id", "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE qualis_journal_id END AS journal_id")
@@ -866,16 +952,6 @@ def _(t, s, d):
     return fam.catalogue_page(t(J), "brand", "A1", 2).select("id", "title", "issn")
 
 
-@query("a36_topic_catalogue", f", {_IDX} SELECT * FROM ix WHERE occurrences >= 2 AND researchers >= 2 ORDER BY occurrences DESC, key LIMIT 5", I, O)
-def _(t, s, d):
-    return fam.topic_catalogue(topics.index(_declared(t)), 2, 2, 5).select("key", "occurrences", "researchers")
-
-
-@query("a55_topic_researchers", f", {_SRC} SELECT researcher_id, CAST(sum(n) AS BIGINT) AS occurrences FROM src WHERE {TOPIC('term')} = 'genero' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 20", I, O)
-def _(t, s, d):
-    return fam.topic_researchers(_declared(t), "genero", 2, 20)
-
-
 @query("a63_review_page", f""", q AS (SELECT {f_('journal_name')} AS name_key, count(*) AS articles FROM {I} WHERE item_type = 'ARTIGO' AND qualis_journal_id IS NULL AND journal_name IS NOT NULL GROUP BY 1)
  SELECT name_key, articles FROM q WHERE contains({N1('name_key')}, 'revista') ORDER BY articles DESC, name_key LIMIT 5""", I)
 def _(t, s, d):
@@ -917,37 +993,46 @@ def _(t, s, d):
     return curation.guarded(t(J).selectExpr("CASE WHEN id % 5 = 0 THEN concat('<b>', title) WHEN id % 3 = 0 THEN concat(title, ' nova') ELSE title END AS name", "id AS fid"), own)
 
 
-@query("j8_refreshed", f"SELECT id, department, n AS status, status IS DISTINCT FROM n AS changed FROM {R} LEFT JOIN (SELECT id AS i, 1 AS n FROM {R} WHERE id % 2 = 0) ON i = id", R)
+@query("j8_refreshed", f"SELECT id, department, n AS status, status IS DISTINCT FROM n AS changed FROM {R} LEFT JOIN (SELECT id AS i, CASE id % 3 WHEN 0 THEN status WHEN 1 THEN 1 - status END AS n FROM {R}) ON i = id", R)
 def _(t, s, d):
-    look = t(R).where("id % 2 = 0").select("id", F.lit(1).alias("status"))
+    look = t(R).select("id", F.expr("CASE id % 3 WHEN 0 THEN status WHEN 1 THEN 1 - status END").alias("status"))
     return curation.refreshed(t(R).select("id", "department", "status"), look, "id", "status")[0]
 
 
-@query("j8_refreshed_all", f"SELECT id, department, n AS status, status IS DISTINCT FROM n AS changed FROM {R} LEFT JOIN (SELECT id AS i, CASE id % 3 WHEN 0 THEN status WHEN 1 THEN 1 - status END AS n FROM {R}) ON i = id", R)
+@query("j11_prefix_match", None)  # SQL would compare all pairs
 def _(t, s, d):
-    look = t(R).select("id", F.expr("CASE id % 3 WHEN 0 THEN status WHEN 1 THEN 1 - status END").alias("status"))
-    return curation.refreshed(t(R).select("id", "department", "status"), look, "id", "status")[0]
+    """J11 over all names and all institutions."""
+    return curation.prefix_match(t(J).select(F.lower("title").alias("name")), t(J).select("id", F.col("title").alias("name")))
 
 
-@query("j11_prefix_match", f"SELECT name, min(i.id) AS institution_id FROM (SELECT DISTINCT lower(title) AS name FROM {J} WHERE id % 7 = 0) n JOIN (SELECT id, {N1('title')} AS key FROM {J} WHERE id % 50 = 0) i ON starts_with({N1('name')}, key) OR starts_with(key, {N1('name')}) GROUP BY 1", J)
-def _(t, s, d):
-    return curation.prefix_match(t(J).where("id % 7 = 0").select(F.lower("title").alias("name")), t(J).where("id % 50 = 0").select("id", F.col("title").alias("name")))
+_CSTOP, _CCONN = (", ".join(f"'{w}'" for w in x) for x in (topics.CLOUD_STOPWORDS, topics.CLOUD_CONNECTORS))
+_cok = lambda w: f"(length({w}) >= 3 AND {w} NOT IN ({_CSTOP}) AND NOT regexp_full_match({w}, '[0-9]+(e[0-9]+)?|[ivxlcdm]+'))"
+
 
+def _cloud_sql(titles: str) -> str:
+    return f"""tk AS (SELECT researcher_id, weight, regexp_extract_all(lower(title), '[a-záàâãéèêíïóôõöúçñ0-9]+') AS t FROM ({titles})),
+ v AS (SELECT researcher_id, weight, t[i] AS w1, t[i + 1] AS w2, t[i + 2] AS w3 FROM (SELECT researcher_id, weight, t, unnest(range(1, len(t) + 1)) AS i FROM tk) WHERE {_cok('t[i]')}),
+ cc AS (SELECT researcher_id, term, sum(weight) AS n FROM (SELECT researcher_id, weight, w1 || ' ' || w2 AS term FROM v WHERE coalesce({_cok('w2')}, false) UNION ALL SELECT researcher_id, weight, w1 || ' ' || w2 || ' ' || w3 FROM v WHERE w2 IN ({_CCONN}) AND coalesce({_cok('w3')}, false)) GROUP BY 1, 2 HAVING sum(weight) >= 2),
+ sg AS (SELECT researcher_id, w1 AS term, sum(weight) AS n FROM v GROUP BY 1, 2), ab AS (SELECT researcher_id, word, sum(n) AS n FROM (SELECT researcher_id, unnest(string_split(term, ' ')) AS word, n FROM cc) GROUP BY 1, 2),
+ al AS (SELECT * FROM cc UNION ALL SELECT sg.researcher_id, sg.term, sg.n - coalesce(ab.n, 0) FROM sg LEFT JOIN ab ON ab.researcher_id = sg.researcher_id AND ab.word = sg.term WHERE sg.n - coalesce(ab.n, 0) >= 2)
+ SELECT researcher_id, term, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY researcher_id ORDER BY n DESC, term) AS place FROM al) WHERE place <= 24"""
 
-@query("j11_prefix_match_all", None)  # SQL would compare all pairs
+
+@query("x7_keyword_cloud", f", {_cloud_sql(f'SELECT researcher_id, title, 1 AS weight FROM {I} UNION ALL SELECT researcher_id, name, 2 FROM {P}')}", I, P)
 def _(t, s, d):
-    """J11 over all names and all institutions; j11_prefix_match matches a sample of each, as its SQL does."""
-    return curation.prefix_match(t(J).select(F.lower("title").alias("name")), t(J).select("id", F.col("title").alias("name")))
+    return topics.cloud(t(I).select("researcher_id", "title", F.lit(1).alias("weight")).unionByName(t(P).select("researcher_id", F.col("name").alias("title"), F.lit(2).alias("weight"))))
 
 
-@query("x7_keyword_cloud", _MINED + ", g AS (SELECT id % 50 AS researcher_id, term, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY 1, 2 HAVING sum(n) >= 2), p AS (SELECT *, row_number() OVER (PARTITION BY researcher_id ORDER BY n DESC, term) AS place FROM g) SELECT researcher_id, term, n FROM p WHERE place <= 24")
+@query("x7_cloud_of_texts", f"WITH {_cloud_sql('SELECT doc_id % 50 AS researcher_id, text AS title, 1 AS weight FROM documents')}")
 def _(t, s, d):
-    return curation.keyword_cloud(_titles(s, d).withColumn("researcher_id", F.col("id") % 50))
+    return topics.cloud(_texts(s, d).select((F.col("id") % 50).alias("researcher_id"), "title", F.lit(1).alias("weight")))
 
 
-@query("x7_keyword_cloud_all", _WHOLE + ", g AS (SELECT id % 50 AS researcher_id, term, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY 1, 2 HAVING sum(n) >= 2), p AS (SELECT *, row_number() OVER (PARTITION BY researcher_id ORDER BY n DESC, term) AS place FROM g) SELECT researcher_id, term, n FROM p WHERE place <= 24")
+@query("x7_author_keywords", f""", k AS (SELECT researcher_id, lower(trim(trim(json_extract_string(x, '$')), ' ' || chr(9) || chr(10) || chr(13) || '.,;:-')) AS k FROM (SELECT researcher_id, unnest(CASE WHEN json_type(extra_data, '$.keywords') = 'ARRAY' THEN CAST(json_extract(extra_data, '$.keywords') AS JSON[]) ELSE [] END) AS x FROM {I} WHERE extra_data IS NOT NULL) WHERE json_type(x) = 'VARCHAR'),
+ n AS (SELECT researcher_id, k, count(*) AS n, row_number() OVER (PARTITION BY researcher_id ORDER BY count(*) DESC, k) AS p FROM k WHERE length(k) >= 2 GROUP BY 1, 2)
+ SELECT researcher_id, list_reduce(list_transform(string_split(k, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), lambda a, b: a || ' ' || b) AS keyword, n FROM n WHERE p <= 24""", I)
 def _(t, s, d):
-    return curation.keyword_cloud(_texts(s, d).withColumn("researcher_id", F.col("id") % 50))
+    return topics.author_keywords(t(I).select("researcher_id", topics.json_keywords(F.col("extra_data")).alias("keywords")))
 
 
 @query("x8_backfilled_keywords", f""", o AS (SELECT {TOPIC('title')} AS k, min(id) AS id FROM {I} GROUP BY 1 HAVING count(*) = 1), l AS (SELECT {TOPIC('title')} AS k, min(keywords) AS found FROM {O} GROUP BY 1 HAVING count(*) = 1)

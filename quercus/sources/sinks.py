@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ ENTRY_TYPES = {"ARTIGO": "article", "LIVRO": "book", "CAPITULO": "incollection",
 
 
 def write_table(df: DataFrame, path: str, kind: str) -> None:
-    """Json, csv (semicolons) or xml."""
+    """Json, csv (semicolons, each file with a header after a byte order mark) or xml."""
     w = df.write.mode("overwrite")
     if kind == "csv":
+        first = df.columns[0]
+        w = df.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite")
         w.option("header", True).option("sep", ";").csv(path)
     elif kind == "xml":
         w.format("xml").option("rootTag", "rows").option("rowTag", "row").save(path)
@@ -47,26 +51,43 @@ def write_evidence(evidence: DataFrame, path: str, meta: str) -> None:
     head.unionByName(lines).repartitionByRange("src", "rec", "title").sortWithinPartitions("src", "rec", "title").select("value").write.mode("overwrite").option("compression", "gzip").text(path)
 
 
-def swap(df: DataFrame, folder: str, version: str) -> str:
-    """Write a new version, then point to it; a failure leaves the old one in place. Returns the path that now holds."""
-    spark = df.sparkSession
+def swap(spark: SparkSession, write: Callable[[str], None], folder: str, version: str) -> str:
+    """Let `write` fill a new version, then point to it; a failure leaves the old one in place. Returns the path that now holds.
+
+    Pointers are files `CURRENT-<number>` that are made by one rename and never changed: the highest number holds, and the one
+    before stays until a later swap, so there is no moment without a version.
+    """
     path = f"{folder}/v={version}"
-    df.write.mode("errorifexists").parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
-    fs = p.getFileSystem(hadoop)
-    new = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT.{version}")
-    out = fs.create(new, True)
+    make = jvm.org.apache.hadoop.fs.Path
+    fs = make(folder).getFileSystem(hadoop)
+    if fs.exists(make(path)):
+        raise FileExistsError(path)
+    write(path)
+    numbers = _pointers(spark, folder)
+    new = max(numbers, default=0) + 1
+    draft = make(f"{folder}/.draft-{version}")
+    out = fs.create(draft, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(new, p):
+    if not fs.rename(draft, make(f"{folder}/CURRENT-{new:010d}")):
         raise OSError("the new version couldn't be pointed to")
+    for n in sorted(numbers)[:-1]:
+        fs.delete(make(f"{folder}/CURRENT-{n:010d}"), False)
     return path
 
 
-def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The version that `swap` last pointed to."""
-    version = spark.read.text(f"{folder}/CURRENT").first()[0]
-    return spark.read.parquet(f"{folder}/v={version}")
+def _pointers(spark: SparkSession, folder: str) -> list[int]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return [int(n.removeprefix("CURRENT-")) for n in names if n.startswith("CURRENT-")]
+
+
+def current(spark: SparkSession, folder: str) -> str:
+    """The path of the version that the last whole `swap` pointed to."""
+    numbers = _pointers(spark, folder)
+    if not numbers:
+        raise FileNotFoundError(f"no version under {folder}")
+    return f"{folder}/v={spark.read.text(f'{folder}/CURRENT-{max(numbers):010d}').first()[0]}"
