@@ -44,6 +44,8 @@ ORDER, K = 2, 40.0
 BLOCK_TOKENS = 2_000_000
 #: Bytes of texts for each range of hashes.
 RANGE_BYTES = 16 << 20
+#: Ranges that a task answers, at most on average.
+RANGES_A_TASK = 8
 #: Texts of a block that are still unread from which on each goes on by itself.
 FEW = 12
 #: Distinct words whose hashes a worker remembers.
@@ -191,7 +193,8 @@ def counted(docs: DataFrame, order: int, bits: int) -> tuple[DataFrame, str, int
             yield from of(held)
 
     asked = docs.mapInArrow(ask, "block long, range long, " + ", ".join(f"{n} binary" for n in names))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Tasks follow the ranges, and so the input's bytes.
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // RANGES_A_TASK)
     schema = "block long, range long, check string, n long, v long, " + ", ".join(f"counts{k} binary" for k in range(order))
     answered = asked.repartition(n, "range").sortWithinPartitions("range", "block").mapInArrow(answer, schema)
     # One folder for each split of the input, of one file sorted by block, so that a task reads only the answers to its own blocks.
