@@ -7,7 +7,8 @@ precision, selects, and of selected spans that overlap the likelier stays. The t
 candidates with known answers: the tables hold no labels for personal data.
 
 Cases: null is the empty text: no spans. Offsets are code points, ends exclusive. A text may be of any length; it is
-searched as a whole. Equal rows give equal results, an empty table none; other columns are ignored.
+searched as a whole. Of candidates that overlap the likelier stays, of equally likely ones the first; a null id is kept. Equal
+rows give equal results, an empty table none; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -248,7 +249,7 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the counts of base spans by kind, base spans, all spans, and the redacted text."""
+    """id, the counts of base spans by kind and of all spans, base spans, all spans, and the redacted text."""
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train()[:2])
     kind = docs.schema[id_col].dataType.simpleString()
@@ -262,12 +263,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             n = [0] * len(KINDS)
             for _, k, _ in base:
                 n[k] += 1
-            rows.append((*n, shown(base), shown(spans), redacted(t, spans) if spans else t))
+            rows.append((*n, len(spans), shown(base), shown(spans), redacted(t, spans) if spans else t))
         cols = list(zip(*rows))
-        return pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names)
+        return pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.string()) for c in cols[5:])], names)
 
-    names = [id_col, *(f"n_{k}" for k in KINDS), "base_spans", "spans", "redacted"]
-    return docs.select(id_col, text_col).mapInArrow(by_rows(run), f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, redacted string")
+    names = [id_col, *(f"n_{k}" for k in KINDS), "n_spans", "base_spans", "spans", "redacted"]
+    return docs.select(id_col, text_col).mapInArrow(by_rows(run), f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base_spans string, spans string, redacted string")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -294,7 +295,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     found = find(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans", "n_spans")
 
 
 QUERIES = {"op9_pii": op9_pii}
