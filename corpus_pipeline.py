@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. Quality, near-duplicates and benchmark passages remove
 documents; personal data is replaced in the texts (n_chars follows); the last stage encodes and decodes each text.
+
+Cases: null and empty texts are scored, have no near copies, passages or personal data, and encode to no tokens; a null id keeps its
+row; rows of equal id stay or go together in the second stage and by themselves in the others; texts of any length are taken as a
+whole; an empty table gives no rows; further columns of documents, whatever their names, are carried through to the last stage.
 """
 
 from __future__ import annotations

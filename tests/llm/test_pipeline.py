@@ -50,3 +50,31 @@ def test_stages(spark, tmp_path):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, and columns whose names the operators use."""
+    long = "ein gutes Wort nach dem andern steht hier im Satz. " * 4000
+    texts = [(1, "Ein Text mit genug Worten, der so nur einmal vorkommt."), (1, "Ein Text mit genug Worten, der so nur einmal vorkommt."), (2, None), (3, ""), (4, "  "), (None, "Ein anderer Text ohne Nummer, aber mit Adresse a.b@example.com."), (5, long), (6, long), (7, "kurz")]
+    rows = [(i, t, "de", "s", len(t or ""), "x", 0.5, 9) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component string, score double, id long")
+    columns = docs.columns
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (9, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "ganz andere Worte stehen in diesem Eintrag")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = []
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        df = stage(spark, df, str(tmp_path))
+        df.write.parquet(f"{tmp_path}/stage{n}")
+        df = spark.read.parquet(f"{tmp_path}/stage{n}")
+        if n < 4:
+            assert df.columns == columns
+        sizes.append(df.count())
+    assert sizes == [9, 8, 8, 8, 8]  # one of the two long copies goes
+    last = {r.doc_id: r.n_tokens for r in df.collect()}
+    assert last[2] == last[3] == 0 and last[7] > 0 and None in last
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
