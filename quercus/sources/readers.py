@@ -1,4 +1,4 @@
-"""Readers (inventory S1, S3, S7, S8, S10, S12-S15, S17-S18, S20-S22, S24). Schemas are stated, never inferred."""
+"""Readers of lists and thesauri (inventory S10-S22, S24); curricula are in `curriculum`. Schemas are stated, never inferred."""
 
 from __future__ import annotations
 
@@ -15,48 +15,6 @@ def _row(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, _S) for n in names])
 
 
-#: The parts of a curriculum that the XML reader takes; all attributes are strings, so that leading zeros stay.
-CURRICULUM = T.StructType([
-    T.StructField("_NUMERO-IDENTIFICADOR", _S), T.StructField("_DATA-ATUALIZACAO", _S),
-    T.StructField("DADOS-GERAIS", T.StructType([T.StructField("_NOME-COMPLETO", _S), T.StructField("_NOME-EM-CITACOES-BIBLIOGRAFICAS", _S)])),
-    T.StructField("PRODUCAO-BIBLIOGRAFICA", T.StructType([
-        T.StructField("ARTIGOS-PUBLICADOS", T.StructType([T.StructField("ARTIGO-PUBLICADO", T.ArrayType(T.StructType([
-            T.StructField("DADOS-BASICOS-DO-ARTIGO", _row("_TITULO-DO-ARTIGO", "_ANO-DO-ARTIGO", "_DOI", "_NATUREZA")),
-            T.StructField("DETALHAMENTO-DO-ARTIGO", _row("_TITULO-DO-PERIODICO-OU-REVISTA", "_ISSN", "_PAGINA-INICIAL", "_PAGINA-FINAL")),
-            T.StructField("AUTORES", T.ArrayType(_row("_NOME-COMPLETO-DO-AUTOR", "_NOME-PARA-CITACAO", "_ORDEM-DE-AUTORIA", "_NRO-ID-CNPQ"))),
-            T.StructField("PALAVRAS-CHAVE", _row(*(f"_PALAVRA-CHAVE-{i}" for i in range(1, 7)))),
-        ])))])),
-    ])),
-])
-
-
-def curricula(spark: SparkSession, path: str) -> DataFrame:
-    """S3: one row a curriculum; the identifier from the attribute, else from the file's name; 16 digits or the row drops."""
-    raw = spark.read.format("xml").option("rowTag", "CURRICULO-VITAE").schema(CURRICULUM).load(path)
-    raw = raw.withColumn("__file", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{16})", 1))
-    number = F.coalesce(F.nullif(F.trim("`_NUMERO-IDENTIFICADOR`"), F.lit("")), F.col("__file"))
-    return raw.withColumn("curriculum_id", number).where(F.col("curriculum_id").rlike(r"^\d{16}$"))
-
-
-def articles(curriculum: DataFrame) -> DataFrame:
-    """Articles of curricula with authors in order, keywords and page range."""
-    a = curriculum.select("curriculum_id", F.posexplode("`PRODUCAO-BIBLIOGRAFICA`.`ARTIGOS-PUBLICADOS`.`ARTIGO-PUBLICADO`").alias("pos", "a"))
-    basic, detail = "a.`DADOS-BASICOS-DO-ARTIGO`", "a.`DETALHAMENTO-DO-ARTIGO`"
-    words = F.array(*(F.trim(F.col(f"a.`PALAVRAS-CHAVE`.`_PALAVRA-CHAVE-{i}`")) for i in range(1, 7)))
-    pages = F.concat_ws("-", *(F.nullif(F.trim(F.col(f"{detail}.`{c}`")), F.lit("")) for c in ("_PAGINA-INICIAL", "_PAGINA-FINAL")))
-    return a.select(
-        "curriculum_id", "pos", F.lit("ARTIGO").alias("item_type"), F.col(f"{basic}.`_TITULO-DO-ARTIGO`").alias("title"), F.col(f"{basic}.`_ANO-DO-ARTIGO`").try_cast("int").alias("year"),
-        F.nullif(F.trim(F.col(f"{basic}.`_DOI`")), F.lit("")).alias("doi"), F.col(f"{detail}.`_TITULO-DO-PERIODICO-OU-REVISTA`").alias("journal_name"), F.nullif(F.trim(F.col(f"{detail}.`_ISSN`")), F.lit("")).alias("issn"), pages.alias("pages"),
-        F.filter(words, lambda w: w != "").alias("keywords"),
-        F.array_sort(F.transform("a.AUTORES", lambda x: F.struct(x["_ORDEM-DE-AUTORIA"].try_cast("int").alias("author_order"), x["_NOME-COMPLETO-DO-AUTOR"].alias("author_name"), x["_NRO-ID-CNPQ"].alias("curriculum_id")))).alias("authors"),
-    )
-
-
-def curriculum_date(c) -> F.Column:
-    """Ddmmyyyy; null if it isn't a date."""
-    return F.try_to_timestamp(c, F.lit("ddMMyyyy")).cast("date")
-
-
 def theses(spark: SparkSession, path: str) -> DataFrame:
     """A thesis repository's CSV of 31 columns by position; the year from the date, else its first four digits."""
     raw = spark.read.schema(_row(*(f"c{i}" for i in range(31)))).csv(path, header=True, quote='"', escape='"', multiLine=True)

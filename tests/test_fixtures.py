@@ -139,14 +139,53 @@ def test_formats_are_told_apart():
     assert readers.sniff_delimiter("a;b;c,d\n1,2") == ";"
 
 
+XML = """<?xml version="1.0" encoding="ISO-8859-1"?><CURRICULO-VITAE NUMERO-IDENTIFICADOR="0012345678901234" DATA-ATUALIZACAO="05032024"><DADOS-GERAIS NOME-COMPLETO="Ana Sá" NOME-EM-CITACOES-BIBLIOGRAFICAS="SÁ, A.">
+<FORMACAO-ACADEMICA-TITULACAO><DOUTORADO NOME-CURSO="Educação" NOME-INSTITUICAO="U" ANO-DE-INICIO="1999" ANO-DE-CONCLUSAO="" ANO-DE-OBTENCAO-DO-TITULO="2003" TITULO-DA-DISSERTACAO-TESE="Tese"/></FORMACAO-ACADEMICA-TITULACAO>
+<ATUACOES-PROFISSIONAIS><ATUACAO-PROFISSIONAL NOME-INSTITUICAO="UF" CODIGO-INSTITUICAO="1"><VINCULOS OUTRO-ENQUADRAMENTO-FUNCIONAL-INFORMADO="Livre" ENQUADRAMENTO-FUNCIONAL="Professor" TIPO-DE-VINCULO="LIVRE" OUTRO-VINCULO-INFORMADO="" ANO-INICIO="2000" ANO-FIM="2024"/>
+<VINCULOS ENQUADRAMENTO-FUNCIONAL="X" TIPO-DE-VINCULO="Servidor" ANO-FIM="2024" MES-FIM="2" FLAG-DEDICACAO-EXCLUSIVA="SIM"/><PROJETO-DE-PESQUISA NOME-DO-PROJETO="P" ANO-INICIO="2010"><EQUIPE-DO-PROJETO><INTEGRANTES-DO-PROJETO NOME-COMPLETO="Ana" NRO-ID-CNPQ="0012345678901234" FLAG-RESPONSAVEL="sim" ORDEM-DE-INTEGRACAO="1"/>
+<INTEGRANTES-DO-PROJETO NOME-COMPLETO=" "/></EQUIPE-DO-PROJETO><FINANCIADORES-DO-PROJETO><FINANCIADOR-DO-PROJETO NOME-INSTITUICAO="" CODIGO-INSTITUICAO="" NATUREZA="NAO_INFORMADO"/><FINANCIADOR-DO-PROJETO NOME-INSTITUICAO="F" SEQUENCIA-FINANCIADOR="2"/></FINANCIADORES-DO-PROJETO></PROJETO-DE-PESQUISA></ATUACAO-PROFISSIONAL>
+<ATUACAO-PROFISSIONAL NOME-INSTITUICAO="Sem"/></ATUACOES-PROFISSIONAIS><AREAS-DE-ATUACAO><AREA-DE-ATUACAO NOME-GRANDE-AREA-DO-CONHECIMENTO="CIENCIAS_HUMANAS" NOME-DA-AREA-DO-CONHECIMENTO="Educação"/></AREAS-DE-ATUACAO>
+<PREMIOS-TITULOS><PREMIO-TITULO NOME-DO-PREMIO-OU-TITULO="Prêmio" ANO-DA-PREMIACAO="2011"/><PREMIO-TITULO NOME-DO-PREMIO-OU-TITULO=" "/></PREMIOS-TITULOS><IDIOMAS><IDIOMA IDIOMA="EN" DESCRICAO-DO-IDIOMA="Inglês" PROFICIENCIA-DE-LEITURA="BEM"/></IDIOMAS></DADOS-GERAIS>
+<PRODUCAO-BIBLIOGRAFICA><ARTIGOS-PUBLICADOS><ARTIGO-PUBLICADO><DADOS-BASICOS-DO-ARTIGO TITULO-DO-ARTIGO="T" ANO-DO-ARTIGO="2001" DOI=""/><DETALHAMENTO-DO-ARTIGO TITULO-DO-PERIODICO-OU-REVISTA="R" ISSN="03785955" PAGINA-INICIAL="1" PAGINA-FINAL="9"/>
+<AUTORES NOME-COMPLETO-DO-AUTOR="B" ORDEM-DE-AUTORIA="2"/><AUTORES NOME-COMPLETO-DO-AUTOR="A" ORDEM-DE-AUTORIA="1"/><PALAVRAS-CHAVE PALAVRA-CHAVE-1="k" PALAVRA-CHAVE-2=" "/></ARTIGO-PUBLICADO></ARTIGOS-PUBLICADOS>
+<ARTIGOS-ACEITOS-PARA-PUBLICACAO><ARTIGO-ACEITO-PARA-PUBLICACAO><DADOS-BASICOS-DO-ARTIGO TITULO-DO-ARTIGO="Aceito" ANO-DO-ARTIGO="2024"/></ARTIGO-ACEITO-PARA-PUBLICACAO></ARTIGOS-ACEITOS-PARA-PUBLICACAO>
+<LIVROS-E-CAPITULOS><CAPITULOS-DE-LIVROS-PUBLICADOS><CAPITULO-DE-LIVRO-PUBLICADO><DADOS-BASICOS-DO-CAPITULO TIPO="Cap" TITULO-DO-CAPITULO-DO-LIVRO="C" ANO="2005"/><DETALHAMENTO-DO-CAPITULO TITULO-DO-LIVRO="L" PAGINA-FINAL="7" ISBN="978"/></CAPITULO-DE-LIVRO-PUBLICADO></CAPITULOS-DE-LIVROS-PUBLICADOS></LIVROS-E-CAPITULOS></PRODUCAO-BIBLIOGRAFICA>
+<PRODUCAO-TECNICA><SOFTWARE><DADOS-BASICOS-DO-SOFTWARE TITULO-DO-SOFTWARE="S" ANO="2006"/></SOFTWARE><TRABALHO-TECNICO><DADOS-BASICOS-DO-TRABALHO-TECNICO TITULO-DO-TRABALHO-TECNICO="W" ANO="2007"/></TRABALHO-TECNICO>
+<DEMAIS-TIPOS-DE-PRODUCAO-TECNICA><CURSO><DADOS-BASICOS TITULO="Curso" ANO="2008"/></CURSO><CURSO><DADOS-BASICOS TITULO=""/></CURSO></DEMAIS-TIPOS-DE-PRODUCAO-TECNICA></PRODUCAO-TECNICA>
+<OUTRA-PRODUCAO><ORIENTACOES-CONCLUIDAS><ORIENTACOES-CONCLUIDAS-PARA-MESTRADO><DADOS-BASICOS-X TITULO="M" ANO="2009" NATUREZA="x"/><DETALHAMENTO-X NOME-DO-ORIENTADO="Zé" NOME-DO-CURSO="Cu"/></ORIENTACOES-CONCLUIDAS-PARA-MESTRADO>
+<OUTRAS-ORIENTACOES-CONCLUIDAS><DADOS-BASICOS-X TITULO="I" NATUREZA="INICIACAO_CIENTIFICA"/><DETALHAMENTO-X NOME-DO-ORIENTADO="Bia"/></OUTRAS-ORIENTACOES-CONCLUIDAS><OUTRAS-ORIENTACOES-CONCLUIDAS><DADOS-BASICOS-X TITULO="N"/><DETALHAMENTO-X NOME-DO-ORIENTADO=""/></OUTRAS-ORIENTACOES-CONCLUIDAS></ORIENTACOES-CONCLUIDAS>
+<PRODUCAO-ARTISTICA-CULTURAL><MUSICA><DADOS-BASICOS-DA-MUSICA TITULO="Canção" ANO="2012"/></MUSICA></PRODUCAO-ARTISTICA-CULTURAL><DEMAIS-TRABALHOS><DADOS-BASICOS-DE-DEMAIS-TRABALHOS TITULO="D" ANO="2013"/></DEMAIS-TRABALHOS></OUTRA-PRODUCAO>
+<DADOS-COMPLEMENTARES><FORMACAO-COMPLEMENTAR><FORMACAO-COMPLEMENTAR-CURSO-DE-CURTA-DURACAO NOME-CURSO="Curto" CARGA-HORARIA="8"/></FORMACAO-COMPLEMENTAR><PARTICIPACAO-EM-BANCA-TRABALHOS-CONCLUSAO><PARTICIPACAO-EM-BANCA-DE-MESTRADO><DADOS-BASICOS-B TITULO="BT" ANO="2014"/><DETALHAMENTO-B NOME-DO-CANDIDATO="Caio"/></PARTICIPACAO-EM-BANCA-DE-MESTRADO></PARTICIPACAO-EM-BANCA-TRABALHOS-CONCLUSAO>
+<PARTICIPACAO-EM-EVENTOS-CONGRESSOS><PARTICIPACAO-EM-CONGRESSO><DADOS-BASICOS-P TITULO="Fala" ANO="2015"/><DETALHAMENTO-P NOME-DO-EVENTO=""/></PARTICIPACAO-EM-CONGRESSO></PARTICIPACAO-EM-EVENTOS-CONGRESSOS>
+<ORIENTACOES-EM-ANDAMENTO><ORIENTACAO-EM-ANDAMENTO-DE-DOUTORADO><DADOS-BASICOS-Y TITULO-DO-TRABALHO="Tese" ANO="2023"/><DETALHAMENTO-Y NOME-DO-ORIENTANDO="Leo"/></ORIENTACAO-EM-ANDAMENTO-DE-DOUTORADO></ORIENTACOES-EM-ANDAMENTO></DADOS-COMPLEMENTARES></CURRICULO-VITAE>"""
+
+
 def test_curriculum_xml(spark, tmp_path):
-    (tmp_path / "c.xml").write_text(
-        '<CURRICULO-VITAE NUMERO-IDENTIFICADOR="0012345678901234"><DADOS-GERAIS NOME-COMPLETO="Ana"/><PRODUCAO-BIBLIOGRAFICA><ARTIGOS-PUBLICADOS><ARTIGO-PUBLICADO>'
-        '<DADOS-BASICOS-DO-ARTIGO TITULO-DO-ARTIGO="T" ANO-DO-ARTIGO="2001" DOI=""/><DETALHAMENTO-DO-ARTIGO TITULO-DO-PERIODICO-OU-REVISTA="R" ISSN="03785955" PAGINA-INICIAL="1" PAGINA-FINAL="9"/>'
-        '<AUTORES NOME-COMPLETO-DO-AUTOR="B" ORDEM-DE-AUTORIA="2"/><AUTORES NOME-COMPLETO-DO-AUTOR="A" ORDEM-DE-AUTORIA="1"/><PALAVRAS-CHAVE PALAVRA-CHAVE-1="k" PALAVRA-CHAVE-2=" "/></ARTIGO-PUBLICADO></ARTIGOS-PUBLICADOS></PRODUCAO-BIBLIOGRAFICA></CURRICULO-VITAE>'
-    )
-    r = readers.articles(readers.curricula(spark, str(tmp_path))).first()
-    assert (r.curriculum_id, r.title, r.year, r.doi, r.pages, r.keywords, [a.author_name for a in r.authors]) == ("0012345678901234", "T", 2001, None, "1-9", ["k"], ["A", "B"])
+    from quercus.sources import curriculum as c
+
+    (tmp_path / "c.xml").write_bytes(XML.encode("latin-1"))
+    (tmp_path / "1111222233334444.xml").write_text("<CURRICULO-VITAE NUMERO-IDENTIFICADOR=''/>")
+    (tmp_path / "x.xml").write_text("<OUTRO/>")
+    (tmp_path / "broken.xml").write_text("<a")
+    n = c.nodes(spark, str(tmp_path)).cache()
+    rows = lambda df, *cs: sorted(tuple(r[x] for x in cs) for r in df.where("curriculum_id = '0012345678901234'").collect())
+    assert {r.curriculum_id for r in c.researchers(n).collect()} == {"0012345678901234", "1111222233334444"}
+    assert [tuple(map(str, r)) for r in rows(c.researchers(n), "full_name", "citation_names", "updated")] == [("Ana Sá", "SÁ, A.", "2024-03-05")]
+    p = {r.title: r for r in c.productions(n).collect()}
+    assert {t: r.item_type for t, r in p.items()} == {"T": "ARTIGO", "Aceito": "OUTRA", "C": "CAPITULO", "S": "SOFTWARE", "W": "TRABALHO_TECNICO", "Curso": "OUTRA_TECNICA", "Canção": "PRODUCAO_ARTISTICA", "D": "OUTRA"}
+    t = p["T"]
+    assert (t.year, t.doi, t.pages, t.keywords, [a.author_name for a in t.authors], t.issn, t.journal_name) == (2001, None, "1-9", ["k"], ["A", "B"], "03785955", "R")
+    assert (p["C"].pages, p["C"].journal_name, p["C"].nature, p["Curso"].nature, p["Aceito"].nature, p["Canção"].nature, p["D"].nature) == ("7", "L", "Cap", "CURSO", "ARTIGO-ACEITO-PARA-PUBLICACAO", "MUSICA", "DEMAIS-TRABALHOS")
+    assert rows(c.educations(n), "level", "course_name", "end_year", "workload_hours") == [("CURTA_DURACAO", "Curto", None, 8), ("DOUTORADO", "Educação", 2003, None)]
+    e = {(r.institution_name, r.role_name, r.contract_type): (r.is_current, r.is_exclusive_dedication) for r in c.experiences(n, "2024-06").collect()}
+    assert e == {("UF", "Professor", ""): (True, False), ("UF", "X", "Servidor"): (False, True), ("Sem", None, None): (False, False)}
+    assert rows(c.orientations(n), "orientation_type", "nature", "student_name", "title") == [("DOUTORADO", "EM_ANDAMENTO", "Leo", "Tese"), ("INICIACAO_CIENTIFICA", "CONCLUIDA", "Bia", "I"), ("MESTRADO", "CONCLUIDA", "Zé", "M")]
+    assert rows(c.projects(n), "name", "nature", "status", "is_coordinator", "agency_financier") == [("P", "PESQUISA", "EM_ANDAMENTO", True, "")]
+    people = spark.createDataFrame([("0012345678901234", 7)], "curriculum_id string, id long")
+    assert rows(c.project_members(n, people), "full_name", "member_order", "is_responsible", "matched_researcher_id") == [("Ana", 1, True, 7)] and rows(c.project_funders(n), "name", "funder_order") == [("F", 2)]
+    assert rows(c.boards(n), "board_type", "candidate_name", "year") == [("Mestrado", "Caio", 2014)] and rows(c.participations(n), "event_type", "event_name", "year") == [("Congresso", "Fala", 2015)]
+    assert rows(c.awards(n), "name", "year") == [("Prêmio", 2011)] and rows(c.languages(n), "language", "reading") == [("Inglês", "BEM")] and rows(c.knowledge_areas(n), "major_area", "area") == [("CIENCIAS_HUMANAS", "Educação")]
+    assert c.curriculum_number("1", "2" * 16, "/x/3333444455556666.xml") == "2" * 16 and c.curriculum_number("1", None, "/x/cv 3333444455556666.xml") == "3333444455556666" and c.curriculum_number("", None, "a.xml") is None
 
 
 def test_journal_sources(spark, tmp_path):
