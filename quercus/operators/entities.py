@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import inverted_name, normalized
-from .curation import prefix_match
+from ..functions.text import inverted_name, issns, normalized, resolver_key, without_parentheses
+from .curation import is_name, prefix_match
 
 
 def fill_empty(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -16,6 +16,83 @@ def fill_empty(old: DataFrame, new: DataFrame, key: str, columns: list[str]) ->
     return j.select(F.coalesce(key, "__k").alias(key), *(F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__{c}")).alias(c) for c in columns))
 
 
+# The longest title and stratum that an imported row may have.
+TITLE_CHARS, STRATUM_CHARS = 500, 10
+
+
+def _name_keys(journals: DataFrame) -> DataFrame:
+    """key, id (the lowest), family and whether several families have the key. journals: id, title, canonical_journal_id."""
+    j = journals.select("id", F.coalesce("canonical_journal_id", "id").alias("fid"), resolver_key(F.col("title")).alias("key")).where("key <> ''")
+    return j.groupBy("key").agg(F.min("id").alias("hit"), (F.min("fid") != F.max("fid")).alias("several"))
+
+
+def _issn_keys(journals: DataFrame, *columns: str) -> DataFrame:
+    """issn and the lowest row that has it in one of the columns."""
+    return journals.select("id", F.explode(issns(F.concat_ws(" ", *columns))).alias("k")).groupBy("k").agg(F.min("id").alias("hit"))
+
+
+def _by_number(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """n and the row of the first ISSN, in order, that the catalogue knows. rows: n, numbers."""
+    return rows.select("n", F.posexplode("numbers").alias("pos", "k")).join(known, "k").groupBy("n").agg(F.min(F.struct("pos", "hit")).alias("x")).select("n", F.col("x.hit").alias("by_number"))
+
+
+def import_journals(journals: DataFrame, rows: DataFrame) -> DataFrame:
+    """N, state and journal_id of each imported row, and what it fills.
+
+    A row needs a title of at most 500 characters and a stratum of at most 10, else it is invalid; one without any field is left out. It is matched by
+    ISSN, by title only if it has none: an unknown ISSN is a new journal. A title of several families is ambiguous. Families locked by hand
+    stay. A matched row fills only what is empty; of new rows of one ISSN, or of one title without ISSN, the first makes the journal and the others complete it.
+    journals: id, title, issn, qualis, area, canonical_journal_id, areas_locked; rows: n, title, issn, qualis, area.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    r = rows.select("n", text("title").alias("title"), text("issn").alias("issn"), F.upper(text("qualis")).alias("qualis"), text("area").alias("area")).where(F.concat("title", "issn", "qualis", "area") != "")
+    r = r.withColumns({"numbers": issns(F.col("issn")), "key": resolver_key(F.col("title")), "bad": (F.col("title") == "") | (F.length("title") > TITLE_CHARS) | (F.length("qualis") > STRATUM_CHARS)})
+    names = _name_keys(journals)
+    found = r.join(_by_number(r, _issn_keys(journals, "issn")), "n", "left").join(names, "key", "left")
+    by_title = F.col("issn") == ""
+    hit = F.coalesce("by_number", F.when(by_title & ~F.col("several"), F.col("hit")))
+    j = journals.select(F.col("id").alias("journal_id"), F.coalesce("canonical_journal_id", "id").alias("fid"), *(F.coalesce(c, F.lit("")).alias(f"was_{c}") for c in ("issn", "qualis", "area")))
+    locked = journals.where("areas_locked").select(F.coalesce("canonical_journal_id", "id").alias("fid"), F.lit(True).alias("locked")).distinct()
+    m = found.withColumn("journal_id", hit).join(j, "journal_id", "left").join(locked, "fid", "left")
+    fills = {c: (F.col(f"was_{c}") == "") & (F.col(c) != "") for c in ("issn", "qualis", "area")}
+    group = F.coalesce(F.get("numbers", 0), F.nullif("issn", F.lit("")), F.concat(F.lit("t:"), "key"))
+    w = Window.partitionBy(F.when(F.col("journal_id").isNull() & ~F.col("bad"), group).otherwise(F.concat(F.lit("#"), F.col("n").cast("string")))).orderBy("n")
+    state = (
+        F.when(F.col("bad"), "invalid").when(F.col("by_number").isNull() & by_title & F.coalesce("several", F.lit(False)), "ambiguous").when(F.col("journal_id").isNull(), F.when(F.row_number().over(w) == 1, "created").otherwise("completed"))
+        .when(F.coalesce("locked", F.lit(False)), "locked").when(fills["issn"] | fills["qualis"] | fills["area"], "completed").otherwise("unchanged")
+    )
+    out = m.withColumn("state", state)
+    done = F.col("state") == "completed"
+    return out.select("n", "state", "journal_id", *(F.when((F.col("state") == "created") | done & F.coalesce(f, F.lit(True)), F.nullif(c, F.lit(""))).alias(c) for c, f in fills.items()))
+
+
+def upsert_titles(journals: DataFrame, rows: DataFrame) -> DataFrame:
+    """N, state (updated, inserted, ambiguous) and journal_id of each row of a title list; unlike S22 the title is tried even when the ISSN is unknown.
+
+    By the first of printed, electronic, linking and plain ISSN that the catalogue knows in any of its columns, else by the whole title, else by the title without
+    parentheses; a title of several families is ambiguous. journals: id, title, issn, issn_imp, issn_e, issn_l, canonical_journal_id; rows: n and the columns of `lists.title_list`.
+    """
+    r = rows.select("n", "title", issns(F.concat_ws(" ", "issn_imp", "issn_e", "issn_l", "issn")).alias("numbers"), resolver_key(F.coalesce("title", F.lit(""))).alias("key"), resolver_key(without_parentheses(F.coalesce("title", F.lit("")))).alias("bare"))
+    names = _name_keys(journals)
+    found = r.join(_by_number(r, _issn_keys(journals, "issn", "issn_imp", "issn_e", "issn_l")), "n", "left").join(names, "key", "left").join(names.select(F.col("key").alias("bare"), F.col("hit").alias("hit2"), F.col("several").alias("several2")), "bare", "left")
+    several = F.when(F.col("hit").isNotNull(), F.col("several")).otherwise(F.coalesce("several2", F.lit(False)))
+    hit = F.coalesce("by_number", F.when(~several, F.coalesce("hit", "hit2")))
+    state = F.when(F.col("by_number").isNull() & several, "ambiguous").when(hit.isNull(), "inserted").otherwise("updated")
+    return found.select("n", state.alias("state"), hit.alias("journal_id"))
+
+
+def new_variants(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Of each row's journal the variations that no family knows yet, once a key; a name of another family is a conflict, one of its own is skipped.
+
+    rows: fid, variations (array); known: key, fid. Names under two letters, without key or that are no names don't count.
+    """
+    v = rows.select("fid", F.explode("variations").alias("name")).select("fid", F.trim("name").alias("name"), resolver_key(F.col("name")).alias("key")).where((F.length("name") >= 2) & (F.col("key") != "") & is_name(F.col("name")))
+    first = v.groupBy("key").agg(F.min(F.struct("fid", "name")).alias("x"), F.max("fid").alias("last"))
+    owners = known.groupBy("key").agg(F.min("fid").alias("owner"))
+    state = F.when(F.col("owner").isNull(), F.when(F.col("x.fid") == F.col("last"), "added").otherwise("conflict")).when((F.col("owner") == F.col("x.fid")) & (F.col("owner") == F.col("last")), "skipped").otherwise("conflict")
+    return first.join(owners, "key", "left").select(F.col("x.fid").alias("fid"), F.col("x.name").alias("name"), state.alias("state"))
+
+
 def remapped(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
     """Ids of merged entities become those they were merged into. merges: old, new."""
     m = merges.withColumnRenamed("old", column)

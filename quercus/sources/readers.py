@@ -1,4 +1,4 @@
-"""Readers of lists and thesauri (inventory S10-S22, S24); curricula are in `curriculum`. Schemas are stated, never inferred."""
+"""Readers of repositories and journal sources that Spark reads itself (inventory S1, S10, S12, S13, S15, S17, S18); curricula are in `curriculum`, spreadsheets, lists and thesauri in `lists`."""
 
 from __future__ import annotations
 
@@ -52,14 +52,6 @@ def latindex(spark: SparkSession, path: str) -> DataFrame:
     return _evidence(d, "latindex", F.col("folio_u"), valid_issns("issn_e", "issn_l", "issn_imp"), F.col("tit_propio"), _labels(F.col("subtemas"), ","))
 
 
-def pubmed(spark: SparkSession, path: str, separator: str = "-" * 56) -> DataFrame:
-    """Blocks of `Key: value` lines between dashes."""
-    d = spark.read.text(path, lineSep=separator).where(F.length(F.trim("value")) > 0)
-    v = lambda k: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{k}: ?(.*)$", 1)), F.lit(""))
-    d = d.select(v("JrId").alias("id"), v("JournalTitle").alias("title"), v(r"ISSN \(Print\)").alias("p"), v(r"ISSN \(Online\)").alias("o"))
-    return _evidence(d.where("id IS NOT NULL"), "pubmed", F.col("id"), valid_issns("p", "o"), F.col("title"), F.array().cast("array<string>"))
-
-
 def scielo(spark: SparkSession, path: str) -> DataFrame:
     """A JSON map by ISSN with three groups of labels, each a source of its own."""
     value = "map<string,struct<title:string,issns:array<struct<issn:string,type:string>>,area:array<string>,wos:array<string>,desc:array<string>,status:string>>"
@@ -93,31 +85,3 @@ def openalex(spark: SparkSession, path: str) -> DataFrame:
     w = Window.partitionBy("id")
     t = t.withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 4)).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "code", "share"))), lambda x: F.struct(x["code"].alias("code"), x["share"].alias("share"))).alias("labels"))
     return d.join(t, "id", "left").select(F.lit("openalex").alias("src"), F.col("id").alias("rec"), "issns", F.col("display_name").alias("title"), "labels", "works_count")
-
-
-def thesaurus(spark: SparkSession, path: str) -> DataFrame:
-    """`.the` files: a line `**Header` followed by its variants `0 1 ^name$`; one row for each variant."""
-    d = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "^﻿", "").alias("line"))
-    header = F.when(F.startswith("line", F.lit("**")), F.trim(F.substring("line", 3, 10_000)))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("header", F.last(header, ignorenulls=True).over(w)).where(~F.startswith("line", F.lit("**")) & (F.trim("line") != ""))
-    return d.select("header", F.regexp_replace(F.regexp_replace("line", r"^\S+ \S+ \^", ""), r"\$$", "").alias("variant"))
-
-
-# What a file's header line must hold for a format, in order, with the confidence.
-SIGNATURES = [
-    ("scopus", 0.99, ["sourcerecord id"]), ("wos", 0.95, ["web of science categories"]), ("doaj", 0.95, ["journal eissn (online version)"]), ("pubmed", 0.95, ["jrid"]),
-    ("scielo", 0.95, ['"issns"']), ("latindex", 0.98, ["folio_u"]), ("openalex", 0.90, ["openalex.org"]),
-]
-
-
-def detect(head: str) -> tuple[str, float] | None:
-    """The format of a file by its first lines; None if none fits."""
-    low = head.lstrip("﻿").lower()
-    return next(((name, sure) for name, sure, needles in SIGNATURES if all(n in low for n in needles)), None)
-
-
-def sniff_delimiter(head: str) -> str:
-    """The most frequent of ; , and tab in the first line."""
-    line = head.split("\n", 1)[0]
-    return max(";,\t", key=line.count)

@@ -135,8 +135,90 @@ def test_upserts(spark):
 
 
 def test_formats_are_told_apart():
-    assert readers.detect("folio_u;tit_propio") == ("latindex", 0.98) and readers.detect("JrId: 1") == ("pubmed", 0.95) and readers.detect("a,b") is None
-    assert readers.sniff_delimiter("a;b;c,d\n1,2") == ";"
+    from quercus.sources import lists
+
+    assert lists.detect(["folio_u", "tit_propio"]) == ("latindex", 0.98) and lists.detect(["JrId"]) == ("pubmed", 0.95) and lists.detect(["a", "b"]) is None and lists.detect(["x"], ["Scopus Sources Jul"]) == ("scopus", 0.99)
+    assert lists.detect(["Journal title", "eISSN", "Publisher name"]) == ("wos", 0.95) and lists.detect(["SCIE"]) is None and lists.detect(["ISSN-L", "display_name"]) == ("openalex", 0.9) and lists.detect(["Journal license"]) == ("doaj", 0.95)
+    assert lists.detect(["Foo", "bar baz"], databases={"x": ["nope"], "own": ["FOO", "Bar-Baz"]}) == ("own", 0.8) and lists.detect(["last_number", "is_active"]) == ("scielo", 0.95)
+    assert lists.sniff_delimiter("a;b;c,d\n1,2") == ";" and lists.sniff_delimiter("a") == "," and lists.sniff_delimiter("a\tb") == "\t"
+    assert lists.decoded("\ufeffé".encode("utf-16")) == "é" and lists.decoded("é".encode("latin-1")) == "é" and lists.decoded("\ufeffé".encode()) == "é" and lists.decoded("ab".encode("utf-16-le")) == "ab"
+    assert lists.headers_of("a.csv", b"a;b\n1;2")[0] == ["a", "b"] and lists.headers_of("a.json", b'{"results": [{"issn_l": 1}]}')[0] == ["issn_l"] and "jrid" in lists.headers_of("a.txt", b"JrId: 1\nJournalTitle: x")[0]
+
+
+def workbook(path, sheets):
+    """A small spreadsheet, cells as inline texts but for whole numbers."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>" + "".join(f'<sheet name="{escape(n)}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        for i, rows in enumerate(sheets.values()):
+            cell = lambda k, r, v: f'<c r="{k}{r}"><v>{v}</v></c>' if isinstance(v, (int, float)) else f'<c r="{k}{r}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {ns}><sheetData>" + "".join(f'<row r="{r}">' + "".join(cell(k, r, v) for k, v in row.items()) + "</row>" for r, row in enumerate(rows, 1)) + "</sheetData></worksheet>")
+
+
+def test_spreadsheets(spark, tmp_path):
+    from quercus.sources import lists
+
+    workbook(tmp_path / "f.xlsx", {"Docentes": [{"A": "id"}, {"A": "0012345678901234", "B": "DCSo", "C": "Ana", "G": "https://orcid.org/0000-1", "Y": 1999.0}, {"A": "x", "C": "Bia"}, {"A": "1112345678901234", "B": "QQ", "Z": 2020}]})
+    sheet = lists.faculty(spark, str(tmp_path / "f.xlsx"))
+    assert sorted(tuple(r) for r in sheet.collect()) == [("0012345678901234", "DCSo", "Departamento de Ciências Sociais", "Ana", "0000-1", 1999, None), ("1112345678901234", "QQ", "Departamento (QQ)", "", None, None, 2020)]
+    old = spark.createDataFrame([("0012345678901234", "Ana Sá", None, None, "9", 1990, 2001)], "curriculum_id string, full_name string, department_code string, department string, orcid string, admission_year int, leave_year int")
+    assert sorted(tuple(r) for r in lists.with_faculty(old, sheet).collect())[0] == ("0012345678901234", "Ana Sá", "DCSo", "Departamento de Ciências Sociais", "9", 1999, 2001)
+    workbook(tmp_path / "s.xlsx", {"Notes": [{"A": "x"}], "Scopus Sources Jul. 2026": [{"A": "Sourcerecord ID", "B": "Source Title", "D": "ISSN", "E": "EISSN", "H": "All Science Journal Classification Codes (ASJC)"}, {"A": "7", "B": " Hearing  Research ", "D": 3785955, "H": "1201; 3304;1201"}, {"B": "Só título"}, {"A": "9"}]})
+    got = {r.title: (r.rec, r.issns, r.labels) for r in lists.scopus(spark, str(tmp_path / "s.xlsx")).collect()}
+    assert got["Hearing Research"] == ("7", ["0378-5955"], ["1201", "3304"]) and got["Só título"][0] == hashlib.md5("Só título".encode()).hexdigest() and len(got) == 2
+    workbook(tmp_path / "l.xlsx", {"a": [{"A": "?"}], "Journal list": [{"A": "Full Title", "C": "ISSN", "D": "Abbreviation"}, {"A": "T", "C": "0378-5955", "D": "Ab"}, {"D": "nur"}]})
+    row = lists.title_list(spark, str(tmp_path / "l.xlsx")).collect()
+    assert [(r.title, r.issn, r.issn_imp, r.issn_e, r.variations) for r in row] == [("T", "0378-5955", "0378-5955", "", ["Ab"])]
+    (tmp_path / "k.csv").write_text("Título;Tit_propio;ISSN-E;Subtemas\nx;Y;2434-561X;a, b\n;;;\n")
+    assert [(r.title, r.issn_e, r.area) for r in lists.title_list(spark, str(tmp_path / "k.csv")).collect()] == [("Y", "2434-561X", "a, b")]
+    (tmp_path / "o.json").write_text(json.dumps({"results": [{"display_name": "O", "issn_l": "0378-5955", "issn": ["0378-5955", "2434-561X"], "alternate_titles": ["P", 3], "topics": [{"display_name": f"t{i}"} for i in range(7)]}]}))
+    assert [(r.title, r.issn_imp, r.issn_e, r.issn_l, r.area, r.variations) for r in lists.title_list(spark, str(tmp_path / "o.json")).collect()] == [("O", "0378-5955", "2434-561X", "0378-5955", "t0; t1; t2; t3; t4", ["P"])]
+    (tmp_path / "p.txt").write_text("-----\nJrId: 1\nJournalTitle: Y\nMedAbbr: Yy\nIsoAbbr: Yi\nISSN (Print): 0378-5955\n-----\n")
+    assert [(r.title, r.issn_imp, r.variations) for r in lists.title_list(spark, str(tmp_path / "p.txt")).collect()] == [("Y", "0378-5955", ["Yy", "Yi"])]
+
+
+def test_vocabularies(spark, tmp_path):
+    from quercus.sources import lists
+
+    (tmp_path / "t.json").write_text(json.dumps({"areas": [{"id": 1, "parent": None, "level": 1, "slug": "a", "name": "A", "college": "C"}, {"id": 2, "parent": 1, "level": 2, "slug": "b", "name": "B"}]}))
+    assert [tuple(r) for r in lists.taxonomy(spark, str(tmp_path / "t.json")).collect()] == [(1, "a", "A", None, 1, "C", 0), (2, "b", "B", "a", 2, None, 1)]
+    (tmp_path / "crosswalk_x.json").write_text(json.dumps({"_meta": {"source": "x"}, "map": {"L": ["a", "b"], "M": "a"}}))
+    assert [tuple(r) for r in lists.crosswalk(spark, str(tmp_path / "crosswalk_x.json")).collect()] == [("crosswalk_x", "L", "a"), ("crosswalk_x", "L", "b"), ("crosswalk_x", "M", "a")]
+    (tmp_path / "r.json").write_text(json.dumps({"rules": [{"pattern": "x", "slug": "a"}, {"pattern": "y", "slug": "b"}]}))
+    assert [tuple(r) for r in lists.title_rule_table(spark, str(tmp_path / "r.json")).collect()] == [(0, "x", "a"), (1, "y", "b")]
+
+
+def test_thesaurus_files(spark, tmp_path):
+    from quercus.sources import lists
+
+    (tmp_path / "a.the").write_bytes("**Brasil\r\n0 1 ^Brazil$\r\n0 1 ^Brésil$\r\n;Brasilien\r\n**Chile\r\n".encode("utf-16"))
+    (tmp_path / "b.the").write_text("Um\n^x$\n;y\nDois\n")
+    (tmp_path / "c.csv").write_text("header;variant\nA;a1|a2\nA;a1\n;z\nB;\n")
+    (tmp_path / "d.json").write_text(json.dumps({"J": ["j1 "], "k": {"header": "K", "variations": ["k1"]}}))
+    (tmp_path / "e.xml").write_text("<t><x><header>X</header><variations><v>x1</v><v> </v></variations></x><x><name>Y</name><variation>y1</variation></x><x/></t>")
+    got = {r.header: r.variants for r in lists.thesaurus(spark, str(tmp_path)).collect()}
+    assert got == {"Brasil": ["Brazil", "Brésil", "Brasilien"], "Chile": [], "Um": ["x", "y"], "Dois": [], "A": ["a1", "a2"], "B": [], "J": ["j1"], "K": ["k1"], "X": ["x1"], "Y": ["y1"]}
+
+
+def test_importing_journals(spark):
+    j = spark.createDataFrame(
+        [(1, "Alfa", "0378-5955", None, "", None, False), (2, "Beta", None, "A1", "x", None, False), (3, "Gama", "2434-561X", "B1", "x", None, True), (4, "Delta", None, None, None, None, False), (5, "Delta", None, None, None, None, False), (6, "Êta (Rio)", None, None, None, None, False)],
+        "id long, title string, issn string, qualis string, area string, canonical_journal_id long, areas_locked boolean",
+    )
+    rows = [(1, "outro nome", "0378-5955", "a2", ""), (2, "BETA", "", "B9", ""), (3, "Gama", "2434561x", "A1", ""), (4, "delta", "", "", ""), (5, "Alfa", "1050-124X", "", "q"), (6, "", "0378-5955", "", ""), (7, " ", "", "", ""), (8, "Nova", "", "", ""), (9, "NOVA", "", "C", ""), (10, "x" * 501, "", "", "")]
+    got = {r.n: (r.state, r.journal_id, r.qualis) for r in entities.import_journals(j, spark.createDataFrame(rows, "n long, title string, issn string, qualis string, area string")).collect()}
+    assert got == {1: ("completed", 1, "A2"), 2: ("unchanged", 2, None), 3: ("locked", 3, None), 4: ("ambiguous", None, None), 5: ("created", None, None), 6: ("invalid", 1, None), 8: ("created", None, None), 9: ("completed", None, "C"), 10: ("invalid", None, None)}
+    wide = j.select("*", *(F.lit(None).cast("string").alias(c) for c in ("issn_imp", "issn_e", "issn_l")))
+    lists_ = [(1, "Alfa", "", "9999-9994", "", ""), (2, "Eta (Rio)", "", "", "", ""), (3, "Beta (São Paulo)", "", "", "", ""), (4, "Delta", "", "", "", ""), (5, "Zeta", "2434-561X", "", "", ""), (6, "Outra", "", "", "", "")]
+    got = {r.n: (r.state, r.journal_id) for r in entities.upsert_titles(wide, spark.createDataFrame(lists_, "n long, title string, issn string, issn_imp string, issn_e string, issn_l string")).collect()}
+    assert got == {1: ("updated", 1), 2: ("updated", 6), 3: ("updated", 2), 4: ("ambiguous", None), 5: ("updated", 3), 6: ("inserted", None)}
+    v = spark.createDataFrame([(1, ["Nova Alfa", "Alfa", "Beta", "<b>x", "y", "nova alfa"]), (2, ["Dois"]), (3, ["dois"])], "fid long, variations array<string>")
+    known = spark.createDataFrame([("alfa", 1), ("beta", 2)], "key string, fid long")
+    assert {(r.name.lower(), r.state) for r in entities.new_variants(v, known).collect()} == {("nova alfa", "added"), ("alfa", "skipped"), ("beta", "conflict"), ("dois", "conflict")}
 
 
 XML = """<?xml version="1.0" encoding="ISO-8859-1"?><CURRICULO-VITAE NUMERO-IDENTIFICADOR="0012345678901234" DATA-ATUALIZACAO="05032024"><DADOS-GERAIS NOME-COMPLETO="Ana Sá" NOME-EM-CITACOES-BIBLIOGRAFICAS="SÁ, A.">
@@ -191,10 +273,10 @@ def test_curriculum_xml(spark, tmp_path):
 def test_journal_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"0378-5955": {"title": "T", "issns": [{"issn": "0378-5955", "type": "p"}], "area": ["A"], "wos": [], "desc": ["d"]}}))
     assert {(r.src, tuple(r.issns), tuple(r.labels)) for r in readers.scielo(spark, str(tmp_path / "s.json")).collect()} == {("scielo_area", ("0378-5955",), ("A",)), ("scielo_desc", ("0378-5955",), ("d",))}
-    (tmp_path / "p.txt").write_text("-" * 56 + "\nJrId: 7\nJournalTitle: Y\nISSN (Print): 0378-5955\nISSN (Online): \n" + "-" * 56 + "\n")
-    assert [(r.rec, r.title, r.issns) for r in readers.pubmed(spark, str(tmp_path / "p.txt")).collect()] == [("7", "Y", ["0378-5955"])]
-    (tmp_path / "t.the").write_text("**Brasil\n0 1 ^Brazil$\n0 1 ^Brésil$\n")
-    assert [(r.header, r.variant) for r in readers.thesaurus(spark, str(tmp_path / "t.the")).collect()] == [("Brasil", "Brazil"), ("Brasil", "Brésil")]
+    (tmp_path / "p.txt").write_text("-" * 56 + "\nJrId: 7\nJournalTitle: Y  Z\nISSN (Print): 0378-5955\nISSN (Online): \nNlmId: 77\n" + "-" * 30 + "\nJournalTitle: W\n----\nMedAbbr: q\n")
+    from quercus.sources import lists
+
+    assert sorted((r.rec, r.title, r.issns) for r in lists.pubmed(spark, str(tmp_path / "p.txt")).collect()) == sorted([("77", "Y Z", ["0378-5955"]), (hashlib.md5(b"W").hexdigest(), "W", [])])
 
 
 def test_sinks(spark, tmp_path):
