@@ -92,15 +92,6 @@ def matched_people(rows: DataFrame, people: DataFrame) -> DataFrame:
     return sure.unionByName(named).distinct()
 
 
-def area_fragments(rows: DataFrame, thesaurus: DataFrame) -> DataFrame:
-    """Free text of areas walked at | and ; then at commas; the first known fragment, coarse before fine, gives the label. rows: id, area; thesaurus: key, label."""
-    parts = F.split("area", r"[|;]")
-    levels = F.concat(F.array(F.struct(F.lit(0).alias("l"), F.lit(0).alias("p"), F.col("area").alias("t"))), F.transform(parts, lambda x, i: F.struct(F.lit(1).alias("l"), i.alias("p"), x.alias("t"))), F.transform(F.split("area", r"[|;,]"), lambda x, i: F.struct(F.lit(2).alias("l"), i.alias("p"), x.alias("t"))))
-    x = rows.where("area IS NOT NULL").select("id", F.explode(levels).alias("x")).select("id", "x.l", "x.p", normalized(F.col("x.t")).alias("key")).join(thesaurus, "key")
-    first = x.groupBy("id").agg(F.min(F.struct("l", "p", "label")).alias("b")).select("id", F.col("b.label").alias("label"))
-    return rows.join(first, "id", "left").select("id", F.coalesce("label", "area").alias("area"), F.when(F.col("label").isNotNull() & (F.col("label") != F.col("area")) | F.col("label").isNull(), F.col("area")).alias("area_raw"))
-
-
 def title_rules(journals: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Areas whose pattern a title holds, with weights that add up to 1. The rules are a short list of the caller's."""
     hits = F.filter(F.array(*(F.when(F.col("k").rlike(p), F.lit(s)) for p, s in rules)), lambda x: x.isNotNull())
@@ -108,13 +99,6 @@ def title_rules(journals: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return j.select("id", F.posexplode("slugs").alias("i", "slug"), F.size("slugs").alias("n")).select("id", "slug", ((F.floor(F.lit(10000) / F.col("n")) + (F.col("i") < F.lit(10000) % F.col("n")).cast("int")) / 10000).cast("decimal(6,4)").alias("weight"))
 
 
-def classified(decided: DataFrame, journals: DataFrame, manual: DataFrame) -> DataFrame:
-    """The decided area for every row of a family; rows that are set by hand, or locked, keep what they have. decided: fid, area, score; manual: id, area."""
-    j = journals.select("id", F.coalesce("canonical_journal_id", "id").alias("fid"), F.coalesce("areas_locked", F.lit(False)).alias("locked"))
-    auto = j.where("NOT locked").join(manual.select("id").distinct(), "id", "left_anti").join(decided, "fid").select("id", "area", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).cast("decimal(5,4)").alias("score"), F.lit("auto").alias("method"))
-    return auto.unionByName(manual.select("id", "area", F.lit(1).cast("decimal(5,4)").alias("score"), F.lit("manual").alias("method")))
-
-
 def external_names(records: DataFrame, known: DataFrame, titles: DataFrame) -> DataFrame:
     """Names of external records that no key has yet and that lead to one family: taken with a score of 0.6 or more, from two sources,
     or if name and title lie one in the other by words and one of these is rare: of 5 letters or more, in at most 5 titles.

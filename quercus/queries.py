@@ -853,15 +853,58 @@ def _(t, s, d):
     return areas.evidence_by_family(_evidence(s, d)).withColumns({"total": F.round("total", 6), "mean": F.round("mean", 6)})
 
 
-@query("b12_shares", f"""WITH {_EV}, cw AS (SELECT DISTINCT label, lower(label) AS slug FROM ev UNION SELECT DISTINCT label, 'all' FROM ev WHERE label > 'M'), n AS (SELECT label, count(*) AS parts FROM cw GROUP BY 1), wt(source, w, strong) AS (VALUES ('wos', 1.0, true), ('scopus', 0.8, false), ('doaj', 0.0, false)),
- x AS (SELECT fid, source, slug, sum(weight / parts) AS s FROM ev JOIN cw USING (label) JOIN n USING (label) GROUP BY 1, 2, 3), f AS (SELECT fid, source, slug, s / sum(s) OVER (PARTITION BY fid, source) AS f FROM x),
- t AS (SELECT fid, sum(w) AS weight, count(*) AS sources, bool_or(strong) AS strong FROM (SELECT DISTINCT fid, source FROM x) JOIN wt USING (source) WHERE w > 0 GROUP BY 1)
- SELECT fid, slug, round(sum(w * f.f) / any_value(t.weight), 6) AS share, CAST(any_value(t.weight) AS DOUBLE) AS weight, any_value(t.sources) AS sources, any_value(t.strong) AS strong FROM f JOIN wt USING (source) JOIN t USING (fid) WHERE w > 0 GROUP BY 1, 2""")
-def _(t, s, d):
-    e = _evidence(s, d)
-    cw = e.select("label", F.lower("label").alias("slug")).unionByName(e.where("label > 'M'").select("label", F.lit("all").alias("slug"))).distinct()
-    weights = s.createDataFrame([("wos", 1.0, True), ("scopus", 0.8, False), ("doaj", 0.0, False)], "source string, w double, strong boolean")
-    return areas.contributions(e, cw, weights)
+_EV2 = """ev AS (SELECT p_size % 200 AS fid, CASE p_partkey % 5 WHEN 0 THEN 'wos' WHEN 1 THEN 'scopus' WHEN 2 THEN 'doaj' WHEN 3 THEN 'openalex' ELSE 'ai' END AS source, CAST(p_partkey AS VARCHAR) AS record_key, CASE p_partkey % 5 WHEN 4 THEN CASE p_partkey % 3 WHEN 0 THEN 'a2' WHEN 1 THEN 'b' ELSE 'zz' END WHEN 1 THEN CASE p_partkey % 2 WHEN 0 THEN '1710' ELSE '3309' END ELSE p_type END AS label,
+ CAST(1 AS DOUBLE) / (1 + p_partkey % 11) AS weight, p_partkey % 2000 AS works, CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE CAST(p_partkey % 13 AS DOUBLE) / 10 END AS confidence, CASE p_partkey % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' END AS role FROM part)"""
+_TAX = [("a", None), ("b", None), ("a1", "a"), ("a2", "a"), ("b1", "b"), (areas.SPREAD_SLUG, None), (areas.PAIR_SLUG, "b")]
+_TAXSQL = "tax(slug, parent) AS (VALUES " + ", ".join(f"('{s}', {'NULL' if p is None else repr(p)})" for s, p in _TAX) + ")"
+_CW = """cw AS (SELECT v AS vocabulary, label, CASE length(label) % 4 WHEN 0 THEN 'a1' WHEN 1 THEN 'a2' WHEN 2 THEN 'b1' ELSE 'b' END AS slug FROM (SELECT DISTINCT p_type AS label FROM part), (VALUES ('wos'), ('doaj'), ('asjc')) t(v) UNION ALL SELECT v, label, 'a' FROM (SELECT DISTINCT p_type AS label FROM part WHERE p_type > 'M'), (VALUES ('wos'), ('doaj')) t(v) UNION ALL VALUES ('asjc', '1710', 'a1'), ('asjc', '3309', 'b1'))"""
+_SHARES = f"""WITH {_EV2}, {_TAXSQL}, {_CW}, u AS (SELECT * FROM ev WHERE source <> 'ai' AND weight > 0 AND (source <> 'openalex' OR weight + 1e-9 >= 0.1)),
+ fa AS (SELECT fid, least(1.0, log10(greatest(coalesce(max(CASE WHEN source = 'openalex' THEN works END), 1), 1)) / 3) AS alex, bool_or(source = 'scopus' AND label = '1710') AND bool_or(source = 'scopus' AND label = '3309') AS pair FROM u GROUP BY 1),
+ e AS (SELECT u.fid, source, record_key, u.label, weight, alex, CASE WHEN pair AND u.label = '1710' AND source = 'scopus' THEN '{areas.PAIR_SLUG}' ELSE slug END AS slug FROM u JOIN fa ON fa.fid = u.fid JOIN cw ON cw.label = u.label AND vocabulary = CASE source WHEN 'scopus' THEN 'asjc' WHEN 'openalex' THEN 'asjc' ELSE source END),
+ s AS (SELECT fid, source, slug, sum(weight / n) AS s, any_value(alex) AS alex FROM (SELECT *, count(*) OVER (PARTITION BY fid, source, record_key, label) AS n FROM e) GROUP BY 1, 2, 3),
+ x AS (SELECT fid, source, slug, CASE source WHEN 'openalex' THEN alex WHEN 'doaj' THEN 0.8 ELSE 1.0 END AS w, s / sum(s) OVER (PARTITION BY fid, source) AS f, false AS main, CAST(NULL AS DOUBLE) AS sure FROM s
+  UNION ALL SELECT fid, source, label, CASE WHEN coalesce(role = 'primary', weight >= 0.75) THEN 0.9 ELSE 0.45 END * least(1.0, confidence), 1.0, coalesce(role = 'primary', weight >= 0.75), least(1.0, confidence) FROM ev WHERE source = 'ai' AND confidence > 0 AND label IN (SELECT slug FROM tax)),
+ o AS (SELECT fid, source, CASE WHEN source = 'ai' THEN sum(w) ELSE max(w) END AS w, max(sure) FILTER (WHERE main) AS m, max(sure) AS a FROM x WHERE w > 0 GROUP BY 1, 2), t AS (SELECT fid, sum(w) AS weight, string_agg(source, ',' ORDER BY source) AS sources, max(coalesce(m, a)) AS ai FROM o GROUP BY 1),
+ sh AS (SELECT x.fid, slug, sum(w * f) / any_value(weight) AS share, any_value(weight) AS weight, any_value(sources) AS sources, any_value(ai) AS ai FROM x JOIN t ON t.fid = x.fid WHERE w > 0 GROUP BY 1, 2)"""
+
+
+def _area_tables(s, d):
+    part = s.read.parquet(f"{d}/part.parquet")
+    e = part.selectExpr(
+        "p_size % 200 AS fid", "CASE p_partkey % 5 WHEN 0 THEN 'wos' WHEN 1 THEN 'scopus' WHEN 2 THEN 'doaj' WHEN 3 THEN 'openalex' ELSE 'ai' END AS source", "p_partkey AS record_key",
+        "CASE p_partkey % 5 WHEN 4 THEN CASE p_partkey % 3 WHEN 0 THEN 'a2' WHEN 1 THEN 'b' ELSE 'zz' END WHEN 1 THEN CASE p_partkey % 2 WHEN 0 THEN '1710' ELSE '3309' END ELSE p_type END AS label", "CAST(1 AS DOUBLE) / (1 + p_partkey % 11) AS weight",
+        "CAST(p_partkey % 2000 AS INT) AS works", "CASE WHEN p_partkey % 7 = 0 THEN 0.0D ELSE CAST(p_partkey % 13 AS DOUBLE) / 10 END AS confidence", "CASE p_partkey % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' END AS role",
+    )
+    labels = part.select(F.col("p_type").alias("label")).distinct()
+    slug = F.element_at(F.array(*map(F.lit, ("a1", "a2", "b1", "b"))), F.length("label") % 4 + 1)
+    spread = lambda df, vs, c: df.select(F.explode(F.array(*map(F.lit, vs))).alias("vocabulary"), "label", c.alias("slug"))
+    codes = s.createDataFrame([("asjc", "1710", "a1"), ("asjc", "3309", "b1")], "vocabulary string, label string, slug string")
+    cw = spread(labels, ("wos", "doaj", "asjc"), slug).unionByName(spread(labels.where("label > 'M'"), ("wos", "doaj"), F.lit("a"))).unionByName(codes)
+    return e, cw, s.createDataFrame(_TAX, "slug string, parent string")
+
+
+@query("b12_shares", f"{_SHARES} SELECT fid, slug, round(share, 6) AS share, round(weight, 6) AS weight, sources, round(ai, 6) AS ai_confidence FROM sh")
+def _(t, s, d):
+    c = areas.contributions(*_area_tables(s, d))
+    return c.select("fid", "slug", F.round("share", 6).alias("share"), F.round("weight", 6).alias("weight"), F.array_join("sources", ",").alias("sources"), F.round("ai_confidence", 6).alias("ai_confidence"))
+
+
+@query("b12_decisions", f"""{_SHARES}, r AS (SELECT sh.*, parent, coalesce(parent, sh.slug) AS top, row_number() OVER (PARTITION BY fid ORDER BY round(share, 9) DESC, sh.slug) AS p FROM sh JOIN tax ON tax.slug = sh.slug),
+ g AS (SELECT fid, min(p) FILTER (WHERE parent IS NOT NULL AND share + 1e-9 >= 0.34) AS two, min(p) FILTER (WHERE parent IS NULL AND share + 1e-9 >= 0.34) AS one, count(DISTINCT top) FILTER (WHERE share + 1e-9 >= 0.15) AS spread FROM r GROUP BY 1),
+ ch AS (SELECT r.fid, min(r.p) AS c FROM r JOIN g ON g.fid = r.fid JOIN r q ON q.fid = r.fid AND q.p = g.one AND r.parent = q.slug WHERE r.share + 1e-9 >= 0.2 GROUP BY 1),
+ pr AS (SELECT g.fid, CASE WHEN two IS NOT NULL THEN two WHEN one IS NOT NULL THEN coalesce(c, one) WHEN spread >= 2 THEN -1 ELSE 1 END AS p, two IS NULL AND one IS NULL AS fall FROM g LEFT JOIN ch ON ch.fid = g.fid),
+ d AS (SELECT pr.fid, pr.p, fall, coalesce(q.slug, '{areas.SPREAD_SLUG}') AS primary_area, coalesce(q.share, (SELECT share FROM r z WHERE z.fid = pr.fid AND z.slug = '{areas.SPREAD_SLUG}'), 0.0) AS share, x.weight, x.sources, x.ai, q.parent FROM pr LEFT JOIN r q ON q.fid = pr.fid AND q.p = pr.p JOIN r x ON x.fid = pr.fid AND x.p = 1),
+ k AS (SELECT *, CASE WHEN fall THEN CASE WHEN p = -1 THEN 'medium' ELSE 'low' END WHEN share + 1e-9 >= 0.5 AND weight + 1e-9 >= 1 AND (contains(sources, ',') OR sources IN ('wos', 'scopus')) THEN 'high' WHEN share + 1e-9 >= 0.34 AND weight + 1e-9 >= 0.5 THEN 'medium' ELSE 'low' END AS plain FROM d),
+ se AS (SELECT r.fid, r.slug, row_number() OVER (PARTITION BY r.fid ORDER BY CAST(r.parent IS NULL AS INT), r.p) AS n FROM r JOIN d ON d.fid = r.fid WHERE r.slug <> d.primary_area AND r.share + 1e-9 >= 0.25 AND (r.parent IS NOT NULL OR (NOT EXISTS (SELECT 1 FROM r q WHERE q.fid = r.fid AND q.parent = r.slug) AND coalesce(d.parent, '') <> r.slug)))
+ SELECT k.fid, primary_area, round(share, 6) AS share, CASE WHEN sources = 'ai' THEN CASE WHEN ai + 1e-9 >= 0.8 AND plain <> 'low' THEN 'medium' ELSE 'low' END ELSE plain END AS confidence, coalesce((SELECT string_agg(slug, ',' ORDER BY n) FROM se WHERE se.fid = k.fid AND n <= 2), '') AS secondary_areas FROM k""")
+def _(t, s, d):
+    e, cw, tax = _area_tables(s, d)
+    return areas.decide(areas.contributions(e, cw, tax), tax).drop("second")
+
+
+@query("d6_openalex_weight", "SELECT p_partkey AS id, round(least(1.0, log10(greatest(p_partkey % 3000, 1)) / 3), 9) AS weight FROM part")
+def _(t, s, d):
+    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.round(areas.openalex_weight((F.col("p_partkey") % 3000).cast("int")), 9).alias("weight"))
 
 
 # --- events -----------------------------------------------------------------------------------------------------------

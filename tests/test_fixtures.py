@@ -119,12 +119,70 @@ def test_components_of_graph(spark):
 
 
 def test_scorer(spark):
-    tax = spark.createDataFrame([("educacao", "humanas"), ("humanas", None), ("medicina", "saude"), ("saude", None), ("direito", "sociais"), ("sociais", None)], "slug string, parent string")
-    cw = spark.createDataFrame([("Education", "educacao"), ("3304", "educacao"), ("3312", "medicina"), ("3312", "direito")], "label string, slug string")
-    w = spark.createDataFrame([("wos", 1.0, True), ("scopus", 1.0, False)], "source string, w double, strong boolean")
-    ev = spark.createDataFrame([(1, "wos", "a", "Education", 1.0), (2, "wos", "a", "Education", 1.0), (2, "scopus", "b", "3304", 0.5), (2, "scopus", "b", "3312", 0.5)], "fid long, source string, record_key string, label string, weight double")
-    out = {r.fid: (r.primary_area, r.share, r.confidence) for r in areas.decide(areas.contributions(ev, cw, w), tax).collect()}
-    assert out == {1: ("educacao", 1.0, "high"), 2: ("educacao", 0.75, "high")}
+    tax = spark.createDataFrame(
+        [("educacao", "humanas"), ("psicologia", "humanas"), ("humanas", None), ("medicina", "saude"), ("saude", None), ("direito", "sociais"), ("sociais", None), ("ciencias-da-saude", None), (areas.SPREAD_SLUG, None), (areas.PAIR_SLUG, "sociais"), ("computacao", "exatas"), ("exatas", None)],
+        "slug string, parent string",
+    )
+    cw = spark.createDataFrame([("wos", "Education", "educacao"), ("wos", "Law", "direito"), ("wos", "Human", "humanas"), ("asjc", "3304", "educacao"), ("asjc", "3312", "medicina"), ("asjc", "3312", "direito"), ("asjc", "1710", "computacao"), ("asjc", "3309", areas.PAIR_SLUG), ("wos", "gone", "nirgends"), ("legacy", "Saúde", "saude")], "vocabulary string, label string, slug string")
+    row = lambda f, src, rec, label, weight=1.0, works=None, sure=None, role=None: (f, src, rec, label, weight, works, sure, role)
+    ev = [
+        row(1, "wos", "a", "Education"), row(2, "wos", "a", "Education"), row(2, "scopus", "b", "3304", 0.5), row(2, "scopus", "b", "3312", 0.5), row(3, "wos", "a", "gone"), row(3, "xx", "a", "Education"), row(3, "ai", "a", "nirgends", 1.0, None, 0.9),
+        row(4, "openalex", "a", "3304", 0.5, 10), row(4, "openalex", "a", "3312", 0.05, 10), row(5, "openalex", "a", "3304", 0.9, 1), row(6, "scopus", "a", "1710", 0.5), row(6, "scopus", "a", "3309", 0.5), row(7, "scopus", "a", "1710"),
+        row(8, "ai", "m", "educacao", 1.0, None, 0.85, "primary"), row(8, "ai", "m", "direito", 0.5, None, 0.85, "secondary"), row(9, "title_rule", "", "educacao"), row(10, "wos", "a", "Human", 0.6), row(10, "wos", "b", "Education", 0.25), row(10, "wos", "c", "Law", 0.15),
+        row(11, "legacy", "", "SAUDE"), row(12, "ai", "m", "educacao", 1.0, None, 0.5), row(13, "wos", "a", "Human", 0.5), row(13, "wos", "b", "Law", 0.5), row(1, "wos", "a", "Education", 0.2),
+        *(row(14, "wos", k, label, w) for k, label, w in (("a", "Education", 0.3), ("b", "Law", 0.3), ("c", "Human", 0.3))), row(14, "scopus", "z", "3312", 1.0),
+    ]
+    e = spark.createDataFrame(ev, "fid long, source string, record_key string, label string, weight double, works int, confidence double, role string")
+    d = areas.decide(areas.contributions(e, cw, tax), tax)
+    out = {r.fid: (r.primary_area, round(r.share, 4), r.confidence, r.secondary_areas) for r in d.collect()}
+    assert out == {
+        1: ("educacao", 1.0, "high", ""), 2: ("educacao", 0.75, "high", ""), 4: ("educacao", 1.0, "low", ""), 6: (areas.PAIR_SLUG, 1.0, "high", ""), 7: ("computacao", 1.0, "high", ""), 8: ("educacao", 0.6667, "medium", "direito"), 9: ("educacao", 1.0, "low", ""),
+        10: ("educacao", 0.25, "low", ""), 11: ("saude", 1.0, "medium", ""), 12: ("educacao", 1.0, "low", ""), 13: ("direito", 0.5, "high", "humanas"), 14: ("direito", 0.4167, "medium", "medicina"),
+    }
+    f = spark.createDataFrame([(i,) for i in (1, 3, 5, 13)], "fid long")
+    full = areas.with_fallback(d, f, f.where("fid IN (1, 3)"))
+    assert {r.fid: (r.primary_area, r.confidence, r.fallback) for r in full.collect()} == {1: ("educacao", "high", None), 3: ("ciencias-da-saude", "low", "pubmed"), 5: (None, "none", None), 13: ("direito", "high", None)}
+    j = spark.createDataFrame([(1, None, False), (101, 1, False), (3, None, None), (13, None, False), (113, 13, True)], "id long, canonical_journal_id long, areas_locked boolean")
+    hand = spark.createDataFrame([(101, "educacao"), (1, "direito")], "id long, area string")
+    got = {(r.id, r.area, r.is_primary, float(r.score), r.method) for r in areas.classified(full, j, hand).collect()}
+    assert got == {(1, "educacao", 1, 1.0, "auto"), (101, "educacao", None, 1.0, "manual"), (1, "direito", None, 1.0, "manual"), (3, "ciencias-da-saude", 1, 0.0, "auto")}
+    change = spark.createDataFrame([(101, ["direito", "nada", "direito"]), (3, [])], "id long, slugs array<string>")
+    assert {tuple(r) for r in areas.set_by_hand(hand.union(spark.createDataFrame([(3, "saude"), (13, "saude")], "id long, area string")), j, tax, change).collect()} == {(1, "direito"), (101, "direito"), (13, "saude")}
+
+
+def test_area_thesaurus(spark):
+    tax = spark.createDataFrame([("educacao", "Educação", None), ("fisica", "Física", None), ("ensino", "Ensino", None)], "slug string, name string, parent string")
+    v = spark.createDataFrame(
+        [("wos", "Teaching", "educacao", False, "active"), ("doaj", "teaching", "ensino", False, "active"), ("livre", "Teaching, General", "ensino", True, "active"), ("doaj", "Nothing", None, False, "ignored"), ("cnpq", "Physics; Applied", "fisica", False, "active"),
+         ("wos", "1234", "fisica", False, "active"), ("asjc", "Two", "fisica", False, "active"), ("asjc", "two", "ensino", False, "active"), ("wos", "wait", "fisica", False, "pending")],
+        "vocabulary string, label string, slug string, manual boolean, status string",
+    )
+    g = areas.thesaurus_groups(v, tax)
+    look = {r.key: r.slugs for r in g.collect()}
+    assert look["TEACHING"] == ["educacao"] and look["NOTHING"] == [] and look["TWO"] == ["ensino", "fisica"] and look["FISICA"] == ["fisica"] and "1234" not in look and "WAIT" not in look
+    assert "TEACHING" not in {r.key for r in areas.thesaurus_groups(v, tax, trusted=True).collect()}
+    rows = spark.createDataFrame([(1, "Física"), (2, "Teaching, General"), (3, "x; Ensino, Física | Nothing; y, z"), (4, ""), (5, None), (6, "physics; applied"), (7, "only"), (8, "Teaching; Two")], "id long, area string")
+    got = {r.id: (r.slugs, r.unknown) for r in areas.resolved_areas(rows, g).collect()}
+    assert got == {1: (["fisica"], []), 2: (["ensino"], []), 3: (["ensino", "fisica"], ["x", "y", "z"]), 6: (["fisica"], []), 7: ([], ["only"]), 8: (["educacao", "ensino", "fisica"], [])}
+    cols = {r.id: (r.area, r.area_raw) for r in areas.area_columns(rows, g, tax).collect()}
+    assert cols == {1: ("Física", None), 2: ("Ensino", "Teaching, General"), 3: ("Ensino", "x; Ensino, Física | Nothing; y, z"), 4: (None, None), 5: (None, None), 6: ("Física", "physics; applied"), 7: ("only", "only"), 8: ("Educação", "Teaching; Two")}
+    x = areas.crosswalked(spark.createDataFrame([("wos", "A", "educacao"), ("wos", "B", "fisica")], "vocabulary string, label string, slug string"), spark.createDataFrame([("wos", "a", "ensino"), ("doaj", "B", None)], "vocabulary string, label string, slug string"))
+    assert {tuple(r) for r in x.collect()} == {("wos", "A", "ensino"), ("wos", "B", "fisica"), ("doaj", "B", None)}
+
+
+def test_thesaurus_sync(spark):
+    tax = spark.createDataFrame([("educacao", "Educação"), ("fisica", "Física")], "slug string, name string")
+    cw = spark.createDataFrame([("wos", "Education", "educacao"), ("wos", "Junk", None), ("wos", "Júnk", "fisica"), ("wos", "Bad", "nirgends"), ("doaj", "Hand", "fisica")], "vocabulary string, label string, slug string")
+    schema = "vocabulary string, label string, slug string, manual boolean, status string, occurrences long"
+    now = spark.createDataFrame([("doaj", "HAND", "educacao", True, "active", 1), ("wos", "Old", "fisica", False, "active", 0), ("wos", "EDUCATION", "educacao", False, "active", 5), ("wos", "Pend", None, False, "pending", 2), ("wos", "education", None, False, "pending", 2)], schema)
+    use = spark.createDataFrame([("wos", "Education", 3), ("wos", "education", 4), ("doaj", "hand", 6), ("livre", "Novo", 2), ("livre", "NOVO", 1), ("asjc", "1200", 9)], "vocabulary string, label string, occurrences long")
+    after = areas.synced_thesaurus(now, tax, cw, use)
+    got = {(r.vocabulary, r.label, r.slug, r.manual, r.status, r.occurrences) for r in after.collect()}
+    assert got == {("capes", "Educação", "educacao", False, "active", 0), ("capes", "Física", "fisica", False, "active", 0), ("wos", "Education", "educacao", False, "active", 7), ("wos", "Júnk", "fisica", False, "active", 0), ("doaj", "HAND", "educacao", True, "active", 6), ("livre", "Novo", None, False, "pending", 3)}
+    report = {(r.pending, r.change): r["rows"] for r in areas.sync_report(now.withColumn("key", text.normalized(F.col("label"), upper=True)), after).collect()}
+    assert report == {(False, "inserted"): 3, (False, "updated"): 2, (False, "deleted"): 1, (True, "deleted"): 2, (True, "inserted"): 1}
+    again = areas.synced_thesaurus(after.select(*schema.replace(",", "").split()[::2]), tax, cw, use)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in after.collect()}
 
 
 def test_upserts(spark):
@@ -370,8 +428,6 @@ def test_curation(spark):
     p = row([(1, "0" * 16, "o1", "Ana"), (2, "1" * 16, "o2", "Bia")], "id long, registry string, orcid string, name string")
     r = row([(1, ["0" * 16], [], ["Bia"]), (2, [], [], ["bia"])], "id long, ids array<string>, orcids array<string>, names array<string>")
     assert {tuple(x) for x in c.matched_people(r, p).collect()} == {(1, 1), (2, 2)}
-    a = c.area_fragments(row([(1, "foo; Educação, x"), (2, "nada")], "id long, area string"), row([("educacao", "Educação")], "key string, label string"))
-    assert {tuple(x) for x in a.collect()} == {(1, "Educação", "foo; Educação, x"), (2, "nada", "nada")}
     w = c.title_rules(row([(1, "Revista de Educação e Saúde")], "id long, title string"), [("educacao", "educacao"), ("saude", "saude"), ("fisica", "fisica")])
     assert {(x.slug, float(x.weight)) for x in w.collect()} == {("educacao", 0.5), ("saude", 0.5)}
     e = c.external_names(row([("a", "Rev. Educ.", 1), ("b", "Rev Educ", 1), ("a", "Zzz", 2)], "src string, name string, fid long"), row([("k",)], "key string"), row([(1, "Revista Educação"), (2, "Física")], "fid long, title string"))
@@ -382,9 +438,6 @@ def test_curation(spark):
     j = row([(1, "A", "T"), (2, "B", None)], "id long, area string, display_title string")
     ev = row([(1, 1, "area", "X"), (2, 1, "area", "Y")], "n long, id long, field string, value string")
     assert {tuple(x) for x in c.overridden(j, ev).collect()} == {(1, "Y", "T"), (2, "B", None)}
-    jj = row([(1, None, False), (2, 1, False), (3, None, True)], "id long, canonical_journal_id long, areas_locked boolean")
-    got = c.classified(row([(1, "e", 1.5), (3, "f", 0.5)], "fid long, area string, score double"), jj, row([(2, "m")], "id long, area string"))
-    assert {(x.id, x.area, float(x.score), x.method) for x in got.collect()} == {(1, "e", 1.0, "auto"), (2, "m", 1.0, "manual")}
 
 
 def test_authority(spark):
