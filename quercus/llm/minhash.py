@@ -12,15 +12,14 @@ No pair is expanded within a group, and none is dropped:
 3. Verified pairs are joined to components, by alternating large and small stars.
 4. A bucket whose members then lie in several components can hide links between members that are not the smallest.
    Up to SQUARE members meet in one tile; where only up to SQUARE members are outside the bucket's largest component, those
-   meet each part of it, so a bucket's rows are at most doubled. In a tile, pairs of different components whose lengths and
-   sketches allow the similarity (agreement within 6 standard deviations of it) are asked about in the first band that both
-   sides share. The texts of a tile's members come to it once, and what is connected already isn't compared.
-5. In larger buckets with more outside, PIVOTS times the smallest member outside the largest component is paired with all
-   members that it isn't connected to, which joins most of a cluster. What is left, documents that share boilerplate but
-   aren't alike, is not compared with each other but dealt anew, exactly: two sets at similarity s share one of the rarest
-   n - ceil(s * n) + 1 shingles of either, rarest by any order that is the same for all. The order is by a bounded table
-   of counts (CELLS), so shingles of boilerplate come last. Groups of a common rare shingle with several components are
-   then tiles as in 4 (only groups still large with many components are cut into square tiles), and each pair is verified once.
+   meet each part of it, so a bucket's rows are at most doubled; other buckets up to LARGE are cut into square tiles, so a
+   row is copied LARGE / SQUARE times at most. In a tile, pairs of different components whose lengths and sketches allow the
+   similarity (agreement within 6 standard deviations of it) are asked about in the first band that both sides share. The texts
+   of a tile's members come to it once, and what is connected already isn't compared.
+5. Beyond LARGE, documents that share boilerplate but aren't alike are not compared with each other but dealt anew, exactly:
+   two sets at similarity s share one of the rarest n - ceil(s * n) + 1 shingles of either, rarest by any order that is the
+   same for all. The order is by a bounded table of counts (CELLS), so shingles of boilerplate come last. Groups of a
+   common rare shingle with several components are then tiles as in 4, and each pair is verified once.
 
 With 32 bands of 5 a pair at similarity 0.8 shares no band with a probability of 3 in a million.
 
@@ -51,8 +50,8 @@ T, R = 160, 5
 DEALT, SQUARE = 64, 512
 #: Counters of the table that tells rare shingles from frequent ones, a power of two.
 CELLS = 1 << 22
-#: Further pivots that large buckets of many components get.
-PIVOTS = 3
+#: Members of a bucket from which on, if many of them are outside its largest component, rare shingles deal it anew.
+LARGE = 1 << 14
 CACHE_WORDS = 400_000
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -381,19 +380,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     comp, _ = kept(components(links), "components")
     name = lambda df: df.drop("component").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows, rows_path = kept(_sized(name(full.select("band", "key", "id", "n"))), "mixed-buckets")
-    many = (F.col("m") > SQUARE) & (F.col("rest") > SQUARE)
-    for _ in range(PIVOTS):
-        large = rows.where(many)
-        if large.isEmpty():
-            break
-        pivots = large.where(F.col("component") != F.col("main")).groupBy("key").agg(F.min(F.struct("id", "component")).alias("p"))
-        asked = large.join(pivots, "key").where(F.col("component") != F.col("p.component")).select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
-        more, more_path = kept(verified(asked, texts, k, percent), "links")
-        links, link_paths = links.unionByName(more), [*link_paths, more_path]
-        comp, _ = kept(components(links), "components")
-        new, new_path = kept(_sized(name(rows.select("band", "key", "id", "n"))), "mixed-buckets")
-        delete(spark, rows_path)
-        rows, rows_path = new, new_path
+    many = (F.col("m") > LARGE) & (F.col("rest") > SQUARE)
     about = rep.select("id", "n", "coords")
     tiles, tile_path = kept(_tiles(rows.where(~many).join(about, ["id", "n"]), percent), "tiles")
     two, two_path = kept(_tile_links(tiles, texts, k, percent), "links")

@@ -498,8 +498,13 @@ def test_links_in_large_buckets(spark, monkeypatch):
     rare = minhash._rare_groups
     monkeypatch.setattr(minhash, "_rare_groups", lambda *x: calls.append(1) or rare(*x))
     monkeypatch.setattr(minhash, "SQUARE", 16)
+    monkeypatch.setattr(minhash, "LARGE", 16)
     assert {x.doc_id: x.component_id for x in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()} == want
     assert calls
+    calls.clear()
+    monkeypatch.setattr(minhash, "LARGE", 1000)
+    assert {x.doc_id: x.component_id for x in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()} == want
+    assert not calls
 
 
 def own_similarity(doc, item, k, weight, total):
