@@ -86,8 +86,52 @@ def type_label(c: Column) -> Column:
 
 
 def initials(c: Column) -> Column:
-    """The first letters of the first and last name."""
-    return F.upper(F.concat(F.substring(F.trim(c), 1, 1), F.when(F.contains(F.trim(c), F.lit(" ")), F.substring(F.regexp_extract(F.trim(c), r"(\S+)$", 1), 1, 1)).otherwise(F.lit(""))))
+    """The first letters of the first and last part of over two letters; of a name without such, its first two letters."""
+    parts = F.filter(F.split(F.trim(c), r"\s+"), lambda p: F.length(p) > 2)
+    letter = lambda p: F.substring(p, 1, 1)
+    return F.upper(F.when(F.size(parts) == 0, F.substring(c, 1, 2)).when(F.size(parts) == 1, letter(F.get(parts, 0))).otherwise(F.concat(letter(F.get(parts, 0)), letter(F.element_at(parts, -1)))))
+
+
+def affiliation_period(active: Column, start: Column, end: Column) -> Column:
+    """N23: '2001–hoje', '1999–2010', 'até 2010', 'desde 1999' or null; years of 0 count as none."""
+    a, b = (F.nullif(F.coalesce(x, F.lit(0)), F.lit(0)).cast("string") for x in (start, end))
+    left = F.when(a.isNotNull() & b.isNotNull(), F.concat_ws("–", a, b)).when(b.isNotNull(), F.concat(F.lit("até "), b)).otherwise(F.concat(F.lit("desde "), a))
+    return F.when(active, F.concat(a, F.lit("–hoje"))).otherwise(left)
+
+
+# Labels of project states, natures and kinds of funding.
+PROJECT_STATUS = {"EM_ANDAMENTO": "Em andamento", "CONCLUIDO": "Concluído", "DESATIVADO": "Desativado"}
+PROJECT_NATURE = {"PESQUISA": "Pesquisa", "EXTENSAO": "Extensão", "ENSINO": "Ensino", "DESENVOLVIMENTO": "Desenvolvimento", "OUTRA": "Outra"}
+FUNDER_NATURE = {"AUXILIO_FINANCEIRO": "Auxílio financeiro", "BOLSA": "Bolsa", "COOPERACAO": "Cooperação", "REMUNERACAO": "Remuneração", "OUTRO": "Outro"}
+NO_FUNDER_NATURE = "NAO_INFORMADO"
+
+
+def _labelled(c: Column, labels: dict[str, str]) -> Column:
+    text = F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit("_"), F.lit(" ")))
+    plain = F.when(text == "", "Não informado").otherwise(F.concat(F.upper(F.substring(text, 1, 1)), F.lower(text.substr(F.lit(2), F.length(text)))))
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)), F.coalesce(c, F.lit(""))), plain)
+
+
+def project_status(c: Column) -> Column:
+    """N27."""
+    return _labelled(c, PROJECT_STATUS)
+
+
+def project_nature(c: Column) -> Column:
+    """N27."""
+    return _labelled(c, PROJECT_NATURE)
+
+
+def funder_nature(c: Column) -> Column:
+    """Null where it isn't stated."""
+    return F.when((F.trim(F.coalesce(c, F.lit(""))) != "") & (c != NO_FUNDER_NATURE), _labelled(c, FUNDER_NATURE))
+
+
+def project_period(start: Column, end: Column, status: Column) -> Column:
+    """N27: '2019 – atual', '2015 – 2018', '2020', 'Até 2018' or 'Ano não informado'."""
+    a, b = start.cast("string"), end.cast("string")
+    no_start = F.when(end.isNotNull(), F.concat(F.lit("Até "), b)).otherwise("Ano não informado")
+    return F.when(start.isNull(), no_start).when(end.isNull(), F.when(status == "EM_ANDAMENTO", F.concat(a, F.lit(" – atual"))).otherwise(a)).when(start == end, a).otherwise(F.concat_ws(" – ", a, b))
 
 
 def common_text(a: str, b: str) -> int:

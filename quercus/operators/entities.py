@@ -136,13 +136,58 @@ def review_page(queue: DataFrame, contains: str, column: str, order: str, id_col
     return hits.orderBy(F.desc(order), id_col).offset((max(1, page) - 1) * size).limit(size)
 
 
-def match_authors(names: DataFrame, people: DataFrame) -> DataFrame:
-    """Each distinct name's researcher: by the name, then by the inverted name; of equal keys the last id wins. people: id, name (one row for each form)."""
-    keys = people.select(normalized(F.col("name")).alias("key"), "id").where("key <> ''").groupBy("key").agg(F.max("id").alias("id"))
+def name_forms(c) -> F.Column:
+    """The keys under which a person's name is looked up, in order: as it is, without points and commas, inverted, and that without them. One case stands for both."""
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[.,;]", " "), r"\s+", " "))
+    own, other = normalized(c), F.when(F.contains(F.trim(c), F.lit(" ")) | F.contains(c, F.lit(",")), normalized(inverted_name(c)))
+    return F.array_distinct(F.filter(F.array(own, plain(own), other, plain(other)), lambda k: k.isNotNull() & (k != "")))
+
+
+def match_authors(names: DataFrame, people: DataFrame, variants: DataFrame | None = None, identities: DataFrame | None = None) -> DataFrame:
+    """Researcher and identity of each distinct name: by the forms of the researchers' names first, then by active variants, then by active identities.
+
+    The first form that is known decides; of several researchers under a key the last id, of several identities the lowest. An identity whose preferred name is a
+    researcher's gives that one too. Names under two characters match nothing. people: id, name (a row for each full and citation name); variants: name, identity_id;
+    identities: id, preferred_name.
+    """
+    keyed = lambda df, i, c: df.select(i, F.explode(name_forms(F.col(c))).alias("key"))
+    own = keyed(people, "id", "name").groupBy("key").agg(F.max("id").alias("researcher_id"))
     n = names.select("name").distinct()
-    forms = n.select("name", F.explode(F.array(F.struct(F.lit(1).alias("step"), normalized(F.col("name")).alias("key")), F.struct(F.lit(2).alias("step"), normalized(inverted_name(F.col("name"))).alias("key")))).alias("f")).select("name", "f.*")
-    hits = forms.join(keys, "key").groupBy("name").agg(F.min(F.struct("step", "id")).alias("x"))
-    return n.join(hits, "name", "left").select("name", F.col("x.id").alias("researcher_id"))
+    forms = n.where(F.length(F.trim("name")) >= 2).select("name", F.posexplode(name_forms(F.col("name"))).alias("step", "key"))
+    hits = forms.join(own, "key").groupBy("name").agg(F.min_by("researcher_id", "step").alias("researcher_id"))
+    out = n.join(hits, "name", "left")
+    if identities is None:
+        return out
+    rest = forms.join(hits, "name", "left_anti")
+    keys = identities.select(F.col("id").alias("identity_id"), normalized(F.col("preferred_name")).alias("key")).select("key", "identity_id", F.lit(1).alias("stage"))
+    if variants is not None:
+        active = variants.join(identities.select(F.col("id").alias("identity_id")), "identity_id", "left_semi")
+        keys = keys.unionByName(active.select(normalized(F.col("name")).alias("key"), "identity_id", F.lit(0).alias("stage")))
+    found = rest.join(keys.where("key <> ''"), "key").groupBy("name").agg(F.min(F.struct("stage", "identity_id")).alias("x")).select("name", F.col("x.identity_id").alias("identity_id"))
+    preferred = identities.select(F.col("id").alias("identity_id"), normalized(F.col("preferred_name")).alias("key")).join(own, "key", "left").select("identity_id", F.col("researcher_id").alias("also"))
+    j = out.join(found.join(preferred, "identity_id", "left"), "name", "left")
+    return j.select("name", F.coalesce("researcher_id", "also").alias("researcher_id"), "identity_id")
+
+
+def merged_journals(journals: DataFrame, merges: DataFrame, links: DataFrame, variants: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Journals, links, variants and evidence after rows were merged into others: empty fields of the kept row are filled from the merged ones, lowest id first; what
+    hung on a merged row hangs on the kept one, once; a merged title becomes a variant; of equal evidence (source, record, label) the lowest id stays.
+
+    journals: id, title, issn, qualis, canonical_journal_id; merges: old, new (new is kept); links: journal_id, database_id; variants: journal_id, name; evidence: id, journal_id, source, record_key, label.
+    """
+    old = journals.join(merges.withColumnRenamed("old", "id"), "id")
+    fill = old.groupBy(F.col("new").alias("id")).agg(*(F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(None)).isNotNull(), F.col("id"))).alias(f"__{c}") for c in ("issn", "qualis")))
+    j = journals.join(merges.select(F.col("old").alias("id")), "id", "left_anti").join(fill, "id", "left")
+    j = j.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__{c}")) for c in ("issn", "qualis")}).drop("__issn", "__qualis")
+    moved = remapped(j, "canonical_journal_id", merges)
+    moved = moved.withColumn("canonical_journal_id", F.when(F.col("canonical_journal_id") != F.col("id"), F.col("canonical_journal_id"))).select(*journals.columns)
+    titles = old.select(F.col("new").alias("journal_id"), F.col("title").alias("name"))
+    names = remapped(variants, "journal_id", merges).select("journal_id", "name").unionByName(titles).withColumn("key", resolver_key(F.col("name"))).where("key <> ''")
+    own = moved.select(F.col("id").alias("journal_id"), resolver_key(F.col("title")).alias("key"))
+    names = names.join(own, ["journal_id", "key"], "left_anti").groupBy("key").agg(F.min(F.struct("journal_id", "name")).alias("x")).select("x.journal_id", "x.name")
+    e = remapped(evidence, "journal_id", merges)
+    e = e.join(deduplicated(e, ["journal_id", "source", "record_key", "label"]).select("id"), "id", "left_semi")
+    return moved, remapped(links, "journal_id", merges).select("journal_id", "database_id").distinct(), names, e.select(*evidence.columns)
 
 
 def match_institutions(names: DataFrame, institutions: DataFrame) -> DataFrame:

@@ -122,12 +122,56 @@ def resolve(names: DataFrame, journals: DataFrame, variants: DataFrame | None =
 
 
 def name_queue(items: DataFrame) -> DataFrame:
-    """Unlinked articles by folded journal name: the most frequent spelling (ties: smallest), articles, researchers."""
+    """Unlinked articles by folded journal name: the most frequent spelling and ISSN (ties: smallest), articles, researchers and the three latest distinct titles (by year, then id)."""
     a = items.where("item_type = 'ARTIGO' AND qualis_journal_id IS NULL AND journal_name IS NOT NULL").where(F.col("journal_name").rlike(r"\p{Alnum}"))
-    per = a.groupBy(fold(F.col("journal_name")).alias("name_key"), "journal_name").agg(F.count(F.lit(1)).alias("n"))
-    spelling = per.groupBy("name_key").agg(F.min(F.struct((-F.col("n")).alias("n"), "journal_name")).alias("x"), F.sum("n").alias("articles"))
-    who = a.groupBy(fold(F.col("journal_name")).alias("name_key")).agg(F.countDistinct("researcher_id").alias("researchers"))
-    return spelling.join(who, "name_key").select("name_key", F.col("x.journal_name").alias("spelling"), "articles", "researchers")
+    issn = F.nullif(F.trim("issn"), F.lit("")) if "issn" in items.columns else F.lit(None).cast("string")
+    a = a.select(fold(F.col("journal_name")).alias("name_key"), "journal_name", issn.alias("issn"), "researcher_id", "title", F.coalesce("year", F.lit(-1)).alias("year"), "id")
+    modal = lambda c: a.where(F.col(c).isNotNull()).groupBy("name_key", c).agg(F.count(F.lit(1)).alias("n")).groupBy("name_key").agg(F.min(F.struct((-F.col("n")).alias("o"), c)).alias("x"), F.sum("n").alias("n"))
+    spelling = modal("journal_name").select("name_key", F.col("x.journal_name").alias("spelling"), F.col("n").alias("articles"))
+    number = modal("issn").select("name_key", F.col("x.issn").alias("issn"))
+    who = a.select("name_key", "researcher_id").distinct().groupBy("name_key").agg(F.count(F.lit(1)).alias("researchers"))
+    w = Window.partitionBy("name_key").orderBy(F.desc("year"), F.desc("id"), "title")
+    latest = a.groupBy("name_key", "title").agg(F.max(F.struct("year", "id")).alias("x")).select("name_key", "title", "x.year", "x.id").withColumn("place", F.row_number().over(w)).where("place <= 3")
+    titles = latest.groupBy("name_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda x: x["title"]).alias("titles"))
+    return spelling.join(number, "name_key", "left").join(who, "name_key").join(titles, "name_key", "left")
+
+
+def name_states(queue: DataFrame, resolved: DataFrame, suggested: DataFrame) -> DataFrame:
+    """The queue with its state (ambiguous if the name leads to several families) and suggestion. resolved: name, status; suggested: name, suggested_journal_id."""
+    r = resolved.select(F.col("name").alias("spelling"), (F.col("status") == "ambiguous").alias("amb")).groupBy("spelling").agg(F.max("amb").alias("amb"))
+    s = suggested.select(F.col("name").alias("spelling"), "suggested_journal_id").distinct()
+    return queue.join(r, "spelling", "left").join(s, "spelling", "left").withColumns({"status": F.when(F.coalesce("amb", F.lit(False)), "ambiguous").otherwise("pending"), "method": F.when(F.col("suggested_journal_id").isNotNull(), "keywords").otherwise("none")}).drop("amb")
+
+
+def stale_names(candidates: DataFrame, queue: DataFrame) -> DataFrame:
+    """Open candidates whose name no unlinked article has any more; those suggested by ISSN stay. candidates: name_key, status, method."""
+    is_open = F.col("status").isin("pending", "ambiguous") & ~F.coalesce(F.col("method") == "issn", F.lit(False))
+    return candidates.where(is_open).join(queue.select("name_key"), "name_key", "left_anti")
+
+
+def area_chips(journals: DataFrame, areas: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """The areas of each family's canonical row: the primary first, then by score and the taxonomy's order. areas: journal_id, area, is_primary, score; taxonomy: slug, name, sort_order."""
+    j = with_family(journals).where("fid = id").select(F.col("id").alias("journal_id"), "fid")
+    a = areas.join(j, "journal_id").join(taxonomy.select(F.col("slug").alias("area"), "name", "sort_order"), "area")
+    order = F.struct((-F.coalesce("is_primary", F.lit(0))).alias("p"), (-F.col("score")).alias("s"), "sort_order", "name")
+    return a.groupBy("fid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["name"]), ", ").alias("areas"))  # at most the taxonomy
+
+
+def articles_by_base(items: DataFrame, journals: DataFrame, links: DataFrame) -> DataFrame:
+    """Of each database the families and distinct article rows of its linked journal rows; a family's other rows don't count."""
+    j = with_family(journals).select(F.col("id").alias("qualis_journal_id"), "fid")
+    rows = items.where("item_type = 'ARTIGO'").select("id", "qualis_journal_id").distinct().join(links.select(F.col("journal_id").alias("qualis_journal_id"), "database_id").distinct(), "qualis_journal_id").join(j, "qualis_journal_id")
+    a = rows.select("database_id", "id").distinct().groupBy("database_id").agg(F.count(F.lit(1)).alias("articles"))
+    f = rows.select("database_id", "fid").distinct().groupBy("database_id").agg(F.count(F.lit(1)).alias("families"))
+    return a.join(f, "database_id")
+
+
+def confidence_report(items: DataFrame, journals: DataFrame, areas: DataFrame) -> DataFrame:
+    """Visible families (with articles) by the confidence of their primary area, a manual one first; `none` for those without. areas: journal_id, area, is_primary, confidence, method."""
+    j = with_family(journals).select("id", "fid")
+    visible = items.where("item_type = 'ARTIGO'").select(F.col("qualis_journal_id").alias("id")).distinct().join(j, "id").select("fid").distinct()
+    p = areas.where("is_primary = 1").groupBy(F.col("journal_id").alias("fid")).agg(F.min(F.struct((F.col("method") != "manual").alias("m"), "area", "confidence")).alias("x"))
+    return visible.join(p, "fid", "left").groupBy(F.coalesce("x.confidence", F.lit("none")).alias("confidence")).agg(F.count(F.lit(1)).alias("families"))
 
 
 def report(journals: DataFrame, items: DataFrame) -> DataFrame:

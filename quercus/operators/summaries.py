@@ -23,13 +23,13 @@ def _alias(c):
 
 
 def global_summary(researchers: DataFrame, items: DataFrame, orientations: DataFrame) -> DataFrame:
-    """A1: one row; raw counts by type, distinct works by three different keys, concluded orientations. Empty tables count 0."""
+    """A1: one row of thirteen figures: raw counts by type, distinct works by three different keys, concluded orientations. Empty tables count 0."""
     r = researchers.agg(F.count(F.lit(1)).alias("researchers"), F.coalesce(count_if(F.col("status") == 1), F.lit(0)).alias("active"))
     kind = F.col("item_type")
     book = kind.isin("LIVRO", "CAPITULO")
     # One distinct aggregate each in its own pass: pre-aggregated by key, so no row is expanded.
     n = lambda cond, name: F.coalesce(count_if(cond), F.lit(0)).alias(name)
-    raw = items.agg(F.count(F.lit(1)).alias("productions"), n(kind == "ARTIGO", "articles"), n(kind == "LIVRO", "books"), n(kind == "CAPITULO", "chapters"), n(kind == "EVENTO", "event_works"))
+    raw = items.agg(F.count(F.lit(1)).alias("productions"), n(kind == "ARTIGO", "articles"), n((kind == "ARTIGO") & keys.has_qualis(), "qualis_articles"), n(kind == "LIVRO", "books"), n(kind == "CAPITULO", "chapters"), n(book, "books_and_chapters"), n(kind == "EVENTO", "event_works"))
     u2 = items.select(keys.production_key().alias("k")).distinct().agg(F.count("k").alias("unique_productions"))
     u3 = items.where((kind == "ARTIGO") & keys.has_qualis()).select(keys.article_key().alias("k")).distinct().agg(F.count("k").alias("unique_qualis_articles"))
     u4 = items.where(book).select(keys.book_key().alias("k")).distinct().agg(F.count("k").alias("unique_books"))
@@ -116,9 +116,19 @@ def level_pyramid(orientations: DataFrame) -> DataFrame:
     return orientations.agg(*(F.coalesce(count_if(F.col("orientation_type") == x), F.lit(0)).alias(x.lower()) for x in levels))
 
 
-def indexing_overview(items: DataFrame) -> DataFrame:
-    """Articles, linked articles, articles with a stratum, and the share that is linked, in percent to one place."""
-    a = items.where("item_type = 'ARTIGO'").agg(
-        F.count(F.lit(1)).alias("articles"), F.count("qualis_journal_id").alias("linked"), F.coalesce(count_if(keys.has_qualis()), F.lit(0)).alias("with_qualis"), F.countDistinct("qualis_journal_id").alias("journals")
+def indexing_overview(researchers: DataFrame, items: DataFrame, authors: DataFrame, as_of_year: int) -> DataFrame:
+    """One row: researchers (all, indexed, pending, active, retired), productions, articles (all, with stratum, journal, databases), authors (all, indexed, of the house),
+    and the percentage of indexed researchers to one place. Retired is everyone who isn't active."""
+    n = lambda cond, name: F.coalesce(count_if(cond), F.lit(0)).alias(name)
+    there = lambda c: F.col(c).isNotNull()
+    stays = F.coalesce(F.col("leave_year") >= as_of_year, F.lit(True))
+    r = researchers.agg(
+        F.count(F.lit(1)).alias("researchers"), n(there("last_indexed_at"), "indexed"), n(~there("last_indexed_at"), "pending"), n((F.col("status") == 1) & stays, "active"), n((F.col("status") == 0) | ~stays, "retired")
+    )
+    article = F.col("item_type") == "ARTIGO"
+    i = items.agg(
+        F.count(F.lit(1)).alias("productions"), n(article, "articles"), n(article & there("qualis"), "with_qualis"), n(article & there("qualis_journal_id"), "with_journal"), n(article & there("indexed_databases"), "with_databases")
     )
-    return a.withColumn("linked_percent", F.when(F.col("articles") == 0, 0.0).otherwise(F.round((F.lit(100) * F.col("linked") / F.col("articles")).cast("decimal(18,6)"), 1).cast("double")))
+    a = authors.agg(F.count(F.lit(1)).alias("authors"), n(F.col("is_indexed"), "indexed_authors"), n(F.col("is_cech_researcher"), "matched_authors"))
+    percent = F.when(F.col("researchers") == 0, 0.0).otherwise(F.round((F.lit(100) * F.col("indexed") / F.col("researchers")).cast("decimal(18,6)"), 1).cast("double"))
+    return r.crossJoin(i).crossJoin(a).withColumn("percentage", percent)  # one row each

@@ -32,6 +32,7 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
         "id": "s_suppkey", "full_name": "s_name",
         "department_code": _pick("s_suppkey", ["DCSo", "CS", "DL", "DPsi", "DFil", None, ""]), "department": "concat('Departamento ', CAST(s_nationkey % 6 AS STRING))",
         "status": "CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE 1 END", "admission_year": "CAST(1980 + s_suppkey % 40 AS INT)", "leave_year": "CASE WHEN s_suppkey % 5 = 0 THEN CAST(2000 + s_suppkey % 30 AS INT) END",
+        "last_indexed_at": "CASE WHEN s_suppkey % 4 <> 0 THEN '2026-01-01' END",
         "birth_state": "CASE WHEN s_suppkey % 8 = 0 THEN '' ELSE concat('UF', CAST(s_nationkey AS STRING)) END",
     }),
     "production_items": ("lineitem", {
@@ -47,7 +48,7 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
     }),
     "production_authors": ("lineitem", {
         "production_item_id": "l_orderkey * 8 + 1", "author_name": "concat('AUTOR ', CAST(l_suppkey % 45 AS STRING))", "author_order": "l_linenumber",
-        "matched_researcher_id": "CASE WHEN l_suppkey % 6 <> 0 THEN l_suppkey END", "item_key": "l_orderkey % 4000", "author_identity_id": "CASE WHEN l_suppkey % 6 = 0 AND l_suppkey % 4 = 0 THEN l_suppkey % 45 END",
+        "matched_researcher_id": "CASE WHEN l_suppkey % 6 <> 0 THEN l_suppkey END", "item_key": "l_orderkey % 4000", "is_indexed": "l_linenumber % 2 = 0", "is_cech_researcher": "l_suppkey % 6 <> 0", "author_identity_id": "CASE WHEN l_suppkey % 6 = 0 AND l_suppkey % 4 = 0 THEN l_suppkey % 45 END",
     }),
     "orientations": ("orders", {
         "id": "o_orderkey", "researcher_id": "o_custkey % 100 + 1", "orientation_type": _pick("o_orderkey", _LEVELS), "nature": _pick("o_custkey", ["CONCLUIDA", "EM_ANDAMENTO", "CONCLUIDA"]),

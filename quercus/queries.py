@@ -62,7 +62,7 @@ _c = lambda cond, name: f"CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS {nam
 
 
 @query("a1_global_summary", f"""SELECT (SELECT count(*) FROM {R}) AS researchers, (SELECT count(*) FROM {R} WHERE status = 1) AS active,
- count(*) AS productions, {_c("item_type = 'ARTIGO'", 'articles')}, {_c("item_type = 'LIVRO'", 'books')}, {_c("item_type = 'CAPITULO'", 'chapters')}, {_c("item_type = 'EVENTO'", 'event_works')},
+ count(*) AS productions, {_c("item_type = 'ARTIGO'", 'articles')}, {_c(f"item_type = 'ARTIGO' AND {HASQ}", 'qualis_articles')}, {_c("item_type = 'LIVRO'", 'books')}, {_c("item_type = 'CAPITULO'", 'chapters')}, {_c("item_type IN ('LIVRO', 'CAPITULO')", 'books_and_chapters')}, {_c("item_type = 'EVENTO'", 'event_works')},
  count(DISTINCT {K2}) AS unique_productions, count(DISTINCT {K3}) FILTER (WHERE item_type = 'ARTIGO' AND {HASQ}) AS unique_qualis_articles,
  count(DISTINCT {K4}) FILTER (WHERE item_type IN ('LIVRO', 'CAPITULO')) AS unique_books, (SELECT count(*) FROM {O} WHERE {DONE}) AS concluded_orientations FROM {I}""", R, I, O)
 def _(t, s, d):
@@ -139,10 +139,12 @@ def _(t, s, d):
     return summaries.level_pyramid(t(O))
 
 
-@query("a58_indexing_overview", f"""SELECT count(*) AS articles, count(qualis_journal_id) AS linked, {_c(HASQ, 'with_qualis')}, count(DISTINCT qualis_journal_id) AS journals,
- CASE WHEN count(*) = 0 THEN 0.0 ELSE CAST(round(CAST(100.0 * count(qualis_journal_id) / count(*) AS DECIMAL(18, 6)), 1) AS DOUBLE) END AS linked_percent FROM {I} WHERE item_type = 'ARTIGO'""", I)
+@query("a58_indexing_overview", f"""SELECT r.*, i.*, a.*, CASE WHEN researchers = 0 THEN 0.0 ELSE CAST(round(CAST(100.0 * indexed / researchers AS DECIMAL(18, 6)), 1) AS DOUBLE) END AS percentage FROM
+ (SELECT count(*) AS researchers, count(last_indexed_at) AS indexed, count(*) - count(last_indexed_at) AS pending, {_c(f'status = 1 AND (leave_year IS NULL OR leave_year >= {YEAR})', 'active')}, {_c(f'status = 0 OR leave_year < {YEAR}', 'retired')} FROM {R}) r,
+ (SELECT count(*) AS productions, {_c("item_type = 'ARTIGO'", 'articles')}, {_c("item_type = 'ARTIGO' AND qualis IS NOT NULL", 'with_qualis')}, {_c("item_type = 'ARTIGO' AND qualis_journal_id IS NOT NULL", 'with_journal')}, {_c("item_type = 'ARTIGO' AND indexed_databases IS NOT NULL", 'with_databases')} FROM {I}) i,
+ (SELECT count(*) AS authors, {_c('is_indexed', 'indexed_authors')}, {_c('is_cech_researcher', 'matched_authors')} FROM {A}) a""", R, I, A)
 def _(t, s, d):
-    return summaries.indexing_overview(t(I))
+    return summaries.indexing_overview(t(R), t(I), t(A), YEAR)
 
 
 # --- figures ----------------------------------------------------------------------------------------------------------
@@ -543,10 +545,14 @@ def _(t, s, d):
     return journals.resolve(names, t(J))
 
 
-@query("b18_name_queue", f""", a AS (SELECT {f_('journal_name')} AS name_key, journal_name, researcher_id FROM {I} WHERE item_type = 'ARTIGO' AND qualis_journal_id IS NULL AND journal_name IS NOT NULL)
- SELECT name_key, first(journal_name ORDER BY n DESC, journal_name) AS spelling, CAST(sum(n) AS BIGINT) AS articles, any_value(w) AS researchers FROM (SELECT name_key, journal_name, count(*) AS n FROM a GROUP BY 1, 2) JOIN (SELECT name_key, count(DISTINCT researcher_id) AS w FROM a GROUP BY 1) USING (name_key) GROUP BY 1""", I)
+_QUEUE = f"""a AS (SELECT {f_('journal_name')} AS name_key, journal_name, researcher_id, title, coalesce(year, -1) AS year, id FROM {I} WHERE item_type = 'ARTIGO' AND qualis_journal_id IS NULL AND journal_name IS NOT NULL),
+ tt AS (SELECT name_key, string_agg(title, ' | ' ORDER BY p) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY year DESC, id DESC, title) AS p FROM (SELECT name_key, title, max(struct_pack(y := year, i := id)).y AS year, max(struct_pack(y := year, i := id)).i AS id FROM a GROUP BY 1, 2)) WHERE p <= 3 GROUP BY 1),
+ q AS (SELECT name_key, first(journal_name ORDER BY n DESC, journal_name) AS spelling, CAST(sum(n) AS BIGINT) AS articles FROM (SELECT name_key, journal_name, count(*) AS n FROM a GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("b18_name_queue", f", {_QUEUE} SELECT name_key, spelling, articles, (SELECT count(DISTINCT researcher_id) FROM a WHERE a.name_key = q.name_key) AS researchers, titles FROM q JOIN tt USING (name_key)", I)
 def _(t, s, d):
-    return journals.name_queue(t(I))
+    return journals.name_queue(t(I)).drop("issn").withColumn("titles", F.array_join("titles", " | "))
 
 
 @query("t8_journal_search", f""", {_FAM} SELECT fid, min(CASE WHEN {f_('title')} = 'revista large' THEN 0 WHEN starts_with({f_('title')}, 'revista large') THEN 1 ELSE 2 END) AS score, count(*) AS rows FROM fam JOIN {J} j ON j.id = fam.id WHERE contains({f_('title')}, 'revista large') GROUP BY 1 ORDER BY 2, 1 LIMIT 20""", J)
@@ -834,10 +840,12 @@ def _(t, s, d):
     return entities.snapshot_diff(t(I).select("id", F.col("qualis_journal_id").alias("journal_id")), after)
 
 
-@query("r5_match_authors", f"""SELECT name, max(id) AS researcher_id FROM (SELECT DISTINCT '0' || CAST(o_custkey AS VARCHAR) AS n0, 'Supplier ' || lpad(CAST(o_custkey % 300 AS VARCHAR), 9, '0') AS name FROM orders) LEFT JOIN (SELECT id, {N1('full_name')} AS key FROM {R}) ON key = {N1('name')} GROUP BY 1""", R)
+@query("r5_match_authors", f"""SELECT n.name, max(r.id) AS researcher_id FROM (SELECT DISTINCT CASE o_custkey % 3 WHEN 0 THEN 'Supplier, ' || x WHEN 1 THEN 'SUPPLIER  ' || x ELSE x || ' supplier.' END AS name, x FROM (SELECT o_custkey, lpad(CAST(o_custkey % 300 AS VARCHAR), 9, '0') AS x FROM orders)) n
+ LEFT JOIN {R} r ON r.full_name = 'Supplier#' || n.x GROUP BY 1""", R)
 def _(t, s, d):
-    names = s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("Supplier "), F.lpad((F.col("o_custkey") % 300).cast("string"), 9, "0")).alias("name"))
-    return entities.match_authors(names, t(R).select("id", F.col("full_name").alias("name")))
+    x = F.lpad((F.col("o_custkey") % 300).cast("string"), 9, "0")
+    name = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("Supplier, "), x)).when(F.col("o_custkey") % 3 == 1, F.concat(F.lit("SUPPLIER  "), x)).otherwise(F.concat(x, F.lit(" supplier.")))
+    return entities.match_authors(s.read.parquet(f"{d}/orders.parquet").select(name.alias("name")), t(R).select("id", F.replace("full_name", F.lit("#"), F.lit(" ")).alias("name")))
 
 
 # --- areas ------------------------------------------------------------------------------------------------------------
@@ -959,12 +967,6 @@ def _(t, s, d):
     return fam.partners(t(X), known, False, "sede", 100)
 
 
-@query("a27_foreign_partners", f"SELECT 'Company C' AS name, count(*) AS total FROM {X} WHERE institution_name = 'Empresa C'", X)
-def _(t, s, d):
-    known = s.createDataFrame([("empresa c", "Company C", "US"), ("universidade a", "Universidade A", "BR")], "name_key string, shown string, iso string")
-    return fam.partners(t(X), known, True, "sede", 200)
-
-
 @query("b16_learned_names", f""", a AS (SELECT {_KEY('journal_name')} AS name_key, journal_name, coalesce(canonical_journal_id, j.id) AS fid FROM {I} i JOIN {J} j ON j.id = qualis_journal_id WHERE journal_name IS NOT NULL)
  SELECT name_key, min(journal_name) AS name, count(*) AS articles, CASE WHEN min(fid) = max(fid) THEN min(fid) END AS fid, CASE WHEN min(fid) = max(fid) THEN 'variant' ELSE 'conflict' END AS outcome FROM a GROUP BY 1 HAVING count(*) >= 2 AND name_key <> ''""", I, J)
 def _(t, s, d):
@@ -1018,12 +1020,21 @@ def _(t, s, d):
 
 
 # --- curation -----------------------------------------------------------------------------------------------------------
-@query("a44_database_profile", f""", r AS (SELECT DISTINCT researcher_id, id, json_extract_string(unnest(CAST(indexed_databases AS JSON[])), '$.acronym') AS acronym FROM {I}), n AS (SELECT researcher_id, acronym, count(*) AS items FROM r GROUP BY 1, 2)
- SELECT n.researcher_id, acronym, items, {_PCT('items', 'every')} AS percent FROM n JOIN (SELECT researcher_id, count(*) AS every FROM {I} GROUP BY 1) t ON t.researcher_id = n.researcher_id""", I)
+_DB = f"r AS (SELECT researcher_id, id, year, json_extract_string(unnest(CAST(indexed_databases AS JSON[])), '$.acronym') AS acronym FROM {I} WHERE item_type = 'ARTIGO')"
+
+
+@query("a44_database_profile", f""", {_DB}, n AS (SELECT researcher_id, acronym, count(*) AS items FROM r GROUP BY 1, 2)
+ SELECT n.researcher_id, acronym, items, {_PCT('items', 'every')} AS percent, {_PCT('items', 'indexed')} AS indexed_percent FROM n JOIN (SELECT researcher_id, count(*) AS every, count(indexed_databases) AS indexed FROM {I} WHERE item_type = 'ARTIGO' GROUP BY 1) t ON t.researcher_id = n.researcher_id""", I)
 def _(t, s, d):
     return curation.database_profile(t(I))
 
 
+@query("a44_database_timeline", f""", {_DB}, m AS (SELECT * FROM r WHERE researcher_id = 4), y AS (SELECT unnest(range(min(year), max(year) + 1)) AS y FROM {I} WHERE researcher_id = 4)
+ SELECT CAST(y AS INT) AS year, c.acronym, count(m.id) AS items FROM y CROSS JOIN (SELECT DISTINCT acronym FROM m) c LEFT JOIN m ON m.year = y AND m.acronym = c.acronym GROUP BY 1, 2""", I)
+def _(t, s, d):
+    return curation.database_timeline(t(I), 4)
+
+
 @query("a62_vocabulary_usage", f"SELECT trim(x) AS label, count(DISTINCT id) AS journals FROM (SELECT id, unnest(string_split_regex(replace(area, ' ', '|'), '[|;]')) AS x FROM {J}) WHERE trim(x) <> '' GROUP BY 1", J)
 def _(t, s, d):
     return curation.vocabulary_usage(t(J).select("id", F.replace("area", F.lit(" "), F.lit("|")).alias("area")))
@@ -1110,7 +1121,4 @@ def _(t, s, d):
     return authority.affiliations(t(X), "Universidade Sede", YEAR)
 
 
-@query("n7_trajectory_institution", f"SELECT institution_name, CASE institution_name WHEN 'Exterior - X' THEN 'Exterior - X' ELSE institution_name END AS short, count(*) AS n FROM {E} WHERE institution_name IS NOT NULL GROUP BY 1, 2", E)
-def _(t, s, d):
-    e = t(E).where("institution_name IS NOT NULL").groupBy("institution_name").agg(F.count(F.lit(1)).alias("n")).withColumn("k", text.normalized(F.col("institution_name")))
-    return e.select("institution_name", rules.trajectory_institution(F.col("institution_name"), F.col("k")).alias("short"), "n")
+from . import queries_more  # noqa: E402, F401 (registers the further queries)

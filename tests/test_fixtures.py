@@ -422,9 +422,13 @@ def test_curation(spark):
     assert one(spark, c.technical_type(F.lit("MARCA"))) == "MARCA" and one(spark, c.technical_type(F.lit("X"))) == "TRABALHO_TECNICO"
     assert not one(spark, c.is_name(F.lit("<b>x"))) and not one(spark, c.is_name(F.lit("--"))) and one(spark, c.is_name(F.lit("Revista A")))
     assert one(spark, c.shown_institution(F.lit("Universidade X"), F.lit("UX"))) == "UX - Universidade X"
-    th = row([(1, 1, "Ana Lima Souza", "Uma tese bem comprida", None), (2, 1, "Ana Souza", "Outra coisa diferente", None)], "id long, researcher_id long, student string, title string, handle string")
-    o = row([(7, 1, "ANA LIMA SOUZA", "x", None), (8, 1, "Bia", "y", None)], "id long, researcher_id long, student string, title string, handle string")
-    assert [tuple(r) for r in c.thesis_matches(th, o).collect()] == [(1, 7, 4)]
+    schema = "id long, researcher_id long, orientation_type string, student string, title string, handle string, uuid string"
+    th = row([(1, 1, "M", "Ana Lima Souza", "Uma tese bem comprida", "h1", None), (2, 1, "M", "Ana Souza", "Outra coisa diferente", None, None), (3, 1, "M", "Ana Lima Souza", "z", "h3", None)], schema)
+    o = row([(7, 1, "M", "ANA LIMA SOUZA", "x", None, None), (8, 1, "M", "Bia", "y", None, None)], schema)
+    m = c.thesis_matches(th, o)
+    assert sorted(tuple(r) for r in m.collect()) == [(1, 7, 4, "enriched"), (2, None, 0, "new"), (3, None, 0, "new")]
+    assert {(r.id, r.handle) for r in c.enriched_orientations(o, th, m, ["handle"]).collect()} == {(7, "h1"), (8, None)}
+    assert c.thesis_matches(th.where("false"), o.where("false")).count() == 0
     p = row([(1, "0" * 16, "o1", "Ana"), (2, "1" * 16, "o2", "Bia")], "id long, registry string, orcid string, name string")
     r = row([(1, ["0" * 16], [], ["Bia"]), (2, [], [], ["bia"])], "id long, ids array<string>, orcids array<string>, names array<string>")
     assert {tuple(x) for x in c.matched_people(r, p).collect()} == {(1, 1), (2, 2)}
@@ -435,9 +439,9 @@ def test_curation(spark):
     assert c.run_steps([("a", lambda: None), ("b", lambda: None)], "b") == ["b"]
     with pytest.raises(RuntimeError, match="'b' failed"):
         c.run_steps([("a", lambda: None), ("b", lambda: 1 / 0)])
-    j = row([(1, "A", "T"), (2, "B", None)], "id long, area string, display_title string")
-    ev = row([(1, 1, "area", "X"), (2, 1, "area", "Y")], "n long, id long, field string, value string")
-    assert {tuple(x) for x in c.overridden(j, ev).collect()} == {(1, "Y", "T"), (2, "B", None)}
+    j = row([(1, "A", "T", None), (2, "B", None, None)], "id long, area string, display_title string, canonical_journal_id long")
+    ev = row([(1, 1, "area", "X"), (2, 1, "area", "Y"), (3, 2, "family", "1")], "n long, id long, field string, value string")
+    assert {tuple(x) for x in c.overridden(j, ev).collect()} == {(1, "Y", "T", None), (2, "B", None, 1)}
 
 
 def test_authority(spark):
@@ -660,3 +664,43 @@ def test_families_by_brute_force(spark):
         heads = {i for i in want if want[i][1] is None}
         assert {i: v for i, v in got.items() if i not in heads} == {i: v for i, v in want.items() if i not in heads}
         assert all(got[i][0] == want[i][0] for i in heads) and any(v[2] for v in want.values()) and any(v[1] == "title" for v in want.values())
+
+
+def test_presented_projects(spark):
+    p = spark.createDataFrame(
+        [(1, 1, "Rede", "EM_ANDAMENTO", "PESQUISA", 2000, None, "", True, "X"), (2, 2, "REDE!", "CONCLUIDO", "PESQUISA", 2000, 2004, "desc", False, None), (3, 3, "Só", "DESATIVADO", "Z", None, None, None, False, "CNPq")],
+        "id long, researcher_id long, name string, status string, nature string, start_year int, end_year int, description string, is_coordinator boolean, agency_financier string",
+    )
+    m = spark.createDataFrame([(2, "Bia", False), (2, "Ana", True)], "project_id long, full_name string, is_responsible boolean")
+    f = spark.createDataFrame([(1, "FAPESP", "BOLSA"), (2, "Fapesp", "AUXILIO_FINANCEIRO"), (2, " ", None)], "project_id long, name string, nature string")
+    got = {r.id: r for r in projects.presented(p, m, f).collect()}
+    r = got[1]
+    assert (r.status, r.period, r.records, r.description, r.declarers, r.team, [tuple(x) for x in r.funders]) == ("Em andamento", "2000 – atual", 2, "desc", [1, 2], ["Ana", "Bia"], [("FAPESP", "Auxílio financeiro/Bolsa")])
+    assert (got[3].team, [tuple(x) for x in got[3].funders], got[3].period) == (None, [("CNPq", "")], "Ano não informado") and len(got) == 2
+
+
+def test_large_works_make_each_pair_once(spark):
+    rows = [(1, i) for i in range(40)] + [(2, i) for i in range(5)] + [(3, 1), (2, 1)]
+    a = spark.createDataFrame(rows, "work long, matched_researcher_id long")
+    want = collections.Counter((x, y) for work in (range(40), range(5)) for x in work for y in work if x < y)
+    for block in (1000, 7, 1):
+        assert {(r.a, r.b): r.weight for r in graph.edges(a, block).collect()} == want
+
+
+def test_stored_index_is_swapped_whole(spark, tmp_path):
+    i = spark.createDataFrame([(1, 1, "Redes neurais", None), (2, 2, "redes neurais", '{"keywords": ["Redes neurais", 5]}')], "id long, researcher_id long, title string, extra_data string")
+    o = spark.createDataFrame([], "id long, researcher_id long, title string, alternative_title string, keywords string")
+    p = spark.createDataFrame([], "id long, researcher_id long, name string")
+    folder = f"file://{tmp_path}/ix"
+    topics.build_index(i, o, p, folder, "1")
+    terms = topics.stored_terms(spark, folder)
+    assert [tuple(r) for r in terms.collect()] == [("redes neurais", "Redes Neurais", 4, 2, "hybrid", "redes-neurais")]
+    assert sorted((r.researcher_id, r.occurrences, r.sample_titles) for r in topics.stored_links(spark, folder).collect()) == [(1, 1, ["Redes neurais"]), (2, 3, ["redes neurais"])]
+    broken = i.withColumn("title", F.when(F.col("id") == 2, F.raise_error(F.lit("broken"))).otherwise(F.col("title")))
+    with pytest.raises(Exception, match="broken"):
+        topics.build_index(broken, o, p, folder, "2")
+    assert topics.stored_terms(spark, folder).count() == 1
+    assert topics.autocomplete(terms, "REDES").count() == 1 and topics.autocomplete(terms, "neur").count() == 1 and topics.autocomplete(terms, "r").count() == 0
+    slugs = topics.with_slugs(spark.createDataFrame([("a b", "A B", 2, 1, "mined", 1), ("a  b", "A-B", 2, 1, "mined", 2), ("a b 2", "A B 2", 2, 1, "mined", 3), ("x", "日本", 2, 1, "mined", 4)], "key string, term string, occurrences long, researchers long, source string, seen int"))
+    got = {r.key: r.slug for r in slugs.collect()}
+    assert got["a b"] == "a-b" and got["a b 2"] == "a-b-2" and got["a  b"].startswith("a-b-2-") and got["x"].startswith("termo-") and len(set(got.values())) == 4
