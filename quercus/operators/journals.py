@@ -26,17 +26,25 @@ def by_database(items: DataFrame, journals: DataFrame, links: DataFrame, databas
     j = with_family(journals).select(F.col("id").alias("qualis_journal_id"), "fid")
     inside = with_family(journals).select("id", "fid").join(links.where(F.col("database_id") == database_id).select(F.col("journal_id").alias("id")), "id", "left_semi").select("fid").distinct()
     a = items.where("item_type = 'ARTIGO'").select("qualis_journal_id", "researcher_id", "year", keys.article_key().alias("article"))
-    rows = a.join(j, "qualis_journal_id").join(inside, "fid", "left_semi")
-    return rows.groupBy("fid").agg(F.countDistinct("article").alias("articles"), F.countDistinct("researcher_id").alias("researchers"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    # Distinct rows first, then one count of each: no row is expanded for several distinct counts.
+    d = a.join(j, "qualis_journal_id").join(inside, "fid", "left_semi").groupBy("fid", "article", "researcher_id").agg(F.min("year").alias("a"), F.max("year").alias("b"))
+    n = d.groupBy("fid", "article").agg(F.min("a").alias("a"), F.max("b").alias("b")).groupBy("fid").agg(F.count("article").alias("articles"), F.min("a").alias("first_year"), F.max("b").alias("last_year"))
+    who = d.select("fid", "researcher_id").distinct().groupBy("fid").agg(F.count("researcher_id").alias("researchers"))
+    return n.join(who, "fid")
 
 
 def database_totals(items: DataFrame, journals: DataFrame, links: DataFrame) -> DataFrame:
-    """Of each database the families, distinct articles and distinct researchers; an article of several rows counts once."""
-    full = family_links(journals, links).withColumnRenamed("journal_id", "qualis_journal_id")
-    j = with_family(journals).select(F.col("id").alias("qualis_journal_id"), "fid")
-    a = items.where("item_type = 'ARTIGO'").select("qualis_journal_id", "researcher_id", keys.article_key().alias("article"))
-    rows = a.join(full, "qualis_journal_id").join(j, "qualis_journal_id")
-    return rows.groupBy("database_id").agg(F.countDistinct("fid").alias("families"), F.countDistinct("article").alias("articles"), F.countDistinct("researcher_id").alias("researchers"))
+    """Of each database the families, distinct articles and distinct researchers; an article of several rows counts once.
+
+    Articles are made distinct by family before they meet the databases, which then repeat short rows, not articles.
+    """
+    j = with_family(journals).select("id", "fid")
+    bases = j.join(links.withColumnRenamed("journal_id", "id"), "id").select("fid", "database_id").distinct()
+    a = items.where("item_type = 'ARTIGO'").select(F.col("qualis_journal_id").alias("id"), "researcher_id", keys.article_key().alias("article"))
+    d = a.join(j, "id").select("fid", "article", "researcher_id").distinct()
+    count = lambda c: d.select("fid", c).distinct().join(bases, "fid").select("database_id", c).distinct().groupBy("database_id").agg(F.count(c).alias(f"{c}s"))
+    families = d.select("fid").distinct().join(bases, "fid").groupBy("database_id").agg(F.count(F.lit(1)).alias("families"))
+    return families.join(count("article"), "database_id").join(count("researcher_id").withColumnRenamed("researcher_ids", "researchers"), "database_id")
 
 
 def bars(totals: DataFrame) -> DataFrame:
@@ -177,7 +185,7 @@ def confidence_report(items: DataFrame, journals: DataFrame, areas: DataFrame) -
 def report(journals: DataFrame, items: DataFrame) -> DataFrame:
     """Rows, families, rows without ISSN, ISSNs on several rows, linked articles."""
     j = with_family(journals)
-    a = j.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("fid").alias("families"), F.sum(F.when(F.col("issn").isNull(), 1).otherwise(0)).cast("bigint").alias("without_issn"))
+    a = j.groupBy("fid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("issn").isNull(), 1).otherwise(0)).alias("bare")).agg(F.sum("n").cast("bigint").alias("rows"), F.count(F.lit(1)).alias("families"), F.sum("bare").cast("bigint").alias("without_issn"))
     d = j.where("issn IS NOT NULL").groupBy("issn").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("duplicate_issns"))
     b = items.agg(F.count("qualis_journal_id").alias("linked_items"))
     return a.crossJoin(d).crossJoin(b)
