@@ -11,6 +11,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 def _marked_letters() -> tuple[str, str]:
     """Lower-case letters that decompose into one plain letter and marks, and those plain letters, by Unicode's own rule."""
     pairs = {}
@@ -29,8 +30,8 @@ TOPIC_PLAIN = "aaaaaeeeeiiiiooooouuuucn"
 # Connectives that the compact key leaves out.
 COMPACT_STOPWORDS = ["a", "o", "as", "os", "e", "de", "da", "do", "das", "dos", "em", "the", "of", "and", "y", "la", "el", "los", "las", "del"]
 # Connectives and Roman numerals of display titles.
-TITLE_CONNECTIVES = ["de", "da", "do", "das", "dos", "e", "em", "na", "no", "nas", "nos", "para", "por", "com", "of", "in", "and", "for", "the"]
-TITLE_ROMANS = ["ii", "iii", "iv", "vi", "vii", "viii", "ix", "xi", "xii"]
+TITLE_CONNECTIVES = ["de", "da", "do", "das", "dos", "e", "em", "a", "o", "as", "os", "para", "com", "of", "the", "and", "y", "la", "el", "del", "di"]
+TITLE_ROMANS = ["ii", "iii", "iv", "vi", "vii", "viii", "ix", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx", "xxi"]
 
 
 def without_marks(c: Column) -> Column:
@@ -125,13 +126,24 @@ def inverted_name(c: Column) -> Column:
 
 
 def display_title(c: Column) -> Column:
-    """Title case; connectives small but for the first word, Roman numerals capital."""
-    words = F.split(F.regexp_replace(F.trim(F.lower(c)), r"\s+", " "), " ")
-    cased = F.transform(
-        words,
-        lambda w, i: F.when(w.isin(TITLE_ROMANS), F.upper(w)).when((i > 0) & w.isin(TITLE_CONNECTIVES), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.expr("''"), w.substr(F.lit(2), F.length(w)))),
-    )
-    return F.array_join(cased, " ")
+    """Every run of letters with a capital, but not after an apostrophe; connectives small but for the first one, Roman numerals capital; blanks collapsed."""
+    plain = F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    tokens = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{M}]+|[^\p{L}\p{M}]+)"), F.lit(1))
+    is_word = lambda t: t.rlike(r"^[\p{L}\p{M}]")
+    capital = lambda t: F.concat(F.upper(F.substring(t, 1, 1)), t.substr(F.lit(2), F.length(t)))
+
+    def cased(t: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(tokens, i - 1), F.lit(""))
+        first = (i == 0) | ((i == 1) & ~is_word(before))
+        bound = (i > 1) & before.isin("'", "’")
+        return F.when(~is_word(t), t).when(~first & t.isin(TITLE_CONNECTIVES), t).when(t.isin(TITLE_ROMANS), F.upper(t)).when(bound, t).otherwise(capital(t))
+
+    return F.array_join(F.transform(tokens, cased), "")
+
+
+def own_case(c: Column) -> Column:
+    """A name that mixes capitals and small letters stays; another gets N17."""
+    return F.when(c.rlike(r"\p{Lu}") & c.rlike(r"\p{Ll}"), c).otherwise(display_title(c))
 
 
 def contains_words(long: Column, short: Column) -> Column:

@@ -60,7 +60,7 @@ of("n12_display_decode", "VARCHAR", text.unescape, ("a &amp;lt; b", "a &lt; b"),
 of("n14_compact_key", "VARCHAR", text.compact_key, ("Educação e Sociedade", "educacao sociedade"), ("A Revista", None), ("Cadernos de Pesquisa da USP", "cadernos pesquisa usp"), ("The Journal of the Sea", "journal sea"))
 of("n15_without_parentheses", "VARCHAR", text.without_parentheses, ("Perspectiva (Florianópolis)", "Perspectiva"), ("A (b) c (d)", "A c"), ("sem", "sem"))
 of("n15_keyword_key", "VARCHAR", lambda c: text.keyword_key(c, ["revista", "de", "da"]), ("Revista de Educação e Saúde", "educacao saude"), ("Revista da", ""))
-of("n17_title_case", "VARCHAR", text.display_title, ("REVISTA DE EDUCAÇÃO", "Revista de Educação"), ("ciência e cultura ii", "Ciência e Cultura II"), ("de volta ao tema", "De Volta Ao Tema"))
+of("n17_title_case", "VARCHAR", text.display_title, ("REVISTA DE EDUCAÇÃO", "Revista de Educação"), ("ciência e cultura ii", "Ciência e Cultura II"), ("de volta ao tema", "De Volta Ao Tema"), ("RAE-REVISTA d'ÁGUA  xix", "Rae-Revista D'água XIX"), ("(a) the sea", "(A) the Sea"))
 of("n26_bare_doi", "VARCHAR", text.bare_doi, ("https://doi.org/10.1/a", "10.1/a"), ("http://dx.doi.org/10.1/B", "10.1/B"), ("10.2/c", "10.2/c"))
 of("n6_major_area", "VARCHAR", lambda c: text.rule_chain(text.normalized(c), figures.COURSE_AREAS, F.lit("Outras")), ("Educação Física", "Ciências da Saúde"), ("Engenharia Mecânica", "Engenharias"), ("Música", "Linguística, Letras e Artes"), ("Astrologia", "Outras"))
 of("n11_major_area_code", "VARCHAR", major_area_code, ("Ciências Humanas", "CIENCIAS_HUMANAS"), ("CIENCIAS_HUMANAS", "CIENCIAS_HUMANAS"), ("engenharias", "ENGENHARIAS"), ("Nada", None))
@@ -83,7 +83,7 @@ def _(spark):
     return x.withColumn("k", text.normalized(F.col("x"))).select("id", rules.trajectory_institution(F.col("x"), F.col("k")).alias("value"))
 
 
-@case("n8_trajectory_category", "graduation VARCHAR, master VARCHAR, doctorate VARCHAR, category VARCHAR, total BIGINT", [("UFMG", "Mestrado Não Inf.", "UnB", "Outras", 1), ("USP", "Doutorado Direto", "UFRJ", "Federais", 1), ("Graduação Não Inf.", "UEL", "Exterior - X", "Exterior", 1)])
+@case("n8_trajectory_category", "graduation VARCHAR, master VARCHAR, doctorate VARCHAR, category VARCHAR, total BIGINT", [("UFMG", "Doutorado Direto", "UnB", "Outras", 1), ("USP", "Doutorado Direto", "UFRJ", "Federais", 1), ("Graduação Não Inf.", "UEL", "Exterior - X", "Exterior", 1)])
 def _(spark):
     rows = [(1, 1, "GRADUACAO", "UFMG", 1990), (2, 1, "DOUTORADO", "UnB", None), (3, 2, "GRADUACAO", "USP", 1980), (4, 2, "GRADUACAO", "UEM", 1970 + 11), (5, 2, "DOUTORADO", "UFRJ", 1999), (6, 3, "MESTRADO", "UEL", 2000), (7, 3, "DOUTORADO", "Exterior - X", 2003)]
     e = spark.createDataFrame(rows, "id long, researcher_id long, level string, institution_name string, start_year int")
@@ -184,6 +184,14 @@ def _(spark):
     return fam.families(j, r).select("id", "family", "reason", "tie")
 
 
+@case("b6_display_names", "fid BIGINT, shown VARCHAR, source VARCHAR", [(1, "Ciência e Cultura", "scopus"), (2, "Revista Áurea", "lattes"), (3, "Título da Linha", "title"), (4, "RAE-Revista", "doaj")])
+def _(spark):
+    rows = spark.createDataFrame([(1, 1, "CIÊNCIA E CULTURA"), (2, 2, "REV AUREA"), (3, 3, "TÍTULO DA LINHA"), (30, 3, "outra"), (4, 4, "rae")], "id long, fid long, title string")
+    c = spark.createDataFrame([(1, "wos", 1, "CIENCIA E CULTURA"), (1, "scopus", 2, "Ciencia e Cultura"), (4, "doaj", 1, " "), (4, "doaj", 2, "RAE-Revista"), (4, "xx", 1, "Nada")], "fid long, source string, n int, title string")
+    n = spark.createDataFrame([(2, "Revista Aurea"), (2, "Revista Áurea"), (2, "Revista Aurea"), (2, "Revista Áurea"), (3, "só uma vez")], "fid long, name string")
+    return authority.display_names(rows, c, n)
+
+
 @case("b9_evidence", "id BIGINT, rec VARCHAR, label VARCHAR, weight DOUBLE", [(1, "1", "x", 0.3334), (1, "1", "y", 0.3333), (1, "1", "z", 0.3333), (2, "2", "w", 1.0)])
 def _(spark):
     j = spark.createDataFrame([(1, "A", "0378-5955"), (2, "B", None), (3, "C", "2434-561X")], "id long, title string, issn string")
@@ -573,6 +581,13 @@ def _(t, s, d):
     return s.read.schema("id long, title string, qualis string").json(path)
 
 
+@query("s23_copied_tables", f"SELECT id, upper(title) AS title FROM {J}", J)
+def _(t, s, d):
+    path = new_path(s, "copy")
+    sinks.copy_tables(s, t, {J: lambda df: df.select("id", F.upper("title").alias("title")), R: lambda df: df}, path)
+    return s.read.parquet(f"{path}/{J}")
+
+
 @query("z9_swapped_versions", f"SELECT qualis, count(*) AS n FROM {J} GROUP BY 1", J)
 def _(t, s, d):
     path = new_path(s, "swap")

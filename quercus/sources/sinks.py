@@ -91,3 +91,18 @@ def current(spark: SparkSession, folder: str) -> str:
     if not numbers:
         raise FileNotFoundError(f"no version under {folder}")
     return f"{folder}/v={spark.read.text(f'{folder}/CURRENT-{max(numbers):010d}').first()[0]}"
+
+
+def copy_tables(spark: SparkSession, read: Callable[[str], DataFrame], tables: dict[str, Callable[[DataFrame], DataFrame]], folder: str, replace: bool = False) -> dict[str, int]:
+    """Tables of a foreign schema, each changed by its function, to Parquet under folder; the rows of each.
+
+    `read` gives a table by name, for example `lambda t: spark.read.jdbc(url, t, properties=p)`. Targets that have rows stop it before anything is written, unless they may be replaced.
+    """
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = make(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    filled = [t for t in tables if fs.exists(make(f"{folder}/{t}")) and not spark.read.parquet(f"{folder}/{t}").isEmpty()]
+    if filled and not replace:
+        raise FileExistsError(f"these tables have rows: {', '.join(filled)}")
+    for name, change in tables.items():
+        change(read(name)).write.mode("overwrite").parquet(f"{folder}/{name}")
+    return {t: spark.read.parquet(f"{folder}/{t}").count() for t in tables}

@@ -704,3 +704,12 @@ def test_stored_index_is_swapped_whole(spark, tmp_path):
     slugs = topics.with_slugs(spark.createDataFrame([("a b", "A B", 2, 1, "mined", 1), ("a  b", "A-B", 2, 1, "mined", 2), ("a b 2", "A B 2", 2, 1, "mined", 3), ("x", "日本", 2, 1, "mined", 4)], "key string, term string, occurrences long, researchers long, source string, seen int"))
     got = {r.key: r.slug for r in slugs.collect()}
     assert got["a b"] == "a-b" and got["a b 2"] == "a-b-2" and got["a  b"].startswith("a-b-2-") and got["x"].startswith("termo-") and len(set(got.values())) == 4
+
+
+def test_copied_tables_are_not_overwritten(spark, tmp_path):
+    folder = f"file://{tmp_path}/copy"
+    one = lambda t: spark.range(3 if t == "a" else 0).toDF("x")
+    assert sinks.copy_tables(spark, one, {"a": lambda df: df, "b": lambda df: df}, folder) == {"a": 3, "b": 0}
+    with pytest.raises(FileExistsError, match="rows: a"):
+        sinks.copy_tables(spark, one, {"b": lambda df: df, "a": lambda df: df}, folder)
+    assert sinks.copy_tables(spark, one, {"a": lambda df: df.limit(1)}, folder, replace=True) == {"a": 1}
