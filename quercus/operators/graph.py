@@ -27,15 +27,17 @@ def edges(authors: DataFrame, block: int = BLOCK) -> DataFrame:
     The authors of a work are dealt into blocks of about `block`; a row meets its own block and, as either side, every other block of
     its work, so a work with very many authors spreads over many tasks, and each pair is still made once.
     """
-    x = authorships(authors)
-    n = x.groupBy("work").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    y = x.join(n, "work").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    x = authorships(authors).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("work"))).where("n > 1")
+    # Works of one block: a self-join on the work, whose rows the count has brought together already.
+    few = x.where(F.col("n") <= block)
+    pairs = few.select("work", F.col("researcher").alias("x")).join(few.select("work", F.col("researcher").alias("y")), "work").where("x < y").select("x", "y")
+    y = x.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     y = y.withColumn("i", F.pmod(F.xxhash64("researcher"), F.col("blocks").cast("long")).cast("int"))
     # Of blocks i <= j the cell (i, j) has i's rows on the left and j's on the right.
     left = y.select("work", F.col("researcher").alias("x"), "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
     right = y.select("work", F.col("researcher").alias("y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
-    pairs = left.join(right, ["work", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
-    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
+    cells = left.join(right, ["work", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).select("x", "y")
+    return pairs.unionByName(cells).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def strongest(edge: DataFrame, limit: int = 120) -> DataFrame:

@@ -597,15 +597,14 @@ def mined_terms(t, s, d):
     return topics.mined(_texts(s, d))
 
 
-def _text_links(s, d):
+def _spelled_texts(s, d):
     m = topics.mined(_texts(s, d))
-    seen = F.struct(F.lit(0).alias("stage"), F.col("id").cast("long").alias("row"), "place")
-    return topics.links(m.select((F.col("id") % 50).alias("researcher_id"), "term", "n", F.lit("mined").alias("source"), F.lit("").alias("sample"), seen.alias("seen")))
+    return topics.spellings(m.select((F.col("id") % 50).alias("researcher_id"), "term", "n", topics.seen(0, F.col("id"), 1, F.col("place")).alias("seen"), F.lit(False).alias("titled")))
 
 
 @query("x5_topic_index", f"WITH {_mined(_TEXTS)}, me AS (SELECT id % 50 AS researcher_id, term, n, 'mined' AS source, '' AS sample, id * 10000000 + place AS seen FROM m), {_indexed('me')} SELECT key, term, occurrences, researchers, source FROM ix")
 def topic_index(t, s, d):
-    return topics.index(_text_links(s, d)).drop("seen")
+    return topics.index(_spelled_texts(s, d)).drop("seen")
 
 
 # Five branches; a title's id tells its table, row and phase.

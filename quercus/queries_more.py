@@ -383,7 +383,7 @@ def _(spark):
     i = spark.createDataFrame([(1, 1, "Redes neurais", None), (2, 2, "x", '{"keywords": ["Redes  neurais", "gênero.", 5, "12", "ab", "estudos"]}'), (3, 2, "gênero", None)], "id long, researcher_id long, title string, extra_data string")
     o = spark.createDataFrame([(1, 2, "", "Redes neurais", None)], "id long, researcher_id long, title string, alternative_title string, keywords string")
     p = spark.createDataFrame([(1, 1, "Educação e trabalho")], "id long, researcher_id long, name string")
-    ix = topics.index(topics.links(topics.mentions(i, o, p)))
+    ix = topics.index(topics.spellings(topics.mentions(i, o, p)))
     return ix.select("key", "term", "source", "occurrences", "researchers")
 
 
