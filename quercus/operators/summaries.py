@@ -129,6 +129,6 @@ def indexing_overview(researchers: DataFrame, items: DataFrame, authors: DataFra
     i = items.agg(
         F.count(F.lit(1)).alias("productions"), n(article, "articles"), n(article & there("qualis"), "with_qualis"), n(article & there("qualis_journal_id"), "with_journal"), n(article & there("indexed_databases"), "with_databases")
     )
-    a = authors.agg(F.count(F.lit(1)).alias("authors"), n(F.col("is_indexed"), "indexed_authors"), n(F.col("is_cech_researcher"), "matched_authors"))
+    a = authors.agg(F.count(F.lit(1)).alias("authors"), n(F.col("is_indexed"), "indexed_authors"), n(F.col("is_own_researcher"), "matched_authors"))
     percent = F.when(F.col("researchers") == 0, 0.0).otherwise(F.round((F.lit(100) * F.col("indexed") / F.col("researchers")).cast("decimal(18,6)"), 1).cast("double"))
     return r.crossJoin(i).crossJoin(a).withColumn("percentage", percent)  # one row each

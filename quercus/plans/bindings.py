@@ -48,7 +48,7 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
     }),
     "production_authors": ("lineitem", {
         "production_item_id": "l_orderkey * 8 + 1", "author_name": "concat('AUTOR ', CAST(l_suppkey % 45 AS STRING))", "author_order": "l_linenumber",
-        "matched_researcher_id": "CASE WHEN l_suppkey % 6 <> 0 THEN l_suppkey END", "item_key": "l_orderkey % 4000", "is_indexed": "l_linenumber % 2 = 0", "is_cech_researcher": "l_suppkey % 6 <> 0", "author_identity_id": "CASE WHEN l_suppkey % 6 = 0 AND l_suppkey % 4 = 0 THEN l_suppkey % 45 END",
+        "matched_researcher_id": "CASE WHEN l_suppkey % 6 <> 0 THEN l_suppkey END", "item_key": "l_orderkey % 4000", "is_indexed": "l_linenumber % 2 = 0", "is_own_researcher": "l_suppkey % 6 <> 0", "author_identity_id": "CASE WHEN l_suppkey % 6 = 0 AND l_suppkey % 4 = 0 THEN l_suppkey % 45 END",
     }),
     "orientations": ("orders", {
         "id": "o_orderkey", "researcher_id": "o_custkey % 100 + 1", "orientation_type": _pick("o_orderkey", _LEVELS), "nature": _pick("o_custkey", ["CONCLUIDA", "EM_ANDAMENTO", "CONCLUIDA"]),

@@ -142,7 +142,7 @@ def _(t, s, d):
 @query("a58_indexing_overview", f"""SELECT r.*, i.*, a.*, CASE WHEN researchers = 0 THEN 0.0 ELSE CAST(round(CAST(100.0 * indexed / researchers AS DECIMAL(18, 6)), 1) AS DOUBLE) END AS percentage FROM
  (SELECT count(*) AS researchers, count(last_indexed_at) AS indexed, count(*) - count(last_indexed_at) AS pending, {_c(f'status = 1 AND (leave_year IS NULL OR leave_year >= {YEAR})', 'active')}, {_c(f'status = 0 OR leave_year < {YEAR}', 'retired')} FROM {R}) r,
  (SELECT count(*) AS productions, {_c("item_type = 'ARTIGO'", 'articles')}, {_c("item_type = 'ARTIGO' AND qualis IS NOT NULL", 'with_qualis')}, {_c("item_type = 'ARTIGO' AND qualis_journal_id IS NOT NULL", 'with_journal')}, {_c("item_type = 'ARTIGO' AND indexed_databases IS NOT NULL", 'with_databases')} FROM {I}) i,
- (SELECT count(*) AS authors, {_c('is_indexed', 'indexed_authors')}, {_c('is_cech_researcher', 'matched_authors')} FROM {A}) a""", R, I, A)
+ (SELECT count(*) AS authors, {_c('is_indexed', 'indexed_authors')}, {_c('is_own_researcher', 'matched_authors')} FROM {A}) a""", R, I, A)
 def _(t, s, d):
     return summaries.indexing_overview(t(R), t(I), t(A), YEAR)
 
