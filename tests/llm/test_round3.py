@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quercus.llm import align
+from quercus.llm import align, centroids
 from test_operators import LONG, SF, docs, none, real  # noqa: F401
 
 
@@ -97,3 +97,71 @@ def test_pair_sums_in_parts(spark):
         assert x.find(pairs).tolist() == [want[k] for k in pairs.tolist()]
         assert x.find(pairs[7:9]).tolist() == [want[k] for k in pairs[7:9].tolist()]
     assert sum(s["n"] for s in shards) == len(want)
+
+
+# --- 13 ---
+def plain_lloyd(rows, dim, k, rounds):
+    """Every vector against every centroid, in Python's own integers."""
+    full = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    centre = [v for _, _, v in sorted((hashlib.sha256(f"3:{'null' if i is None else i}".encode()).hexdigest(), v, v) for i, v in full)[:k]]
+    dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    nearest = lambda v: min((dist(v, c), j) for j, c in enumerate(centre))
+    for _ in range(rounds):
+        of = collections.defaultdict(list)
+        for _, v in full:
+            of[nearest(v)[1]].append(v)
+        centre = [[sum(x) // len(of[j]) for x in zip(*of[j])] if j in of else c for j, c in enumerate(centre)]
+    last = [(i, *nearest(v)) for i, v in full]
+    total = collections.Counter()
+    for _, d, j in last:
+        total[j] += d
+    return [(i, j, d, total[j], sum(total.values()), hashlib.sha256(",".join(map(str, centre[j])).encode()).hexdigest()) for i, d, j in last]
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, cluster string, v int"
+
+
+@pytest.mark.parametrize("dim, n, seed", [(2, 400, 1), (64, 150, 2), (3, 5, 3)])
+def test_lloyd_is_the_plain_one(spark, dim, n, seed):
+    """Ties (coarse grids), repeated rows and ids, groups far apart, fewer vectors than centroids, odd rows."""
+    rng = random.Random(seed)
+    rows = [(i, [rng.choice((0, 100)) + round(rng.gauss(0, 1) * 2) / 2 for _ in range(dim)]) for i in range(n)]
+    rows += [rows[0], rows[0], (None, rows[1][1]), (7, None), (8, []), (9, [1.0] * (dim - 1)), (10, [None] + [1.0] * (dim - 1)), (11, [float("nan")] * dim), (12, [float("-inf")] * dim)] + [(1000 + i, rows[2][1]) for i in range(50)]
+    df = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], VECTORS).repartition(3)
+    got = sorted(map(tuple, centroids.clustered(df, dim=dim, rounds=4, block=64).collect()), key=key)
+    assert got == sorted(plain_lloyd(rows, dim, 8, 4), key=key)
+    assert centroids.clustered(none(df), dim=dim).count() == 0
+
+
+def test_lloyd_on_the_table(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want = plain_lloyd([(r.vec_id, r.embedding) for r in table.collect()], 64, 8, 10)
+    assert sorted(map(tuple, centroids.op13_centroids(spark, SF).collect())) == sorted(want)
+
+
+def test_components_too_large(spark):
+    df = spark.createDataFrame([(1, [1e30, 0.0], 1, "", 1)], VECTORS)
+    with pytest.raises(Exception, match="after scaling"):
+        centroids.clustered(df, dim=2).collect()
+
+
+def test_cover_tree():
+    """Children cover their vectors, their centres are apart, spans are whole, and the descent prunes."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.integers(-20, 20, (300, 4)) + c for c in ([0] * 4, [4000] * 4, [-9000, 0, 0, 9000])])
+    tree = centroids.Tree.of(v)
+    w = v[tree.order].astype(float)
+    assert sorted(tree.order.tolist()) == list(range(len(v)))
+    for i in range(len(tree.start)):
+        span = w[tree.start[i] : tree.end[i]]
+        assert np.sqrt(((span - span[0]) ** 2).sum(axis=1)).max() <= tree.radius[i] + 1e-9
+        kids = tree.children(i)
+        assert not kids or [int(tree.start[i]), *(int(tree.end[x]) for x in kids)] == [*(int(tree.start[x]) for x in kids), int(tree.end[i])]
+        for a in range(len(kids)):
+            for b in range(a):
+                gap = np.sqrt(((w[tree.start[kids[a]]] - w[tree.start[kids[b]]]) ** 2).sum())
+                assert gap > max(tree.radius[kids[a]], tree.radius[kids[b]]) - 1e-9
+    whole, compared = [], []
+    ends = centroids.Descent(np.array([[0] * 4, [4000] * 4, [-9000, 0, 0, 9000]]))
+    ends.nearest(tree, v[tree.order], lambda what, whose: (compared if isinstance(what, slice) else whole).append(what))
+    assert not compared and len(whole) < 40
