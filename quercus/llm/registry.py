@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import align, bpe, centroids, decontaminate, html_extract, lm, media, minhash, pii, quality, token_counts, warc
+from . import align, bpe, centroids, decontaminate, html_extract, licenses, lm, media, minhash, pii, quality, token_counts, warc
 
-MODULES = (warc, html_extract, minhash, token_counts, quality, bpe, lm, media, pii, decontaminate, align, centroids)
+MODULES = (warc, html_extract, minhash, token_counts, quality, bpe, lm, media, pii, decontaminate, align, licenses, centroids)
 
 
 def queries() -> dict:

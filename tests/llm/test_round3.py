@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quercus.llm import align, centroids
+from quercus.llm import align, centroids, licenses
 from test_operators import LONG, SF, docs, none, real  # noqa: F401
 
 
@@ -165,3 +166,53 @@ def test_cover_tree():
     ends = centroids.Descent(np.array([[0] * 4, [4000] * 4, [-9000, 0, 0, 9000]]))
     ends.nearest(tree, v[tree.order], lambda what, whose: (compared if isinstance(what, slice) else whole).append(what))
     assert not compared and len(whole) < 40
+
+
+# --- 12 ---
+def plain_scan(text, templates=licenses.TEMPLATES, gap=licenses.GAP):
+    """Every place of the text against every place of every template."""
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    w = words(text or "")
+    found = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    spans, best = [], 0.0
+    for tid, (label, t) in enumerate(templates):
+        t = words(t)
+        hits = sorted((i - j, i, j) for i in range(len(w) - 3) for j in range(len(t) - 3) if w[i : i + 4] == t[j : j + 4])
+        groups = []
+        for h in hits:
+            if groups and h[0] - groups[-1][-1][0] <= gap:
+                groups[-1].append(h)
+            else:
+                groups.append([h])
+        for n, g in enumerate(groups):
+            covered = len({x for _, _, j in g for x in range(j, j + 4)})
+            a, z = min(i for _, i, _ in g), max(i for _, i, _ in g) + 4
+            best = max(best, covered / len(t))
+            if covered >= licenses.SHARE * len(t) and covered >= licenses.DENSITY * (z - a):
+                spans.append((a, -z, -covered, tid, n, label))
+    spans.sort()
+    own = {s[-1] for i, s in enumerate(spans) if not any(b[1] <= s[1] for b in spans[:i])}
+    base = {x for _, x in found}
+    at = [i for i, _ in found]
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), 1.0 if base else best
+
+
+def test_licenses_are_the_plain_ones(spark, docs, real):  # noqa: F811
+    t = [x for _, x in licenses.TEMPLATES]
+    made = [
+        t[0] + " " + t[4], t[7].upper(), "intro " + t[7].replace("free of charge", "gratis") + " outro", " ".join(t[9].split()[:8]), t[13], t[12], t[13] + "\n" + t[12], (t[10] + " x ") * 3, "cc by cc by-sa MIT\n\tLicense apache  license",
+        t[5][:150], "maſk the Kelvin sign: licensed \u212aGNU General Public License", "İstanbul MIT License", "gnu general public", "a b c", "Licensed under CC BY-NC 4.0.", " ".join(f"w{i}" for i in range(4090)) + " " + t[9] + " mit license" + " z" * 9000,
+    ]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(500 + i, x) for i, x in enumerate(made)] + [(1000 + r.doc_id, r.text) for r in real.collect()]
+    df = spark.createDataFrame([(i, x, 1, "y", 2) for i, x in rows], "doc_id long, text string, row int, tid string, id int").repartition(4)
+    got = sorted((tuple(r)[:8] for r in licenses.scanned(df).collect()), key=key)
+    assert got == sorted(((i, *plain_scan(x)) for i, x in rows), key=key)
+    assert licenses.scanned(none(df)).count() == 0
+
+
+def test_license_spans(spark):
+    text = "one two three " + licenses.TEMPLATES[9][1] + " four"
+    r = licenses.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in r.spans] == [(3, 3 + 21, "bsd", 1.0)] and r.labels == "bsd" and r.base_labels == "" and r.score == 1.0
+    with pytest.raises(ValueError):
+        licenses.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string"), templates=[("x", "too short")])
