@@ -15,8 +15,9 @@ from .figures import share
 # Tags of technical works and their types (S6), countries by code and name (N22, R8; the ones that the tests use).
 TECHNICAL_TAGS = {"SOFTWARE": "SOFTWARE", "PATENTE": "PATENTE", "MARCA": "MARCA"}
 COUNTRIES = {"BR": ["brasil", "brazil", "bra"], "PT": ["portugal", "prt"], "US": ["estados unidos", "united states", "usa", "eua"], "AR": ["argentina", "arg"], "ES": ["espanha", "spain", "esp"], "FR": ["franca", "france", "fra"]}
-#: The review queue takes names that hold markup, stack traces or style sheets as no names.
-NOT_A_NAME = r"(?i)<[a-z/!]|\{[^}]*:|stack trace|exception|at line \d|https?://"
+# What no name of a journal looks like. Lower-case markup and declarations, braces, properties and declarations of style sheets, their
+# selectors and comments, frames of a stack trace, and lines of a server's answer. "<Freiburg, Breisgau>" and "#PerDebate" are names.
+NOT_A_NAME = [r"</?[a-z][a-z0-9]*(\s[^>]*)?>", r"<!", r"[{}]", r"^--[a-z-]+\s*:", r":\s*[^;]*;\s*$", r"^\.[a-z][\w-]*[\s,.:]", r"^#\d+\s+/", r"/vendor/", r"^/\*", r"^HTTP \d{3}\b"]
 
 
 def technical_type(tag: Column) -> Column:
@@ -43,8 +44,9 @@ def flag(code: Column) -> Column:
 
 
 def is_name(c: Column) -> Column:
-    """Has a letter or digit and no markup, trace or address."""
-    return c.rlike(r"\p{Alnum}") & ~c.rlike(NOT_A_NAME)
+    """Has a letter or digit and isn't code: markup, style sheets, traces, answers of a server."""
+    name = F.trim(c)
+    return name.rlike(r"[\p{L}\p{N}]") & ~name.rlike("|".join(NOT_A_NAME))
 
 
 def shown_institution(official: Column, acronym: Column) -> Column:

@@ -6,6 +6,7 @@ Each domain table is one projection of one driver table, written once in express
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,9 +93,23 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _made: dict[tuple[str, str, str], str] = {}
 
 
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the input's files, so that what was made from other ones isn't taken for it."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen, folders = [], [top]
+    while folders:
+        for x in fs.listStatus(folders.pop()):
+            if x.isDirectory():
+                folders.append(x.getPath())
+            else:
+                seen.append(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], None]) -> str:
-    """The path that `make` filled in the shared folder, made once for each application and input: what the domain keeps as stored tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The path that `make` filled in the shared folder, made once for each application and state of the input: what the domain keeps as stored tables."""
+    key = (spark.sparkContext.applicationId, _state(spark, sf_dir), name)
     if key not in _made:
         path = new_path(spark, name)
         make(path)

@@ -561,7 +561,14 @@ def _(t, s, d):
 
 
 # --- topics -----------------------------------------------------------------------------------------------------------
-_STOP = ", ".join(f"'{w}'" for w in topics.STOPWORDS)
+#: What these queries give as words that are no terms; an installation has a longer list of its own (`lists.words`).
+TOPIC_STOPS = (
+    "que para com não uma por mais dos como mas foi das tem seu sua ser quando muito nos está também pelo pela até isso entre era sem aos ter seus nas num suas numa pelos foram pelas este esta estes estas esse essa esses essas são "
+    "sobre estudo estudos pesquisa análise analise contexto processo processos perspectiva perspectivas proposta aspectos artigo relatório projeto trabalho trabalhos volume anais revista caderno livro capítulo resumo edição parte partir base uso "
+    "introdução conclusão apresentação considerações universidade faculdade instituto departamento escola nacional internacional brasil brazil congresso encontro seminário simpósio palavras chave "
+    "the and for with from about study analysis using between into through during before after above below year data journal paper review abstract keywords"
+).split()
+_STOP = ", ".join(f"'{w}'" for w in TOPIC_STOPS)
 _CONN = ", ".join(f"'{w}'" for w in topics.CONNECTORS)
 _ok = lambda w: f"(length({w}) >= 3 AND {w} NOT IN ({_STOP}) AND NOT regexp_full_match({w}, '[0-9]+(e[0-9]+)?|[ivxlcdm]+'))"
 
@@ -594,17 +601,17 @@ def _texts(s, d):
 
 @query("x1_mined_terms", f"WITH {_mined(_TEXTS)} SELECT * FROM m")
 def mined_terms(t, s, d):
-    return topics.mined(_texts(s, d))
+    return topics.mined(_texts(s, d), TOPIC_STOPS)
 
 
 def _spelled_texts(s, d):
-    m = topics.mined(_texts(s, d))
+    m = topics.mined(_texts(s, d), TOPIC_STOPS)
     return topics.spellings(m.select((F.col("id") % 50).alias("researcher_id"), "term", "n", topics.seen(0, F.col("id"), 1, F.col("place")).alias("seen"), F.lit(False).alias("titled")))
 
 
 @query("x5_topic_index", f"WITH {_mined(_TEXTS)}, me AS (SELECT id % 50 AS researcher_id, term, n, 'mined' AS source, '' AS sample, id * 10000000 + place AS seen FROM m), {_indexed('me')} SELECT key, term, occurrences, researchers, source FROM ix")
 def topic_index(t, s, d):
-    return topics.index(_spelled_texts(s, d)).drop("seen")
+    return topics.index(_spelled_texts(s, d), TOPIC_STOPS).drop("seen")
 
 
 # Five branches; a title's id tells its table, row and phase.
@@ -623,7 +630,7 @@ _MENTIONS = f""", own AS MATERIALIZED (SELECT row_number() OVER () AS tid, * FRO
 def _folder(t, s, d):
     """The stored index of the domain tables, built once."""
     def make(path):
-        topics.build_index(t(I), t(O), t(P), path, "1")
+        topics.build_index(t(I), t(O), t(P), path, "1", TOPIC_STOPS)
 
     return once(s, d, "topic-index", make)
 

@@ -12,7 +12,7 @@ from .functions import keys, rules, text
 from .operators import areas, authority, curation, entities, families as fam, figures, journals, projects, topics
 from .plans.bindings import load, new_path
 from .plans.filters import ResearchFilter, department_name, department_values, fold_text, is_doi, major_area_code, prepared, relevance, text_predicate
-from .queries import A, DONE, HASQ, I, J, K1, K3, KA, L, N1, O, P, QUERIES, R, SQL, X, YEAR, _FAM, _KEY, _c, f_, query
+from .queries import A, DONE, HASQ, I, J, K1, K3, KA, L, N1, O, P, QUERIES, R, SQL, TOPIC_STOPS, X, YEAR, _FAM, _KEY, _c, f_, query
 from .sources import lists, readers, sinks
 
 
@@ -28,14 +28,15 @@ def _value(v) -> str:
     return "'" + str(v).replace("'", "''") + "'"
 
 
+#: Rules over given rows, with results worked out by hand: name -> (function of a session, columns, rows). Tests run them; they are no queries.
+CASES: dict[str, tuple] = {}
+
+
 def case(name: str, columns: str, expected: list[tuple]):
-    """Register f(spark) under name; its rows must be those worked out by hand. columns: `name type` of DuckDB, comma-separated."""
-    names = [c.split()[0] for c in columns.split(", ")]
-    casts = ", ".join(f"CAST({c.split()[0]} AS {c.split(maxsplit=1)[1]}) AS {c.split()[0]}" for c in columns.split(", "))
+    """Keep f(spark) as a case. columns: `name type`, comma-separated."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(spark)
-        SQL[name] = f"SELECT {casts} FROM (VALUES " + ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in expected) + f") t({', '.join(names)})"
+        CASES[name] = f, [c.split()[0] for c in columns.split(", ")], expected
         return f
 
     return add
@@ -45,12 +46,20 @@ def texts(spark: SparkSession, *values: str | None) -> DataFrame:
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, x string")
 
 
+def picked(x: str, values: list) -> str:
+    """SQL of the value at x modulo their number."""
+    return f"CASE {x} % {len(values)} " + " ".join(f"WHEN {i} THEN {_value(v)}" for i, v in enumerate(values)) + " END"
+
+
 def of(name: str, kind: str, column, *pairs: tuple) -> None:
-    """A function of one text: (input, result) pairs."""
+    """A function of one text over a table's rows, whose texts follow from their ids; the twin has the results, which were worked out by hand."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+        return rows.withColumn("x", F.get(F.array(*(F.lit(x).cast("string") for x, _ in pairs)), (F.col("id") % len(pairs)).cast("int"))).select("id", column(F.col("x")).alias("value"))
 
-    @case(name, f"id INT, value {kind}", [(i, want) for i, (_, want) in enumerate(pairs)])
-    def _(spark):
-        return texts(spark, *(x for x, _ in pairs)).select("id", column(F.col("x")).alias("value"))
+    QUERIES[name] = run
+    SQL[name] = f"SELECT o_orderkey AS id, CAST({picked('o_orderkey', [want for _, want in pairs])} AS {kind}) AS value FROM orders"
 
 
 # --- scalar rules ---
@@ -70,7 +79,10 @@ of("n27_project_nature", "VARCHAR", rules.project_nature, ("EXTENSAO", "Extensã
 of("n27_funder_nature", "VARCHAR", rules.funder_nature, ("BOLSA", "Bolsa"), ("NAO_INFORMADO", None), (None, None), ("APOIO_TECNICO", "Apoio tecnico"))
 of("n28_flags", "VARCHAR", curation.flag, ("BR", "\U0001f1e7\U0001f1f7"), ("FR", "\U0001f1eb\U0001f1f7"), ("", None))
 of("n29_department_name", "VARCHAR", department_name, ("DCSo", "Departamento de Ciências Sociais"), ("GEO", "Departamento de Geografia"), ("ZZ", "ZZ"))
-of("n31_plausible_name", "BOOLEAN", curation.is_name, ("Revista A", True), ("<b>x</b>", False), ("--", False), ("Exception at line 3", False), ("https://x.y", False))
+of(
+    "n31_plausible_name", "BOOLEAN", curation.is_name, ("Revista A", True), ("<b>x</b>", False), ("--", False), ("Stimmen der Zeit <Freiburg, Breisgau>", True), ("State of Exception Studies", True), ("#PerDebate", True), ("--main-color: #fff;", False), (".btn-primary, a", False),
+    ("color: red;", False), ("#12 /var/www/html/index.php", False), ("in /vendor/symfony/http-kernel", False), ("HTTP 500 Internal Server Error", False), ("/* cores */", False), ("<!DOCTYPE html>", False), ("a { b }", False), ("Вестник", True), ("Saúde: teoria e prática", True), ("  ", False),
+)
 of("s6_technical_type", "VARCHAR", curation.technical_type, ("SOFTWARE", "SOFTWARE"), ("PATENTE", "PATENTE"), ("PRODUTO-TECNOLOGICO", "TRABALHO_TECNICO"), ("DEMAIS-TIPOS-DE-PRODUCAO-TECNICA", "OUTRA_TECNICA"))
 of("d1_curriculum_date", "DATE", lambda c: F.try_to_timestamp(c, F.lit("ddMMyyyy")).cast("date"), ("05032024", datetime.date(2024, 3, 5)), ("99992024", None), ("", None))
 of("n10_slugs", "VARCHAR", text.slug, ("João da Silva", "joao-da-silva"), ("  A  &  B ", "a-b"), ("Ümläut/X", "umlaut-x"))
@@ -383,7 +395,7 @@ def _(spark):
     i = spark.createDataFrame([(1, 1, "Redes neurais", None), (2, 2, "x", '{"keywords": ["Redes  neurais", "gênero.", 5, "12", "ab", "estudos"]}'), (3, 2, "gênero", None)], "id long, researcher_id long, title string, extra_data string")
     o = spark.createDataFrame([(1, 2, "", "Redes neurais", None)], "id long, researcher_id long, title string, alternative_title string, keywords string")
     p = spark.createDataFrame([(1, 1, "Educação e trabalho")], "id long, researcher_id long, name string")
-    ix = topics.index(topics.spellings(topics.mentions(i, o, p)))
+    ix = topics.index(topics.spellings(topics.mentions(i, o, p, TOPIC_STOPS)), TOPIC_STOPS)
     return ix.select("key", "term", "source", "occurrences", "researchers")
 
 

@@ -404,3 +404,11 @@ def crosswalk(spark: SparkSession, path: str) -> DataFrame:
                     yield file.rsplit(".", 1)[0], label, s
 
     return _by_file(spark, path, "vocabulary label slug", rows)
+
+
+def words(spark: SparkSession, path: str, most: int = 10_000) -> list[str]:
+    """The words of a text file, one or several a line, # before remarks: for stop lists, which are parameters of operators. An error beyond `most`."""
+    out = [w for r in spark.read.text(path).limit(most + 1).collect() for w in r.value.partition("#")[0].split()]
+    if len(out) > most:
+        raise ValueError(f"a list of words has {most} at most")
+    return list(dict.fromkeys(out))

@@ -692,13 +692,13 @@ def test_stored_index_is_swapped_whole(spark, tmp_path):
     o = spark.createDataFrame([], "id long, researcher_id long, title string, alternative_title string, keywords string")
     p = spark.createDataFrame([], "id long, researcher_id long, name string")
     folder = f"file://{tmp_path}/ix"
-    topics.build_index(i, o, p, folder, "1")
+    topics.build_index(i, o, p, folder, "1", [])
     terms = topics.stored_terms(spark, folder)
     assert [tuple(r) for r in terms.collect()] == [("redes neurais", "Redes Neurais", 4, 2, "hybrid", "redes-neurais")]
     assert sorted((r.researcher_id, r.occurrences, r.sample_titles) for r in topics.stored_links(spark, folder).collect()) == [(1, 1, ["Redes neurais"]), (2, 3, ["redes neurais"])]
     broken = i.withColumn("title", F.when(F.col("id") == 2, F.raise_error(F.lit("broken"))).otherwise(F.col("title")))
     with pytest.raises(Exception, match="broken"):
-        topics.build_index(broken, o, p, folder, "2")
+        topics.build_index(broken, o, p, folder, "2", [])
     assert topics.stored_terms(spark, folder).count() == 1
     assert topics.autocomplete(terms, "REDES").count() == 1 and topics.autocomplete(terms, "neur").count() == 1 and topics.autocomplete(terms, "r").count() == 0
     slugs = topics.with_slugs(spark.createDataFrame([("a b", "A B", 2, 1, "mined", 1), ("a  b", "A-B", 2, 1, "mined", 2), ("a b 2", "A B 2", 2, 1, "mined", 3), ("x", "日本", 2, 1, "mined", 4)], "key string, term string, occurrences long, researchers long, source string, seen int"))
