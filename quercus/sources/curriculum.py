@@ -111,6 +111,12 @@ def researchers(n: DataFrame) -> DataFrame:
     return _of(n, "head").select("curriculum_id", _first("first", "NOME-COMPLETO").alias("full_name"), _first("first", "NOME-EM-CITACOES-BIBLIOGRAFICAS").alias("citation_names"), day.alias("updated"))
 
 
+def profiles(n: DataFrame) -> DataFrame:
+    """What a curriculum says about its owner; empty fields where it doesn't."""
+    names = {"orcid": "ORCID-ID", "nationality": "PAIS-DE-NACIONALIDADE", "resume": "TEXTO-RESUMO-CV-RH", "work_address": "ENDERECO-PROFISSIONAL", "work_postal_code": "CEP", "work_phone": "TELEFONE", "work_city": "CIDADE", "work_state": "UF", "work_country": "PAIS"}
+    return _of(n, "head").select("curriculum_id", *(_first("first", a).alias(c) for c, a in names.items()))
+
+
 def educations(n: DataFrame) -> DataFrame:
     """Degrees, level by tag, and complementary courses in four levels."""
     short = F.when(F.contains("tag", F.lit("CURTA-DURACAO")), "CURTA_DURACAO").when(F.contains("tag", F.lit("EXTENSAO")), "EXTENSAO").when(F.contains("tag", F.lit("APERFEICOAMENTO")), "APERFEICOAMENTO").otherwise("COMPLEMENTAR")
@@ -246,7 +252,7 @@ def projects(n: DataFrame) -> DataFrame:
     leads = F.exists("members", lambda m: (m["NRO-ID-CNPQ"] == F.col("curriculum_id")) & _yes(m["FLAG-RESPONSAVEL"]))
     return _of(n, "project").where(name != "").select(
         "curriculum_id", "pos", _cut(name, 500).alias("name"), F.coalesce(F.col("item")["NATUREZA"], F.lit("PESQUISA")).alias("nature"), F.coalesce(F.col("item")["SITUACAO"], F.lit("EM_ANDAMENTO")).alias("status"),
-        _number(_first("item", "ANO-INICIO")).alias("start_year"), _number(_first("item", "ANO-FIM")).alias("end_year"), _first("item", "DESCRICAO-DO-PROJETO").alias("description"), F.coalesce(leads, F.lit(False)).alias("is_coordinator"),
+        _number(_first("item", "ANO-INICIO")).alias("start_year"), _number(_first("item", "ANO-FIM")).alias("end_year"), _first("item", "DESCRICAO-DO-PROJETO").alias("description"), (F.coalesce(leads, F.lit(False)) | _yes(F.col("item")["FLAG-COORDENADOR"])).alias("is_coordinator"),
         F.trim(F.get("funders", 0)["NOME-INSTITUICAO"]).alias("agency_financier"),
     )
 
