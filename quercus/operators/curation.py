@@ -12,9 +12,8 @@ from ..functions.rules import name_score
 from ..functions.text import fold, keyword_key, normalized, resolver_key, topic_key
 from .figures import share
 
-# Tags of technical works and their types (S6), countries by code and name (N22, R8; the ones that the tests use).
+# Tags of technical works and their types.
 TECHNICAL_TAGS = {"SOFTWARE": "SOFTWARE", "PATENTE": "PATENTE", "MARCA": "MARCA"}
-COUNTRIES = {"BR": ["brasil", "brazil", "bra"], "PT": ["portugal", "prt"], "US": ["estados unidos", "united states", "usa", "eua"], "AR": ["argentina", "arg"], "ES": ["espanha", "spain", "esp"], "FR": ["franca", "france", "fra"]}
 # What no name of a journal looks like. Lower-case markup and declarations, braces, properties and declarations of style sheets, their
 # selectors and comments, frames of a stack trace, and lines of a server's answer. "<Freiburg, Breisgau>" and "#PerDebate" are names.
 NOT_A_NAME = [r"</?[a-z][a-z0-9]*(\s[^>]*)?>", r"<!", r"[{}]", r"^--[a-z-]+\s*:", r":\s*[^;]*;\s*$", r"^\.[a-z][\w-]*[\s,.:]", r"^#\d+\s+/", r"/vendor/", r"^/\*", r"^HTTP \d{3}\b"]
@@ -28,15 +27,6 @@ def technical_type(tag: Column) -> Column:
     return F.when(tag == "DEMAIS-TIPOS-DE-PRODUCAO-TECNICA", "OUTRA_TECNICA").otherwise(out)
 
 
-def country_code(c: Column, countries: dict[str, list[str]] | None = None) -> Column:
-    """The ISO code of a code or name; null if unknown. countries: names, folded here, by code; else those of COUNTRIES."""
-    x = fold(c)
-    out = F.lit(None).cast("string")
-    for code, names in (COUNTRIES if countries is None else countries).items():
-        out = F.when(x.isin(*(fold(F.lit(n)) for n in [code, *names])), code).otherwise(out)
-    return out
-
-
 def flag(code: Column) -> Column:
     """The two regional letters of a country code."""
     letter = lambda i: F.decode(F.concat(F.unhex(F.lit("F09F87")), F.unhex(F.hex(F.ascii(F.substring(code, i, 1)) + 101))), "UTF-8")

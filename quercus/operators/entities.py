@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import inverted_name, issns, normalized, resolver_key, without_parentheses
 from .curation import is_name, prefix_match
+from .merges import roots
 
 
 def fill_empty(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -94,8 +95,8 @@ def new_variants(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def remapped(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
-    """Ids of merged entities become those they were merged into. merges: old, new."""
-    m = merges.withColumnRenamed("old", column)
+    """Ids of merged entities become those they were merged into, in the end. merges: old, new."""
+    m = roots(merges).withColumnRenamed("old", column)
     return df.join(m, column, "left").withColumn(column, F.coalesce("new", column)).drop("new")
 
 
@@ -175,6 +176,7 @@ def merged_journals(journals: DataFrame, merges: DataFrame, links: DataFrame, va
 
     journals: id, title, issn, qualis, canonical_journal_id; merges: old, new (new is kept); links: journal_id, database_id; variants: journal_id, name; evidence: id, journal_id, source, record_key, label.
     """
+    merges = roots(merges)
     old = journals.join(merges.withColumnRenamed("old", "id"), "id")
     fill = old.groupBy(F.col("new").alias("id")).agg(*(F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(None)).isNotNull(), F.col("id"))).alias(f"__{c}") for c in ("issn", "qualis")))
     j = journals.join(merges.select(F.col("old").alias("id")), "id", "left_anti").join(fill, "id", "left")

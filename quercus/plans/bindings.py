@@ -93,7 +93,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _made: dict[tuple[str, str, str], str] = {}
 
 
-def _state(spark: SparkSession, sf_dir: str) -> str:
+def folder_state(spark: SparkSession, sf_dir: str) -> str:
     """Names, sizes and times of the input's files, so that what was made from other ones isn't taken for it."""
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -109,7 +109,7 @@ def _state(spark: SparkSession, sf_dir: str) -> str:
 
 def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], None]) -> str:
     """The path that `make` filled in the shared folder, made once for each application and state of the input: what the domain keeps as stored tables."""
-    key = (spark.sparkContext.applicationId, _state(spark, sf_dir), name)
+    key = (spark.sparkContext.applicationId, folder_state(spark, sf_dir), name)
     if key not in _made:
         path = new_path(spark, name)
         make(path)

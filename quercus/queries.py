@@ -1107,12 +1107,6 @@ def _(t, s, d):
     return curation.ai_batches(f, 100).select("batch", "fid")
 
 
-@query("n22_country_codes", f"SELECT id, CASE WHEN id % 3 = 0 THEN 'BR' WHEN id % 3 = 1 THEN 'FR' END AS code FROM {R}", R)
-def _(t, s, d):
-    return t(R).select("id", curation.country_code(F.expr("CASE id % 3 WHEN 0 THEN ' BRASIL' WHEN 1 THEN 'França' ELSE 'Terra' END")).alias("code"))
-
-
-# --- authority ----------------------------------------------------------------------------------------------------------
 @query("b6_usual_spelling", f""", n AS (SELECT l_partkey % 300 AS fid, CASE l_orderkey % 3 WHEN 0 THEN 'Revista Educação' WHEN 1 THEN 'Revista Educacao' ELSE 'REVISTA DA CIDADE' END AS name FROM lineitem),
  g AS (SELECT fid, name, count(*) AS n, row_number() OVER (PARTITION BY fid ORDER BY count(*) DESC, length(regexp_replace(name, '[\\x00-\\x7F]', '', 'g')) DESC, name) AS p FROM n GROUP BY 1, 2 HAVING count(*) >= 2)
  SELECT fid, CASE WHEN name = 'REVISTA DA CIDADE' THEN 'Revista da Cidade' ELSE name END AS shown, n FROM g WHERE p = 1""", R)
@@ -1127,4 +1121,4 @@ def _(t, s, d):
     return authority.affiliations(t(X), "Universidade Sede", YEAR)
 
 
-from . import queries_more  # noqa: E402, F401 (registers the further queries)
+from . import queries_more, queries_upkeep  # noqa: E402, F401 (register the further queries)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, rules, text
-from .operators import areas, authority, curation, entities, families as fam, figures, journals, projects, topics
+from .operators import areas, authority, countries, curation, entities, families as fam, figures, journals, projects, topics
 from .plans.bindings import load, new_path
 from .plans.filters import ResearchFilter, department_name, department_values, fold_text, is_doi, major_area_code, prepared, relevance, text_predicate
 from .queries import A, DONE, HASQ, I, J, K1, K3, KA, L, N1, O, P, QUERIES, R, SQL, TOPIC_STOPS, X, YEAR, _FAM, _KEY, _c, f_, query
@@ -365,9 +365,11 @@ def _(spark):
     return entities.match_institutions(names, inst)
 
 
-@case("r8_countries", "id INT, value VARCHAR", [(0, "JP"), (1, "JP"), (2, "DE"), (3, None)])
+@case("r8_countries", "id INT, value VARCHAR", [(0, "JP"), (1, "JP"), (2, "DE"), (3, "BR"), (4, "JP"), (5, "GB"), (6, None), (7, None), (8, "JP"), (9, "CL")])
 def _(spark):
-    return texts(spark, "JAPAO", "jp", "Alemanha", "Brasil").select("id", curation.country_code(F.col("x"), {"JP": ["Japão", "Japan"], "DE": ["alemanha"]}).alias("value"))
+    stored = spark.createDataFrame([(1, "Japão", None, "jp", "JPN")], "id long, common_name string, official_name string, iso2 string, iso3 string")
+    x = texts(spark, "JAPAO", " jp ", "Alemanha", "brasileira", "jpn", "INGLATERRA", "Atlantis", "!!", "Universidade do Japão", "chi")
+    return countries.codes(x, "x", countries.country_keys(stored)).select("id", F.col("code").alias("value"))
 
 
 @case("r9_shown_institution", "id INT, value VARCHAR", [(0, "UX - Universidade X"), (1, "UX Universidade"), (2, "Só nome")])
