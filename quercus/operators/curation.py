@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -295,18 +293,3 @@ def overridden_names(names: DataFrame, events: DataFrame) -> DataFrame:
 def write_snapshot(links: DataFrame, path: str) -> None:
     """The links of an audit as JSON lines."""
     links.write.mode("overwrite").json(path)
-
-
-def run_steps(steps: list[tuple[str, Callable[[], None]]], first: str | None = None) -> list[str]:
-    """Named steps in order, from `first` on; the first error stops and names its step."""
-    names = [n for n, _ in steps]
-    if first is not None and first not in names:
-        raise ValueError(f"no step {first!r}; there are {', '.join(names)}")
-    done = []
-    for name, step in steps[names.index(first) if first else 0 :]:
-        try:
-            step()
-        except Exception as e:
-            raise RuntimeError(f"step {name!r} failed after {done}") from e
-        done.append(name)
-    return done

@@ -20,13 +20,15 @@ Tables = dict[str, DataFrame]
 
 @dataclass
 class Step:
-    """name, what it reads, and its function: it gets those tables by name and returns tables by name. `when` tells from the sources' names whether it has anything to do."""
+    """name, what it reads, and its function: it gets those tables by name and returns tables by name. `when` tells from the tables' names whether it has anything to do; optional tables are
+    read where they are there."""
 
     name: str
     reads: list[str]
     run: Callable[[Tables], Tables]
     version: int = 1
-    when: Callable[[set[str]], bool] = field(default=lambda sources: True)
+    when: Callable[[set[str]], bool] = field(default=lambda tables: True)
+    optional: list[str] = field(default_factory=list)
 
 
 class Failed(RuntimeError):
@@ -64,17 +66,18 @@ class Pipeline:
         report: list[tuple[str, str]] = []
         wanted = {s.name for s in self.chosen(only, skip, first)}
         for step in self.steps:
-            print_ = hashlib.sha256("|".join([step.name, str(step.version), *(f"{n}={prints.get(n, '')}" for n in step.reads)]).encode()).hexdigest()[:20]
+            reads = [*step.reads, *(n for n in step.optional if n in tables)]
+            print_ = hashlib.sha256("|".join([step.name, str(step.version), *(f"{n}={prints.get(n, '')}" for n in reads)]).encode()).hexdigest()[:20]
             path = f"{self.folder}/{step.name}/{print_}"
             done = self._done(path)
             if step.name in wanted and not step.when(set(tables)):
                 report.append((step.name, "skipped"))
                 continue
-            if step.name in wanted and (done is None or any(prints.get(n) == "given" for n in step.reads)):
+            if step.name in wanted and (done is None or any(prints.get(n) == "given" for n in reads)):
                 try:
-                    if missing := [n for n in step.reads if n not in tables]:
+                    if missing := [n for n in reads if n not in tables]:
                         raise KeyError(f"no table {', '.join(missing)}")
-                    done = self._store(path, step.run({n: tables[n] for n in step.reads}))
+                    done = self._store(path, step.run({n: tables[n] for n in reads}))
                 except Exception as e:
                     raise Failed(step.name, report) from e
                 report.append((step.name, "done"))
@@ -82,9 +85,10 @@ class Pipeline:
                 report.append((step.name, "kept"))
             else:
                 path, done = self._last(step.name)
+            given = step.name in wanted and any(prints.get(n) == "given" for n in reads)
             for name in done or []:
                 tables[name] = self.spark.read.parquet(f"{path}/{name}")
-                prints[name] = path
+                prints[name] = "given" if given else path
         return tables, report
 
     def _store(self, path: str, out: Tables) -> list[str]:

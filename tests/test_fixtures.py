@@ -436,9 +436,6 @@ def test_curation(spark):
     assert {(x.slug, float(x.weight)) for x in w.collect()} == {("educacao", 0.5), ("saude", 0.5)}
     e = c.external_names(row([("a", "Rev. Educ.", 1), ("b", "Rev Educ", 1), ("a", "Zzz", 2)], "src string, name string, fid long"), row([("k",)], "key string"), row([(1, "Revista Educação"), (2, "Física")], "fid long, title string"))
     assert [(x.key, x.sources) for x in e.collect()] == [("rev educ", 2)]
-    assert c.run_steps([("a", lambda: None), ("b", lambda: None)], "b") == ["b"]
-    with pytest.raises(RuntimeError, match="'b' failed"):
-        c.run_steps([("a", lambda: None), ("b", lambda: 1 / 0)])
     j = row([(1, "A", "T", None), (2, "B", None, None)], "id long, area string, display_title string, canonical_journal_id long")
     ev = row([(1, 1, "area", "X"), (2, 1, "area", "Y"), (3, 2, "family", "1")], "n long, id long, field string, value string")
     assert {tuple(x) for x in c.overridden(j, ev).collect()} == {(1, "Y", "T", None), (2, "B", None, 1)}
