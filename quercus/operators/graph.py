@@ -1,7 +1,6 @@
 """Co-authorship (inventory J1, J2, A24, A25, A37-A39, T9, T10).
 
-Every pair query starts from distinct (work, researcher) rows, so a work that is stored once for each owner makes each
-pair once. The self-join is an equi-join on the work: AQE splits a work with very many authors.
+A work that is stored once for each owner makes each pair once: pairs come from the set of its matched authors.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..plans.storage import stored
 
 
 #: Authors of a work that meet in one cell of pairs.
@@ -24,20 +24,33 @@ def authorships(authors: DataFrame) -> DataFrame:
 def edges(authors: DataFrame, block: int = BLOCK) -> DataFrame:
     """Unordered pairs a < b with the number of works they share.
 
-    The authors of a work are dealt into blocks of about `block`; a row meets its own block and, as either side, every other block of
-    its work, so a work with very many authors spreads over many tasks, and each pair is still made once.
+    Each work's authors are gathered as a set, of which the pairs are read off: no self-join, and rows are added up before they move. Only if a work has over `block` rows (a count, made
+    first) such works are dealt into blocks of about that size: a row meets its own block and, as either side, every other block of its work, so a work with very
+    many authors spreads over many tasks, and each pair is still made once.
     """
-    x = authorships(authors).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("work"))).where("n > 1")
-    # Works of one block: a self-join on the work, whose rows the count has brought together already.
-    few = x.where(F.col("n") <= block)
-    pairs = few.select("work", F.col("researcher").alias("x")).join(few.select("work", F.col("researcher").alias("y")), "work").where("x < y").select("x", "y")
-    y = x.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    rows = authors.where("matched_researcher_id IS NOT NULL AND work IS NOT NULL").select("work", F.col("matched_researcher_id").alias("researcher"))
+    heavy = rows.groupBy("work").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("work")
+    cells = None
+    if not heavy.isEmpty():
+        heavy, _ = stored(heavy, "large-works")
+        cells = _cells(rows.join(heavy, "work", "left_semi").distinct(), block)
+        rows = rows.join(heavy, "work", "left_anti")
+    sets = rows.groupBy("work").agg(F.collect_set("researcher").alias("s")).where(F.size("s") > 1)
+    pairs = sets.select("s", F.explode("s").alias("a")).select("a", F.explode(F.filter("s", lambda y: y > F.col("a"))).alias("b"))
+    if cells is not None:
+        pairs = pairs.unionByName(cells.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _cells(x: DataFrame, block: int) -> DataFrame:
+    """Pairs x, y of distinct rows of works with many authors."""
+    n = x.groupBy("work").agg(F.count(F.lit(1)).alias("n"))
+    y = x.join(n, "work").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     y = y.withColumn("i", F.pmod(F.xxhash64("researcher"), F.col("blocks").cast("long")).cast("int"))
     # Of blocks i <= j the cell (i, j) has i's rows on the left and j's on the right.
     left = y.select("work", F.col("researcher").alias("x"), "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
     right = y.select("work", F.col("researcher").alias("y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
-    cells = left.join(right, ["work", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).select("x", "y")
-    return pairs.unionByName(cells).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
+    return left.join(right, ["work", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).select("x", "y")
 
 
 def strongest(edge: DataFrame, limit: int = 120) -> DataFrame:

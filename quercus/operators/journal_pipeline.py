@@ -119,7 +119,10 @@ def _overridden_areas(t: Tables) -> Tables:
 def _report(t: Tables) -> Tables:
     parts = {"report": jn.report(t["journals"], t["items"]), "report_confidence": jn.confidence_report(t["items"], t["journals"], t["areas"].withColumnRenamed("id", "journal_id")), "report_bases": jn.articles_by_base(t["items"], t["journals"], t["links"])}
     e = t["evidence"].groupBy("source").agg(F.countDistinct("journal_id").alias("journals"), F.count(F.lit(1)).alias("labels"))
-    return parts | {"report_evidence": e, "report_queue": jn.name_queue(t["items"]).agg(F.count(F.lit(1)).alias("names"), F.sum("articles").cast("bigint").alias("articles"))}
+    names = t["names"].select(F.col("fid").alias("journal_id"), F.lit("learned").alias("kind"))
+    queue = jn.name_queue(t["items"])
+    parts["report_full"] = jn.full_report(t["journals"], t["items"], t["links"], t["evidence"], names, queue.select(F.lit("pending").alias("status")))
+    return parts | {"report_evidence": e, "report_queue": queue.agg(F.count(F.lit(1)).alias("names"), F.sum("articles").cast("bigint").alias("articles"))}
 
 
 def _cleared(spark: SparkSession):
@@ -142,7 +145,7 @@ def steps(spark: SparkSession, rules: list[tuple[str, str]]) -> list[Step]:
         Step("overrides-names", ["names", "overrides"], _overridden_names, when=asks("overrides")), Step("learn-external", ["journals", "evidence", "records", "names"], _external), Step("families-final", family, _families), Step("index-again", [*index, "names"], _indexed),
         Step("audit-after", ["links_before", "items"], _compared), Step("area-thesaurus", ["records", "thesaurus", "taxonomy", "crosswalk"], _thesaurus), Step("title-rules", ["journals", "evidence"], _title_rules(rules)), Step("classify", classify, _classified),
         Step("ai-import", ["ai_lines", "journals", "taxonomy"], _ai, when=asks("ai_lines")), Step("overrides-areas", ["journals", "overrides", "taxonomy"], _overridden_areas, when=asks("overrides")), Step("classify-again", classify, _classified, optional=["ai_evidence", "manual_areas"]),
-        Step("report", ["journals", "items", "links", "evidence", "areas"], _report), Step("cache-clear", [], _cleared(spark)),
+        Step("report", ["journals", "items", "links", "evidence", "areas", "names"], _report), Step("cache-clear", [], _cleared(spark)),
     ]
 
 

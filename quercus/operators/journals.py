@@ -191,6 +191,31 @@ def report(journals: DataFrame, items: DataFrame) -> DataFrame:
     return a.crossJoin(d).crossJoin(b)
 
 
+def full_report(journals: DataFrame, items: DataFrame, links: DataFrame, evidence: DataFrame, variants: DataFrame, queue: DataFrame) -> DataFrame:
+    """One report as part, key, value: rows, families (all, with articles, without evidence), missing and repeated ISSNs, linked and unlinked articles, and by key the families of each base and
+    each source of evidence, the variants by kind and the open names by status. evidence: journal_id, source; variants: journal_id, kind; queue: status.
+
+    Each part is a count of its own, added up before it moves; the result has a row for each part and key.
+    """
+    j = with_family(journals)
+    fid = j.select(F.col("id").alias("journal_id"), "fid")
+    a = items.where("item_type = 'ARTIGO'").groupBy(F.col("qualis_journal_id").alias("journal_id")).agg(F.count(F.lit(1)).alias("n")).join(fid, "journal_id", "left").select("fid", "n")
+    proven = evidence.select("journal_id", "source").distinct().join(fid, "journal_id").select("source", "fid").distinct()
+    families = j.select("fid").distinct()
+    count = lambda df, part, key=None: df.groupBy((F.lit("") if key is None else F.col(key).cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("value")).select(F.lit(part).alias("part"), "key", "value")
+    whole = lambda df, part, c=None: df.agg(F.coalesce(F.sum(c) if c else F.count(F.lit(1)), F.lit(0)).cast("bigint").alias("value")).select(F.lit(part).alias("part"), F.lit("").alias("key"), "value")
+    parts = [
+        whole(j, "rows"), whole(families, "families"), whole(a.where("fid IS NOT NULL").select("fid").distinct(), "families_with_articles"), whole(j.where("coalesce(issn, '') = ''"), "without_issn"),
+        whole(j.where("coalesce(issn, '') <> ''").groupBy("issn").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "duplicate_issns"), whole(a.where("fid IS NOT NULL"), "linked_articles", "n"), whole(a.where("fid IS NULL"), "unlinked_articles", "n"),
+        count(links.select("journal_id", "database_id").distinct().join(fid, "journal_id").select("database_id", "fid").distinct(), "base_families", "database_id"), count(proven, "evidence_families", "source"),
+        whole(families.join(proven.select("fid").distinct(), "fid", "left_anti"), "families_without_evidence"), count(variants, "variants", "kind"), count(queue, "queue", "status"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def name_search(journals: DataFrame, q: str, limit: int = 20) -> DataFrame:
     """Families by relevance: exact 0, prefix 1, contained 2; canonical row first, then id."""
     from ..plans.filters import fold_text

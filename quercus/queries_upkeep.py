@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import areas, countries, curation, entities, families as fam, legacy, merges, thesaurus
+from .operators import areas, countries, curation, entities, families as fam, journal_pipeline, journals as jn, legacy, merges, normalisation, thesaurus
 from .plans.bindings import new_path
-from .queries import query
+from .queries import I, J, L, R, X, YEAR, query
 from .sources import curriculum, curriculum_html
 from .sources.keyed import KeyedTable, PartedTable
 
@@ -275,3 +275,65 @@ def _(t, s, d):
     cw = use.withColumn("slug", F.when(k == 0, "educacao").when(k == 1, "fisica")).where("slug IS NOT NULL").select("vocabulary", "label", "slug")
     now = s.createDataFrame([], "vocabulary string, label string, slug string, manual boolean, status string, occurrences long")
     return areas.synced_thesaurus(now, tax, cw, use).select("vocabulary", "label", "slug", "status", "occurrences")
+
+
+# --- B25, B31, A57, Z5 ---
+@query(
+    "b25_affiliations",
+    f""", e AS (SELECT *, is_current OR end_year IS NULL OR end_year >= {YEAR} AS going FROM {X} WHERE contains(lower(institution_name), 'sede')),
+ g AS (SELECT researcher_id, min(start_year) FILTER (WHERE start_year > 1960 AND start_year <= {YEAR} AND NOT regexp_matches(lower(coalesce(contract_type, '')), 'bolsista|substituto|temporário')) AS first, bool_or(going) AS going, max(end_year) FILTER (WHERE NOT going AND end_year < {YEAR}) AS last FROM e GROUP BY 1)
+ SELECT r.id, coalesce(r.admission_year, first) AS admission_year, CASE WHEN going THEN CASE WHEN leave_year < {YEAR} THEN NULL ELSE leave_year END WHEN last IS NOT NULL AND (leave_year IS NULL OR leave_year >= {YEAR}) THEN last ELSE leave_year END AS leave_year,
+  CASE WHEN going THEN 1 WHEN last IS NOT NULL THEN 0 ELSE status END AS status FROM {R} r LEFT JOIN g ON g.researcher_id = r.id""",
+    R, X,
+)
+def _(t, s, d):
+    return normalisation.affiliation(t(R), t(X).withColumn("role_name", F.lit(None).cast("string")), "sede", YEAR)
+
+
+@query("z5_catalogue_variants", f"SELECT id, title, issn, qualis, (SELECT string_agg(DISTINCT CAST(database_id AS VARCHAR), ';' ORDER BY CAST(database_id AS VARCHAR)) FROM {L} l WHERE l.journal_id = id) AS databases, CASE WHEN id % 4 = 0 THEN 'Outro ' || id || ';R. ' || id ELSE 'R. ' || id END AS variants FROM {J}", J, L)
+def _(t, s, d):
+    names = t(J).select(F.col("id").alias("journal_id"), F.concat(F.lit("R. "), F.col("id")).alias("name"))
+    more = t(J).where("id % 4 = 0").select(F.col("id").alias("journal_id"), F.concat(F.lit("Outro "), F.col("id")).alias("name"))
+    return fam.catalogue_export(t(J), t(L), names.unionByName(more).unionByName(more))
+
+
+@query(
+    "a57_full_report",
+    f""", f AS (SELECT coalesce(canonical_journal_id, id) AS fid, * FROM {J}), a AS (SELECT i.*, f.fid FROM {I} i LEFT JOIN f ON f.id = i.qualis_journal_id WHERE item_type = 'ARTIGO')
+ SELECT part, key, CAST(value AS BIGINT) AS value FROM (
+ SELECT 'rows' AS part, '' AS key, count(*) AS value FROM f UNION ALL SELECT 'families', '', count(DISTINCT fid) FROM f UNION ALL SELECT 'families_with_articles', '', count(DISTINCT fid) FROM a UNION ALL SELECT 'without_issn', '', count(*) FROM f WHERE coalesce(issn, '') = ''
+ UNION ALL SELECT 'duplicate_issns', '', count(*) FROM (SELECT issn FROM f WHERE coalesce(issn, '') <> '' GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'linked_articles', '', count(*) FROM a WHERE fid IS NOT NULL UNION ALL SELECT 'unlinked_articles', '', count(*) FROM a WHERE fid IS NULL
+ UNION ALL SELECT 'base_families', CAST(database_id AS VARCHAR), count(DISTINCT fid) FROM {L} l JOIN f ON f.id = l.journal_id GROUP BY 2
+ UNION ALL SELECT 'evidence_families', CASE WHEN id % 2 = 0 THEN 'wos' ELSE 'doaj' END, count(DISTINCT fid) FROM f WHERE id % 5 > 0 GROUP BY 2 UNION ALL SELECT 'families_without_evidence', '', count(*) FROM (SELECT fid FROM f GROUP BY 1 HAVING max(id % 5) = 0)
+ UNION ALL SELECT 'variants', CASE WHEN id % 3 = 0 THEN 'lattes' ELSE 'manual' END, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'queue', CASE WHEN id % 7 = 0 THEN 'ambiguous' ELSE 'pending' END, count(*) FROM f GROUP BY 2)""",
+    J, I, L,
+)
+def _(t, s, d):
+    j = t(J)
+    evidence = j.where("id % 5 > 0").select(F.col("id").alias("journal_id"), F.when(F.col("id") % 2 == 0, "wos").otherwise("doaj").alias("source"))
+    variants = j.select(F.col("id").alias("journal_id"), F.when(F.col("id") % 3 == 0, "lattes").otherwise("manual").alias("kind"))
+    queue = j.select(F.when(F.col("id") % 7 == 0, "ambiguous").otherwise("pending").alias("status"))
+    return jn.full_report(j, t(I), t(L), evidence, variants, queue)
+
+
+@query(
+    "b31_journal_line",
+    f"""SELECT 'links' AS part, CASE WHEN id % 3000 IN (SELECT id FROM {J}) THEN 'gained' ELSE 'same' END AS key, count(*) AS value FROM {I} WHERE item_type = 'ARTIGO' GROUP BY 2
+ UNION ALL SELECT 'evidence', 'legacy', count(*) FROM {J} WHERE area IS NOT NULL UNION ALL SELECT 'evidence', 'title_rule', count(*) FROM {J} WHERE id % 10 = 7""",
+    I, J,
+)
+def _(t, s, d):
+    """The line of 22 steps over the driver's tables: what the audit finds, and the evidence that the rows themselves give."""
+    j = t(J).select("id", F.concat(F.lit("Revista Alfa "), F.col("id")).alias("title"), F.lit(None).cast("string").alias("issn"), "qualis", "area", F.lit(None).cast("string").alias("area_raw"), F.lit(None).cast("bigint").alias("canonical_journal_id"), F.lit(None).cast("string").alias("method"), "display_title", F.lit(False).alias("areas_locked"))
+    records = j.select(F.lit("wos").alias("src"), F.col("id").cast("string").alias("rec"), "title", F.array().cast("array<string>").alias("issns"), F.array("area").alias("labels"), F.lit(None).cast("string").alias("country"))
+    items = t(I).select("id", "item_type", "title", "year", "researcher_id", F.concat(F.lit("REVISTA ALFA "), F.col("id") % 3000).alias("journal_name"), F.lit(None).cast("string").alias("issn"), F.lit(None).cast("bigint").alias("qualis_journal_id"))
+    labels = j.select("area").where("area IS NOT NULL").distinct()
+    slug = F.regexp_replace(F.lower("area"), "[^a-z]+", "-")
+    taxonomy = labels.select(F.lit(1).alias("id"), slug.alias("slug"), F.col("area").alias("name"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("level"))
+    sources = {
+        "journals": j, "records": records, "items": items, "links": t(L), "taxonomy": taxonomy, "crosswalk": labels.select(F.lit("wos").alias("vocabulary"), F.col("area").alias("label"), slug.alias("slug")),
+        "thesaurus": s.createDataFrame([], "vocabulary string, label string, slug string, manual boolean, status string, occurrences long"),
+    }
+    tables, _ = journal_pipeline.run(s, new_path(s, "journal-line"), sources, [("7$", "economy")])
+    audit = tables["audit"].select(F.lit("links").alias("part"), F.col("state").alias("key"), F.col("rows").cast("bigint").alias("value"))
+    return audit.unionByName(tables["report_evidence"].where("source <> 'wos'").select(F.lit("evidence"), "source", F.col("labels").cast("bigint")).toDF("part", "key", "value"))
