@@ -318,15 +318,18 @@ def _(t, s, d):
 
 @query(
     "b31_journal_line",
-    f"""SELECT 'links' AS part, CASE WHEN id % 3000 IN (SELECT id FROM {J}) THEN 'gained' ELSE 'same' END AS key, count(*) AS value FROM {I} WHERE item_type = 'ARTIGO' GROUP BY 2
+    f"""SELECT 'links' AS part, CASE WHEN o_orderkey % 3000 IN (SELECT id FROM {J}) THEN 'gained' ELSE 'same' END AS key, count(*) AS value FROM orders WHERE o_orderkey % 3 < 2 GROUP BY 2
  UNION ALL SELECT 'evidence', 'legacy', count(*) FROM {J} WHERE area IS NOT NULL UNION ALL SELECT 'evidence', 'title_rule', count(*) FROM {J} WHERE id % 10 = 7""",
-    I, J,
+    J,
 )
 def _(t, s, d):
     """The line of 22 steps over the driver's tables: what the audit finds, and the evidence that the rows themselves give."""
     j = t(J).select("id", F.concat(F.lit("Revista Alfa "), F.col("id")).alias("title"), F.lit(None).cast("string").alias("issn"), "qualis", "area", F.lit(None).cast("string").alias("area_raw"), F.lit(None).cast("bigint").alias("canonical_journal_id"), F.lit(None).cast("string").alias("method"), "display_title", F.lit(False).alias("areas_locked"))
     records = j.select(F.lit("wos").alias("src"), F.col("id").cast("string").alias("rec"), "title", F.array().cast("array<string>").alias("issns"), F.array("area").alias("labels"), F.lit(None).cast("string").alias("country"))
-    items = t(I).select("id", "item_type", "title", "year", "researcher_id", F.concat(F.lit("REVISTA ALFA "), F.col("id") % 3000).alias("journal_name"), F.lit(None).cast("string").alias("issn"), F.lit(None).cast("bigint").alias("qualis_journal_id"))
+    items = _rows(
+        s, d, "orders", id="CAST(o_orderkey AS BIGINT)", item_type="CASE WHEN o_orderkey % 3 < 2 THEN 'ARTIGO' ELSE 'LIVRO' END", title="concat('t', CAST(o_orderkey AS STRING))", year="2000", researcher_id="CAST(o_custkey % 100 AS BIGINT)", journal_name="concat('REVISTA ALFA ', CAST(o_orderkey % 3000 AS STRING))",
+        issn="CAST(NULL AS STRING)", qualis_journal_id="CAST(NULL AS BIGINT)",
+    )
     labels = j.select("area").where("area IS NOT NULL").distinct()
     slug = F.regexp_replace(F.lower("area"), "[^a-z]+", "-")
     taxonomy = labels.select(F.lit(1).alias("id"), slug.alias("slug"), F.col("area").alias("name"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("level"))
