@@ -35,8 +35,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:@.-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-#: Elements that make the path of a container.
-STRUCTURE = frozenset("body div section article main td center".split())
+#: Elements that make the path of a container; the title is one, so that it is found beside the article's container.
+STRUCTURE = frozenset("body div section article main td center h1".split())
 #: Elements that begin and end a block.
 BLOCK = STRUCTURE | frozenset(
     "html p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table thead tbody tfoot tr th caption figure figcaption hr address details summary nav header footer aside form fieldset dialog menu".split()
@@ -47,6 +47,7 @@ SKIPPED = frozenset("title noscript template iframe svg object textarea select b
 _STARTS = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in SKIPPED}
 _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIPPED}
 BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
+LINK_END = re.compile(r"</a\s*>", re.I)
 LEFT_OUT = frozenset("nav footer aside form dialog menu fieldset label option header".split())
 #: Words of class and id that mark what isn't the article.
 NOT_ARTICLE = frozenset(
@@ -54,6 +55,11 @@ NOT_ARTICLE = frozenset(
     "breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus respond reply replies share sharing social related recommended recommendations newsletter "
     "subscribe signup popup modal overlay widget toolbar pagination pager login search copyright".split()
 )
+#: Words that say of which part or kind such an element is. A name with any other word (share-price-report, social-history) names something else.
+PARTS = frozenset(
+    "site main page top bottom left right center box block container wrapper wrap inner outer area section zone list item items group row col column bar panel unit slot strip link links button buttons btn icon icons text title head header content body "
+    "primary secondary global local mobile desktop post posts article articles entry entries form field input count message msg policy info inline fixed sticky small large user users section thread tree feed card cards grid wp js id nr".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 ARTICLE = frozenset("article content post entry story main body text".split())
 #: Words of a class that say what else the page has or how it stands, not what the element is: has-sidebar, comments-open.
@@ -64,6 +70,8 @@ REPLIES = frozenset("comment comments disqus respond reply replies".split())
 HOLDS = frozenset("article content post entry story main".split())
 #: The share of linked characters up to which text beside the best container belongs to the article.
 LINKED = 0.2
+#: How many times the prose at the host's path a page's own best container has to have to be taken instead.
+FAR_MORE = 4
 #: Bytes of hosts and their paths up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
 WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
@@ -85,7 +93,7 @@ def _kind(tag: str, raw: str, in_article: bool) -> tuple[bool, frozenset[str], s
     against: set[str] = set()
     if tag not in ("body", "html", "head"):
         if tag != "main" and not (tag == "article" and not in_article):
-            against = set().union(*(t for t in tokens if not t & STATE)) & NOT_ARTICLE
+            against = set().union(*(t for t in tokens if not t & STATE and t <= NOT_ARTICLE | PARTS)) & NOT_ARTICLE
             if words == {"header"} or {"site", "header"} <= words or {"page", "header"} <= words:
                 against.add("header")
         out = out or a.get("role", "").lower() in ROLES or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower()
@@ -184,6 +192,14 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             put(" ")
         elif tag == "a":
             in_link = not m[2]
+            n = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "a"), 0)
+            if n:
+                pop_to(n)
+            closed = LINK_END.search(page, at) if in_link and m[4] and not stack[-1][1] else None
+            if closed and not BLOCK_TAG.search(page, at, closed.start()):
+                out, words, _, _ = _kind(tag, m[4], False)
+                if out or words:
+                    stack.append((tag, True, *stack[-1][2:]))
         elif tag in BLOCK or tag in LEFT_OUT:
             flush()
             if m[2]:
@@ -281,13 +297,30 @@ def best_path(found: list[tuple[str, str, int]]) -> tuple[str | None, float]:
     return p, s[p]
 
 
+def _prose(found: list[tuple[str, str, int]]) -> int:
+    return sum(max(0, len(t) - 2 * links) for _, t, links in found)
+
+
+def _is_title(path: str) -> bool:
+    return path.rpartition("/")[2].partition(".")[0] == "h1"
+
+
 def text_at(found: list[tuple[str, str, int]], path: str | None) -> str:
-    """The blocks in containers of that path; the page's own best ones if it has none."""
-    inside = [t for p, t, _ in found if p == path or p.startswith(f"{path}/")] if path else []
-    if not inside:
-        own, _ = best_path(found)
-        inside = [t for p, t, _ in found if own is not None and (p == own or p.startswith(f"{own}/") or own == "")]
-    return "\n\n".join(inside)
+    """The blocks in containers of that path, with the title before them; the page's own best ones if it has none, or far more prose in those.
+
+    The title is the last h1 before the first of these blocks, in an element around their container, if they have none themselves.
+    """
+    within = lambda p, top: p == top or p.startswith(f"{top}/") or top == ""
+    inside = [i for i, (p, _, _) in enumerate(found) if within(p, path)] if path else []
+    own, _ = best_path(found)
+    mine = [i for i, (p, _, _) in enumerate(found) if within(p, own)] if own is not None else []
+    if not inside or _prose([found[i] for i in mine]) > FAR_MORE * _prose([found[i] for i in inside]):
+        inside, path = mine, own
+    if inside and not any(_is_title(found[i][0]) for i in inside):
+        first = found[inside[0]][0]
+        titles = [i for i in range(inside[0]) if _is_title(found[i][0]) and within(first, found[i][0].rpartition("/")[0])]
+        inside = titles[-1:] + inside
+    return "\n\n".join(found[i][1] for i in inside)
 
 
 def host_of(url: Column) -> Column:

@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quercus.llm import align, centroids, licenses
+from quercus.llm import align, centroids, html_extract, licenses
 from test_operators import LONG, SF, docs, none, real  # noqa: F401
 
 
@@ -216,3 +216,41 @@ def test_license_spans(spark):
     assert [tuple(s) for s in r.spans] == [(3, 3 + 21, "bsd", 1.0)] and r.labels == "bsd" and r.base_labels == "" and r.score == 1.0
     with pytest.raises(ValueError):
         licenses.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string"), templates=[("x", "too short")])
+
+
+# --- 2 ---
+STORY = "The river rose slowly for three days before it reached the old mill. Nobody in the village had seen such water. "
+
+
+def read(page, path=None):
+    return html_extract.text_at(html_extract.blocks(page), path)
+
+
+def test_html_a_page_that_differs_from_its_host():
+    page = f"<html><body><div class=content><p>Tiny.</p></div><div class=longread><p>{STORY * 2}</p><p>{STORY}</p></div></body></html>"
+    assert read(page, "body/div.content") == f"{(STORY * 2).strip()}\n\n{STORY.strip()}"
+    pages = f"<html><body><div class=content><p>{STORY}</p></div><div class=longread><p>{STORY}</p></div></body></html>"
+    assert read(pages, "body/div.content") == STORY.strip()  # about as much elsewhere: the host decides
+
+
+def test_html_title_beside_the_container():
+    page = f"<body><h1>Flood</h1><div class=content><p>{STORY * 3}</p></div></body>"
+    assert read(page) == read(page, "body/div.content") == f"Flood\n\n{(STORY * 3).strip()}"
+    own = f"<body><h1>Site</h1><div class=content><h1>Flood</h1><p>{STORY * 3}</p></div></body>"
+    assert read(own, "body/div.content") == f"Flood\n\n{(STORY * 3).strip()}"
+    header = f"<body><header><h1>Site</h1></header><div class=content><p>{STORY * 3}</p></div><div class=x><h1>Later</h1></div></body>"
+    assert read(header, "body/div.content") == (STORY * 3).strip()
+
+
+def test_html_whole_names_of_classes():
+    page = (
+        f'<body><article><p>{STORY}</p><div class="share-price-report"><p>Shares rose to nine.</p></div><div class="social-history"><p>They were weavers.</p></div><p class="notice-of-intent">We intend to go on.</p><p>He looked for <span class="search-term">water</span> everywhere.</p>'
+        '<div class="social-share"><p>Tell friends</p></div><div class="relatedPosts"><p>More</p></div><div class="cookie-banner"><p>Cookies</p></div><div class="ad-container"><p>Buy</p></div><div class="comment-list"><p>First!</p></div><a class="login" href="/x">Log in</a><p>End of <a href="/y">it</a>.</p></article></body>'
+    )
+    assert read(page) == "\n\n".join([STORY.strip(), "Shares rose to nine.", "They were weavers.", "We intend to go on.", "He looked for water everywhere.", "End of it."])
+
+
+def test_html_unclosed_link():
+    assert read(f'<body><article><p>{STORY}<a class="login">Log in<p>More of it here.</p></article></body>').endswith("More of it here.")
+    page = "<body><article>" + f"<p>{STORY}</p>" * 4000 + "<p>" + "word " * 100_000 + "</p></article></body>"  # a very long page
+    assert read(page).count("\n\n") == 4000 and read("") == "" and read("<h1>Only</h1>") == "Only"
