@@ -38,7 +38,7 @@ def main() -> None:
         began = time.time()
         run(name)
         took[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "load_sec": load, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    print(json.dumps({"metric": "headline queries and the load of their stored tables, total", "value": round(load + sum(took.values()), 3), "unit": "sec", "queries": took, "load_sec": load, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 

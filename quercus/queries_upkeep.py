@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import areas, countries, curation, entities, families as fam, journal_pipeline, journals as jn, legacy, merges, normalisation, thesaurus
+from .functions import rules, text
+from .operators import areas, countries, curation, entities, families as fam, journal_pipeline, journals as jn, legacy, merges, normalisation, thesaurus, topics
 from .plans.bindings import new_path
 from .queries import I, J, L, R, X, YEAR, query
 from .sources import curriculum, curriculum_html
@@ -340,3 +341,48 @@ def _(t, s, d):
     tables, _ = journal_pipeline.run(s, new_path(s, "journal-line"), sources, [("7$", "economy")])
     audit = tables["audit"].select(F.lit("links").alias("part"), F.col("state").alias("key"), F.col("rows").cast("bigint").alias("value"))
     return audit.unionByName(tables["report_evidence"].where("source <> 'wos'").select(F.lit("evidence"), "source", F.col("labels").cast("bigint")).toDF("part", "key", "value"))
+
+
+# --- rules of several fields: a table's rows take one of the given rows by their number; the twin has the results, worked out by hand ---
+def by_row(name: str, schema: str, kind: str, value, *cases: tuple, **more) -> None:
+    """cases: (row, result). value: from the columns of schema (`name type`, comma-separated) to the result; more: columns made before."""
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    quoted = [("NULL" if w is None else str(w) if isinstance(w, (bool, int, float)) else "'" + w.replace("'", "''") + "'") for _, w in cases]
+    sql = f"SELECT o_orderkey AS id, CAST(CASE o_orderkey % {len(cases)} " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(quoted)) + f" END AS {kind}) AS value FROM orders"
+
+    @query(name, sql)
+    def _(t, s, d):
+        rows = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, (c, k) in zip(r, fields))) for r, _ in cases))
+        x = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.get(rows, (F.col("o_orderkey") % len(cases)).cast("int")).alias("r"))
+        return x.select("id", "r.*").withColumns({c: e() for c, e in more.items()}).select("id", value().alias("value"))
+
+
+_PAIR = "a string, b string"
+by_row("n19_title_cases", _PAIR, "DOUBLE", lambda: F.round(text.title_score(F.col("a"), F.col("b")), 6), (("Perspectiva (Florianópolis)", "Perspectiva"), 1.0), (("Educação & Sociedade", "Educação e Sociedade"), 1.0), (("Revista Brasileira de Educação", "Revista Brasileira de Educação Especial"), 0.9), (("Química Nova", "Química Nova na Escola"), 0.9), (("", ""), 0.0), (("Foo bar baz", "Bar foo qux"), 0.5), (("Вестник Науки", "Вестник науки"), 1.0), (("Educa&ccedil;&atilde;o Hoje", "Educação hoje"), 1.0), (("Nature", "Science"), 0.0), (("!?", "x y"), 0.0), (("A", "a"), 1.0))
+by_row("n20_name_cases", _PAIR, "DOUBLE", lambda: F.round(rules.name_score("a", "b"), 6), (("abc", "abc"), 1.0), (("abc", "xyz"), 0.0), (("world", "word"), 0.444444), (("ab cd", "ab ce"), 0.566667))
+by_row("n21_contained_names", _PAIR, "BOOLEAN", lambda: text.contains_words(F.col("a"), F.col("b")), (("maria silva santos", "maria silva"), True), (("juliana lima", "ana"), False), (("ana paula", "ana"), False), (("a b c", "b c"), True))
+by_row("n23_affiliation_periods", "a boolean, s int, e int", "VARCHAR", lambda: rules.affiliation_period(F.col("a"), F.col("s"), F.col("e")), ((True, 2001, 2020), "2001–hoje"), ((False, 1999, 2010), "1999–2010"), ((False, 0, 2010), "até 2010"), ((False, 1999, None), "desde 1999"), ((True, None, 2000), None), ((False, None, 0), None))
+by_row("n27_project_periods", "s int, e int, t string", "VARCHAR", lambda: rules.project_period(F.col("s"), F.col("e"), F.col("t")), ((2019, None, "EM_ANDAMENTO"), "2019 – atual"), ((2015, 2018, "CONCLUIDO"), "2015 – 2018"), ((2020, 2020, None), "2020"), ((None, 2018, None), "Até 2018"), ((None, None, None), "Ano não informado"), ((2019, None, "CONCLUIDO"), "2019"))
+by_row("r9_shown_institution", _PAIR, "VARCHAR", lambda: curation.shown_institution(F.col("a"), F.col("b")), (("Universidade X", "UX"), "UX - Universidade X"), (("UX Universidade", "UX"), "UX Universidade"), (("Só nome", None), "Só nome"))
+by_row("m3_cleaned_terms", "x string", "VARCHAR", lambda: topics.cleaned(F.col("x")), ((" 'educação'. ",), "educação"), (("ab",), None), ((" 2020 ",), None), (("(a-b c);",), "a-b c"), (("x y",), "x y"))
+by_row(
+    "n7_trajectory_institution", "x string", "VARCHAR", lambda: rules.trajectory_institution(F.col("x"), F.col("k")), (("Universidade Federal de São Carlos",), "UFSCar"), (("Universidade de São Paulo",), "USP"), (("USP - Ribeirão",), "USP"), (("Universidade de Franca",), "UNESP"), (("UNESP Araraquara",), "UNESP"),
+    (("Pontifícia Universidade Católica de São Paulo",), "PUC-SP"), (("Universidade de Brasília",), "UnB"), (("UFMG",), "UFMG"), (("manuel",), "UEL"), (("",), "Não informado"), (("ESCOLA NORMAL",), "Escola Normal"), (("instituto superior de estudos muito longos",), "Instituto Superior De Estud..."), k=lambda: text.normalized(F.col("x")),
+)
+
+
+@query("b32_set_by_hand", "SELECT CAST(id + s_suppkey * 1000 AS BIGINT) AS id, area FROM supplier, (VALUES (1, 'direito'), (101, 'direito'), (13, 'saude')) AS e(id, area)")
+def _(t, s, d):
+    ids = _rows(s, d, "supplier", n="CAST(s_suppkey AS BIGINT)")
+    j = tiled(ids, [(1, None), (101, 1), (3, None), (13, None)], "id bigint, canonical_journal_id bigint", ("id", "canonical_journal_id"))
+    now = tiled(ids, [(101, "educacao"), (1, "direito"), (3, "saude"), (13, "saude")], "id bigint, area string", ("id",))
+    change = tiled(ids, [(101, "direito,nada,direito"), (3, "")], "id bigint, slugs string", ("id",)).withColumn("slugs", F.filter(F.split("slugs", ","), lambda x: x != ""))
+    return areas.set_by_hand(now, j, s.createDataFrame([("direito",), ("saude",)], "slug string"), change)
+
+
+@query("b20_overrides", "SELECT CAST(id + s_suppkey * 1000 AS BIGINT) AS id, area, display_title, CAST(head + s_suppkey * 1000 AS BIGINT) AS canonical_journal_id FROM supplier, (VALUES (1, 'Y', 'T', NULL), (2, 'B', 'N', 1), (3, 'C', NULL, NULL), (4, 'D', NULL, NULL)) AS e(id, area, display_title, head)")
+def _(t, s, d):
+    ids = _rows(s, d, "supplier", n="CAST(s_suppkey AS BIGINT)")
+    j = tiled(ids, [(1, "A", "T", None), (2, "B", None, None), (3, "C", None, 1), (4, "D", None, None)], "id bigint, area string, display_title string, canonical_journal_id bigint", ("id", "canonical_journal_id"))
+    events = tiled(ids, [(1, 1, "area", "X", None), (2, 1, "area", "Y", None), (3, 2, "family", None, 1), (4, 2, "display_title", "N", None), (5, 3, "family", "", None), (6, 4, "family", None, 3), (7, 4, "name", "zz", None)], "n bigint, id bigint, field string, value string, head bigint", ("id", "head"))
+    return curation.overridden(j, events.select("n", "id", "field", F.coalesce("value", F.col("head").cast("string")).alias("value")))
