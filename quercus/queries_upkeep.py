@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import rules, text
-from .operators import areas, countries, curation, entities, families as fam, journal_pipeline, journals as jn, legacy, merges, normalisation, thesaurus, topics
+from .operators import areas, audit, countries, curation, entities, families as fam, journal_pipeline, journals as jn, legacy, merges, normalisation, thesaurus, topics
 from .plans.bindings import new_path
 from .queries import I, J, L, R, X, YEAR, query
 from .sources import curriculum, curriculum_html
@@ -386,3 +386,43 @@ def _(t, s, d):
     j = tiled(ids, [(1, "A", "T", None), (2, "B", None, None), (3, "C", None, 1), (4, "D", None, None)], "id bigint, area string, display_title string, canonical_journal_id bigint", ("id", "canonical_journal_id"))
     events = tiled(ids, [(1, 1, "area", "X", None), (2, 1, "area", "Y", None), (3, 2, "family", None, 1), (4, 2, "display_title", "N", None), (5, 3, "family", "", None), (6, 4, "family", None, 3), (7, 4, "name", "zz", None)], "n bigint, id bigint, field string, value string, head bigint", ("id", "head"))
     return curation.overridden(j, events.select("n", "id", "field", F.coalesce("value", F.col("head").cast("string")).alias("value")))
+
+
+# --- A61, Z10: every order is an article; between two snapshots some gain, lose or change their journal ---
+def _snapshots(s, d: str) -> tuple[DataFrame, DataFrame]:
+    links = s.createDataFrame([(1, "WOS"), (1, "DOAJ"), (2, "WOS")], "journal_id long, acronym string")
+    items = lambda journal, qualis: _rows(s, d, "orders", id="CAST(o_orderkey AS BIGINT)", item_type="'ARTIGO'", qualis_journal_id=journal, qualis=qualis)
+    before = audit.link_state(items("CASE WHEN o_orderkey % 5 > 1 THEN CAST(o_orderkey % 5 - 1 AS BIGINT) END", "CASE WHEN o_orderkey % 2 = 0 THEN 'A1' ELSE '' END").where("id % 11 > 0"), links)
+    after = audit.link_state(items("CASE WHEN o_orderkey % 7 > 3 THEN CAST(o_orderkey % 7 - 3 AS BIGINT) END", "CASE WHEN o_orderkey % 4 = 0 THEN 'A1' WHEN o_orderkey % 4 = 1 THEN 'B1' END").where("id % 13 > 0"), links)
+    path = new_path(s, "links-audit")
+    audit.write_state(before, path, "2026-01-01T00:00:00Z")
+    return audit.read_state(s, path), after
+
+
+_STATES = """b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 > 1 THEN o_orderkey % 5 - 1 END AS j, CASE WHEN o_orderkey % 2 = 0 THEN 'A1' END AS q FROM orders WHERE o_orderkey % 11 > 0),
+ a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 > 3 THEN o_orderkey % 7 - 3 END AS j, CASE WHEN o_orderkey % 4 = 0 THEN 'A1' WHEN o_orderkey % 4 = 1 THEN 'B1' END AS q FROM orders WHERE o_orderkey % 13 > 0)"""
+_SUMS = "SELECT 'stratum' AS section, coalesce(q, 'Sem Qualis') AS key, count(*) AS n FROM {0} GROUP BY 2 UNION ALL SELECT 'database', x.acronym, count(*) FROM {0} JOIN (VALUES (1, 'WOS'), (1, 'DOAJ'), (2, 'WOS')) AS x(j, acronym) ON x.j = {0}.j GROUP BY 2 UNION ALL SELECT 'total', 'articles', count(*) FROM {0} UNION ALL SELECT 'total', 'linked', count(j) FROM {0}"
+
+
+@query(
+    "a61_link_audit",
+    f"""WITH {_STATES}, f AS (SELECT b.id AS bi, a.id AS ai, b.j AS bj, a.j AS aj, b.q AS bq, a.q AS aq FROM b FULL JOIN a ON a.id = b.id), sb AS ({_SUMS.format('b')}), sa AS ({_SUMS.format('a')})
+ SELECT 'links' AS section, CASE WHEN bi IS NULL THEN 'new' WHEN ai IS NULL THEN 'removed' WHEN bj IS NOT DISTINCT FROM aj THEN 'same' WHEN bj IS NULL THEN 'gained' WHEN aj IS NULL THEN 'lost' ELSE 'changed' END AS key, CAST(NULL AS BIGINT) AS before, count(*) AS after FROM f GROUP BY 2
+ UNION ALL SELECT 'links', 'other_changes', NULL, count(*) FROM f WHERE bi IS NOT NULL AND ai IS NOT NULL AND bj IS NOT DISTINCT FROM aj AND bq IS DISTINCT FROM aq
+ UNION ALL SELECT coalesce(sb.section, sa.section), coalesce(sb.key, sa.key), coalesce(sb.n, 0), coalesce(sa.n, 0) FROM sb FULL JOIN sa ON sa.section = sb.section AND sa.key = sb.key""",
+)
+def _(t, s, d):
+    return audit.compared(*_snapshots(s, d))
+
+
+@query("a61_transitions", f"WITH {_STATES} SELECT b.j AS from_id, a.j AS to_id, count(*) AS n, 'R' || b.j AS from_title, 'R' || a.j AS to_title FROM b JOIN a ON a.id = b.id WHERE b.j IS DISTINCT FROM a.j GROUP BY 1, 2")
+def _(t, s, d):
+    titles = s.createDataFrame([(1, "R1"), (2, "R2"), (3, "R3")], "id long, title string")
+    return audit.transitions(*_snapshots(s, d), titles)
+
+
+@query("a61_known_cases", "SELECT k AS case, CASE k WHEN 'mix' THEN n ELSE 0 END AS articles, CASE k WHEN 'mix' THEN e ELSE '' END AS examples FROM (VALUES ('mix'), ('none')) AS x(k), (SELECT count(*) AS n, array_to_string(list(o_orderkey ORDER BY o_orderkey)[1:5], ',') AS e FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 4 <> 2)")
+def _(t, s, d):
+    items = _rows(s, d, "orders", id="CAST(o_orderkey AS BIGINT)", item_type="'ARTIGO'", qualis_journal_id="CAST(o_orderkey % 3 AS BIGINT)", journal_name="CASE o_orderkey % 4 WHEN 2 THEN 'Caminhos da Educação' ELSE 'EDUCAÇÃO em Revista' END")
+    titles = s.createDataFrame([(0, "Outra"), (1, "Caminhos"), (2, None)], "id long, title string")
+    return audit.known_cases(items, titles, {"mix": (["educacao em revista", "educação"], ["caminhos"], ["CAMINHOS"]), "none": (["nada"], [], ["caminhos"])})
