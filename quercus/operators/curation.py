@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import name_score
 from ..functions.text import fold, keyword_key, normalized, resolver_key, topic_key
+from ..plans.storage import numbered
 from .figures import share
 
 # Tags of technical works and their types.
@@ -226,8 +227,8 @@ def enriched_orientations(orientations: DataFrame, theses: DataFrame, matches: D
 def ai_batches(families: DataFrame, per_file: int) -> DataFrame:
     """Families without an area, or with a low or medium confidence, in numbered batches; one JSON line each. families: fid, title, confidence."""
     todo = families.where("confidence IS NULL OR confidence IN ('low', 'medium')")
-    w = Window.orderBy("fid")
-    return todo.select((F.floor((F.row_number().over(w) - 1) / per_file) + 1).alias("batch"), "fid", F.to_json(F.struct("fid", "title")).alias("line"))
+    lines = numbered(todo.select("fid", F.to_json(F.struct("fid", "title")).alias("line")), ["fid", "line"], 0, "n")
+    return lines.select((F.floor((F.col("n") - 1) / per_file) + 1).alias("batch"), "fid", "line")
 
 
 def imported_batch(lines: DataFrame, families: DataFrame, taxonomy: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ A work that is stored once for each owner makes each pair once: pairs come from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from ..plans.storage import stored
+from ..plans.storage import numbered, stored
 
 
 #: Authors of a work that meet in one cell of pairs.
@@ -96,8 +96,8 @@ def ego(edge: DataFrame, focus: int) -> DataFrame:
 def matrix_nodes(edge: DataFrame, people: DataFrame) -> DataFrame:
     """Those with a partner or more, with their place by folded name, then id. people: id, full_name."""
     ids = edge.select(F.col("a").alias("id")).unionByName(edge.select(F.col("b").alias("id"))).distinct()
-    w = Window.orderBy("f", "id")  # the labels of a matrix's axis: as few as its rows
-    return people.join(ids, "id", "left_semi").select("id", "full_name", fold(F.col("full_name")).alias("f")).withColumn("place", F.row_number().over(w)).drop("f")
+    named = people.join(ids, "id", "left_semi").select("id", "full_name", fold(F.col("full_name")).alias("f"))
+    return numbered(named, ["f", "id"], 0, "place").select("id", "full_name", F.col("place").cast("int").alias("place"))
 
 
 def matrix(edge: DataFrame) -> DataFrame:

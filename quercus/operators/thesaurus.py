@@ -18,11 +18,11 @@ New ids go on from the largest stored one, for researchers by their id, then for
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import inverted_name, normalized
-from ..plans.storage import stored
+from ..plans.storage import numbered, stored
 from .families import components
 
 #: Longest stored name (fixed value).
@@ -33,20 +33,6 @@ def _key(c):
     return F.substring(normalized(F.substring(F.trim(c), 1, NAME_CHARS), upper=True), 1, NAME_CHARS)
 
 
-def numbered(df: DataFrame, order: str, start: int, name: str = "id") -> DataFrame:
-    """df with numbers from start + 1 on by `order`: ranges are sorted apart, and only their sizes come to the driver."""
-    parts, _ = stored(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()), "ranges")
-    offset, at = {}, start
-    for r in sorted(parts.groupBy("__part").count().collect()):
-        offset[r["__part"]] = at
-        at += r["count"]
-    if not offset:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    starts = F.create_map(*(F.lit(x) for kv in offset.items() for x in kv))
-    w = Window.partitionBy("__part").orderBy(order)
-    return parts.withColumn(name, (starts[F.col("__part")] + F.row_number().over(w)).cast("long")).drop("__part")
-
-
 def _owners(keys: DataFrame) -> DataFrame:
     """key and the lowest identity that has it."""
     return keys.where("key <> ''").groupBy("key").agg(F.min("identity_id").alias("identity_id"))

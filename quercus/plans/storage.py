@@ -7,7 +7,8 @@ import posixpath
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _folders: dict[str, SparkSession] = {}
 
@@ -48,3 +49,18 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def numbered(df: DataFrame, order: str | list[str], start: int, name: str = "id") -> DataFrame:
+    """df with numbers from start + 1 on by `order`, a column or several: ranges are sorted apart, and only their sizes come to the driver."""
+    order = [order] if isinstance(order, str) else order
+    parts, _ = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    offset, at = {}, start
+    for r in sorted(parts.groupBy("__part").count().collect()):
+        offset[r["__part"]] = at
+        at += r["count"]
+    if not offset:
+        return df.withColumn(name, F.lit(None).cast("long"))
+    starts = F.create_map(*(F.lit(x) for kv in offset.items() for x in kv))
+    w = Window.partitionBy("__part").orderBy(*order)
+    return parts.withColumn(name, (starts[F.col("__part")] + F.row_number().over(w)).cast("long")).drop("__part")
