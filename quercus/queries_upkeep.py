@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import rules, text
-from .operators import areas, audit, countries, curation, entities, families as fam, journal_pipeline, journals as jn, legacy, merges, normalisation, thesaurus, topics
+from .operators import areas, audit, countries, curation, entities, families as fam, figures, journal_pipeline, journals as jn, legacy, merges, normalisation, thesaurus, topics
 from .plans.bindings import new_path
 from .queries import I, J, L, R, X, YEAR, query
 from .sources import curriculum, curriculum_html
@@ -426,3 +426,54 @@ def _(t, s, d):
     items = _rows(s, d, "orders", id="CAST(o_orderkey AS BIGINT)", item_type="'ARTIGO'", qualis_journal_id="CAST(o_orderkey % 3 AS BIGINT)", journal_name="CASE o_orderkey % 4 WHEN 2 THEN 'Caminhos da Educação' ELSE 'EDUCAÇÃO em Revista' END")
     titles = s.createDataFrame([(0, "Outra"), (1, "Caminhos"), (2, None)], "id long, title string")
     return audit.known_cases(items, titles, {"mix": (["educacao em revista", "educação"], ["caminhos"], ["CAMINHOS"]), "none": (["nada"], [], ["caminhos"])})
+
+
+# --- rules whose rows stand alone: a table's rows take given rows by their number ---
+def _picked(s, d: str, rows: list[tuple], schema: str) -> DataFrame:
+    """id of every order, and the columns of the row at its number modulo theirs."""
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    each = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, (c, k) in zip(r, fields))) for r in rows))
+    return s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.get(each, (F.col("o_orderkey") % len(rows)).cast("int")).alias("r")).select("id", "r.*")
+
+
+def _area_thesaurus(s):
+    tax = s.createDataFrame([("educacao", "Educação"), ("fisica", "Física"), ("ensino", "Ensino")], "slug string, name string")
+    v = s.createDataFrame([("wos", "Teaching", "educacao", False, "active"), ("doaj", "teaching", "ensino", False, "active"), ("livre", "Teaching, General", "ensino", True, "active"), ("doaj", "Nothing", None, False, "ignored")], "vocabulary string, label string, slug string, manual boolean, status string")
+    return areas.thesaurus_groups(v, tax), tax
+
+
+@query("n30_area_columns", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'Física' WHEN 1 THEN 'Ensino' WHEN 2 THEN 'xyz' END AS area, CASE o_orderkey % 4 WHEN 1 THEN 'Teaching, General' WHEN 2 THEN 'xyz' END AS area_raw FROM orders")
+def _(t, s, d):
+    groups, tax = _area_thesaurus(s)
+    return areas.area_columns(_picked(s, d, [("Física",), ("Teaching, General",), (" xyz ",), ("",)], "area string"), groups, tax)
+
+
+@query("b10_title_rules", "SELECT o_orderkey AS id, slug, CAST(weight AS DOUBLE) AS weight FROM orders JOIN (VALUES (0, 'educacao', 0.3334), (0, 'saude', 0.3333), (0, 'fisica', 0.3333), (1, 'saude', 1.0)) AS e(k, slug, weight) ON k = o_orderkey % 3")
+def _(t, s, d):
+    j = _picked(s, d, [("Revista de Educação, Saúde e Física",), ("SAÚDE pública",), ("Outra",)], "title string")
+    return curation.title_rules(j, [("educacao", "educacao"), ("saude", "saude"), ("fisica", "fisica")]).select("id", "slug", F.col("weight").cast("double").alias("weight"))
+
+
+@query("n22_source_countries", "SELECT o_orderkey AS id, CASE o_orderkey % 10 WHEN 0 THEN 'BR' WHEN 1 THEN 'MX' WHEN 3 THEN 'BR' WHEN 4 THEN 'GB' WHEN 5 THEN 'US' WHEN 7 THEN 'BR' END AS country FROM orders")
+def _(t, s, d):
+    rows = [("doaj", "Brazil"), ("latindex", " México "), ("doaj", "Atlantis"), ("openalex", "br"), ("openalex", "XXK"), ("openalex", "CAU"), ("openalex", "SA"), ("openalex", "BL"), ("scopus", "Brazil"), ("openalex", "ZZ")]
+    names = s.createDataFrame([("brazil", "BR"), ("brasil", "BR"), ("mexico", "MX")], "key string, code string")
+    known = s.createDataFrame([("BR",), ("MX",), ("GB",), ("US",), ("SA",)], "code string")
+    return curation.source_country(_picked(s, d, rows, "source string, raw string"), names, known, {"BL": "BR"}, {"K": "GB", "U": "US"}, ["SA"]).select("id", "country")
+
+
+@query("b21_enriched_issns", f"SELECT CAST(p_partkey AS BIGINT) AS id, {_issn('1000000 + p_partkey').replace('AS STRING', 'AS VARCHAR')} AS issn FROM part WHERE p_partkey % 4 = 0")
+def _(t, s, d):
+    """Rows without ISSN; a quarter has a title that one record has, another shares it, another's title two records have, another has none."""
+    own = "CASE WHEN p_partkey % 4 < 2 THEN concat('Alfa ', CAST(p_partkey AS STRING)) WHEN p_partkey % 4 = 2 THEN 'Beta' ELSE concat('Gama ', CAST(p_partkey AS STRING)) END"
+    j = _rows(s, d, "part", id="CAST(p_partkey AS BIGINT)", title=own, issn="''")
+    r = _rows(s, d, "part", k="p_partkey % 4", title=f"upper({own})", number=_issn("1000000 + p_partkey"))
+    twice = r.where("k = 1").withColumn("number", F.lit("0378-5955"))
+    return fam.enriched_issns(j, r.where("k <= 2").unionByName(twice).select("title", F.array("number").alias("issns")))
+
+
+@query("n8_trajectory_category", "SELECT g AS graduation, m AS master, d AS doctorate, c AS category, CAST(count(*) AS BIGINT) AS total FROM supplier, (VALUES ('UFMG', 'Doutorado Direto', 'UnB', 'Outras'), ('USP', 'Doutorado Direto', 'UFRJ', 'Federais'), ('Graduação Não Inf.', 'UEL', 'Exterior - X', 'Exterior')) AS e(g, m, d, c) GROUP BY 1, 2, 3, 4")
+def _(t, s, d):
+    rows = [(1, 1, "GRADUACAO", "UFMG", 1990), (2, 1, "DOUTORADO", "UnB", None), (3, 2, "GRADUACAO", "USP", 1980), (4, 2, "GRADUACAO", "UEM", 1981), (5, 2, "DOUTORADO", "UFRJ", 1999), (6, 3, "MESTRADO", "UEL", 2000), (7, 3, "DOUTORADO", "Exterior - X", 2003)]
+    ids = _rows(s, d, "supplier", n="CAST(s_suppkey AS BIGINT)")
+    return figures.trajectories(tiled(ids, rows, "id bigint, researcher_id bigint, level string, institution_name string, start_year int", ("id", "researcher_id")))
