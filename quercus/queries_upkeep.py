@@ -249,10 +249,10 @@ def _(t, s, d):
     return entities.match_authors(names, people).select("name", "researcher_id")
 
 
-@query("r7_table_institutions", "SELECT name, CAST(max(i) AS BIGINT) AS institution_id FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'UNIVERSIDADE DE X' || (c_custkey % 40) WHEN 1 THEN 'Departamento - Universidade de X' || (c_custkey % 40) ELSE 'Nada ' || c_custkey END AS name, CASE WHEN c_custkey % 3 < 2 AND c_custkey % 40 IN (SELECT s_suppkey FROM supplier) THEN c_custkey % 40 END AS i FROM customer) GROUP BY name")
+@query("r7_table_institutions", "SELECT name, CAST(max(i) AS BIGINT) AS institution_id FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'UNIVERSIDADE DE X' || (c_custkey % 40) || ' SUL' WHEN 1 THEN 'Departamento - Universidade de X' || (c_custkey % 40) || ' Sul' ELSE 'Nada ' || c_custkey END AS name, CASE WHEN c_custkey % 3 < 2 AND c_custkey % 40 IN (SELECT s_suppkey FROM supplier) THEN c_custkey % 40 END AS i FROM customer) GROUP BY name")
 def _(t, s, d):
-    names = _rows(s, d, "customer", name="CASE c_custkey % 3 WHEN 0 THEN concat('UNIVERSIDADE DE X', CAST(c_custkey % 40 AS STRING)) WHEN 1 THEN concat('Departamento - Universidade de X', CAST(c_custkey % 40 AS STRING)) ELSE concat('Nada ', CAST(c_custkey AS STRING)) END")
-    places = _rows(s, d, "supplier", id="CAST(s_suppkey AS BIGINT)", name="concat('Universidade de X', CAST(s_suppkey AS STRING))")
+    names = _rows(s, d, "customer", name="CASE c_custkey % 3 WHEN 0 THEN concat('UNIVERSIDADE DE X', CAST(c_custkey % 40 AS STRING), ' SUL') WHEN 1 THEN concat('Departamento - Universidade de X', CAST(c_custkey % 40 AS STRING), ' Sul') ELSE concat('Nada ', CAST(c_custkey AS STRING)) END")
+    places = _rows(s, d, "supplier", id="CAST(s_suppkey AS BIGINT)", name="concat('Universidade de X', CAST(s_suppkey AS STRING), ' Sul')")
     return entities.match_institutions(names, places)
 
 
