@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 
-# What countries are also called, in two languages, by their code.
+# What countries are also called, in two languages, with their code.
 ALIASES = {
-    "BR": "brasil, brazil, bra, brasileira, brasileiro", "US": "eua, usa, estados unidos, estados unidos da america, united states", "GB": "reino unido, uk, united kingdom, inglaterra, england", "FR": "franca, france", "DE": "alemanha, germany, deutschland",
-    "ES": "espanha, spain, espana", "IT": "italia, italy", "PT": "portugal", "AR": "argentina", "CL": "chile", "UY": "uruguai, uruguay", "CA": "canada", "MX": "mexico", "AU": "australia", "JP": "japao, japan", "CN": "china", "NL": "holanda, netherlands", "CH": "suica, switzerland",
-    "CO": "colombia", "PE": "peru", "CU": "cuba", "IN": "india", "RU": "russia", "ZA": "africa do sul, south africa", "SE": "suecia, sweden", "NO": "noruega, norway", "DK": "dinamarca, denmark", "BE": "belgica, belgium",
+    "brasil": "BR", "brazil": "BR", "bra": "BR", "brasileira": "BR", "brasileiro": "BR", "eua": "US", "usa": "US", "estados unidos": "US", "estados unidos da america": "US", "united states": "US", "reino unido": "GB", "uk": "GB", "united kingdom": "GB", "inglaterra": "GB", "england": "GB",
+    "franca": "FR", "france": "FR", "alemanha": "DE", "germany": "DE", "deutschland": "DE", "espanha": "ES", "spain": "ES", "espana": "ES", "italia": "IT", "italy": "IT", "portugal": "PT", "argentina": "AR", "chile": "CL", "uruguai": "UY", "uruguay": "UY", "canada": "CA", "mexico": "MX",
+    "australia": "AU", "japao": "JP", "japan": "JP", "china": "CN", "holanda": "NL", "netherlands": "NL", "suica": "CH", "switzerland": "CH", "colombia": "CO", "peru": "PE", "cuba": "CU", "india": "IN", "russia": "RU", "africa do sul": "ZA", "south africa": "ZA", "suecia": "SE", "sweden": "SE",
+    "noruega": "NO", "norway": "NO", "dinamarca": "DK", "denmark": "DK", "belgica": "BE", "belgium": "BE",
 }
 # What those that aren't stored are called.
 NAMES = {
@@ -34,7 +35,7 @@ def _code(c: str) -> Column:
 def country_keys(countries: DataFrame, variants: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
     """Key, country_id, common_name, iso2, iso3, kind, place, ambiguous: a row a key.
 
-    Kinds in order: the codes and names of stored countries (iso2, iso3, name, official), of which the larger id has a key that several claim; variants, the lower row first; aliases by code,
+    Kinds in order: the codes and names of stored countries (iso2, iso3, name, official), of which the larger id has a key that several claim; variants, the lower row first; aliases (alias: code),
     which stand for the stored country of that code, else for one without id. A kind never takes a key of an earlier one. ambiguous: several countries of the deciding kind claim the key.
     countries: id, common_name, official_name, iso2, iso3; variants: id, country_id, name, and those of countries that aren't there don't count. place orders the keys as they came.
     """
@@ -47,8 +48,8 @@ def country_keys(countries: DataFrame, variants: DataFrame | None = None, aliase
     if variants is not None:
         v = variants.join(c.select(F.col("id").alias("country_id"), "common_name", "iso2", "iso3"), "country_id").withColumn("key", normalized(F.col("name"))).where("key <> ''")
         out = out.unionByName(v.select("key", *facts, F.lit("variant").alias("kind"), F.lit(1).alias("stage"), F.struct(F.col("id").alias("id"), F.lit(0).alias("n")).alias("rank"), F.struct(F.lit(1).alias("s"), F.col("id").cast("long").alias("i"), F.lit(0).cast("long").alias("n")).alias("place")))
-    rows = [(i, n, code, a.strip(), NAMES.get(code)) for i, (code, names) in enumerate((ALIASES if aliases is None else aliases).items()) for n, a in enumerate(names.split(","))]
-    a = spark.createDataFrame(rows, "i long, n long, code string, alias string, called string")
+    rows = [(i, code, alias, NAMES.get(code)) for i, (alias, code) in enumerate((ALIASES if aliases is None else aliases).items())]
+    a = spark.createDataFrame(rows, "i long, code string, alias string, called string").withColumn("n", F.lit(0).cast("long"))
     by_code = c.where("iso2 IS NOT NULL").groupBy(F.col("iso2").alias("code")).agg(F.max_by(F.struct(F.col("id").alias("country_id"), "common_name", "iso2", "iso3"), "id").alias("x"))
     a = a.join(by_code, "code", "left").withColumn("key", normalized(F.col("alias"))).where("key <> ''")
     a = a.select("key", F.coalesce("x.country_id", F.lit(0)).alias("country_id"), F.coalesce("x.common_name", "called", F.initcap("alias")).alias("common_name"), F.coalesce("x.iso2", "code").alias("iso2"), F.col("x.iso3").alias("iso3"), F.lit("alias").alias("kind"), F.lit(2).alias("stage"), F.struct(F.col("i").alias("id"), F.col("n").cast("int").alias("n")).alias("rank"), F.struct(F.lit(2).alias("s"), F.col("i").alias("i"), F.col("n").alias("n")).alias("place"))
@@ -67,7 +68,7 @@ def resolved(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     facts = ["country_id", "common_name", "iso2", "iso3"]
     texts = rows.select(F.col(column).alias("__text")).distinct().withColumn("__norm", normalized(F.col("__text"))).where("__norm <> ''")
     forms = texts.select("__text", F.posexplode(F.array("__norm", F.lower(F.trim("__text")))).alias("step", "key"))
-    exact = forms.join(keys, "key").groupBy("__text").agg(F.min_by(F.struct(*facts, F.col("kind").alias("how")), "step").alias("x"))
+    exact = forms.join(keys, "key").groupBy("__text").agg(F.min_by(F.struct(*facts, F.col("kind").alias("how")), "step").alias("__x"))
     rest = texts.join(exact.select("__text"), "__text", "left_anti")
     long_ = keys.where(F.octet_length("key") > GRAM - 1)
     grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))
@@ -76,8 +77,8 @@ def resolved(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     parts = long_.select("key", "place", F.explode(F.array_distinct(F.flatten(F.array(*(grams(F.col("key"), n) for n in range(1, GRAM + 1)))))).alias("g"))
     around = rest.select("__text", "__norm", F.substring("__norm", 1, GRAM).alias("g")).join(parts, "g").where(F.contains("key", F.col("__norm")))
     first = inside.select("__text", "key", "place").unionByName(around.select("__text", "key", "place")).groupBy("__text").agg(F.min_by("key", "place").alias("key"))
-    found = first.join(keys, "key").select("__text", F.struct(*facts, F.lit("part").alias("how")).alias("x"))
-    return rows.join(exact.unionByName(found).withColumnRenamed("__text", column), column, "left").select(*rows.columns, *(F.col(f"x.{f}").alias(f) for f in (*facts, "how")))
+    found = first.join(keys, "key").select("__text", F.struct(*facts, F.lit("part").alias("how")).alias("__x"))
+    return rows.join(exact.unionByName(found).withColumnRenamed("__text", column), column, "left").select(*rows.columns, *(F.col(f"__x.{f}").alias(f) for f in (*facts, "how")))
 
 
 def codes(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def _(t, s, d):
 
 
 # --- R8, N22 ---
-_ALIASES = {"XK": "kosovo, republica do kosovo", "Q3": "o terceiro"}
+_ALIASES = {"kosovo": "XK", "republica do kosovo": "XK", "o terceiro": "Q3"}
 _COUNTRIES = {"id": "CAST(n_nationkey + 1 AS BIGINT)", "common_name": "n_name", "official_name": "concat('Reino de ', n_name)", "iso2": "concat('q', CAST(n_nationkey % 10 AS STRING))", "iso3": "concat('qq', CAST(n_nationkey AS STRING))"}
 _ASKED = "CASE c_custkey % 9 WHEN 0 THEN lower(n) WHEN 1 THEN concat('  REINO de ', n, '!') WHEN 2 THEN concat('QQ', CAST(k AS STRING)) WHEN 3 THEN concat('Q', CAST(k % 10 AS STRING)) WHEN 4 THEN concat('no ', n, ' (exterior)') WHEN 5 THEN 'Kosovo' WHEN 6 THEN '???' WHEN 7 THEN concat('Variante ', CAST(k AS STRING)) ELSE 'zzz' END"
 
