@@ -418,7 +418,7 @@ def test_curation(spark):
     from quercus.operators import curation as c
 
     row = lambda sql, schema: spark.createDataFrame(sql, schema)
-    assert one(spark, c.flag(F.lit("BR"))) == "\U0001f1e7\U0001f1f7" and one(spark, c.country_code(F.lit("EUA"))) == "US"
+    assert one(spark, c.flag(F.lit("BR"))) == "\U0001f1e7\U0001f1f7"
     assert one(spark, c.technical_type(F.lit("MARCA"))) == "MARCA" and one(spark, c.technical_type(F.lit("X"))) == "TRABALHO_TECNICO"
     assert not one(spark, c.is_name(F.lit("<b>x"))) and not one(spark, c.is_name(F.lit("--"))) and one(spark, c.is_name(F.lit("Revista A")))
     assert one(spark, c.shown_institution(F.lit("Universidade X"), F.lit("UX"))) == "UX - Universidade X"
@@ -508,8 +508,6 @@ def test_rare_words_countries_and_institution_prefixes(spark):
     e = c.external_names(spark.createDataFrame(records, "src string, name string, fid long"), spark.createDataFrame([("k",)], "key string"), spark.createDataFrame(titles, "fid long, title string"))
     got = {x.name: x.score for x in e.collect()}
     assert set(got) - {"Social Sciences"} == {"Changing English"} and got["Changing English"] < 0.6 <= got.get("Social Sciences", 1)
-    table = {"JP": ["Japão", "Japan"], "DE": ["alemanha"]}
-    assert [one(spark, c.country_code(F.lit(x), table)) for x in ("JAPAO", "jp", "Alemanha", "Brasil")] == ["JP", "JP", "DE", None]
     inst = spark.createDataFrame([(5, "USP"), (6, "Universidade Federal"), (4, "Universidade de Brasília")], "id long, name string")
     names = spark.createDataFrame([("USP - Campus",), ("Universidade de Brasília, Darcy Ribeiro",), ("Univ",), ("Universidade",), (None,)], "name string")
     assert {tuple(r) for r in entities.match_institutions(names, inst).collect()} == {("USP - Campus", 5), ("Universidade de Brasília, Darcy Ribeiro", 4), ("Univ", None), ("Universidade", 4), (None, None)}
