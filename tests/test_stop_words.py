@@ -19,7 +19,7 @@ def test_no_word_of_the_list_is_a_term(spark):
     assert len(engine.INDEX_STOPS) == len(set(engine.INDEX_STOPS)) == 305
 
 
-@pytest.mark.parametrize("name", ["x4_five_branches"])
+@pytest.mark.parametrize("name", ["x4_five_branches", "x5_links"])
 def test_index_has_the_whole_list(spark, duck, name):  # noqa: F811
     """'Teoria do Estado Novo' is the other title of some orientations; 'estado' is no term, so nothing is compounded with it."""
     for keys in ({r.key for r in engine.QUERIES[name](spark, SF).select("key").collect()}, {k for (k,) in duck.execute(f"SELECT key FROM ({engine.SQL[name]})").fetchall()}):
