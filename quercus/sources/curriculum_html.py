@@ -7,6 +7,7 @@ into the form of `curriculum.nodes`, whose functions then make the child tables.
 Where the page says less than the file the fields are empty: no codes, no numbers of other people. A `<br>` ends a line. A curriculum's
 number is that of its address; a page without one gives no rows. A work that several cells hold (a block and the cell in it) is one, told
 by type, year, title and authors; the last author is without the dot before the title. Cells of under ten characters are no works. Nested or unclosed elements end with what holds them.
+A year is the one that is said of the work, behind its title (the original takes the first number that looks like one, also from the title or the name of a student or book).
 """
 
 from __future__ import annotations
@@ -219,6 +220,8 @@ def _node(df: DataFrame, section: str | Column, tag: Column | None = None, **par
 
 
 YEAR = r"\b((?:19|20)\d{2})\b"
+#: A year that is a field of its own, not a page, volume or number.
+FIELD = r"(?i)(?:^|(?<!\b(?:pp?|v|vol|n))\.|[,;:(])\s*((?:19|20)\d{2})(?=\s*(?:[.,;()]|$))"
 YEARS = r"(?i)\b((?:19|20)\d{2})\s*-\s*((?:19|20)\d{2}|Atual)\b"
 
 
@@ -227,6 +230,17 @@ def _start_end(c: Column) -> tuple[Column, Column]:
     return F.regexp_extract(c, YEARS, 1), F.when(end.rlike(r"^\d"), end)
 
 
+def _first_said(*found: Column) -> Column:
+    """The first that isn't empty, '' if all are."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in found), F.lit(""))
+
+
+def _last_field(c: Column) -> Column:
+    """The last year that is a field of its own."""
+    years = F.regexp_extract_all(c, F.lit(FIELD), 1)
+    return F.get(years, F.size(years) - 1)
+
+
 def _by_words(c: Column, rules: list[tuple[str, str]], otherwise: Column | str | None = None) -> Column:
     """The first rule whose words the text has."""
     out = otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
@@ -372,6 +386,19 @@ def _listed_items(c: DataFrame, words: str) -> DataFrame:
     return _in_section(c, words).where("kind = 'item' OR kind = 'pad' AND NOT in_item").where(F.length("text") >= 10).withColumn("clean", F.regexp_replace("text", r"^\d+[.)]\s*", ""))
 
 
+# Words that stand after the year of a thesis.
+THESES = r"(?i)\b((?:19|20)\d{2})\.\s*(?:disserta|tese|monografia|trabalho|relat|inicia|orienta|supervis|exame)"
+
+
+def _thesis_year() -> Column:
+    """The year behind the title, which is bold; without one, that before the kind of thesis, that of the beginning, or a field after the first name."""
+    bold, start = F.coalesce("bold", F.lit("")), F.length(F.regexp_replace(F.coalesce("before_bold", F.lit("")), r"(?U)^\s+", "")) + 1
+    at = F.position(bold, F.col("text"), start)
+    after = F.when((bold != "") & (at > 0), F.col("text").substr(at + F.length(bold), F.length("text")))
+    named = F.regexp_extract("clean", r"(?s)^[^.]*(\..*)$", 1)
+    return _first_said(F.regexp_extract(after, FIELD, 1), F.regexp_extract("clean", THESES, 1), F.regexp_extract("clean", r"(?i)in[íi]cio:\s*((?:19|20)\d{2})\b", 1), F.regexp_extract(after, YEAR, 1), F.regexp_extract(named, FIELD, 1), F.regexp_extract("text", YEAR, 1))
+
+
 def _orientations(c: DataFrame) -> DataFrame:
     d = _listed_items(c, "orienta[çc]")
     sub, low = F.lower("sub"), F.lower("text")
@@ -382,7 +409,7 @@ def _orientations(c: DataFrame) -> DataFrame:
     student = F.when(bold, F.regexp_replace(F.trim(F.regexp_replace(F.trim("before_bold"), r"^\d+[.)]\s*", "")), r"\.$", "")).otherwise(F.trim(F.get(halves, 0)))
     title = F.when(bold, F.col("bold")).otherwise(F.trim(F.coalesce(F.get(halves, 1), F.col("clean"))))
     kind = _by_words(F.concat_ws(" ", sub, low), ORIENTATIONS, "OUTRA")
-    basic = _map(NATUREZA=kind, TITULO=F.substring(title, 1, 500), ANO=F.regexp_extract("text", YEAR, 1))
+    basic = _map(NATUREZA=kind, TITULO=F.substring(title, 1, 500), ANO=_thesis_year())
     return _node(d, section, basic=basic, detail=_map(NOME_DO_ORIENTADO=F.coalesce(F.nullif(student, F.lit("")), F.lit("Orientando")), NOME_DA_INSTITUICAO=_get(SCHOOL)))
 
 
@@ -390,14 +417,14 @@ def _boards(c: DataFrame) -> DataFrame:
     d = _listed_items(c, "banca")
     kind = _by_words(F.lower(F.concat_ws(" ", "text", "heading")), [("doutorado", "DOUTORADO"), ("qualifica[çc][ãa]o", "QUALIFICACAO"), ("(?<!pós-)gradua[çc][ãa]o|tcc", "GRADUACAO"), ("concurso|comiss[õãao]+e?s? julgadoras?", "CONCURSO")], "MESTRADO")
     title = F.substring(F.coalesce(F.nullif("bold", F.lit("")), F.col("clean")), 1, 500)
-    return _node(d, "board", kind, basic=_map(TITULO=title, ANO=F.regexp_extract("text", YEAR, 1)), detail=_map(NOME_DO_CANDIDATO=_get(r"(?i)banca\s+(?:examinadora\s+)?de\s+([^.]+?)(?:\.|$)"), NOME_DA_INSTITUICAO=_get(SCHOOL)))
+    return _node(d, "board", kind, basic=_map(TITULO=title, ANO=_thesis_year()), detail=_map(NOME_DO_CANDIDATO=_get(r"(?i)banca\s+(?:examinadora\s+)?de\s+([^.]+?)(?:\.|$)"), NOME_DA_INSTITUICAO=_get(SCHOOL)))
 
 
 def _participations(c: DataFrame) -> DataFrame:
     d = _listed_items(c, "eventos?")
     kind = F.translate(F.upper(_get(r"(?i)\((Congresso|Simpósio|Seminário|Encontro|Oficina|Outro)\)")), "ÓÁ", "OA")
     mode = F.when(F.lower("heading").rlike("organiza|organizou"), "ORGANIZACAO").otherwise("PARTICIPACAO")
-    return _node(d, "participation", kind, basic=_map(ANO=F.regexp_extract("text", YEAR, 1), TIPO_PARTICIPACAO=mode), detail=_map(NOME_DO_EVENTO=F.substring("clean", 1, 500)))
+    return _node(d, "participation", kind, basic=_map(ANO=_first_said(_last_field(F.col("clean")), F.regexp_extract("text", YEAR, 1)), TIPO_PARTICIPACAO=mode), detail=_map(NOME_DO_EVENTO=F.substring("clean", 1, 500)))
 
 
 def _head(c: DataFrame) -> DataFrame:

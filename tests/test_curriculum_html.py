@@ -141,3 +141,20 @@ def test_odd_pages(spark):
     assert sorted(r.full_name for r in curriculum.researchers(n).collect()) == ["A", "Rita Amp&atilde;ro  Dias", "Rita Amp&atilde;ro  Dias"]
     assert curriculum.productions(n).where("title = 'Ruas e rios'").count() == 1
     assert curriculum_html.nodes(pages.where(F.lit(False))).count() == 0
+
+
+HEAD = f'<div class="infpessoa"><h2 class="nome">A</h2></div><ul><li>Endereço para acessar este CV: http://lattes.cnpq.br/{NUMBER}</li></ul>'
+
+
+def test_years_of_theses(spark):
+    """Years in titles and in students' names are not those of the theses."""
+    page = (
+        HEAD
+        + section("OrientacoesConcluidas", "Orientações e supervisões concluídas", item(1, "Aluno 1900. <b>Tema 1901</b>. 2003. Dissertação (Mestrado em Letras) - Universidade Modelo.") + item(2, "Eva Luz. O ano 1922, 1923. 2013. Tese (Doutorado em História) - Universidade Modelo."))
+        + section("OrientacoesAndamento", "Orientações e supervisões em andamento", item(1, "Ivo Melo. Praças de 1930. Início: 2023. Iniciação científica (Graduando em História) - Universidade Modelo."))
+        + section("BancasTrabalhoConclusao", "Participação em bancas de trabalhos de conclusão", item(1, "DIAS, R. A.. Participação em banca de Caio Nunes. Vilas de 1908. 2011. Dissertação (Mestrado em História) - Universidade Modelo."))
+        + section("ParticipacaoEventos", "Participação em eventos, congressos, exposições e feiras", item(1, "Simpósio 1989 de Arquivos. 2010. (Simpósio)."))
+    )
+    n, _ = curriculum_html.stored_nodes(spark.createDataFrame([(page,)], "content string"))
+    assert sorted((r.student_name, r.year) for r in curriculum.orientations(n).collect()) == [("Aluno 1900", 2003), ("Eva Luz", 2013), ("Ivo Melo", 2023)]
+    assert curriculum.boards(n).first().year == 2011 and curriculum.participations(n).first().year == 2010
