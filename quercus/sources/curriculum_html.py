@@ -355,7 +355,9 @@ def _productions(c: DataFrame) -> DataFrame:
     d = d.withColumn("clean", clean).withColumn("by", F.trim(F.regexp_extract("clean", cut, 1))).withColumn("rest", F.when(F.col("clean").rlike(cut), F.trim(F.regexp_extract("clean", cut, 2))).otherwise(F.col("clean")))
     halves = F.when(F.col("clean").rlike(cut), F.split("rest", r"\.\s+(?=[0-9A-Z]|v\.)", 2)).otherwise(F.array("rest"))
     d = d.withColumn("halves", halves).withColumn("title", F.regexp_replace(F.trim(F.get("halves", 0)), r"\.$", "")).withColumn("rest", F.coalesce(F.trim(F.get("halves", 1)), F.lit("")))
-    d = d.withColumn("year", F.regexp_extract("text", YEAR, 1))
+    # Where a work is printed the year ends what is said of that; elsewhere it comes first after the title.
+    field = F.when(F.col("what").isin("article", "book", "chapter", "newspaper"), _last_field(F.col("rest"))).otherwise(F.regexp_extract("rest", FIELD, 1))
+    d = d.withColumn("year", _first_said(field, F.regexp_extract("rest", YEAR, 1), _last_field(F.col("clean")), F.regexp_extract("clean", YEAR, 1)))
     # The block and the cell in it are one work, as are cells of the same title, year and authors.
     same = Window.partitionBy("curriculum_id", "what", "year", F.lower("title"), F.lower(F.substring("by", 1, 100))).orderBy("pos")
     d = d.withColumn("again", F.row_number().over(same)).where("again = 1")

@@ -158,3 +158,18 @@ def test_years_of_theses(spark):
     n, _ = curriculum_html.stored_nodes(spark.createDataFrame([(page,)], "content string"))
     assert sorted((r.student_name, r.year) for r in curriculum.orientations(n).collect()) == [("Aluno 1900", 2003), ("Eva Luz", 2013), ("Ivo Melo", 2023)]
     assert curriculum.boards(n).first().year == 2011 and curriculum.participations(n).first().year == 2010
+
+
+#: Items whose titles and names hold years, with the year that is said of them.
+WORK_YEARS = [
+    ("ArtigosCompletos", "Artigos completos publicados em periódicos", "DIAS, R. A. . Um artigo da página 1900. REVISTA A, v. 3, n. 2, p. 1-10, 2000.", 2000), ("ArtigosCompletos", "Artigos completos publicados em periódicos", "DIAS, R. A. . Brasil, 1964. Cadernos 1970, v. 2001, p. 1990, 2002.", 2002),
+    ("LivrosCapitulos", "Livros publicados/organizados ou edições", "DIAS, R. A. . A revolta de 1904. 1. ed. Santos: Casa Exemplo, 2018. v. 1. 146p .", 2018), ("CapitulosLivros", "Capítulos de livros publicados", "DIAS, R. A. . Meio século. In: Livro 1950. 1. ed. Santos: Casa Exemplo, 2001. p. 1990-1999.", 2001),
+    ("TextosJornaisRevistas", "Textos em jornais de notícias/revistas", "DIAS, R. A. . Lembrar 1968. Folha Local, Rio Claro, p. A3, 10 mar. 2019.", 2019), ("ResumosExpandidosAnaisCongresso", "Resumos expandidos publicados em anais de congressos", "DIAS, R. A. . Mapas de 1822 a 1922. In: Encontro de História, 2016, Santos. Anais... 2017.", 2016),
+    ("AssessoriaConsultoria", "Assessoria e consultoria", "DIAS, R. A. . Parecer sobre o plano 2030. 2015.", 2015), ("AssessoriaConsultoria", "Assessoria e consultoria", "DIAS, R. A. . Parecer de março de 1999", 1999),
+]
+
+
+def test_years_of_works(spark):
+    """Years in titles, pages and the names of books and journals are not those of the works."""
+    n, _ = curriculum_html.stored_nodes(spark.createDataFrame([(HEAD + "".join(listed(a, t, x) for a, t, x, _ in WORK_YEARS),)], "content string"))
+    assert [r.year for r in curriculum.productions(n).orderBy("pos").collect()] == [y for *_, y in WORK_YEARS]
