@@ -5,6 +5,10 @@ A work that is stored once for each owner makes each pair once: pairs come from
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,10 @@ from ..plans.storage import numbered, stored
 
 #: Authors of a work that meet in one cell of pairs.
 BLOCK = 1000
+#: Researchers of one side of a table of weights (64 MB), the least number of sides, and researchers that are broadcast.
+SIDE, SIDES, BROADCAST = 4096, 8, 1_000_000
+#: Rows of works with one hash from which they may be too many for one task, and the number of hashes.
+HEAVY, HASHES = 200_000, 65_536
 
 
 def authorships(authors: DataFrame) -> DataFrame:
@@ -58,6 +66,102 @@ def strongest(edge: DataFrame, limit: int = 120) -> DataFrame:
     return edge.orderBy(F.desc("weight"), "a", "b").limit(limit)
 
 
+def strongest_pairs(authors: DataFrame, people: DataFrame, limit: int, side: int = SIDE, heavy: int = HEAVY) -> DataFrame:
+    """The strongest edges among people (researcher), ties by the ids, of networks whose edges are too many to be moved.
+
+    Researchers are numbered and dealt into parts of up to `side`. Each two parts are a cell: it gets from every work its authors of the one and of the other, adds up all their pairs in one
+    table of weights, and gives out its `limit` strongest. So every pair is counted whole in one place, what moves is each work's authors once for each part, and a task holds one table, however many rows come.
+    """
+    ids, _ = stored(numbered(people.select("researcher").distinct(), "researcher", -1, "n"), "people")
+    size = ids.count()
+    parts = max(SIDES, -(-size // side))
+    known = F.broadcast(ids) if size <= BROADCAST else ids
+    rows = authors.select("work", F.col("matched_researcher_id").alias("researcher")).join(known, "researcher")
+    # Stored, so that the work's key is made once.
+    rows, _ = stored(rows.select("work", (F.col("n") % parts).cast("int").alias("part"), F.floor(F.col("n") / parts).cast("short").alias("at")), "authorships")
+    # Rows of a work go to one task, unless its hash has very many.
+    rows = rows.where("work IS NOT NULL").withColumn("hash", F.pmod(F.xxhash64("work"), F.lit(HASHES)))
+    many, _ = stored(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > heavy).select("hash"), "large-works")
+    if many.isEmpty():
+        sets = _in_parts(rows.repartition("work"))
+    else:
+        sets = _in_parts(rows.join(many, "hash", "left_anti").repartition("work")).unionByName(_in_parts(rows.join(many, "hash", "left_semi")))
+    one, other = F.col("one"), F.col("other")
+    cells = sets.select("parts", F.explode("parts").alias("one")).select("one", F.explode(F.filter("parts", lambda y: y["part"] >= one["part"])).alias("other"))
+    inside = one["part"] == other["part"]
+    cells = cells.where(~inside | (F.size(one["at"]) > 1)).select((one["part"].cast("long") * parts + other["part"]).alias("cell"), one["at"].alias("x"), F.when(inside, F.array().cast("array<smallint>")).otherwise(other["at"]).alias("y"))
+    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_heaviest(size, parts, limit), "a long, b long, weight long")
+    top = strongest(found, limit)
+    of = lambda c: known.select(F.col("n").alias(c), F.col("researcher").alias(f"{c}_id"))
+    return top.join(of("a"), "a").join(of("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "weight")
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """Of each work with two authors or more, its distinct authors by part."""
+    sets = rows.groupBy("work", "part").agg(F.collect_set("at").alias("at")).groupBy("work").agg(F.collect_list(F.struct("part", "at")).alias("parts"))
+    return sets.where((F.size("parts") > 1) | (F.size(F.col("parts")[0]["at"]) > 1)).select("parts")
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of several runs, one after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def _count(table: np.ndarray, x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray) -> None:
+    """One for each pair of a row of x and the same row of y; rows are distinct values between the places xs, or ys."""
+    flat, left, right, one = table.reshape(-1), x.astype(np.int64) * table.shape[1], y.astype(np.int64), table.dtype.type(1)
+    nx, ny = np.diff(xs), np.diff(ys)
+    n = nx * ny
+    for r in np.flatnonzero(n >= 400).tolist():
+        flat[left[xs[r] : xs[r + 1], None] + right[ys[r] : ys[r + 1]]] += one
+    # Many short rows at once, up to some million pairs.
+    rest = np.flatnonzero((n > 0) & (n < 400))
+    for some in np.split(rest, np.flatnonzero(np.diff(np.cumsum(n[rest]) // 2_000_000)) + 1):
+        there, starts = np.repeat(ny[some], nx[some]), np.repeat(ys[some], nx[some])
+        np.add.at(flat, np.repeat(left[_spans(xs[some], nx[some])], there) + right[_spans(starts, there)], one)
+
+
+def _heaviest(size: int, parts: int, limit: int):
+    """From rows by cell, in which a work has its authors x and y of two parts (or x alone: of one), the `limit` strongest pairs of each cell."""
+    side = max(1, -(-size // parts))
+
+    def top(cell: int, table: np.ndarray) -> pa.RecordBatch:
+        i, j = divmod(cell, parts)
+        a, b, w = (np.zeros(0, np.int64) for _ in range(3))
+        for first in range(0, side, 256):
+            rows = np.triu(table[first : first + 256], first + 1) if i == j else table[first : first + 256]
+            at = np.flatnonzero(rows >= max(1, w.min() if len(w) == limit else 1))
+            left, right = (at // side + first) * parts + i, at % side * parts + j
+            a, b, w = np.append(a, np.minimum(left, right)), np.append(b, np.maximum(left, right)), np.append(w, rows.reshape(-1)[at].astype(np.int64))
+            if len(w) > limit:
+                least = np.partition(w, len(w) - limit)[len(w) - limit]
+                over, tied = np.flatnonzero(w > least), np.flatnonzero(w == least)
+                left_over = limit - len(over)
+                kept = np.append(over, tied[np.argpartition(a[tied] * size + b[tied], left_over - 1)[:left_over]])
+                a, b, w = a[kept], b[kept], w[kept]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w)], ["a", "b", "weight"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, open_ = np.zeros((side, side), np.uint32), None
+        for batch in batches:
+            cells, (x, y) = batch.column(0).to_numpy(), (batch.column(c) for c in (1, 2))
+            values = [c.values.to_numpy() for c in (x, y)]
+            places = [c.offsets.to_numpy().astype(np.int64) for c in (x, y)]
+            ends = [*np.flatnonzero(np.diff(cells)) + 1, len(cells)] if len(cells) else []
+            for start, end in zip([0, *ends], ends):
+                if cells[start] != open_:
+                    if open_ is not None:
+                        yield top(open_, table)
+                        table.fill(0)
+                    open_ = int(cells[start])
+                k = 0 if open_ // parts == open_ % parts else 1
+                _count(table, values[0], places[0][start : end + 1], values[k], places[k][start : end + 1])
+        if open_ is not None:
+            yield top(open_, table)
+
+    return run
+
+
 def shared_works(authors: DataFrame) -> DataFrame:
     """The number of works with two or more matched authors; no pair is made."""
     return authorships(authors).groupBy("work").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("shared_works"))

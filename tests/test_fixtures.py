@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -708,3 +709,22 @@ def test_copied_tables_are_not_overwritten(spark, tmp_path):
     with pytest.raises(FileExistsError, match="rows: a"):
         sinks.copy_tables(spark, one, {"b": lambda df: df, "a": lambda df: df}, folder)
     assert sinks.copy_tables(spark, one, {"a": lambda df: df.limit(1)}, folder, replace=True) == {"a": 1}
+
+
+def test_strongest_pairs_are_those_of_all_edges(spark):
+    """In any number of parts, with large works or without, ties by the ids; unknown people have no edges."""
+    rng = random.Random(3)
+    rows = [(f"w{w}", r * 10) for w in range(60) for r in rng.sample(range(90), rng.choice([1, 2, 3, 12, 40]))]
+    rows += rows[::3] + [(None, 10), ("w1", None), ("w1", 10), ("w1", 999_999), ("w2", 999_999), ("w2", 10)]
+    a = spark.createDataFrame(rows, "work string, matched_researcher_id long")
+    people = spark.createDataFrame([(r * 10,) for r in range(95)], "researcher long")
+    sets = collections.defaultdict(set)
+    for w, r in rows:
+        if w and r is not None and r != 999_999:
+            sets[w].add(r)
+    n = collections.Counter((x, y) for s in sets.values() for x in s for y in s if x < y)
+    want = sorted(((x, y, w) for (x, y), w in n.items()), key=lambda r: (-r[2], r[:2]))
+    for limit, side, heavy in ((50, 4096, 200_000), (700, 5, 100), (5000, 2, 0)):
+        got = graph.strongest_pairs(a, people, limit, side, heavy).collect()
+        assert sorted(map(tuple, got), key=lambda r: (-r[2], r[:2])) == want[:limit]
+    assert graph.strongest_pairs(a.where("false"), people, 5).count() == graph.strongest_pairs(a, people.where("false"), 5).count() == 0
