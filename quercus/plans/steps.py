@@ -8,7 +8,8 @@ left, and a changed source redoes only what hangs on it. Order is the list's; th
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,25 @@ from .bindings import folder_state
 Tables = dict[str, DataFrame]
 
 
+BROADCAST, ADAPTIVE = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile joins broadcast a side only by the size that its shuffle had, under the session's threshold.
+
+    The size of a stored table is estimated from its compressed files: that of millions of ids in order is so small that they would be gathered in the driver.
+    """
+    before = {n: spark.conf.get(n, None) for n in (BROADCAST, ADAPTIVE)}
+    spark.conf.set(ADAPTIVE, before[ADAPTIVE] or spark.conf.get(BROADCAST))
+    spark.conf.set(BROADCAST, "-1")
+    try:
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+
+
 @dataclass
 class Step:
     """name, what it reads, and its function: it gets those tables by name and returns tables by name. `when` tells from the tables' names whether it has anything to do; optional tables are
@@ -77,7 +97,8 @@ class Pipeline:
                 try:
                     if missing := [n for n in reads if n not in tables]:
                         raise KeyError(f"no table {', '.join(missing)}")
-                    done = self._store(path, step.run({n: tables[n] for n in reads}))
+                    with measured_broadcasts(self.spark):
+                        done = self._store(path, step.run({n: tables[n] for n in reads}))
                 except Exception as e:
                     raise Failed(step.name, report) from e
                 report.append((step.name, "done"))

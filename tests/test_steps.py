@@ -80,3 +80,23 @@ def test_chosen_steps(spark, tmp_path):
         p.run({})
     with pytest.raises(ValueError, match="one name"):
         Pipeline(spark, f"file://{tmp_path}", [Step("x", [], plus(1)), Step("x", [], plus(1))])
+
+
+def test_steps_broadcast_by_measured_sizes(spark, tmp_path):
+    """A table whose files are small for its rows isn't gathered in the driver; outside the steps the session is as it was."""
+    ids = spark.range(0, 300_000, 1, 2).select("id", *(F.lit(None).cast("string").alias(f"c{i}") for i in range(9)))
+    ids.write.parquet(f"file://{tmp_path}/ids")
+    seen = []
+
+    def joined(t):
+        out = t["ids"].join(t["ids"].select("id"), "id", "left")
+        seen.append(out._jdf.queryExecution().executedPlan().toString())
+        return {"out": out}
+
+    tables, _ = Pipeline(spark, f"file://{tmp_path}/line", [Step("join", ["ids"], joined)]).run({"ids": f"file://{tmp_path}/ids"})
+    outside = spark.read.parquet(f"file://{tmp_path}/ids")
+    assert "Broadcast" not in seen[0] and tables["out"].count() == 300_000
+    assert "Broadcast" in outside.join(outside.select("id"), "id", "left")._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Failed):
+        Pipeline(spark, f"file://{tmp_path}/line", [Step("fail", ["ids"], lambda t: 1 / 0)]).run({"ids": f"file://{tmp_path}/ids"})
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
