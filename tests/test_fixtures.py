@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -728,3 +729,14 @@ def test_strongest_pairs_are_those_of_all_edges(spark):
         got = graph.strongest_pairs(a, people, limit, side, heavy).collect()
         assert sorted(map(tuple, got), key=lambda r: (-r[2], r[:2])) == want[:limit]
     assert graph.strongest_pairs(a.where("false"), people, 5).count() == graph.strongest_pairs(a, people.where("false"), 5).count() == 0
+
+
+def test_terms_of_long_texts_are_given_out_bit_by_bit():
+    """A batch of texts isn't held as one batch of terms, and gives the same terms."""
+    texts = [" ".join(f"palavra{(i * 7 + j) % 90}" for j in range(40)) for i in range(50)] + [None, "", "de", "redes neurais redes neurais"]
+    given = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), pa.array([2] * len(texts), pa.int64())], ["researcher_id", "title", "weight"])
+    several, one = list(topics.cloud_terms(iter([given, given]), 100)), list(topics.cloud_terms(iter([given, given])))
+    most = max(len(c) + len(s) for c, s in (topics.grams(t or "", frozenset(), frozenset()) for t in texts))
+    assert len(one) == 2 and len(several) > 20 and all(b.num_rows < 100 + most for b in several)
+    assert [r for b in several for r in b.to_pylist()] == [r for b in one for r in b.to_pylist()]
+    assert {"researcher_id": len(texts) - 1, "term": "redes neurais", "n": 4, "single": False} in one[0].to_pylist()
